@@ -160,3 +160,360 @@ def facility_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 4 == 0).alias("is_live"),
         F.concat(F.lit("profile-"), F.col("l_suppkey") % 10).alias("profile_id"),
     )
+
+
+def _json_number(value: Column) -> Column:
+    return value.cast("double").cast("string")
+
+
+def _pairs(*items: tuple[str, Column | None]) -> Column:
+    """JSON object text from (key, JSON text or null); null parts are left out."""
+    parts = [F.concat(F.lit(f'"{key}":'), value) for key, value in items]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _quoted(value: Column) -> Column:
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def frames_from(ev: DataFrame) -> DataFrame:
+    """Vessel feed frames, one per event: positions, static reports and faults by event id."""
+    e, u = F.col("event_id"), F.col("user_id")
+    k = e % 8
+    kind = (
+        F.when(k == 0, "ShipStaticData").when(k == 1, "StaticDataReport").when(k == 2, "BaseStationReport")
+        .when(k == 6, "StandardClassBPositionReport").when(k == 7, "ExtendedClassBPositionReport")
+        .otherwise("PositionReport")
+    )
+    number = lambda v: v.cast("string")
+    code = number(e % 100)
+    lat = _json_number(F.lit(33.32) + ((e * 37 + u * 11) % 400) / F.lit(1000.0))
+    lon = _json_number(F.lit(-118.24) + ((e * 53 + u * 29) % 200) / F.lit(1000.0))
+    typed_place = e % 11 != 0
+    body = F.when(k == 0, _pairs(("Type", code), ("UserID", number(u)))).when(
+        k == 1, _pairs(("UserID", number(u)), ("PartA", _pairs(("Type", code))))
+    ).otherwise(
+        _pairs(
+            ("UserID", number(u)),
+            ("Latitude", F.when(typed_place, lat)),
+            ("Longitude", F.when(typed_place, lon)),
+            ("SOG", F.when(e % 13 == 0, F.lit("102.3")).otherwise(_json_number((e % 300) / F.lit(10.0)))),
+            ("Heading", F.when(e % 5 == 0, F.lit("511")).otherwise(number(e % 360))),
+            ("COG", F.when(e % 3 == 0, F.lit("360")).otherwise(_json_number((e % 3600) / F.lit(10.0)))),
+        )
+    )
+    stamp = (
+        F.when(e % 19 == 0, F.lit("soon"))
+        .when(e % 17 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .when(e % 23 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" +0200 UTC")))
+        .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" +0000 UTC")))
+    )
+    meta = _pairs(
+        ("MMSI", F.when(e % 9 != 0, number(u))),
+        ("latitude", _json_number(F.lit(33.4))),
+        ("longitude", F.when(e % 77 != 0, _json_number(F.lit(-118.1)))),
+        ("time_utc", _quoted(stamp)),
+    )
+    frame = _pairs(
+        ("MessageType", _quoted(kind)),
+        ("MetaData", F.when(k != 3, meta)),
+        ("Message", F.concat(F.lit("{"), _quoted(kind), F.lit(":"), body, F.lit("}"))),
+    )
+    return ev.select(
+        e.alias("arrival_seq"),
+        plus_micros(F.col("ts"), (e % 180) * SEC).alias("received_at"),
+        F.when(e % 101 == 0, F.lit("{broken")).otherwise(frame).alias("frame"),
+    )
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_from(events(spark, sf_dir))
+
+
+def aircraft_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aircraft poll documents, one per event, with a good and a doubtful record each."""
+    e, u = F.col("event_id"), F.col("user_id")
+    # Callsigns cycle through freight and other operators.
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("FDX", "ups", "DLH", "GTI", "AF", "BAW", "BOX")]), (e % 7 + 1).cast("int"))
+    first = _pairs(
+        ("hex", _quoted(F.concat(F.lit(" A"), u.cast("string")))),
+        ("flight", _quoted(F.concat(prefix, (u % 10).cast("string"), F.lit("  ")))),
+        ("lat", _json_number(F.lit(33.6) + ((e * 37 + u * 11) % 400) / F.lit(1000.0))),
+        ("lon", _json_number(F.lit(-118.7) + ((e * 53 + u * 29) % 500) / F.lit(1000.0))),
+        ("alt_baro", F.when(e % 6 == 0, F.lit('"ground"')).otherwise((e % 40000).cast("string"))),
+        ("gs", F.when(e % 4 != 0, _json_number((e % 5000) / F.lit(10.0)))),
+        ("track", _json_number((e % 3600) / F.lit(10.0))),
+        ("type", F.when(e % 9 == 0, _quoted(F.lit("mlat"))).otherwise(_quoted(F.lit("adsb_icao")))),
+        ("seen_pos", F.when(e % 3 != 0, _json_number((e % 90) / F.lit(8.0)))),
+    )
+    second = _pairs(
+        ("hex", F.when(e % 2 == 0, _quoted(F.concat(F.lit("b"), u.cast("string"))))),
+        ("lat", F.when(e % 5 == 0, F.lit("95.5")).otherwise(F.lit("33.8"))),
+        ("lon", F.when(e % 7 != 0, F.lit("-118.4"))),
+    )
+    doc = F.concat(F.lit('{"ac":['), first, F.lit(","), second, F.lit("]}"))
+    return events(spark, sf_dir).select(
+        e.alias("poll_id"), F.col("ts").alias("received_at"),
+        F.when(e % 103 == 0, F.lit('{"ac":[{}]}')).otherwise(doc).alias("document"),
+    )
+
+
+def border_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Border wait documents, one per line item: an array with one crossing."""
+    o, s, n = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    day = F.col("l_shipdate").cast("timestamp")
+    text = lambda v: _quoted(v.cast("string"))
+    status = (
+        F.when(F.col("l_partkey") % 11 == 0, "Update Pending").when(F.col("l_partkey") % 13 == 0, "N/A").otherwise("no delay")
+    )
+    delay = F.when(F.col("l_partkey") % 9 == 0, F.lit('""')).otherwise(text(F.col("l_quantity").cast("int")))
+    lane = lambda label: _pairs(
+        ("update_time", text(label)), ("operational_status", text(status)),
+        ("delay_minutes", delay), ("lanes_open", F.when(n % 3 == 0, F.lit('""')).otherwise(text(n))),
+    )
+    crossing = _pairs(
+        ("port_number", F.when(o % 97 != 0, text(F.lit(240000) + s))),
+        ("port_name", text(F.concat(F.lit("Port "), s % 20))),
+        ("crossing_name", F.when(s % 3 == 0, F.lit('""')).otherwise(text(F.concat(F.lit("Gate"), s % 7, F.lit(" North"))))),
+        ("date", F.when(o % 89 == 0, F.lit('"soon"')).otherwise(text(F.date_format(day, "M/d/yyyy")))),
+        ("time", F.lit('"07:30:00"')),
+        ("port_status", F.lit('"Open"')),
+        ("commercial_vehicle_lanes", _pairs(
+            ("standard_lanes", lane(F.when(n % 2 == 0, F.lit("")).otherwise(F.lit("At 7:00 am")))),
+            ("FAST_lanes", F.when(n % 2 == 0, lane(F.lit("At 7:15 am")))),
+        )),
+        ("pedestrian_lanes", F.when(n % 4 == 0, _pairs(("ready_lanes", lane(F.lit("At 7:20 am")))))),
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        o.alias("order_key"), n.alias("line_number"), s.alias("supp_key"),
+        plus_micros(day, 8 * 3600 * SEC).alias("received_at"),
+        F.when(o % 83 == 0, F.lit('{"error":"down"}')).otherwise(F.concat(F.lit("["), crossing, F.lit("]"))).alias("document"),
+    )
+
+
+def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facility reading documents, one per line item, with planted faults."""
+    o, s, n, p = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_partkey")
+    day = F.col("l_shipdate").cast("timestamp")
+    iso = lambda c: _quoted(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    text = lambda v: _quoted(v.cast("string"))
+    lane = F.when(o % 61 == 0, F.lit('"all"')).otherwise(_quoted(_lane_of(n)))
+    wait = _pairs(
+        ("laneGroup", lane), ("metric", F.lit('"wait_minutes"')),
+        ("value", F.when(p % 9 == 0, F.lit("null")).when(o % 67 == 0, F.lit("-3")).otherwise(_json_number(F.col("l_quantity")))),
+        ("statusLabel", text(F.col("l_returnflag"))),
+    )
+    lanes = _pairs(
+        ("laneGroup", _quoted(_lane_of(n))), ("metric", F.lit('"lanes_open"')),
+        ("value", F.when(o % 71 == 0, F.lit("1.5")).otherwise(n.cast("string"))),
+    )
+    doc = _pairs(
+        ("metricId", text(F.concat_ws("-", F.lit("fm"), o, n))),
+        ("facilityId", F.when(o % 73 != 0, text(F.concat(F.lit("site:"), s)))),
+        ("facilityType", F.lit('"border-crossing"')),
+        ("displayName", text(F.concat(F.lit("Site "), s))),
+        ("mode", F.when(o % 79 == 0, F.lit('"sea"')).otherwise(F.lit('"land"'))),
+        ("observedAt", iso(day)),
+        ("receivedAt", iso(plus_micros(day, F.when(o % 53 == 0, F.lit(-60)).otherwise(F.lit(60)) * SEC))),
+        ("measurements", F.when(o % 59 == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), wait, F.lit(","), lanes, F.lit("]")))),
+        ("source", _pairs(("providerId", F.lit('"bwt"')), ("endpointId", F.lit('"e"')),
+                          ("licenseId", F.when(o % 47 != 0, F.lit('"pd"'))))),
+        ("quality", F.when(o % 3 == 0, _pairs(("sourceState", F.lit('"fresh"'))))),
+    )
+    return table(spark, sf_dir, "lineitem").select(o.alias("order_key"), n.alias("line_number"), s.alias("supp_key"), doc.alias("raw"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated manifests, one per event, each with the event's raw observation."""
+    e = F.col("seq")
+    doc = _pairs(
+        ("fixtureId", F.when(e % 43 == 0, F.lit('""')).otherwise(_quoted(F.concat(F.lit("fx-"), e)))),
+        ("truthState", F.when(e % 37 == 0, F.lit('"OBSERVED"')).otherwise(F.lit('"SIMULATED"'))),
+        ("simulated", F.when(e % 41 == 0, F.lit("false")).otherwise(F.lit("true"))),
+        ("provenance", _pairs(("providerId", F.when(e % 31 == 0, F.lit('"live"')).otherwise(F.lit('"simulated-x"'))))),
+        ("observations", F.when(e % 29 == 0, F.lit("{}")).otherwise(F.concat(F.lit("["), F.col("raw"), F.lit("]")))),
+    )
+    # Broken raw bodies would break the manifest around them; they are covered by the raw view.
+    return raw_observations(spark, sf_dir).filter(e % 257 != 0).select(
+        F.concat(F.lit("fx-"), e, F.lit(".json")).alias("file"), doc.alias("document"), e.alias("seq")
+    )
+
+
+def refreshes_from(ev: DataFrame) -> DataFrame:
+    """Source refresh outcomes, one per event: errors fail, sign-ups are partial."""
+    e = F.col("event_id")
+    return ev.select(
+        F.concat(F.lit("src-"), F.col("user_id") % 25).alias("source_id"),
+        e.alias("seq"),
+        F.col("ts").alias("now"),
+        F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "partial").otherwise("ok").alias("status"),
+        F.when(e % 4 != 0, plus_micros(F.col("ts"), -((F.col("value") * 100).cast("bigint")) * SEC)).alias("last_observation_at"),
+    )
+
+
+def refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refreshes_from(events(spark, sf_dir))
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim rows, one per event, bundled by user and day, with planted faults; plus one per document."""
+    e, u = F.col("event_id"), F.col("user_id")
+    shown = F.format_string("%.2f", F.col("value"))
+    pick = e % 12
+    text = (
+        F.when(pick == 0, F.concat(F.lit("A suspicious stop was seen at berth "), u))
+        .when(pick == 1, F.concat(F.lit("Waits grew because of fog, now "), shown))
+        .when(pick == 2, F.concat(F.lit("The queue will rise to "), shown))
+        .when(pick == 3, F.lit("The beneficial owner is not known"))
+        .when(pick == 4, F.lit("The vessel intends to anchor"))
+        .when(pick == 5, F.concat(F.lit("All vessels at the port: "), shown))
+        .when(pick == 6, F.concat(F.lit("The reading was "), F.format_string("%.2f", F.col("value") + 7.0), F.lit(" minutes")))
+        .when(pick == 7, F.concat(F.lit("At 7:45 on 2024-01-15T10:00:00Z the wait was "), shown))
+        .when(pick == 8, F.concat(F.lit("The share was "), F.format_string("%.1f", F.col("value") * 100)))
+        .otherwise(F.concat(F.lit("The observed value was "), shown, F.lit(" in the window")))
+    )
+    category = (
+        F.when(e % 10 == 0, "LIMITATION").when(e % 10 == 1, "COMPARISON").when(e % 10 < 6, "CALCULATION").otherwise("OBSERVATION")
+    )
+    cited = F.array(F.struct(F.lit("metric").alias("kind"), F.concat(F.lit("m-"), e).alias("id")))
+    from_events = events(spark, sf_dir).select(
+        F.concat(F.lit("u"), u, F.lit("-d"), F.date_format("ts", "yyyyMMdd")).alias("bundle_id"),
+        F.concat(F.lit("c-"), e).alias("claim_id"),
+        e.alias("claim_order"),
+        text.alias("text"),
+        category.alias("category"),
+        F.when(e % 13 == 0, F.array().cast("array<struct<kind:string,id:string>>")).otherwise(cited).alias("support"),
+    )
+    from_documents = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), F.col("source")).alias("bundle_id"),
+        F.concat(F.lit("d-"), F.col("doc_id")).alias("claim_id"),
+        F.col("doc_id").alias("claim_order"),
+        "text",
+        F.when(F.col("doc_id") % 2 == 0, "LIMITATION").otherwise("OBSERVATION").alias("category"),
+        F.array(F.struct(F.lit("metric").alias("kind"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"))).alias("support"),
+    )
+    return from_events.unionByName(from_documents)
+
+
+def claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric values the claims of a bundle may cite."""
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("u"), F.col("user_id"), F.lit("-d"), F.date_format("ts", "yyyyMMdd")).alias("bundle_id"), "value"
+    )
+
+
+# Fixed question texts, cycled by event id.
+QUESTIONS = [
+    "How many vessels are waiting at Long Beach in the last 24 hours?",
+    "Summarize Singapore", "Vessel count vs baseline here", "what changed at suez over 3 days",
+    "Compare the moving fraction of the Suez Canal compared to before", "start the replay",
+    "Explain the dwell", "show me the last 6 hours", "how long is the wait at the Paso border?",
+    "list the ships near los angeles beach, 6 h", "any events", "go to malacca",
+    "cargo flights here", "tell me a joke", "  ", "exit count current view vs. baseline",
+]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of the conversations, and one fixed question per event."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", F.lit("cv"), "conv_id", "turn").alias("question_id"), "text"
+    )
+    text = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("event_id") % len(QUESTIONS) + 1).cast("int"))
+    posed = events(spark, sf_dir).select(F.concat(F.lit("ev-"), F.col("event_id")).alias("question_id"), text.alias("text"))
+    return asked.unionByName(posed)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to redact: every document and one request line per event."""
+    e = F.col("event_id")
+    line = (
+        F.when(e % 4 == 0, F.concat(F.lit("GET /api?token=abc"), e, F.lit("&x=1 ok")))
+        .when(e % 4 == 1, F.concat(F.lit("auth bearer  tok"), e, F.lit(' "done"')))
+        .when(e % 4 == 2, F.concat(F.lit("key sk-abcdef_"), e, F.lit("; task-sk-1 left")))
+        .otherwise(F.concat(F.lit("plain line "), e))
+    )
+    lines = events(spark, sf_dir).select(F.concat(F.lit("ev-"), e).alias("line_id"), line.alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("line_id"), "text")
+    return lines.unionByName(docs)
+
+
+def requests_from(ev: DataFrame) -> DataFrame:
+    """Request log: path by event type, status by value."""
+    path = (
+        F.when(F.col("event_type") == "view", "/api/health").when(F.col("event_type") == "click", "/assets/app.js")
+        .when(F.col("event_type") == "signup", "/metrics").when(F.col("event_type") == "error", "/nowhere").otherwise("/")
+    )
+    status = F.when(F.col("value") > 100, 500).when(F.col("value") > 50, 404).when(F.col("value") > 40, 302).otherwise(200)
+    return ev.select("event_id", F.col("ts").alias("at"), path.alias("path"), status.alias("code"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(events(spark, sf_dir))
+
+
+def watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watch rows, one per user and metric seen, some of them invalid."""
+    u = F.col("user_id")
+    metrics = ["vessel_count", "moving_fraction", "dwell_cohort_size", "dwell_median_seconds", "entry_count", "exit_count"]
+    homes = ["long-beach-approach", "singapore-malacca-approach", "suez-canal-approaches", "lax-cargo-air", "nowhere"]
+    cycle = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    return events(spark, sf_dir).select(
+        F.concat_ws("|", F.lit("w"), u % 40, F.col("event_id") % 7).alias("id"),
+        cycle(homes, u).alias("profile_id"),
+        F.when(F.col("event_id") % 31 == 0, F.lit("weather")).otherwise(cycle(metrics, F.col("event_id") % 7)).alias("metric"),
+        F.when(u % 2 == 0, "increase").otherwise("decrease").alias("watch_direction"),
+        (F.col("event_id") % 9 - 1).cast("double").alias("pct_threshold"),
+        F.when(u % 3 == 0, "require-fresh").otherwise("allow-stale").alias("freshness_policy"),
+        F.col("ts").alias("created_at"),
+        F.lit("1").alias("config_version"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def labelled_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Detections from large purchases, labels from large errors, scoped by user group."""
+    ev = events(spark, sf_dir)
+    scope = F.concat(F.lit("zone-"), F.col("user_id") % 5)
+    labels = ev.filter("event_type = 'error' and value > 60").select(
+        F.concat(F.lit("l-"), F.col("event_id")).alias("label_id"), F.lit("stoppage").alias("event_type"),
+        scope.alias("scope"), F.col("ts").alias("onset_at"), F.col("event_id").alias("label_seq"),
+    )
+    detections = ev.filter("event_type = 'purchase' and value > 60").select(
+        F.concat(F.lit("d-"), F.col("event_id")).alias("detection_id"), F.lit("stoppage").alias("event_type"),
+        scope.alias("scope"), F.col("ts").alias("detected_at"), F.col("event_id").alias("detection_seq"),
+    )
+    return labels, detections
+
+
+def supplier_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small fence per supplier, grouped into profiles by nation, with planted faults."""
+    s = F.col("s_suppkey")
+    lat0 = F.lit(33.32) + (s % 40) / F.lit(100.0)
+    lon0 = F.lit(-118.24) + (s % 19) / F.lit(100.0)
+    vertex = lambda a, o: F.struct((lat0 + a).alias("lat"), (lon0 + o).alias("lon"))
+    size = F.lit(0.01) + (s % 5) / F.lit(200.0)
+    corners = F.array(
+        vertex(F.lit(0.0), F.lit(0.0)), vertex(size, F.lit(0.0)), vertex(size, size),
+        vertex(size / 2, size / 2), vertex(F.lit(0.0), size),
+    )
+    ring = F.when(s % 29 == 0, F.slice(corners, 1, 3)).when(
+        s % 31 == 0, F.transform(corners, lambda v: F.struct((v["lat"] + 100).alias("lat"), v["lon"].alias("lon")))
+    ).otherwise(corners)
+    purpose = (
+        F.when(s % 4 == 0, "waiting-cohort").when(s % 4 == 1, "approach-flow").when(s % 4 == 2, "port-basin")
+        .otherwise("canal-corridor")
+    )
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("p-"), F.col("s_nationkey")).alias("profile_id"),
+        s.cast("int").alias("position"),
+        F.concat(F.lit("f-"), s).alias("fence_id"),
+        purpose.alias("purpose"),
+        F.lit("v1").alias("geometry_version"),
+        F.when(s % 13 == 0, "placeholder").otherwise("reviewed").alias("geometry_status"),
+        F.when(s % 17 != 0, "owner").alias("review_owner"),
+        F.when(s % 19 == 0, "soon").otherwise("2026-09-09").alias("effective_date"),
+        F.when(s % 23 == 0, "").otherwise("inside").alias("inclusion_rule"),
+        F.lit("because").alias("rationale"),
+        ring.alias("ring"),
+        F.when(s % 2 == 0, "covered").otherwise("unknown").alias("coverage_hint"),
+    )
