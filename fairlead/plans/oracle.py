@@ -1 +1,594 @@
-def sql_texts(): return {}
+"""SQL text per registered query, for an independent engine on the same tables.
+
+The texts follow the definitions directly (self joins, plain window functions);
+they share no logic with the Spark operators.
+"""
+
+from __future__ import annotations
+
+from fairlead.plans.views import QUESTIONS
+from fairlead.sources.registry import FENCES, PROFILES
+
+_SQL: dict[str, str] = {}
+
+
+def sql_texts() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _us(iso: str) -> str:
+    return f"epoch_us(TIMESTAMP '{iso}')"
+
+
+# --- shared relations ------------------------------------------------------------------
+
+OBS = """
+obs AS (
+  SELECT event_id, user_id, 'ev-' || event_id AS observation_id, 'user:' || user_id AS entity_id,
+    CASE WHEN event_id % 97 = 0 THEN 'tanker' WHEN user_id % 10 <= 3 THEN 'cargo_vessel'
+         WHEN user_id % 10 <= 6 THEN 'tanker' WHEN user_id % 10 = 7 THEN 'bulk_carrier' ELSE 'unknown' END AS entity_type,
+    CASE WHEN user_id % 6 = 5 THEN CAST(1.05 AS DOUBLE) + ((event_id*37 + user_id*11) % 400) / CAST(1250 AS DOUBLE)
+         ELSE CAST(33.32 AS DOUBLE) + ((event_id*37 + user_id*11) % 400) / CAST(1000 AS DOUBLE) END AS latitude,
+    CASE WHEN user_id % 6 = 5 THEN CAST(103.6 AS DOUBLE) + ((event_id*53 + user_id*29) % 200) / CAST(280 AS DOUBLE)
+         ELSE CAST(-118.24 AS DOUBLE) + ((event_id*53 + user_id*29) % 200) / CAST(1000 AS DOUBLE) END AS longitude,
+    CASE WHEN event_type <> 'error' THEN value / CAST(5 AS DOUBLE) END AS speed_knots,
+    CAST(event_id % 360 AS DOUBLE) AS heading_degrees,
+    epoch_us(ts) AS us, epoch_us(ts) + (event_id % 180) * 1000000 AS received_us,
+    'prov-' || (event_id % 2) AS provider_id, 'feed-' || (event_id % 2) AS endpoint_id,
+    CASE WHEN event_id % 10 <> 0 THEN 'r' || event_id END AS record_ref,
+    CASE WHEN event_id % 50 = 0 THEN 'degraded' WHEN event_id % 50 = 1 THEN 'stale' ELSE 'fresh' END AS source_state,
+    CASE WHEN event_id % 50 = 0 THEN 2 WHEN event_id % 50 = 1 THEN 1 ELSE 0 END AS rank,
+    CASE WHEN event_type = 'signup' THEN 'inferred' ELSE 'confirmed' END AS classification
+  FROM events)"""
+
+COPIES = OBS + """,
+copies AS (
+  SELECT observation_id, entity_id, us, received_us, latitude, longitude, provider_id, endpoint_id, record_ref, event_id FROM obs
+  UNION ALL
+  SELECT observation_id || '-dup', entity_id, us, received_us + 3600000000, latitude, longitude, provider_id, endpoint_id, record_ref, event_id
+  FROM obs WHERE event_id % 7 = 0),
+keyed AS (
+  SELECT *, CASE WHEN record_ref IS NOT NULL THEN 'ref:' || provider_id || ':' || record_ref
+    ELSE 'pos:' || entity_id || ':' || us || ':' || CAST(floor(latitude*100000 + CAST(0.5 AS DOUBLE)) AS BIGINT) || ':'
+         || CAST(floor(longitude*100000 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS duplicate_key
+  FROM copies)"""
+
+
+def _registry() -> str:
+    rows = []
+    for profile, fences in FENCES.items():
+        for pos, (fence, purpose, version, _, hint, ring) in enumerate(fences):
+            for i, (lat, lon) in enumerate(ring):
+                rows.append(f"('{profile}',{pos},'{fence}','{purpose}','{version}','{hint}',{i},{lat}::DOUBLE,{lon}::DOUBLE)")
+    return (
+        "verts(profile_id, pos, fence_id, purpose, version, hint, i, lat, lon) AS (VALUES " + ",".join(rows) + ")"
+    )
+
+
+def _profiles() -> str:
+    rows = [f"('{p}','{n}','{r}','{m}',{k})" for p, n, r, m, _, k in PROFILES]
+    return "prof(profile_id, name, region, mode, limitations) AS (VALUES " + ",".join(rows) + ")"
+
+
+EDGES = """
+edges AS (
+  SELECT v.*, coalesce(lag(lat) OVER w, last_value(lat) OVER f) AS lat_j, coalesce(lag(lon) OVER w, last_value(lon) OVER f) AS lon_j
+  FROM verts v
+  WINDOW w AS (PARTITION BY fence_id ORDER BY i),
+         f AS (PARTITION BY fence_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+prim AS (
+  SELECT profile_id, fence_id, version FROM (
+    SELECT DISTINCT profile_id, fence_id, version, pos, purpose FROM verts)
+  QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY CASE WHEN purpose = 'approach-flow' THEN 0 ELSE 1 END, pos) = 1)"""
+
+HITS = """
+hits AS (
+  SELECT o.observation_id, e.profile_id, e.fence_id, any_value(e.version) AS version
+  FROM obs o JOIN edges e ON ((e.lon > o.longitude) <> (e.lon_j > o.longitude))
+    AND o.latitude < ((e.lat_j - e.lat) * (o.longitude - e.lon)) / (e.lon_j - e.lon) + e.lat
+  GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)"""
+
+MEMBERS = """
+members AS (
+  SELECT h.profile_id, bool_or(h.fence_id = p.fence_id) AS inside, o.*
+  FROM hits h JOIN prim p USING (profile_id) JOIN obs o USING (observation_id)
+  GROUP BY ALL)"""
+
+
+def _geo() -> str:
+    return f"WITH {OBS}, {_registry()}, {EDGES}, {HITS}"
+
+
+def _windows(bounds) -> str:
+    rows = [f"('{w}', {_us(s)}, {_us(e)})" for w, s, e in bounds]
+    return (
+        "win(window_id, s, e) AS (VALUES " + ",".join(rows) + """),
+pairs AS (SELECT window_id, 'current' AS role, s, e, e AS computed FROM win
+          UNION ALL SELECT window_id, 'baseline', s - (e - s), s, e FROM win)"""
+    )
+
+
+W3 = [("w1", "2024-01-15", "2024-01-22"), ("w2", "2024-01-20", "2024-01-22"), ("w3", "2024-01-10", "2024-01-12 12:00:00")]
+GAP = 43_200_000_000
+
+
+def _snap(bounds=W3, all_rows: bool = False) -> str:
+    crossing_rows = """
+cross_in AS (SELECT profile_id, entity_id, us, observation_id, inside, rank FROM members)"""
+    if all_rows:
+        crossing_rows = """
+cross_in AS (
+  SELECT p.profile_id, o.entity_id, o.us, o.observation_id, h.fence_id IS NOT NULL AS inside, o.rank
+  FROM obs o CROSS JOIN prim p LEFT JOIN hits h ON h.observation_id = o.observation_id AND h.fence_id = p.fence_id)"""
+    return f"""WITH {OBS}, {_registry()}, {_profiles()}, {EDGES}, {HITS}, {MEMBERS}, {_windows(bounds)}, {crossing_rows},
+fan AS (
+  SELECT m.*, p.window_id, p.role,
+    lag(us) OVER w AS prev_us
+  FROM members m JOIN pairs p ON m.us BETWEEN p.s AND p.e
+  WINDOW w AS (PARTITION BY m.profile_id, p.window_id, p.role, m.entity_id ORDER BY m.us, m.observation_id)),
+seg AS (
+  SELECT *, sum(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY profile_id, window_id, role, entity_id ORDER BY us, observation_id) AS visit FROM fan),
+vis AS (
+  SELECT profile_id, window_id, role, entity_id, visit, count(*) AS n, min(us) AS a, max(us) AS b, max(rank) AS rank
+  FROM seg GROUP BY ALL),
+best AS (
+  SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY profile_id, window_id, role, entity_id ORDER BY n DESC, a) = 1),
+latest AS (
+  SELECT profile_id, window_id, role, entity_id, entity_type, classification, speed_knots FROM fan
+  QUALIFY row_number() OVER (PARTITION BY profile_id, window_id, role, entity_id ORDER BY us DESC, observation_id DESC) = 1),
+tot AS (SELECT profile_id, window_id, role, entity_id, count(*) AS row_count, max(rank) AS rank FROM fan GROUP BY ALL),
+flip AS (
+  SELECT c.profile_id, p.window_id, p.role, c.entity_id, c.inside, c.us, c.rank,
+    lag(c.inside) OVER w AS was, lag(c.us) OVER w AS prev_us, lag(c.rank) OVER w AS prev_rank
+  FROM cross_in c JOIN pairs p ON c.us BETWEEN p.s AND p.e
+  WINDOW w AS (PARTITION BY c.profile_id, p.window_id, p.role, c.entity_id ORDER BY c.us, c.observation_id)),
+crs AS (
+  SELECT profile_id, window_id, role, entity_id,
+    count(*) FILTER (inside AND us - prev_us <= {GAP}) AS entries, count(*) FILTER (NOT inside AND us - prev_us <= {GAP}) AS exits,
+    count(*) FILTER (us - prev_us > {GAP}) AS uncertain,
+    max(greatest(rank, prev_rank)) FILTER (us - prev_us <= {GAP}) AS crossing_rank
+  FROM flip WHERE was IS NOT NULL AND was <> inside GROUP BY ALL),
+ent AS (
+  SELECT t.*, CASE WHEN l.classification <> 'confirmed' THEN 'unclassified'
+      WHEN l.entity_type IN ('cargo_vessel','tanker','bulk_carrier') THEN 'freight' ELSE 'other' END AS bucket,
+    l.speed_knots, CASE WHEN b.n >= 2 THEN b.b - b.a END AS dwell_us, CASE WHEN b.n >= 2 THEN b.rank END AS dwell_rank,
+    coalesce(c.entries, 0) AS entries, coalesce(c.exits, 0) AS exits, coalesce(c.uncertain, 0) AS uncertain, c.crossing_rank
+  FROM tot t JOIN latest l USING (profile_id, window_id, role, entity_id)
+    JOIN best b USING (profile_id, window_id, role, entity_id)
+    LEFT JOIN crs c USING (profile_id, window_id, role, entity_id)),
+flagged AS (
+  SELECT *, bucket = 'freight' OR NOT bool_or(bucket = 'freight') OVER (PARTITION BY profile_id, window_id, role) AS chosen FROM ent),
+agg AS (
+  SELECT profile_id, window_id, role, sum(row_count)::BIGINT AS in_fence_rows,
+    count(*) FILTER (bucket = 'freight') AS freight, count(*) FILTER (bucket = 'unclassified') AS unclassified,
+    count(*) FILTER (bucket = 'other') AS other, max(rank) AS rank_all,
+    count(*) FILTER (chosen AND speed_knots IS NOT NULL) AS eligible, count(*) FILTER (chosen AND speed_knots > 5) AS moving,
+    count(*) FILTER (chosen AND speed_knots IS NULL) AS missing_speed, max(rank) FILTER (chosen) AS moving_rank,
+    coalesce(sum(entries) FILTER (chosen), 0)::BIGINT AS entries, coalesce(sum(exits) FILTER (chosen), 0)::BIGINT AS exits,
+    coalesce(sum(uncertain) FILTER (chosen), 0)::BIGINT AS uncertain, max(crossing_rank) FILTER (chosen) AS crossing_rank,
+    count(dwell_us) AS dwell_cohort, median(dwell_us) / CAST(1000000 AS DOUBLE) AS median_dwell_seconds, max(dwell_rank) AS dwell_rank
+  FROM flagged GROUP BY ALL),
+labels_ AS (
+  SELECT profile_id, string_agg(lab, '+' ORDER BY pos) AS fence_label FROM (
+    SELECT DISTINCT profile_id, pos, fence_id || '@' || version AS lab FROM verts) GROUP BY 1),
+wide AS (
+  SELECT f.profile_id, f.name, f.region, f.mode, p.window_id, p.role, p.s AS window_start_us, p.e AS window_end_us, p.computed AS computed_us,
+    l.fence_label, m.fence_id || '@' || m.version AS primary_label,
+    coalesce(in_fence_rows, 0) AS in_fence_rows, coalesce(freight, 0) AS freight, coalesce(unclassified, 0) AS unclassified,
+    coalesce(other, 0) AS other, coalesce(eligible, 0) AS eligible, coalesce(moving, 0) AS moving,
+    coalesce(missing_speed, 0) AS missing_speed,
+    CASE WHEN eligible > 0 THEN moving / CAST(eligible AS DOUBLE) END AS moving_fraction,
+    coalesce(dwell_cohort, 0) AS dwell_cohort, median_dwell_seconds, coalesce(entries, 0) AS entries,
+    coalesce(exits, 0) AS exits, coalesce(uncertain, 0) AS uncertain,
+    CASE WHEN in_fence_rows IS NULL THEN 'unknown' ELSE ['fresh','stale','degraded'][rank_all + 1] END AS count_state,
+    CASE WHEN coalesce(eligible, 0) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][moving_rank + 1] END AS moving_state,
+    CASE WHEN coalesce(dwell_cohort, 0) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][dwell_rank + 1] END AS dwell_state,
+    CASE WHEN coalesce(entries, 0) + coalesce(exits, 0) + coalesce(uncertain, 0) = 0 THEN 'unknown'
+         ELSE ['fresh','stale','degraded'][coalesce(crossing_rank, 0) + 1] END AS crossing_state
+  FROM prof f CROSS JOIN pairs p LEFT JOIN agg a ON a.profile_id = f.profile_id AND a.window_id = p.window_id AND a.role = p.role
+    LEFT JOIN labels_ l ON l.profile_id = f.profile_id LEFT JOIN prim m ON m.profile_id = f.profile_id),
+stamp AS (SELECT *, strftime(make_timestamp(computed_us), '%Y-%m-%dT%H:%M:%SZ') AS at_text FROM wide),
+met AS (
+  SELECT profile_id, mode, window_id, role, 'vessel_count' AS metric, 'vessel_count' AS metric_type, 'geofence:' || fence_label AS scope,
+    CAST(freight AS DOUBLE) AS value, 'entities' AS unit, freight AS sample_count, count_state AS state, 'vessel-count-v1' AS formula_version, at_text, window_start_us FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'moving_fraction', 'moving_fraction', profile_id, moving_fraction, 'fraction', eligible, moving_state, 'moving-fraction-v1', at_text, window_start_us FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_cohort_size', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, CAST(dwell_cohort AS DOUBLE), 'entities', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_median_seconds', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, median_dwell_seconds, 'seconds', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'entry_count', 'entry_count', 'geofence:' || primary_label, CAST(entries AS DOUBLE), 'crossings', entries, crossing_state, 'entry-exit-v1', at_text, window_start_us FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'exit_count', 'exit_count', 'geofence:' || primary_label, CAST(exits AS DOUBLE), 'crossings', exits, crossing_state, 'entry-exit-v1', at_text, window_start_us FROM stamp),
+metrics_ AS (
+  SELECT profile_id, mode, window_id, role, metric, CASE WHEN mode = 'sea' THEN metric_type ELSE metric END AS metric_type,
+    CASE WHEN mode = 'sea' THEN scope ELSE profile_id END AS scope, CASE WHEN mode = 'sea' THEN value END AS value,
+    CASE WHEN mode = 'sea' OR metric = 'moving_fraction' THEN unit ELSE 'count' END AS unit,
+    CASE WHEN mode = 'sea' THEN sample_count ELSE 0 END AS sample_count, CASE WHEN mode = 'sea' THEN state ELSE 'unknown' END AS state,
+    CASE WHEN mode = 'sea' THEN formula_version ELSE 'not-applicable-no-data' END AS formula_version,
+    CASE WHEN mode = 'sea' THEN metric || '@' || scope || '@' || at_text ELSE profile_id || '.' || metric END AS metric_id, window_start_us
+  FROM met),
+cmp0 AS (
+  SELECT c.profile_id, c.mode, c.window_id, c.metric, c.value AS current_value, b.value AS baseline_value, c.window_start_us, c.metric_id,
+    c.value - b.value AS absolute_change,
+    CASE WHEN b.value <> 0 THEN (c.value - b.value) / abs(b.value) END AS relative_change,
+    least(c.sample_count, b.sample_count) AS sample_count,
+    greatest(list_position(['fresh','stale','degraded','unknown'], c.state), list_position(['fresh','stale','degraded','unknown'], b.state)) AS worst
+  FROM metrics_ c JOIN metrics_ b ON c.role = 'current' AND b.role = 'baseline' AND c.profile_id = b.profile_id
+    AND c.window_id = b.window_id AND c.metric = b.metric)"""
+
+
+def _compared(min_sample: int) -> str:
+    return f"""
+cmp AS (
+  SELECT *, sample_count < {min_sample} AS low_sample,
+    absolute_change IS NOT NULL AND relative_change IS NULL AS zero_baseline,
+    CASE WHEN absolute_change IS NULL OR sample_count < {min_sample} THEN 'unknown'
+      WHEN relative_change IS NULL THEN CASE WHEN absolute_change > 0 THEN 'increase' WHEN absolute_change < 0 THEN 'decrease' ELSE 'stable' END
+      WHEN abs(relative_change) < CAST(0.05 AS DOUBLE) THEN 'stable' WHEN relative_change > 0 THEN 'increase' ELSE 'decrease' END AS direction,
+    CASE WHEN absolute_change IS NULL OR sample_count < {min_sample} THEN 'unknown'
+      ELSE ['fresh','stale','degraded','unknown'][worst] END AS state
+  FROM cmp0)"""
+
+
+EAGER = """
+rules(event_type, metric, rule_direction, rel, absolute) AS (VALUES
+  ('queue_buildup','dwell_cohort_size','increase',0.05::DOUBLE,1.0::DOUBLE), ('stoppage','moving_fraction','decrease',0.05::DOUBLE,0.01::DOUBLE),
+  ('flow_surge','entry_count','increase',0.05::DOUBLE,1.0::DOUBLE), ('flow_drop','entry_count','decrease',0.05::DOUBLE,1.0::DOUBLE)),
+fired AS (
+  SELECT r.event_type || '@' || c.profile_id || '@' || c.window_start_us AS event_id, r.event_type, c.profile_id AS scope, c.*
+  FROM cmp c JOIN rules r USING (metric)
+  WHERE c.mode = 'sea' AND c.state <> 'unknown' AND c.direction = r.rule_direction
+    AND abs(coalesce(absolute_change, 0)) >= r.absolute AND (relative_change IS NULL OR abs(relative_change) >= r.rel))"""
+
+_SQL["snapshot"] = _snap() + """
+SELECT profile_id, window_id, in_fence_rows, freight, unclassified, other, eligible, moving, moving_fraction, dwell_cohort,
+  median_dwell_seconds, entries, exits, uncertain, count_state, moving_state, dwell_state, crossing_state AS entry_state,
+  crossing_state AS exit_state
+FROM wide WHERE profile_id = 'long-beach-approach' AND role = 'current'"""
+_SQL["all_snapshots"] = _snap() + """
+SELECT profile_id, mode, window_id, role, window_start_us, window_end_us, in_fence_rows, freight, unclassified, other, eligible, moving,
+  missing_speed, dwell_cohort, entries, exits, uncertain FROM wide"""
+_SQL["open_water_crossings"] = _snap(all_rows=True) + """
+SELECT profile_id, window_id, role, entries, exits, uncertain FROM wide WHERE mode = 'sea'"""
+_SQL["dwell_metrics"] = _snap() + """
+SELECT profile_id, window_id, role, dwell_cohort, median_dwell_seconds, dwell_state FROM wide WHERE mode = 'sea'"""
+_SQL["metrics_long"] = _snap() + """
+SELECT profile_id, window_id, role, metric, metric_type, metric_id, scope, value, unit, sample_count, state, formula_version
+FROM metrics_ WHERE mode = 'sea'"""
+_SQL["metric_grid"] = _snap() + """
+SELECT profile_id, metric, unit, formula_version, count(*) AS rows, count(value) AS known, count(*) FILTER (state = 'unknown') AS unknown
+FROM metrics_ GROUP BY ALL"""
+_SQL["baseline_comparison"] = _snap() + "," + _compared(1) + """
+SELECT profile_id, window_id, metric, current_value, baseline_value, absolute_change, relative_change, direction, state, sample_count,
+  low_sample, zero_baseline FROM cmp"""
+_SQL["detected_events"] = _snap() + "," + _compared(3) + "," + EAGER + """
+SELECT event_id, event_type, scope, window_id, metric, current_value, baseline_value, absolute_change, relative_change, direction, state FROM fired"""
+_SQL["network_totals"] = _snap() + """
+SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight ELSE 0 END)::BIGINT AS vessels
+FROM wide WHERE role = 'current' GROUP BY ALL"""
+_SQL["event_topk"] = _snap() + "," + _compared(1) + """,
+r AS (SELECT window_id, metric || '@' || profile_id AS event_id, abs(coalesce(relative_change, 0)) AS p FROM cmp WHERE direction <> 'unknown'),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY p DESC, event_id) AS rank,
+  count(*) OVER (PARTITION BY window_id) AS considered FROM r)
+SELECT window_id, event_id, rank, considered, greatest(0, considered - 6) AS dropped FROM k WHERE rank <= 6"""
+_SQL["compare_rows"] = _snap() + "," + _compared(1) + """,
+cmp3 AS (SELECT * REPLACE (CASE WHEN sample_count < 3 THEN 'unknown' ELSE state END AS state,
+  CASE WHEN sample_count < 3 THEN 'unknown' ELSE direction END AS direction) FROM cmp),
+""" + EAGER.replace("FROM cmp c", "FROM cmp3 c") + """,
+ev AS (SELECT scope AS profile_id, window_id, count(*) AS n, max(abs(relative_change)) AS ch FROM fired GROUP BY ALL),
+ch AS (SELECT profile_id, window_id, max(abs(relative_change)) AS ch FROM cmp WHERE metric IN ('vessel_count','moving_fraction') GROUP BY ALL),
+cov AS (SELECT profile_id, count(*) AS n, count(*) FILTER (hint = 'covered') AS c FROM (SELECT DISTINCT profile_id, fence_id, hint FROM verts) GROUP BY 1)
+SELECT w.profile_id, w.window_id, w.name, w.region, w.mode, CASE WHEN mode = 'sea' THEN CAST(freight AS DOUBLE) END AS headline,
+  coalesce(ev.n, 0) AS event_count, CASE WHEN cov.c = cov.n THEN 'covered' WHEN cov.c = 0 THEN 'unknown' ELSE 'partial' END AS coverage_state,
+  greatest(CAST(0 AS DOUBLE), coalesce(ev.ch, 0), CASE WHEN mode = 'sea' THEN coalesce(ch.ch, 0) ELSE 0 END) AS anomaly_priority
+FROM wide w LEFT JOIN ev USING (profile_id, window_id) LEFT JOIN ch USING (profile_id, window_id) JOIN cov USING (profile_id)
+WHERE role = 'current'"""
+_SQL["metric_inputs"] = _snap() + """
+SELECT f.profile_id, f.window_id, f.role, 'vessel_count' AS metric, f.observation_id FROM fan f
+UNION ALL
+SELECT f.profile_id, f.window_id, f.role, 'moving_fraction', f.observation_id
+FROM fan f JOIN flagged g USING (profile_id, window_id, role, entity_id) WHERE g.chosen"""
+
+WATCHES = """
+w0 AS (
+  SELECT 'w|' || (user_id % 40) || '|' || (event_id % 7) AS id,
+    ['long-beach-approach','singapore-malacca-approach','suez-canal-approaches','lax-cargo-air','nowhere'][user_id % 5 + 1] AS profile_id,
+    CASE WHEN event_id % 31 = 0 THEN 'weather' ELSE
+      ['vessel_count','moving_fraction','dwell_cohort_size','dwell_median_seconds','entry_count','exit_count'][(event_id % 7) % 6 + 1] END AS metric,
+    CASE WHEN user_id % 2 = 0 THEN 'increase' ELSE 'decrease' END AS watch_direction, CAST(event_id % 9 - 1 AS DOUBLE) AS pct_threshold,
+    CASE WHEN user_id % 3 = 0 THEN 'require-fresh' ELSE 'allow-stale' END AS freshness_policy, event_id AS seq
+  FROM events),
+wv AS (SELECT * FROM w0 WHERE metric <> 'weather' AND pct_threshold > 0)"""
+_SQL["watch_upsert"] = "WITH " + WATCHES + """,
+u AS (SELECT * FROM wv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq % 2 DESC, seq DESC) = 1)
+SELECT id, profile_id, metric, watch_direction, pct_threshold, seq FROM u WHERE id NOT IN (SELECT id FROM w0 WHERE seq % 101 = 0)"""
+_SQL["watch_evaluation"] = _snap() + "," + _compared(1) + "," + WATCHES + """,
+st AS (SELECT * FROM wv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+j AS (
+  SELECT st.*, m.window_id, m.value AS observed_value, c.relative_change, c.direction, c.state AS cstate, c.direction IS NOT NULL AS has_cmp,
+    c.direction = 'unknown' OR c.relative_change IS NULL OR NOT (st.freshness_policy = 'allow-stale' OR c.state = 'fresh') AS unusable
+  FROM st LEFT JOIN metrics_ m ON m.role = 'current' AND m.profile_id = st.profile_id AND m.metric = st.metric
+    LEFT JOIN cmp c ON c.profile_id = m.profile_id AND c.window_id = m.window_id AND c.metric = m.metric AND c.metric IN ('vessel_count','moving_fraction'))
+SELECT id, window_id, profile_id, metric, observed_value,
+  CASE WHEN has_cmp THEN CASE WHEN unusable THEN relative_change ELSE relative_change * 100 END END AS relative_change_pct,
+  CASE WHEN window_id IS NULL THEN 'unavailable' WHEN NOT has_cmp AND observed_value IS NULL THEN 'unavailable'
+    WHEN NOT has_cmp OR unusable THEN 'unknown'
+    WHEN (CASE WHEN watch_direction = 'increase' THEN relative_change * 100 >= 0 ELSE relative_change * 100 <= 0 END)
+      AND abs(relative_change * 100) >= pct_threshold THEN 'fired' ELSE 'clear' END AS status
+FROM j"""
+
+CLAIMS = """
+v AS (SELECT * FROM metrics_ WHERE role = 'current' AND mode = 'sea' AND metric = 'vessel_count'),
+m AS (SELECT * FROM metrics_ WHERE role = 'current' AND mode = 'sea' AND metric = 'moving_fraction'),
+c AS (SELECT * FROM cmp WHERE metric = 'vessel_count'),
+n AS (SELECT profile_id, window_id, in_fence_rows FROM wide WHERE role = 'current'),
+cl AS (
+  SELECT v.profile_id, v.window_id, 1 AS claim_order, 'claim-vessel-count' AS claim_id,
+    CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 'Not enough evidence to count vessels in the defined geofence; coverage is unknown, not zero.'
+      ELSE CAST(v.value AS BIGINT) || ' classified freight vessels were observed in the defined geofence in the window.' END AS text,
+    CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 'LIMITATION' ELSE 'CALCULATION' END AS category,
+    CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 0 WHEN v.state = 'fresh' THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS confidence, 1 AS n_support
+  FROM v JOIN n USING (profile_id, window_id)
+  UNION ALL
+  SELECT c.profile_id, c.window_id, 2, 'claim-vessel-count-baseline',
+    CASE WHEN direction = 'stable' OR abs(relative_change) < 1e-12 THEN 'The observed vessel count stayed at the level of the preceding window.'
+      ELSE 'The observed vessel count went ' || CASE WHEN relative_change > 0 THEN 'up ' ELSE 'down ' END
+        || printf('%.1f', floor(abs(relative_change) * 100 * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE)) || '% against the preceding window.' END,
+    'COMPARISON', CASE WHEN state = 'fresh' THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END, 2
+  FROM c WHERE mode = 'sea' AND direction <> 'unknown' AND relative_change IS NOT NULL
+  UNION ALL
+  SELECT profile_id, window_id, 3, 'claim-moving-fraction',
+    'The moving fraction of observed freight vessels was ' || CAST(floor(abs(value) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) || '%; vessels without a speed are left out.',
+    'CALCULATION', CASE WHEN state = 'fresh' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END, 1
+  FROM m WHERE value IS NOT NULL)"""
+_SQL["claims"] = _snap() + "," + _compared(1) + "," + CLAIMS + """
+SELECT profile_id, window_id, claim_order, claim_id, text, category, confidence, CAST(n_support AS BIGINT) AS n_support FROM cl"""
+
+# --- scans, ordering ----------------------------------------------------------------------
+
+_SQL["scoped_read"] = f"""WITH {OBS}
+SELECT observation_id, entity_id, entity_type, latitude, longitude, us AS observed_at_us FROM obs
+WHERE us BETWEEN {_us('2024-01-15')} AND {_us('2024-01-22')} AND entity_type IN ('cargo_vessel','tanker')"""
+READINGS = """
+fr AS (
+  SELECT 'fm-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS metric_id,
+    'site:' || l_suppkey AS facility_id, 'Site ' || l_suppkey AS display_name, CASE WHEN l_suppkey % 5 = 0 THEN 'rail' ELSE 'land' END AS mode, epoch_us(l_shipdate) AS us,
+    epoch_us(l_shipdate) + (l_orderkey % 7) * 1000000 AS received_us,
+    ['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber] AS lane,
+    CASE WHEN l_partkey % 9 <> 0 THEN l_quantity END AS wait, l_suppkey % 4 = 0 AS is_live, 'profile-' || (l_suppkey % 10) AS profile_id
+  FROM lineitem)"""
+_SQL["scoped_facility_read"] = f"""WITH {READINGS}
+SELECT metric_id, facility_id, mode, us AS observed_at_us FROM fr
+WHERE mode = 'land' AND us BETWEEN {_us('1996-01-01')} AND {_us('1998-12-31')}"""
+_SQL["prefer_live"] = f"""WITH {READINGS}, h AS (SELECT profile_id, bool_or(is_live) AS live FROM fr GROUP BY 1)
+SELECT profile_id, facility_id, is_live, count(*) AS readings FROM fr JOIN h USING (profile_id)
+WHERE CASE WHEN live THEN is_live ELSE facility_id LIKE 'site:1%' AND us BETWEEN {_us('1996-01-01')} AND {_us('1997-12-31')} END
+GROUP BY ALL"""
+_SQL["commercial_wait"] = f"""WITH {READINGS}
+SELECT metric_id, facility_id, CASE WHEN lane = 'commercial_vehicle' THEN wait END AS commercial_wait_minutes FROM fr"""
+_SQL["dedupe_facility"] = f"""WITH {READINGS},
+k AS (SELECT *, facility_id || '|' || us || '|' || lane || ':lanes_open|' || lane || ':wait_minutes' AS duplicate_key FROM fr)
+SELECT metric_id, duplicate_key, us AS observed_at_us, received_us AS received_at_us FROM k
+QUALIFY row_number() OVER (PARTITION BY duplicate_key ORDER BY received_us DESC, metric_id DESC) = 1"""
+_SQL["latest_per_facility"] = f"""WITH {READINGS}
+SELECT facility_id, metric_id, us AS observed_at_us FROM fr
+QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY us DESC, received_us, metric_id) = 1"""
+_SQL["facility_claims"] = f"""WITH {READINGS},
+l AS (SELECT *, CASE WHEN lane = 'commercial_vehicle' THEN wait END AS w FROM fr
+  QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY us DESC, received_us, metric_id) = 1)
+SELECT profile_id, 'claim-facility-' || facility_id || CASE WHEN w IS NULL THEN '-unknown' ELSE '-commercial-wait' END AS claim_id,
+  CASE WHEN w IS NULL THEN 'The commercial vehicle wait at ' || display_name || ' is UNKNOWN; missing is not zero.'
+    ELSE 'The commercial vehicle wait at ' || display_name || ' was ' || CAST(w AS BIGINT) || ' minutes as of ' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ') || '.' END AS text,
+  CASE WHEN w IS NULL THEN 'LIMITATION' ELSE 'OBSERVATION' END AS category, CASE WHEN w IS NULL THEN 0 ELSE CAST(0.95 AS DOUBLE) END AS confidence
+FROM l
+UNION ALL SELECT 'empty-' || r_regionkey, 'claim-facility-none', 'No border wait readings in this window; coverage is UNKNOWN, not zero.', 'LIMITATION', 0 FROM region"""
+_SQL["sorted_observations"] = f"WITH {COPIES} SELECT us AS observed_at_us, entity_id, observation_id FROM copies ORDER BY ALL"
+_SQL["dedupe_observations"] = f"""WITH {COPIES}
+SELECT observation_id, duplicate_key, us AS observed_at_us, received_us AS received_at_us FROM keyed
+QUALIFY row_number() OVER (PARTITION BY duplicate_key ORDER BY us, entity_id, observation_id) = 1"""
+_SQL["duplicates_removed"] = f"""WITH {COPIES}
+SELECT count(*) AS rows, count(DISTINCT duplicate_key) AS unique_rows, count(*) - count(DISTINCT duplicate_key) AS removed FROM keyed"""
+_SQL["retention"] = f"""WITH {OBS},
+a AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY received_us DESC, observation_id DESC) <= 5000),
+b AS (SELECT * FROM obs WHERE received_us >= {_us('2024-01-30')} - 86400000000
+  QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY us DESC, observation_id DESC) <= 100)
+SELECT 'arrival' AS rule, provider_id, observation_id, received_us AS received_at_us FROM a WHERE received_us >= {_us('2024-01-30')} - 259200000000
+UNION ALL SELECT 'time', provider_id, observation_id, received_us FROM b"""
+_SQL["bounded_topk"] = """WITH k AS (SELECT event_type, CAST(event_id AS VARCHAR) AS id, value AS priority,
+  row_number() OVER (PARTITION BY event_type ORDER BY value DESC, CAST(event_id AS VARCHAR)) AS rank,
+  count(*) OVER (PARTITION BY event_type) AS considered FROM events)
+SELECT event_type, id, priority, rank, considered, greatest(0, considered - 25) AS dropped FROM k WHERE rank <= 25"""
+_SQL["cohort_stability"] = """WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND value > 20),
+b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value > 20),
+j AS (SELECT coalesce(a.event_type, b.event_type) AS event_type, a.user_id IS NULL OR b.user_id IS NULL AS differs
+  FROM a FULL JOIN b ON a.event_type = b.event_type AND a.user_id = b.user_id)
+SELECT event_type, count(*) FILTER (differs) AS differing_ids, count(*) FILTER (differs) = 0 AS stable FROM j GROUP BY 1"""
+_SQL["network_topk"] = _geo() + "," + MEMBERS + """,
+c AS (SELECT profile_id, count(*) AS considered FROM members GROUP BY 1),
+s AS (SELECT greatest(1, 800 // count(*)) AS share FROM c),
+r AS (SELECT m.profile_id, observation_id, us, considered, row_number() OVER (PARTITION BY m.profile_id ORDER BY us DESC, entity_id || '@' || us, observation_id) AS rn
+  FROM members m JOIN c USING (profile_id))
+SELECT profile_id, observation_id, us AS observed_at_us, considered, greatest(0, considered - share) AS dropped FROM r, s WHERE rn <= share"""
+
+# --- space --------------------------------------------------------------------------------
+
+_SQL["point_in_polygon"] = _geo() + """
+SELECT o.observation_id, h.observation_id IS NOT NULL AS inside FROM obs o
+LEFT JOIN (SELECT DISTINCT observation_id FROM hits WHERE profile_id = 'long-beach-approach') h USING (observation_id)"""
+_SQL["fence_membership"] = _geo() + "SELECT observation_id, profile_id, fence_id, version AS geometry_version FROM hits"
+_SQL["profile_membership"] = _geo() + "," + MEMBERS + "SELECT observation_id, profile_id, inside AS inside_primary FROM members"
+_SQL["bbox_candidates"] = _geo() + """,
+b AS (SELECT fence_id, min(lat) - CAST(0.05 AS DOUBLE) AS a, max(lat) + CAST(0.05 AS DOUBLE) AS b, min(lon) - CAST(0.05 AS DOUBLE) AS c, max(lon) + CAST(0.05 AS DOUBLE) AS d FROM verts GROUP BY 1)
+SELECT b.fence_id, count(o.observation_id) AS candidates FROM b LEFT JOIN obs o ON o.latitude BETWEEN b.a AND b.b AND o.longitude BETWEEN b.c AND b.d GROUP BY 1"""
+
+SUPPLIERS = """
+s0 AS (SELECT s_suppkey AS s, s_nationkey AS nation, CAST(33.32 AS DOUBLE) + (s_suppkey % 40) / CAST(100 AS DOUBLE) AS la,
+    CAST(-118.24 AS DOUBLE) + (s_suppkey % 19) / CAST(100 AS DOUBLE) AS lo, CAST(0.01 AS DOUBLE) + (s_suppkey % 5) / CAST(200 AS DOUBLE) AS z FROM supplier),
+sv AS (
+  SELECT s, 0 AS i, la + CAST(0 AS DOUBLE) AS lat, lo + CAST(0 AS DOUBLE) AS lon FROM s0 UNION ALL SELECT s, 1, la + z, lo FROM s0
+  UNION ALL SELECT s, 2, la + z, lo + z FROM s0 UNION ALL SELECT s, 3, la + z / 2, lo + z / 2 FROM s0 WHERE s % 29 <> 0
+  UNION ALL SELECT s, 4, la, lo + z FROM s0 WHERE s % 29 <> 0),
+sr AS (SELECT s, i, CASE WHEN s % 29 <> 0 AND s % 31 = 0 THEN lat + 100 ELSE lat END AS lat, lon FROM sv),
+sc AS (SELECT s, nation, CASE WHEN s % 13 = 0 THEN 'geometry is not reviewed' WHEN s % 17 = 0 THEN 'missing review owner'
+    WHEN s % 19 = 0 THEN 'invalid effective date' WHEN s % 23 = 0 THEN 'missing inclusion rule or rationale'
+    WHEN s % 29 = 0 THEN 'ring needs at least 4 vertices' WHEN s % 31 = 0 THEN 'invalid latitude in ring' END AS violation FROM s0)"""
+_SQL["fence_validation"] = f"WITH {SUPPLIERS} SELECT 'f-' || s AS fence_id, violation, violation IS NULL AS usable FROM sc"
+_SQL["fence_bboxes"] = f"""WITH {SUPPLIERS}
+SELECT 'f-' || s AS fence_id, min(lat) - CAST(0.05 AS DOUBLE) AS min_lat, min(lon) - CAST(0.05 AS DOUBLE) AS min_lon,
+  max(lat) + CAST(0.05 AS DOUBLE) AS max_lat, max(lon) + CAST(0.05 AS DOUBLE) AS max_lon FROM sr GROUP BY 1"""
+_SQL["ring_centroids"] = f"""WITH {SUPPLIERS},
+p AS (SELECT s, list(lat ORDER BY i) AS lats, list(lon ORDER BY i) AS lons FROM sr GROUP BY 1)
+SELECT 'f-' || s AS fence_id, list_reduce(lats, lambda a, b: a + b) / len(lats) AS latitude, list_reduce(lons, lambda a, b: a + b) / len(lons) AS longitude FROM p"""
+_SQL["fence_extents"] = f"""WITH {SUPPLIERS},
+b AS (SELECT s, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM sr GROUP BY 1),
+e AS (SELECT s, (a + b) / 2 AS latitude, (c + d) / 2 AS longitude, abs(b - a) * CAST(111.32 AS DOUBLE) AS x, abs(d - c) * CAST(111.32 AS DOUBLE) * cos(radians((a + b) / 2)) AS y FROM b)
+SELECT 'f-' || s AS fence_id, floor(latitude * 1e6 + 0.5) / 1e6 AS latitude, floor(longitude * 1e6 + 0.5) / 1e6 AS longitude,
+  floor(x * 1e6 + 0.5) / 1e6 AS span_lat_km, floor(y * 1e6 + 0.5) / 1e6 AS span_lon_km FROM e"""
+_SQL["primary_fence"] = f"""WITH {SUPPLIERS}
+SELECT 'p-' || nation AS profile_id, 'f-' || s AS fence_id, 'metrics' AS rule FROM s0
+QUALIFY row_number() OVER (PARTITION BY nation ORDER BY CASE WHEN s % 4 = 1 THEN 0 ELSE 1 END, s) = 1
+UNION ALL
+SELECT 'p-' || nation, 'f-' || s, 'framing' FROM s0
+QUALIFY row_number() OVER (PARTITION BY nation ORDER BY CASE WHEN s % 4 = 0 THEN 0 WHEN s % 4 = 1 THEN 1 ELSE 2 END, s) = 1"""
+_SQL["grid_membership"] = f"""WITH {OBS}, {SUPPLIERS},
+e AS (SELECT r.*, coalesce(lag(lat) OVER w, last_value(lat) OVER f) AS lat_j, coalesce(lag(lon) OVER w, last_value(lon) OVER f) AS lon_j
+  FROM sr r JOIN sc USING (s) WHERE violation IS NULL
+  WINDOW w AS (PARTITION BY s ORDER BY i), f AS (PARTITION BY s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+h AS (SELECT e.s, o.observation_id, o.entity_id, o.us FROM obs o JOIN e ON ((e.lon > o.longitude) <> (e.lon_j > o.longitude))
+    AND o.latitude < ((e.lat_j - e.lat) * (o.longitude - e.lon)) / (e.lon_j - e.lon) + e.lat
+  GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT 'f-' || s AS fence_id, count(*) AS rows, count(DISTINCT entity_id) AS entities, max(us) AS newest_us FROM h GROUP BY 1"""
+_SQL["coverage_state"] = f"""WITH {SUPPLIERS}, c AS (SELECT nation, count(*) AS n, count(*) FILTER (s % 2 = 0) AS c FROM s0 GROUP BY 1)
+SELECT 'p-' || nation AS profile_id, 'p-' || nation AS name, 'r' AS region, 'sea' AS mode, n AS fence_count, c AS covered_fences,
+  CASE WHEN c = n THEN 'covered' WHEN c = 0 THEN 'unknown' ELSE 'partial' END AS coverage_state, CAST(3 AS BIGINT) AS limitation_count FROM c"""
+
+# --- windows and sequences ------------------------------------------------------------------
+
+_SQL["default_window"] = "SELECT 'default' AS window_id, epoch_us(min(ts)) AS start_at_us, epoch_us(max(ts)) AS end_at_us FROM events"
+_SQL["relative_windows"] = """WITH b AS (SELECT epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS t FROM events),
+r AS (SELECT event_id, ['last_6_hours','last_24_hours','last_3_days'][event_id % 3 + 1] AS relative, epoch_us(ts) + 3600000000 AS ref,
+  [6, 24, 72][event_id % 3 + 1] AS h FROM events)
+SELECT event_id, relative, ref AS reference_at_us, least(ref, t) AS end_at_us, greatest(f, least(ref, t) - CAST(h AS BIGINT) * 3600000000) AS start_at_us FROM r, b"""
+_SQL["replay_snapshots"] = _geo() + "," + MEMBERS + f""",
+b AS (SELECT {_us('2024-01-15')} AS s, {_us('2024-01-18 09:30:00')} AS e),
+cur AS (SELECT least(s + k * 3600000000, e) AS c FROM b, range(0, 83) t(k)),
+cs AS (SELECT DISTINCT c FROM cur),
+inw AS (SELECT m.*, c FROM members m JOIN cs ON m.us BETWEEN c - 21600000000 AND c JOIN b ON m.us >= b.s),
+l AS (SELECT * FROM inw QUALIFY row_number() OVER (PARTITION BY profile_id, c, entity_id ORDER BY us DESC, observation_id DESC) = 1),
+n AS (SELECT profile_id, c, count(*) AS in_fence_rows FROM inw GROUP BY ALL)
+SELECT profile_id, c AS cursor_us, any_value(in_fence_rows) AS in_fence_rows, count(*) AS entities,
+  count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels
+FROM l JOIN n USING (profile_id, c) GROUP BY profile_id, c"""
+_SQL["headline_series"] = _geo() + "," + MEMBERS + f""",
+b AS (SELECT {_us('2024-01-15')} AS s, {_us('2024-01-22')} AS e),
+k AS (SELECT m.*, ((us - s) * 12) // (e - s) AS bucket FROM members m, b WHERE us >= s AND us < e),
+l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY profile_id, bucket, entity_id ORDER BY us DESC, observation_id DESC) = 1),
+v AS (SELECT profile_id, bucket, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels FROM l GROUP BY ALL)
+SELECT p.profile_id, g.bucket, coalesce(v.vessels, 0) AS vessels
+FROM (VALUES ('long-beach-approach'), ('singapore-malacca-approach'), ('suez-canal-approaches')) p(profile_id)
+CROSS JOIN range(0, 12) g(bucket) LEFT JOIN v ON v.profile_id = p.profile_id AND v.bucket = g.bucket"""
+TRACKS = OBS + f""",
+g AS (SELECT *, lag(us) OVER w AS prev_us FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY us, observation_id)),
+t AS (SELECT *, sum(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY us, observation_id) AS seg FROM g),
+trk AS (SELECT entity_id, seg, min(us) AS a, max(us) AS b, count(*) AS n, max(rank) AS rank,
+  max(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 0 ELSE us - prev_us END) AS gap FROM t GROUP BY ALL)"""
+_SQL["track_segments"] = f"""WITH {TRACKS}
+SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points, gap / CAST(1000000 AS DOUBLE) AS largest_gap_seconds,
+  ['fresh','stale','degraded'][rank + 1] AS source_state, 0 AS interpolated_points, entity_id || '@' || a AS track_id FROM trk"""
+_SQL["track_points"] = f"""WITH {TRACKS}
+SELECT t.entity_id || '@' || a AS track_id, observation_id FROM t JOIN trk USING (entity_id, seg)"""
+CLASSES = OBS + """,
+g AS (SELECT *, lag(entity_type) OVER w AS prev_type FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY us, observation_id)),
+ch AS (SELECT entity_id, count(*) FILTER (prev_type IS NOT NULL AND prev_type <> entity_type) AS classification_changes FROM g GROUP BY 1),
+la AS (SELECT entity_id, entity_type, classification = 'confirmed' AS reliable, observation_id AS decided_by FROM obs
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY us DESC, observation_id DESC) = 1),
+cls AS (SELECT * FROM la JOIN ch USING (entity_id))"""
+_SQL["entity_classification"] = f"WITH {CLASSES} SELECT entity_id, entity_type, reliable, decided_by, classification_changes FROM cls"
+BUCKET = """CASE WHEN NOT reliable THEN 'unclassified' WHEN entity_type IN ('cargo_vessel','tanker','bulk_carrier') THEN 'freight' ELSE 'other' END"""
+_SQL["cohorts"] = f"WITH {CLASSES} SELECT entity_id, {BUCKET} AS bucket, entity_type, reliable, decided_by, classification_changes FROM cls"
+_SQL["moving_fraction"] = f"""WITH {CLASSES}, {_windows(W3)},
+f AS (SELECT o.*, w.window_id FROM obs o JOIN win w ON o.us BETWEEN w.s AND w.e JOIN cls USING (entity_id)
+  WHERE cls.reliable AND cls.entity_type IN ('cargo_vessel','tanker','bulk_carrier')),
+l AS (SELECT window_id, entity_id, speed_knots, max(rank) OVER (PARTITION BY window_id, entity_id) AS rank FROM f
+  QUALIFY row_number() OVER (PARTITION BY window_id, entity_id ORDER BY us DESC, observation_id DESC) = 1)
+SELECT window_id, count(speed_knots) AS eligible, count(*) FILTER (speed_knots > 5) AS moving, count(*) FILTER (speed_knots IS NULL) AS missing_speed,
+  count(*) FILTER (speed_knots > 5) / CAST(count(speed_knots) AS DOUBLE) AS moving_fraction,
+  CASE WHEN count(speed_knots) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][max(rank) + 1] END AS state FROM l GROUP BY 1"""
+_SQL["vessel_count"] = _geo() + f""", {_windows(W3)},
+f AS (SELECT o.*, w.window_id, o.observation_id IN (SELECT observation_id FROM hits WHERE profile_id = 'long-beach-approach') AS inside
+  FROM obs o JOIN win w ON o.us BETWEEN w.s AND w.e),
+l AS (SELECT window_id, entity_type, classification, bool_or(inside) OVER p AS inside, max(rank) OVER p AS rank,
+    row_number() OVER (PARTITION BY window_id, entity_id ORDER BY us DESC, observation_id DESC) AS rn FROM f
+  WINDOW p AS (PARTITION BY window_id, entity_id)),
+x AS (SELECT * FROM l WHERE rn = 1 AND inside)
+SELECT win.window_id, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS counted,
+  count(*) FILTER (classification <> 'confirmed') AS unclassified,
+  count(*) FILTER (classification = 'confirmed' AND entity_type NOT IN ('cargo_vessel','tanker','bulk_carrier')) AS outside_allowlist,
+  CASE WHEN count(x.rn) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][max(rank) + 1] END AS state
+FROM win LEFT JOIN x USING (window_id) GROUP BY 1"""
+_SQL["entry_exit"] = _geo() + f""", {_windows(W3)},
+f AS (SELECT o.entity_id, o.us, w.window_id, o.observation_id,
+    o.observation_id IN (SELECT observation_id FROM hits WHERE fence_id = 'approach-corridor') AS inside
+  FROM obs o JOIN win w ON o.us BETWEEN w.s AND w.e),
+l AS (SELECT *, lag(inside) OVER w AS was, lag(us) OVER w AS prev_us FROM f WINDOW w AS (PARTITION BY window_id, entity_id ORDER BY us, observation_id))
+SELECT window_id, count(*) FILTER (inside AND us - prev_us <= {GAP}) AS entries, count(*) FILTER (NOT inside AND us - prev_us <= {GAP}) AS exits,
+  count(*) FILTER (us - prev_us > {GAP}) AS uncertain FROM l WHERE was IS NOT NULL AND was <> inside GROUP BY 1"""
+_SQL["dwell_per_entity"] = _geo() + "," + MEMBERS + f""", {_windows(W3)},
+f AS (SELECT m.*, w.window_id, lag(us) OVER p AS prev_us FROM members m JOIN win w ON m.us BETWEEN w.s AND w.e
+  WINDOW p AS (PARTITION BY m.profile_id, w.window_id, m.entity_id ORDER BY m.us, m.observation_id)),
+s AS (SELECT *, sum(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id, window_id, entity_id ORDER BY us, observation_id) AS visit FROM f),
+v AS (SELECT profile_id, window_id, entity_id, visit, min(us) AS a, max(us) AS b, count(*) AS n,
+  max(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 0 ELSE us - prev_us END) AS gap FROM s GROUP BY ALL),
+k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY profile_id, window_id, entity_id ORDER BY n DESC, a) = 1)
+SELECT profile_id, window_id, entity_id, a AS first_inside_at_us, b AS last_inside_at_us, n AS observation_count,
+  gap / CAST(1000000 AS DOUBLE) AS largest_gap_seconds, (b - a) / CAST(1000000 AS DOUBLE) AS dwell_seconds FROM k WHERE n >= 2"""
+_SQL["worst_state"] = f"""WITH {OBS}
+SELECT entity_id, ['fresh','stale','degraded'][max(rank) + 1] AS metric_state, ['fresh','stale','degraded'][max(rank) + 1] AS track_state, count(*) AS rows
+FROM obs GROUP BY 1"""
+
+# --- provenance and health ------------------------------------------------------------------
+
+_SQL["provenance"] = f"""WITH {COPIES}
+SELECT provider_id, endpoint_id, max(received_us) AS retrieved_at_us, min(us) AS interval_start_us, max(us) AS interval_end_us,
+  count(*) AS observations, 'open' AS license_id, CAST(NULL AS VARCHAR) AS violation FROM copies GROUP BY ALL"""
+HEALTH = """
+r AS (SELECT 'src-' || (user_id % 25) AS source_id, event_id AS seq, epoch_us(ts) AS now_us,
+    CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'partial' ELSE 'ok' END AS status,
+    CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) - CAST(trunc(value * 100) AS BIGINT) * 1000000 END AS seen FROM events),
+u AS (SELECT *, max(CASE WHEN status <> 'failure' THEN seen END) OVER (PARTITION BY source_id ORDER BY now_us, seq) AS last FROM r),
+h AS (SELECT *, CASE WHEN status = 'failure' THEN 'UNAVAILABLE' WHEN status = 'partial' THEN 'DEGRADED' WHEN last IS NULL THEN 'UNAVAILABLE'
+    WHEN now_us - last <= 3600000000 THEN 'FRESH' ELSE 'STALE' END AS state FROM u)"""
+_SQL["source_health"] = f"WITH {HEALTH} SELECT source_id, seq, status, last AS last_observation_at_us, state FROM h"
+AS_OF = HEALTH + """,
+p AS (SELECT event_id, 'src-' || (event_id % 27) AS source_id, epoch_us(ts) + 90000000 AS pa FROM events WHERE event_id % 5 = 0),
+j AS (SELECT p.event_id, p.source_id, p.pa, h.state, h.now_us, h.last FROM p LEFT JOIN h ON h.source_id = p.source_id AND h.now_us <= p.pa
+  QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY h.now_us DESC NULLS LAST, h.seq DESC) = 1),
+a AS (SELECT source_id, pa, CASE WHEN now_us IS NULL THEN 'NEVER_ANSWERED' WHEN state = 'FRESH' AND pa - last > 3600000000 THEN 'STALE' ELSE state END AS state,
+  now_us, last, CAST(floor((pa - last) / CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS age FROM j)"""
+_SQL["health_as_of"] = f"WITH {AS_OF} SELECT source_id, pa AS probe_at_us, state, now_us AS last_refresh_at_us, last AS last_observation_at_us, age AS age_seconds FROM a"
+_SQL["readiness_rollup"] = f"""WITH {AS_OF}
+SELECT epoch_us(date_trunc('day', make_timestamp(pa))) AS day_us, count(*) AS sources, count(*) FILTER (state <> 'FRESH') AS not_fresh,
+  true AS ready, CASE WHEN count(*) FILTER (state <> 'FRESH') > 0 THEN 'degraded' ELSE 'ok' END AS status FROM a GROUP BY 1"""
+
+# --- counters -------------------------------------------------------------------------------
+
+REQUESTS = """
+q AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN '/api/health' WHEN 'click' THEN 'static' WHEN 'signup' THEN '/metrics'
+    WHEN 'error' THEN 'other' ELSE 'static' END AS route,
+  CASE WHEN value > 100 THEN '5xx' WHEN value > 50 THEN '4xx' ELSE '2xx' END AS status FROM events)"""
+_SQL["status_classes"] = f"WITH {REQUESTS} SELECT event_id, route, status FROM q"
+_SQL["label_counters"] = f"WITH {REQUESTS} SELECT route, status, count(*) AS value, 'http_requests_total' AS counter FROM q GROUP BY ALL"
+_SQL["rate_5m"] = f"""WITH {REQUESTS}
+SELECT (epoch_us(ts) // 300000000) * 300000000 AS window_start_us, route, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second FROM q GROUP BY ALL"""
+_SQL["stream_rate_5m"] = f"""WITH {REQUESTS}, m AS (SELECT (epoch_us(max(ts)) // 1000) * 1000 AS mark FROM events),
+w AS (SELECT (epoch_us(ts) // 300000000) * 300000000 AS a, route, count(*) AS n FROM q GROUP BY ALL)
+SELECT a AS window_start_us, route, n AS events, n / CAST(300 AS DOUBLE) AS per_second FROM w, m WHERE a + 300000000 <= mark"""
+
+# --- detector -------------------------------------------------------------------------------
+
+_SQL["detector_scores"] = """WITH d AS (SELECT event_id, user_id % 5 AS zone, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase' AND value > 60),
+l AS (SELECT event_id, zone, us + 2000000 AS us FROM d WHERE event_id % 3 <> 0),
+m AS (SELECT l.event_id, min(abs(d.us - l.us)) AS dist FROM l JOIN d ON d.zone = l.zone AND abs(d.us - l.us) <= 3000000 GROUP BY 1),
+c AS (SELECT (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM m) AS tp, (SELECT sum(dist) FROM m) AS s)
+SELECT tp AS true_positives, nd - tp AS false_positives, nl - tp AS false_negatives, CAST(0 AS BIGINT) AS true_negatives,
+  tp / CAST(nd AS DOUBLE) AS precision, tp / CAST(nl AS DOUBLE) AS recall,
+  2 * (tp / CAST(nd AS DOUBLE)) * (tp / CAST(nl AS DOUBLE)) / ((tp / CAST(nd AS DOUBLE)) + (tp / CAST(nl AS DOUBLE))) AS f1,
+  (nd - tp) / CAST(1000 AS DOUBLE) AS false_positives_per_entity_hour, CAST(s AS DOUBLE) / CAST(1000000 AS DOUBLE) / tp AS mean_latency_seconds FROM c"""
