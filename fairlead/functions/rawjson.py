@@ -1,66 +1,70 @@
-"""Reading untyped JSON through VARIANT, keeping absent, null and wrong type apart."""
+"""Reading untyped JSON through VARIANT, keeping absent, null and wrong type apart.
 
-from __future__ import annotations
+The accessors return Spark SQL text, so a whole validation becomes a few
+expressions that Catalyst parses, shares and compiles.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 
 class Raw:
-    """Accessors over one VARIANT column."""
+    """Accessors over one VARIANT column (or lambda variable)."""
 
-    def __init__(self, doc: Column):
+    def __init__(self, doc: str):
         self.doc = doc
 
-    @staticmethod
-    def parse(text: Column) -> "Raw":
-        return Raw(F.try_parse_json(text))
+    def at(self, path: str | None) -> str:
+        return f"try_variant_get({self.doc}, '$.{path}', 'variant')" if path else self.doc
 
-    def at(self, path: str) -> Column:
-        return F.try_variant_get(self.doc, f"$.{path}", "variant")
-
-    def kind(self, path: str | None = None) -> Column:
+    def kind(self, path: str | None = None) -> str:
         """Type name of a value: null when absent, VOID for JSON null."""
-        return F.schema_of_variant(self.at(path) if path else self.doc)
+        return f"schema_of_variant({self.at(path)})"
 
-    def text(self, path: str) -> Column:
+    def text(self, path: str) -> str:
         """The value if it is a JSON string, else null."""
-        return F.when(self.kind(path) == "STRING", F.try_variant_get(self.doc, f"$.{path}", "string"))
+        return f"CASE WHEN {self.kind(path)} = 'STRING' THEN try_variant_get({self.doc}, '$.{path}', 'string') END"
 
-    def number(self, path: str) -> Column:
+    def number(self, path: str) -> str:
         """The value if it is a finite JSON number, else null."""
-        value = F.try_variant_get(self.doc, f"$.{path}", "double")
-        kind = self.kind(path)
-        numeric = (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
-        return F.when(numeric & (F.abs(value) < F.lit(float("inf"))), value)
+        value = f"try_variant_get({self.doc}, '$.{path}', 'double')"
+        return (
+            f"CASE WHEN {self.kind(path)} RLIKE '^(BIGINT|DOUBLE|DECIMAL)' AND abs({value}) < double('Infinity') THEN {value} END"
+        )
 
-    def absent(self, path: str) -> Column:
-        return self.at(path).isNull()
+    def absent(self, path: str) -> str:
+        return f"{self.at(path)} IS NULL"
 
-    def is_block(self, path: str | None = None) -> Column:
-        """An object (or array), as opposed to a scalar, JSON null or nothing."""
-        kind = self.kind(path)
-        return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    def is_block(self, path: str | None = None) -> str:
+        """An object or array, as opposed to a scalar, JSON null or nothing."""
+        return f"coalesce({self.kind(path)} RLIKE '^(OBJECT|ARRAY)', false)"
 
-    def shown(self, path: str) -> Column:
+    def shown(self, path: str) -> str:
         """Printable value for a rejection reason."""
-        value = self.at(path)
-        printed = F.try_variant_get(self.doc, f"$.{path}", "string")
-        return F.when(value.isNull(), F.lit("undefined")).otherwise(F.coalesce(printed, F.lit("null")))
+        return (
+            f"CASE WHEN {self.at(path)} IS NULL THEN 'undefined' "
+            f"ELSE coalesce(try_variant_get({self.doc}, '$.{path}', 'string'), 'null') END"
+        )
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def one_of(value: str, allowed: list[str]) -> str:
+    return f"coalesce({value} IN ({', '.join(quoted(a) for a in allowed)}), false)"
+
 
-    def missing_text(self, path: str) -> Column:
-        return F.coalesce(F.length(self.text(path)), F.lit(0)) == 0
+def blank(value: str) -> str:
+    return f"coalesce(length({value}), 0) = 0"
 
-    def bad_optional_number(self, path: str) -> Column:
-        return ~self.absent(path) & self.number(path).isNull()
 
-    def not_one_of(self, path: str, allowed: list[str]) -> Column:
-        return ~F.coalesce(self.text(path).isin(allowed), F.lit(False))
+def first_reason(checks: list[tuple[str, str]]) -> str:
+    """CASE text: the reason (SQL text) of the first failing check, null when all pass."""
+    return "CASE " + " ".join(f"WHEN {bad} THEN {reason}" for bad, reason in checks) + " END"
 
 
-def first_reason(checks: list[tuple[Column, str | Column]]) -> Column:
-    """The reason of the first failing check, null when all pass."""
-    chain = None
-    for bad, reason in checks:
-        value = reason if isinstance(reason, Column) else F.lit(reason)
-        chain = F.when(bad, value) if chain is None else chain.when(bad, value)
-    return chain
+def iso_timestamp(text: str) -> str:
+    """ISO-8601 text to timestamp, null when it is anything else."""
+    shape = r"^\\d{4}(-\\d{2}(-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,9})?)?\\s?(Z|[+-]\\d{2}:?\\d{2})?)?)?)?$"
+    colon = f"regexp_replace({text}, '(:\\\\d{{2}}.*[+-]\\\\d{{2}})(\\\\d{{2}})$', '$1:$2')"
+    return f"CASE WHEN {text} RLIKE '{shape}' THEN try_cast({colon} AS timestamp) END"

@@ -471,7 +471,7 @@ _SQL["replay_snapshots"] = _geo() + "," + MEMBERS + f""",
 b AS (SELECT {_us('2024-01-15')} AS s, {_us('2024-01-18 09:30:00')} AS e),
 cur AS (SELECT least(s + k * 3600000000, e) AS c FROM b, range(0, 83) t(k)),
 cs AS (SELECT DISTINCT c FROM cur),
-inw AS (SELECT m.*, c FROM members m JOIN cs ON m.us BETWEEN c - 21600000000 AND c JOIN b ON m.us >= b.s),
+inw AS (SELECT m.*, c FROM members m JOIN cs ON m.us BETWEEN c - 21600000000 AND c),
 l AS (SELECT * FROM inw QUALIFY row_number() OVER (PARTITION BY profile_id, c, entity_id ORDER BY us DESC, observation_id DESC) = 1),
 n AS (SELECT profile_id, c, count(*) AS in_fence_rows FROM inw GROUP BY ALL)
 SELECT profile_id, c AS cursor_us, any_value(in_fence_rows) AS in_fence_rows, count(*) AS entities,
@@ -592,3 +592,303 @@ SELECT tp AS true_positives, nd - tp AS false_positives, nl - tp AS false_negati
   tp / CAST(nd AS DOUBLE) AS precision, tp / CAST(nl AS DOUBLE) AS recall,
   2 * (tp / CAST(nd AS DOUBLE)) * (tp / CAST(nl AS DOUBLE)) / ((tp / CAST(nd AS DOUBLE)) + (tp / CAST(nl AS DOUBLE))) AS f1,
   (nd - tp) / CAST(1000 AS DOUBLE) AS false_positives_per_entity_hour, CAST(s AS DOUBLE) / CAST(1000000 AS DOUBLE) / tp AS mean_latency_seconds FROM c"""
+
+# --- normalization --------------------------------------------------------------------------
+
+_OBS_REASON = """CASE WHEN event_id % 257 = 0 THEN 'record must be a JSON object'
+    WHEN event_id % 199 = 0 THEN 'missing or empty observationId' WHEN event_id % 229 = 0 THEN 'invalid mode: submarine'
+    WHEN event_id % 227 = 0 THEN 'invalid entityType: yacht'
+    WHEN event_id % 211 = 0 THEN 'invalid latitude (must be finite and within [-90, 90])'
+    WHEN event_id % 233 = 0 AND user_id % 6 <> 5 THEN 'invalid longitude (must be finite and within [-180, 180])'
+    WHEN event_id % 223 = 0 THEN 'headingDegrees must be within [0, 360)'
+    WHEN event_id % 239 = 0 THEN 'missing or invalid observedAt (ISO 8601 required)'
+    WHEN event_id % 241 = 0 THEN 'missing source.licenseId'
+    WHEN event_id % 251 = 0 THEN 'invalid quality.sourceState: rotten' END"""
+RAWS = OBS + f""",
+raws AS (
+  SELECT *, {_OBS_REASON} AS reject_reason, CASE WHEN event_id % 257 <> 0 AND event_id % 239 <> 0 THEN us END AS seen_us FROM obs)"""
+_SQL["normalize_observations"] = f"""WITH {RAWS}, x AS (SELECT *, event_id % 257 <> 0 AS ok FROM raws)
+SELECT event_id AS seq, reject_reason, CASE WHEN ok AND event_id % 199 <> 0 THEN observation_id END AS observation_id,
+  CASE WHEN ok THEN entity_id END AS entity_id,
+  CASE WHEN ok THEN CASE WHEN event_id % 211 = 0 THEN latitude + 100 ELSE latitude END END AS latitude,
+  CASE WHEN ok THEN CASE WHEN event_id % 233 = 0 THEN longitude - 100 ELSE longitude END END AS longitude,
+  CASE WHEN ok THEN speed_knots END AS speed_knots,
+  CASE WHEN ok THEN CASE WHEN event_id % 223 = 0 THEN 400 ELSE heading_degrees END END AS heading_degrees,
+  seen_us AS observed_at_us, CASE WHEN ok THEN received_us END AS received_at_us, CASE WHEN ok THEN record_ref END AS record_ref,
+  CASE WHEN ok THEN CASE WHEN event_id % 251 = 0 THEN 'rotten' ELSE source_state END END AS source_state FROM x"""
+_SQL["rejects_by_reason"] = f"WITH {RAWS} SELECT reject_reason, count(*) AS rejected FROM raws WHERE reject_reason IS NOT NULL GROUP BY 1"
+_SQL["ingest_outcome"] = f"""WITH {RAWS}
+SELECT event_id % 16 AS batch, count(*) FILTER (reject_reason IS NULL) AS accepted, count(*) FILTER (reject_reason IS NOT NULL) AS rejected,
+  max(us) FILTER (reject_reason IS NULL) AS last_observation_at_us,
+  CASE WHEN count(*) FILTER (reject_reason IS NULL) = 0 THEN 'failure' WHEN count(*) FILTER (reject_reason IS NOT NULL) > 0 THEN 'partial' ELSE 'ok' END AS status
+FROM raws GROUP BY 1"""
+MANIFESTS = RAWS + """,
+mf AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'truthState must be SIMULATED' WHEN event_id % 41 = 0 THEN 'manifest must set simulated to true'
+    WHEN event_id % 31 = 0 THEN 'providerId must start with simulated' WHEN event_id % 29 = 0 THEN 'manifest must include an observations array'
+    WHEN event_id % 43 = 0 THEN 'manifest must include a non-empty fixtureId' END AS violation FROM raws WHERE event_id % 257 <> 0)"""
+_FIXTURE_ID = "CASE WHEN event_id % 43 = 0 THEN '' ELSE 'fx-' || event_id END"
+_SQL["manifest_guard"] = f"WITH {MANIFESTS} SELECT 'fx-' || event_id || '.json' AS file, {_FIXTURE_ID} AS fixture_id, violation FROM mf"
+_SQL["scan_manifests"] = f"""WITH {MANIFESTS}
+SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS rows, max(seen_us) AS newest_us FROM mf WHERE violation IS NULL GROUP BY 1"""
+_SQL["dataset_manifest"] = f"""WITH {MANIFESTS}
+SELECT 'fx-' || event_id || '.json' AS file, {_FIXTURE_ID} AS fixture_id,
+  CASE WHEN event_id % 37 = 0 THEN 'OBSERVED' ELSE 'SIMULATED' END AS truth_state,
+  CAST(CASE WHEN event_id % 29 = 0 THEN 0 ELSE 1 END AS BIGINT) AS observations FROM mf"""
+_SQL["entity_keys"] = """SELECT 'prov-' || (event_id % 3) || ':mmsi-' || user_id AS entity_key, count(*) AS rows,
+  count(*) FILTER (33 + (event_id % 120) - 30 <= 90) AS valid_latitudes FROM events GROUP BY 1"""
+_SHIP = """CASE WHEN {c} BETWEEN 70 AND 79 THEN 'cargo_vessel' WHEN {c} BETWEEN 80 AND 89 THEN 'tanker' ELSE 'unknown' END"""
+_SHIP_CLASS = "CASE WHEN {c} BETWEEN 20 AND 99 THEN 'confirmed' ELSE 'unknown' END"
+_SQL["ship_type_class"] = f"""WITH c AS (SELECT l_partkey % 110 AS code FROM lineitem)
+SELECT code, {_SHIP.format(c='code')} AS entity_type, {_SHIP_CLASS.format(c='code')} AS classification, count(*) AS rows FROM c GROUP BY ALL"""
+
+FRAMES = f"""
+f0 AS (
+  SELECT event_id AS e, user_id AS u, event_id % 8 AS k, epoch_us(ts) AS us, epoch_us(ts) + (event_id % 180) * 1000000 AS received_us,
+    CASE event_id % 8 WHEN 0 THEN 'ShipStaticData' WHEN 1 THEN 'StaticDataReport' WHEN 2 THEN 'BaseStationReport'
+      WHEN 6 THEN 'StandardClassBPositionReport' WHEN 7 THEN 'ExtendedClassBPositionReport' ELSE 'PositionReport' END AS mtype,
+    CASE WHEN event_id % 11 <> 0 THEN CAST(33.32 AS DOUBLE) + ((event_id*37 + user_id*11) % 400) / CAST(1000 AS DOUBLE) ELSE CAST(33.4 AS DOUBLE) END AS lat,
+    CASE WHEN event_id % 11 <> 0 THEN CAST(-118.24 AS DOUBLE) + ((event_id*53 + user_id*29) % 200) / CAST(1000 AS DOUBLE)
+         WHEN event_id % 77 <> 0 THEN CAST(-118.1 AS DOUBLE) END AS lon
+  FROM events),
+f1 AS (
+  SELECT *, CASE WHEN e % 19 = 0 THEN NULL WHEN e % 17 <> 0 AND e % 23 = 0 THEN (us // 1000) * 1000 - 7200000000 ELSE (us // 1000) * 1000 END AS seen,
+    CASE WHEN e % 101 = 0 THEN 'frame must be a JSON object' WHEN k = 3 THEN 'missing MetaData block'
+      WHEN k IN (0, 1) THEN NULL WHEN k = 2 THEN 'message type BaseStationReport is not used'
+      WHEN lon IS NULL THEN 'missing or non-numeric Longitude' WHEN e % 19 = 0 THEN 'unparseable time_utc: soon' END AS reason FROM f0),
+f2 AS (
+  SELECT *, CASE WHEN e % 101 = 0 THEN 'invalid' WHEN k = 2 THEN 'unsupported' WHEN reason IS NOT NULL THEN 'invalid'
+      WHEN k IN (0, 1) THEN 'classification-update' ELSE 'observation' END AS kind FROM f1),
+frm AS (
+  SELECT *, kind = 'observation' AS good, kind = 'classification-update' AS stat,
+    strftime(make_timestamp(seen), CASE WHEN seen % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%gZ' END) AS seen_text,
+    {_SHIP.format(c='e % 100')} AS stype, {_SHIP_CLASS.format(c='e % 100')} AS sclass FROM f2)"""
+_SQL["normalize_frames"] = f"""WITH {FRAMES}
+SELECT e AS arrival_seq, kind, reason AS reject_reason, CASE WHEN e % 101 <> 0 THEN mtype END AS message_type,
+  CASE WHEN e % 101 <> 0 THEN u END AS mmsi, CASE WHEN good OR stat THEN 'aisstream:' || u END AS entity_id,
+  CASE WHEN good THEN 'aisstream:mmsi-' || u || ':' || seen_text END AS observation_id,
+  CASE WHEN good THEN lat END AS latitude, CASE WHEN good THEN lon END AS longitude,
+  CASE WHEN good AND e % 13 <> 0 THEN (e % 300) / CAST(10 AS DOUBLE) END AS speed_knots,
+  CASE WHEN good THEN CASE WHEN e % 5 <> 0 THEN CAST(e % 360 AS DOUBLE) WHEN e % 3 <> 0 THEN nullif((e % 3600) / CAST(10 AS DOUBLE), 360) END END AS heading_degrees,
+  CASE WHEN good THEN seen END AS observed_at_us, CASE WHEN stat THEN stype END AS static_type, CASE WHEN stat THEN sclass END AS static_classification
+FROM frm"""
+_SQL["asof_classification"] = f"""WITH {FRAMES},
+o AS (SELECT * FROM frm WHERE good OR stat),
+l AS (SELECT *, last_value(CASE WHEN stat THEN stype END IGNORE NULLS) OVER w AS t, last_value(CASE WHEN stat THEN sclass END IGNORE NULLS) OVER w AS c
+  FROM o WINDOW w AS (PARTITION BY u ORDER BY received_us, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT u AS mmsi, e AS arrival_seq, coalesce(t, 'unknown') AS entity_type, coalesce(c, 'unknown') AS classification FROM l WHERE good"""
+_SQL["stream_asof_classification"] = _SQL["asof_classification"]
+_SQL["stream_frames"] = f"""WITH {FRAMES}, m AS (SELECT (max(received_us) // 1000) * 1000 AS mark FROM frm),
+g AS (SELECT (received_us // 86400000000) * 86400000000 AS day, kind, count(*) AS frames FROM frm GROUP BY ALL)
+SELECT day AS day_us, kind, frames FROM g, m WHERE day + 86400000000 <= mark"""
+
+_LANE = "['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber]"
+_SQL["normalize_facility"] = f"""WITH b AS (
+  SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_partkey AS p, l_quantity AS q, epoch_us(l_shipdate) AS us, {_LANE} AS lane FROM lineitem),
+r AS (SELECT *, CASE WHEN o % 73 = 0 THEN 'facilityId must be a non-empty string' WHEN o % 79 = 0 THEN 'unsupported facility mode: sea'
+    WHEN o % 53 = 0 THEN 'observedAt cannot be after receivedAt' WHEN o % 59 = 0 THEN 'measurements must be a non-empty array'
+    WHEN o % 61 = 0 THEN 'unsupported laneGroup: all' WHEN p % 9 <> 0 AND o % 67 = 0 THEN 'wait_minutes cannot be negative — never clamped'
+    WHEN o % 71 = 0 THEN 'lanes_open must be an integer' WHEN o % 47 = 0 THEN 'source.providerId/endpointId/licenseId are required strings' END AS reason FROM b)
+SELECT o AS order_key, n AS line_number, s AS supp_key, reason AS reject_reason, 'fm-' || o || '-' || n AS metric_id,
+  CASE WHEN o % 73 <> 0 THEN 'site:' || s END AS facility_id, us AS observed_at_us, us + CASE WHEN o % 53 = 0 THEN -60000000 ELSE 60000000 END AS received_at_us,
+  CASE WHEN o % 59 <> 0 THEN CASE WHEN o % 61 = 0 THEN 'all' ELSE lane END END AS first_lane, CASE WHEN o % 59 <> 0 THEN 'minutes' END AS first_unit,
+  CASE WHEN o % 59 <> 0 THEN CASE WHEN p % 9 = 0 THEN NULL WHEN o % 67 = 0 THEN -3 ELSE q END END AS first_value,
+  CASE WHEN o % 3 = 0 THEN 'fresh' ELSE 'unavailable' END AS source_state FROM r"""
+_SQL["border_feed"] = """WITH b AS (
+  SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_partkey AS p, CAST(l_quantity AS INT) AS q, epoch_us(l_shipdate) AS us FROM lineitem),
+c AS (SELECT *, o % 83 = 0 AS down, p % 11 <> 0 AND p % 13 <> 0 AS usable, p % 9 <> 0 AS w, n % 3 <> 0 AS l,
+    lower(CASE WHEN s % 3 = 0 THEN 'Port' ELSE 'Gate' || (s % 7) END) AS gate FROM b),
+one AS (SELECT *, CASE WHEN down OR NOT usable THEN 0 ELSE (w::INT + l::INT + (w AND l)::INT) END AS per,
+    CASE WHEN down THEN 0 ELSE 1 + (n % 2 = 0)::INT + (n % 4 = 0)::INT END AS lanes FROM c),
+f AS (SELECT *, CASE WHEN NOT down AND o % 97 <> 0 THEN 'cbp:' || (240000 + s) || ':' || gate END AS fac,
+    CASE WHEN NOT down AND o % 89 <> 0 THEN us + 27000000000 END AS seen FROM one),
+t AS (SELECT *, list_aggregate(list_filter([CASE WHEN w THEN 'wait_minutes' END, CASE WHEN l THEN 'lanes_open' END, CASE WHEN w AND l THEN 'operational_status' END], lambda x: x IS NOT NULL), 'string_agg', '|') AS names FROM f),
+z AS (SELECT *, list_filter([CASE WHEN per > 0 THEN 'commercial_vehicle:' || replace(names, '|', '|commercial_vehicle:') END,
+    CASE WHEN per > 0 AND n % 2 = 0 THEN 'fast:' || replace(names, '|', '|fast:') END,
+    CASE WHEN per > 0 AND n % 4 = 0 THEN 'pedestrian:' || replace(names, '|', '|pedestrian:') END], lambda x: x IS NOT NULL) AS parts FROM t)
+SELECT o AS order_key, n AS line_number, s AS supp_key,
+  CASE WHEN down THEN 'payload is not an array of crossings' WHEN o % 97 = 0 THEN 'crossing missing port_number/port_name/date/time'
+    WHEN o % 89 = 0 THEN 'unparseable date: soon' WHEN per = 0 THEN 'no usable lane readings for ' || fac || ' (all pending/empty)' END AS reject_reason,
+  fac AS facility_id, seen AS observed_at_us,
+  CASE WHEN down THEN NULL WHEN n % 2 <> 0 THEN 'At 7:00 am' ELSE 'At 7:15 am' END AS provider_update_label,
+  CAST(CASE WHEN down THEN 0 ELSE per * lanes END AS BIGINT) AS n_measurements,
+  CAST(CASE WHEN down OR NOT usable OR NOT w THEN 0 ELSE lanes END AS BIGINT) AS n_waits,
+  CASE WHEN NOT down AND usable AND w THEN CAST(q AS DOUBLE) END AS first_wait,
+  CASE WHEN len(parts) = 0 THEN '' ELSE array_to_string(parts, '|') END AS readings FROM z"""
+
+AIRCRAFT = """
+a0 AS (SELECT event_id AS e, user_id AS u, epoch_us(ts) AS us FROM events),
+a1 AS (
+  SELECT e, u, us, 'a' || u AS hex, ['FDX','UPS','DLH','GTI','AF' || (u % 10),'BAW','BOX'][e % 7 + 1] IN ('FDX','UPS','GTI','BOX') AS freight,
+    CAST(33.6 AS DOUBLE) + ((e*37 + u*11) % 400) / CAST(1000 AS DOUBLE) AS lat, CAST(-118.7 AS DOUBLE) + ((e*53 + u*29) % 500) / CAST(1000 AS DOUBLE) AS lon,
+    CASE WHEN e % 6 <> 0 THEN floor((e % 40000) * CAST(0.3048 AS DOUBLE) + CAST(0.5 AS DOUBLE)) END AS alt,
+    CASE WHEN e % 4 <> 0 THEN (e % 5000) / CAST(10 AS DOUBLE) END AS gs, (e % 3600) / CAST(10 AS DOUBLE) AS track, e % 9 = 0 AS mlat,
+    CASE WHEN e % 3 <> 0 THEN (e % 90) / CAST(8 AS DOUBLE) END AS seen_pos FROM a0 WHERE e % 103 <> 0
+  UNION ALL SELECT e, u, us, CASE WHEN e % 2 = 0 THEN 'b' || u END, false, CASE WHEN e % 5 = 0 THEN CAST(95.5 AS DOUBLE) ELSE CAST(33.8 AS DOUBLE) END,
+    CASE WHEN e % 7 <> 0 THEN CAST(-118.4 AS DOUBLE) END, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 <> 0
+  UNION ALL SELECT e, u, us, NULL, false, NULL, NULL, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 = 0),
+air AS (
+  SELECT *, CASE WHEN hex IS NULL OR lat IS NULL OR lon IS NULL THEN 'missing hex, lat or lon'
+      WHEN lat > 90 THEN 'invalid latitude (must be finite and within [-90, 90])' WHEN track >= 360 THEN 'headingDegrees must be within [0, 360)' END AS reason,
+    CASE WHEN seen_pos IS NULL THEN us
+      ELSE CAST(floor((us - CAST(floor(seen_pos * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 1000) / CAST(1000000 AS DOUBLE)) AS BIGINT) * 1000000 END AS seen,
+    CASE WHEN freight THEN 'aircraft' ELSE 'unknown' END AS entity_type FROM a1)"""
+_SQL["aircraft_feed"] = f"""WITH {AIRCRAFT}
+SELECT e AS poll_id, reason AS reject_reason,
+  'adsb-lol:' || hex || ':' || strftime(make_timestamp(seen), CASE WHEN seen % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%gZ' END) AS observation_id,
+  'aircraft:' || hex AS entity_id, entity_type, CASE WHEN freight THEN 'inferred' ELSE 'unknown' END AS classification, lat AS latitude, lon AS longitude,
+  alt AS altitude_meters, gs AS speed_knots, track AS heading_degrees, seen AS observed_at_us, CASE WHEN mlat THEN 'approximate' ELSE 'exact' END AS position_accuracy FROM air"""
+_SQL["aircraft_polls"] = f"""WITH {AIRCRAFT}
+SELECT e AS poll_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected,
+  max(seen) FILTER (reason IS NULL) AS last_observation_at_us, CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'failure' ELSE 'ok' END AS status FROM air GROUP BY 1"""
+_SQL["aircraft_count"] = f"""WITH {AIRCRAFT}, {_windows(W3)},
+f AS (SELECT * FROM air WHERE reason IS NULL AND lat < 33.95 AND lat >= 33.7 AND lon >= -118.65 AND lon < -118.25),
+g AS (SELECT p.profile_id, w.window_id, w.s, w.e FROM win w, (VALUES ('lax-cargo-air'), ('suez-canal-approaches')) p(profile_id))
+SELECT g.profile_id, g.window_id, nullif(count(f.e), 0) AS value, count(f.e) AS sample_count, count(*) FILTER (f.entity_type = 'aircraft') AS freight_rows,
+  count(*) FILTER (f.entity_type = 'unknown') AS unclassified_rows, CASE WHEN count(f.e) = 0 THEN 'unknown' ELSE 'fresh' END AS state
+FROM g LEFT JOIN f ON g.profile_id = 'lax-cargo-air' AND f.seen BETWEEN g.s AND g.e GROUP BY g.profile_id, g.window_id"""
+_SQL["freight_callsign"] = """WITH c AS (
+  SELECT upper(substr(substr(c_mktsegment, 1, 3) || c_custkey, 1, 3)) AS p FROM customer
+  UNION ALL SELECT ['FDX','UPS','DLH','GTI','AF' || (user_id % 10),'BAW','BOX'][event_id % 7 + 1] FROM events WHERE event_id % 103 <> 0
+  UNION ALL SELECT NULL FROM events)
+SELECT coalesce(p IN ('FDX','UPS','GTI','CLX','CKS','ABX','ATN','BOX'), false) AS freight, count(*) AS rows FROM c GROUP BY 1"""
+_SQL["redact_text"] = r"""WITH l AS (
+  SELECT 'ev-' || event_id AS line_id, CASE event_id % 4 WHEN 0 THEN 'GET /api?token=abc' || event_id || '&x=1 ok' WHEN 1 THEN 'auth bearer  tok' || event_id || ' "done"'
+    WHEN 2 THEN 'key sk-abcdef_' || event_id || '; task-sk-1 left' ELSE 'plain line ' || event_id END AS text FROM events
+  UNION ALL SELECT 'doc-' || doc_id, text FROM documents),
+r AS (SELECT line_id, text, regexp_replace(regexp_replace(regexp_replace(text, '([?&](?:key|apikey|api_key|token|authorization)=)[^&\s"]+', '\1<redacted>', 'gi'),
+  '\bsk-[A-Za-z0-9_-]{8,}\b', '<redacted>', 'g'), '\bBearer\s+[^\s"]+', '<redacted>', 'gi') AS clean FROM l)
+SELECT line_id, md5(clean) AS redacted_md5, clean <> text AS changed FROM r"""
+
+# --- claims and questions -------------------------------------------------------------------
+
+CLAIM_ROWS = """
+ce AS (
+  SELECT 'u' || user_id || '-d' || strftime(ts, '%Y%m%d') AS bundle_id, 'c-' || event_id AS claim_id, event_id AS e,
+    CASE event_id % 12 WHEN 0 THEN 'A suspicious stop was seen at berth ' || user_id
+      WHEN 1 THEN 'Waits grew because of fog, now ' || printf('%.2f', value) WHEN 2 THEN 'The queue will rise to ' || printf('%.2f', value)
+      WHEN 3 THEN 'The beneficial owner is not known' WHEN 4 THEN 'The vessel intends to anchor'
+      WHEN 5 THEN 'All vessels at the port: ' || printf('%.2f', value) WHEN 6 THEN 'The reading was ' || printf('%.2f', value + 7) || ' minutes'
+      WHEN 7 THEN 'At 7:45 on 2024-01-15T10:00:00Z the wait was ' || printf('%.2f', value) WHEN 8 THEN 'The share was ' || printf('%.1f', value * 100)
+      ELSE 'The observed value was ' || printf('%.2f', value) || ' in the window' END AS text,
+    CASE WHEN event_id % 10 = 0 THEN 'LIMITATION' WHEN event_id % 10 = 1 THEN 'COMPARISON' WHEN event_id % 10 < 6 THEN 'CALCULATION' ELSE 'OBSERVATION' END AS category,
+    CASE WHEN event_id % 13 <> 0 THEN 'm-' || event_id END AS support, value FROM events),
+cd AS (SELECT 'doc-' || source AS bundle_id, 'd-' || doc_id AS claim_id, doc_id AS e, text, CASE WHEN doc_id % 2 = 0 THEN 'LIMITATION' ELSE 'OBSERVATION' END AS category,
+  'doc-' || doc_id AS support FROM documents),
+ca AS (SELECT bundle_id, claim_id, e, text, category, support FROM ce UNION ALL SELECT bundle_id, claim_id, e, text, category, support FROM cd)"""
+_BANNED = r"""CASE WHEN regexp_matches(text, '(?i)\b(suspicious|threat|hostile|illegal|smuggl(ing|er))\b') THEN 'THREAT'
+  WHEN regexp_matches(text, '(?i)\b(because|caused by|cause of|due to|resulting from|disruption)\b') THEN 'CAUSE'
+  WHEN regexp_matches(text, '(?i)\b(will (rise|fall|increase|decrease|grow)|forecast|predict(ed|ive|ion)?)\b') THEN 'PREDICTION'
+  WHEN regexp_matches(text, '(?i)\b(beneficial owner|owner is|operator is|flagged by)\b') THEN 'IDENTITY'
+  WHEN regexp_matches(text, '(?i)\b(intends? to|planning to|evade)\b') THEN 'INTENT' END"""
+_SCOPE = r"regexp_matches(text, '(?i)\ball vessels (at|in|near) (the )?(port|harbor|harbour|area)\b')"
+_SQL["language_audit"] = f"""WITH {CLAIM_ROWS},
+t AS (SELECT 'doc-' || doc_id AS text_id, text FROM documents UNION ALL SELECT 'cv-' || conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT claim_id, text FROM ce)
+SELECT text_id, {_BANNED} AS banned_category, {_SCOPE} AS scope_overreach FROM t"""
+JUDGED = CLAIM_ROWS + rf""",
+nm AS (SELECT bundle_id, claim_id, support, unnest(list_zip(ns, range(len(ns)))) AS p FROM (
+  SELECT *, regexp_extract_all(regexp_replace(regexp_replace(text, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?Z', ' ', 'g'), '\b\d{{1,2}}:\d{{2}}\b', ' ', 'g'), '\d+(?:\.\d+)?') AS ns
+  FROM ca WHERE category NOT IN ('LIMITATION','QUALITY'))),
+vals AS (SELECT DISTINCT 'u' || user_id || '-d' || strftime(ts, '%Y%m%d') AS bundle_id, value FROM events),
+open_ AS (SELECT bundle_id, claim_id, p[1] AS number, p[2] AS pos FROM nm WHERE NOT coalesce(contains(support, p[1]), false)),
+bad AS (SELECT o.bundle_id, o.claim_id, arg_min(o.number, o.pos) AS unsupported_number FROM open_ o
+  WHERE NOT EXISTS (SELECT 1 FROM vals v WHERE v.bundle_id = o.bundle_id AND (abs(v.value - CAST(o.number AS DOUBLE)) < CAST(1e-9 AS DOUBLE) OR abs(v.value * 100 - CAST(o.number AS DOUBLE)) < CAST(0.15 AS DOUBLE)))
+  GROUP BY ALL),
+judged AS (SELECT ca.*, unsupported_number, coalesce({_BANNED}, CASE WHEN {_SCOPE} THEN 'SCOPE' END, CASE WHEN support IS NULL THEN 'PROVENANCE' END,
+  CASE WHEN unsupported_number IS NOT NULL THEN 'NUMERIC' END) AS rejection FROM ca LEFT JOIN bad USING (bundle_id, claim_id))"""
+_SQL["numeric_grounding"] = f"WITH {JUDGED} SELECT bundle_id, claim_id, unsupported_number FROM bad"
+_SQL["rejection_counts"] = f"WITH {JUDGED} SELECT rejection AS category, count(*) AS rejected FROM judged WHERE rejection IS NOT NULL GROUP BY 1"
+_SQL["claim_verdicts"] = f"""WITH {JUDGED},
+b AS (SELECT bundle_id, CASE WHEN length(bundle_id) % 2 = 0 THEN 'fresh' ELSE 'STALE' END AS source_health, count(*) FILTER (rejection IS NULL) AS accepted,
+  count(*) FILTER (rejection IS NOT NULL) AS rejected, bool_or(category = 'COMPARISON') AS caveat_baseline, bool_or(category = 'CALCULATION') AS caveat_coverage FROM judged GROUP BY 1)
+SELECT *, source_health <> 'fresh' AS caveat_source, false AS caveat_empty,
+  CASE WHEN accepted = 0 THEN 'rejected' WHEN rejected > 0 OR source_health <> 'fresh' OR caveat_baseline OR caveat_coverage THEN 'accepted_with_caveats' ELSE 'accepted' END AS verdict FROM b"""
+_SQL["groundedness"] = f"""WITH {JUDGED},
+x AS (SELECT category, coalesce(rejection, 'accepted') AS actual, CASE e % 12 WHEN 0 THEN 'THREAT' WHEN 1 THEN 'CAUSE' WHEN 2 THEN 'PREDICTION' WHEN 3 THEN 'IDENTITY'
+    WHEN 4 THEN 'INTENT' WHEN 5 THEN 'SCOPE' ELSE CASE WHEN e % 13 = 0 THEN 'PROVENANCE' WHEN e % 12 = 6 AND category <> 'LIMITATION' THEN 'NUMERIC' ELSE 'accepted' END END AS expected
+  FROM judged WHERE claim_id LIKE 'c-%')
+SELECT category, count(*) AS cases, count(*) FILTER (expected = actual) AS passed, count(*) FILTER (expected = actual) / CAST(count(*) AS DOUBLE) AS pass_rate FROM x GROUP BY 1"""
+
+
+def _rules(pairs, text: str, ignore_case: bool) -> str:
+    flag = "(?i)" if ignore_case else ""
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches({text}, '{flag}{pattern}') THEN '{name}'" for name, pattern in pairs
+    ) + " END"
+
+
+# Patterns of the routing rules, as one list of (name, pattern).
+_TOOLS = [
+    ("start_replay", r"\b(start|play|resume|run) (the )?(replay|playback)\b"),
+    ("stop_replay", r"\b(stop|pause|halt) (the )?(replay|playback)\b"),
+    ("set_time_window", r"\b(set|change|narrow|widen) (the )?(time )?window\b|\b(show|display) (me )?the last (6|24|72) ?h(ours)?\b"),
+    ("compare_with_baseline", r"\bcompared? (to|with|against)\b|\bvs\.? (the )?baseline\b|\bchange (from|vs) baseline\b"),
+    ("count_vessels", r"\bhow many (vessels|ships|boats)\b|\bvessel count\b|\b(how (long|much of a wait)|what.s the wait|wait time)\b|\b(cargo )?(flights|aircraft|planes)\b"),
+    ("list_recent_changes", r"\bwhat (has )?changed\b|\brecent (changes|events)\b|\bany events\b"),
+    ("summarize_profile", r"\bsummar(y|ize|ise)\b|\boverview\b|\bwhat.s (the )?situation\b"),
+    ("show_vessel_cohort", r"\b(show|list|which) (me )?(the )?(vessels|ships|cohort)\b|\bwaiting cohort\b|\banchored vessels\b"),
+    ("explain_metric", r"\bhow is .*calculated\b|\bwhat does .*mean\b|\bexplain\b"),
+    ("focus_profile", r"\b(focus|goto|go to|take me to|show me|open|view)\b"),
+]
+_PLACES = [
+    ("long-beach-approach", r"long-beach-approach|\blos angeles long beach\b|\bangeles\b|\bbeach\b"),
+    ("singapore-malacca-approach", r"singapore-malacca-approach|\bsingapore\b|\bmalacca\b|\bapproach\b"),
+    ("suez-canal-approaches", r"suez-canal-approaches|\bsuez\b|\bcanal\b|\bapproaches\b"),
+    ("lax-cargo-air", r"lax-cargo-air|\bcargo\b"),
+    ("el-paso-border-crossings", r"el-paso-border-crossings|\bpaso\b|\bborder\b|\bcrossings\b"),
+]
+_SPANS = [("last_24_hours", r"\b24 ?h|24 hours|last day\b"), ("last_3_days", r"\b3 days|72 ?h\b"), ("last_6_hours", r"\b6 ?h|6 hours\b")]
+_METRICS = [
+    ("vessel_count", "vessel count"), ("moving_fraction", "moving fraction"), ("dwell_cohort_size", "dwell cohort size"),
+    ("dwell_median_seconds", "dwell median seconds"), ("entry_count", "entry count"), ("exit_count", "exit count"),
+    ("moving_fraction", r"\bmoving\b"), ("dwell_median_seconds", r"\bdwell\b"), ("entry_count", r"\bentr(y|ies)\b"), ("exit_count", r"\bexit(s|ing)?\b"),
+]
+_ASKED = "[" + ",".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + "]"
+ROUTED = rf"""
+qs AS (SELECT 'cv-' || conv_id || '-' || turn AS question_id, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT 'ev-' || event_id, {_ASKED}[event_id % {len(QUESTIONS)} + 1] FROM events),
+q1 AS (SELECT *, trim(text) AS t, lower(trim(text)) AS lt FROM qs),
+q2 AS (SELECT *, {_rules(_TOOLS, 't', True)} AS tool0, {_rules(_PLACES, 'lt', False)} AS place0 FROM q1),
+q3 AS (SELECT *, CASE WHEN t = '' THEN 'empty question' WHEN tool0 IS NULL THEN 'no supported intent matched'
+    WHEN tool0 NOT IN ('explain_metric','set_time_window','start_replay','stop_replay') AND place0 IS NULL
+      AND NOT regexp_matches(lt, '\b(current|this|here)\b') THEN 'no profile named' END AS abstention FROM q2),
+rt AS (SELECT question_id, text, abstention, CASE WHEN abstention IS NULL THEN tool0 END AS tool, CASE WHEN abstention IS NULL THEN place0 END AS profile_id,
+  CASE WHEN abstention IS NULL THEN {_rules(_SPANS, 'lt', False)} END AS relative,
+  CASE WHEN abstention IS NULL THEN coalesce({_rules(_METRICS, 'lt', False)}, CASE WHEN tool0 = 'compare_with_baseline' THEN 'vessel_count' END) END AS metric FROM q3)"""
+_SQL["route_questions"] = f"WITH {ROUTED} SELECT question_id, abstention, tool, profile_id, relative, metric FROM rt"
+_RUN = [("context", "2024-01-15", "2024-01-22"), ("last_24_hours", "2024-01-21", "2024-01-22"), ("last_3_days", "2024-01-19", "2024-01-22"),
+        ("last_6_hours", "2024-01-21 18:00:00", "2024-01-22")]
+BUNDLES = ROUTED + """,
+ctx AS (SELECT *, CASE WHEN length(question_id) % 2 = 0 THEN 'long-beach-approach' END AS cp FROM rt),
+b0 AS (SELECT question_id, text, tool, CASE WHEN abstention IS NULL THEN coalesce(profile_id, cp) END AS profile_id,
+  CASE WHEN abstention IS NULL AND coalesce(profile_id, cp) IS NOT NULL THEN coalesce(relative, 'context') END AS window_id,
+  CASE WHEN abstention IS NOT NULL THEN abstention WHEN coalesce(profile_id, cp) IS NULL THEN 'no profile in context' END AS abstention FROM ctx),
+bun AS (SELECT b0.*, coalesce(w.in_fence_rows, 0) AS observations,
+  'bundle-' || substr(sha256(text || '|' || coalesce(b0.profile_id, '') || '|' || coalesce(CAST(window_start_us AS VARCHAR), '') || '|' || coalesce(CAST(window_end_us AS VARCHAR), '')), 1, 16) AS bundle_id
+  FROM b0 LEFT JOIN wide w ON w.role = 'current' AND w.profile_id = b0.profile_id AND w.window_id = b0.window_id)"""
+_SQL["evidence_bundles"] = _snap(_RUN) + "," + BUNDLES + """
+SELECT question_id, bundle_id, tool, profile_id, window_id, abstention, observations FROM bun"""
+_SQL["answers"] = _snap(_RUN) + "," + _compared(1) + "," + CLAIMS + "," + BUNDLES + r""",
+nums AS (SELECT cl.*, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) AS number FROM cl WHERE category <> 'LIMITATION'),
+cid AS (SELECT profile_id, window_id, metric, metric_id FROM metrics_ WHERE role = 'current'),
+sup AS (SELECT n.*, c.metric_id FROM nums n JOIN cid c ON c.profile_id = n.profile_id AND c.window_id = n.window_id
+  AND c.metric = CASE WHEN n.claim_id = 'claim-moving-fraction' THEN 'moving_fraction' ELSE 'vessel_count' END),
+bad AS (SELECT DISTINCT profile_id, window_id, claim_id FROM sup s WHERE NOT contains(metric_id, number) AND NOT EXISTS (
+  SELECT 1 FROM metrics_ v WHERE v.role = 'current' AND v.profile_id = s.profile_id AND v.window_id = s.window_id
+    AND (abs(v.value - CAST(s.number AS DOUBLE)) < CAST(1e-9 AS DOUBLE) OR abs(v.value * 100 - CAST(s.number AS DOUBLE)) < CAST(0.15 AS DOUBLE)))),
+jc AS (SELECT cl.*, bad.claim_id IS NOT NULL AS rejected FROM cl LEFT JOIN bad USING (profile_id, window_id, claim_id)),
+sv AS (SELECT b.question_id, j.* FROM bun b JOIN jc j USING (profile_id, window_id) WHERE b.abstention IS NULL AND
+  (b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort') OR (b.tool = 'compare_with_baseline' AND j.category IN ('COMPARISON','CALCULATION')))),
+ag AS (SELECT question_id, count(*) FILTER (NOT rejected) AS accepted, count(*) FILTER (rejected) AS rejected,
+  string_agg(text, ' ' ORDER BY claim_order) FILTER (NOT rejected) AS texts FROM sv GROUP BY 1)
+SELECT b.question_id, b.tool, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
+  CASE WHEN b.abstention IS NOT NULL THEN b.abstention ELSE coalesce(texts,
+    CASE WHEN tool = 'list_recent_changes' THEN 'No events fired in this window; absence is not proof of absence.' END, 'Insufficient evidence to answer.') END AS answer
+FROM bun b LEFT JOIN ag USING (question_id)"""
+
+# --- streams --------------------------------------------------------------------------------
+
+_SQL["stream_dedupe"] = f"WITH {COPIES} SELECT DISTINCT duplicate_key, entity_id, us AS observed_at_us FROM keyed"
+_SQL["stream_sessions"] = f"""WITH {TRACKS}, m AS (SELECT (max(us) // 1000) * 1000 AS mark FROM obs)
+SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points FROM trk, m WHERE b + {GAP} <= mark"""
+_SQL["stream_health"] = f"WITH {HEALTH} SELECT source_id, seq, status, last AS last_observation_us, state FROM h"

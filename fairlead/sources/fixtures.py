@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fairlead.functions.rawjson import Raw
+from fairlead.functions.rawjson import Raw, blank, first_reason, quoted
 from fairlead.operators.normalize import normalize_facility, normalize_variant
 
 
@@ -18,21 +18,18 @@ def scan_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_violation() -> Column:
     """First broken labelling rule of a manifest; null for a usable one."""
-    r = Raw(F.col("_m"))
+    r = Raw("_m")
     provider = r.text("provenance.providerId")
-    simulated = F.coalesce(
-        (r.kind("simulated") == "BOOLEAN") & F.try_variant_get("_m", "$.simulated", "boolean"), F.lit(False)
-    )
-    is_list = F.coalesce(r.kind("observations").startswith("ARRAY"), F.lit(False))
-    return (
-        F.when(~r.is_block(), "manifest must be a JSON object")
-        .when(F.coalesce(r.text("truthState"), F.lit("")) != "SIMULATED", "truthState must be SIMULATED")
-        .when(~simulated, "manifest must set simulated to true")
-        .when(~r.is_block("provenance"), "manifest must include a provenance block")
-        .when(~F.coalesce(provider.startswith("simulated"), F.lit(False)), "providerId must start with simulated")
-        .when(~is_list, "manifest must include an observations array")
-        .when(r.missing_text("fixtureId"), "manifest must include a non-empty fixtureId")
-    )
+    simulated = f"{r.kind('simulated')} = 'BOOLEAN' AND try_variant_get(_m, '$.simulated', 'boolean')"
+    return F.expr(first_reason([
+        (f"NOT {r.is_block()}", quoted("manifest must be a JSON object")),
+        (f"coalesce({r.text('truthState')}, '') <> 'SIMULATED'", quoted("truthState must be SIMULATED")),
+        (f"NOT coalesce({simulated}, false)", quoted("manifest must set simulated to true")),
+        (f"NOT {r.is_block('provenance')}", quoted("manifest must include a provenance block")),
+        (f"NOT coalesce(startswith({provider}, 'simulated'), false)", quoted("providerId must start with simulated")),
+        (f"NOT coalesce({r.kind('observations')} LIKE 'ARRAY%', false)", quoted("manifest must include an observations array")),
+        (blank(r.text("fixtureId")), quoted("manifest must include a non-empty fixtureId")),
+    ]))
 
 
 def checked_manifests(manifests: DataFrame, strict: bool = False) -> DataFrame:
@@ -41,7 +38,7 @@ def checked_manifests(manifests: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         guard = F.when(F.col("violation").isNotNull(), F.raise_error(F.col("violation"))).otherwise(F.lit(None).cast("string"))
         parsed = parsed.withColumn("violation", guard)
-    return parsed.withColumn("fixture_id", Raw(F.col("_m")).text("fixtureId"))
+    return parsed.withColumn("fixture_id", F.expr(Raw("_m").text("fixtureId")))
 
 
 def manifest_observations(checked: DataFrame) -> DataFrame:
@@ -63,6 +60,6 @@ def dataset_manifest(checked: DataFrame) -> DataFrame:
     """Per file: id, truth state and number of raw observations."""
     items = F.try_variant_get("_m", "$.observations", "array<variant>")
     return checked.select(
-        "file", "fixture_id", Raw(F.col("_m")).text("truthState").alias("truth_state"),
+        "file", "fixture_id", F.expr(Raw("_m").text("truthState")).alias("truth_state"),
         F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0)).cast("bigint").alias("observations"),
     )
