@@ -85,17 +85,27 @@ def _fence_cells(fences: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     )
 
 
-def _join_cells(obs: DataFrame, cells: DataFrame, cell: float, how: str, salts: int) -> DataFrame:
+def _few_cells(fences: DataFrame, cell: float, pad: float = 0.0) -> bool:
+    """Whether the fences' bounding boxes touch at most ``BROADCAST_CELLS`` cells in all."""
+    extent = lambda axis: (
+        f"(floor((array_max(transform(ring, v -> v.{axis})) + {pad}D) / {cell}D)"
+        f" - floor((array_min(transform(ring, v -> v.{axis})) - {pad}D) / {cell}D) + 1)"
+    )
+    total = fences.selectExpr(f"sum({extent('lat')} * {extent('lon')}) AS cells").first()["cells"]
+    return (total or 0) <= BROADCAST_CELLS
+
+
+def _join_cells(obs: DataFrame, cells: DataFrame, few: bool, cell: float, how: str, salts: int) -> DataFrame:
     """Equi-join observations to fence cells.
 
-    The cell table is counted first (up to the limit).  Small: broadcast.  Larger:
-    shuffle join on the cell with both sides salted, so that a port holding a
-    third of all positions is spread over ``salts`` tasks.
+    ``few`` says the number of cells was measured and is small: broadcast.
+    Otherwise: shuffle join on the cell with both sides salted, so that a port
+    holding a third of all positions is spread over ``salts`` tasks.
     """
     located = obs.withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
         "_cx", _cell(F.col("longitude"), cell)
     )
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+    if few:
         return located.join(F.broadcast(cells), ["_cy", "_cx"], how).drop("_cy", "_cx")
     located = located.withColumn("_salt", F.pmod(F.xxhash64("observation_id"), F.lit(salts)))
     spread = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
@@ -110,8 +120,8 @@ def _in_box() -> Column:
 
 def fence_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEGREES, salts: int = 32) -> DataFrame:
     """One row per (observation, fence) the position lies in."""
-    cells = _fence_cells(usable_fences(fences), cell)
-    joined = _join_cells(obs, cells, cell, "inner", salts)
+    reviewed = usable_fences(fences)
+    joined = _join_cells(obs, _fence_cells(reviewed, cell), _few_cells(reviewed, cell), cell, "inner", salts)
     inside = inside_ring(F.col("latitude"), F.col("longitude"), F.col("edges"))
     return joined.filter(_in_box() & inside).drop("edges", "min_lat", "max_lat", "min_lon", "max_lon")
 
@@ -120,7 +130,8 @@ def bbox_candidates(obs: DataFrame, fences: DataFrame, padding: float = 0.05, ce
                     salts: int = 32) -> DataFrame:
     """Number of positions inside each fence's padded bounding box; fences without any count zero."""
     reviewed = usable_fences(fences)
-    joined = _join_cells(obs, _fence_cells(reviewed, cell, padding), cell, "inner", salts)
+    few = _few_cells(reviewed, cell, padding)
+    joined = _join_cells(obs, _fence_cells(reviewed, cell, padding), few, cell, "inner", salts)
     counts = joined.filter(_in_box()).groupBy("fence_id").agg(F.count("*").alias("candidates"))
     return (
         reviewed.select("fence_id")
@@ -170,7 +181,8 @@ def profile_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEG
     profile's crossings are measured against.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
-    joined = _join_cells(obs, _profile_cells(fences, cell, ["profile_id"]), cell, "inner", salts)
+    few = _few_cells(usable_fences(fences), cell)
+    joined = _join_cells(obs, _profile_cells(fences, cell, ["profile_id"]), few, cell, "inner", salts)
     hits = joined.withColumn("_hits", F.filter("_fences", lambda f: inside_ring(lat, lon, f["edges"])))
     return (
         hits.filter(F.size("_hits") > 0)
@@ -182,7 +194,8 @@ def profile_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEG
 def flag_inside(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEGREES, salts: int = 32) -> DataFrame:
     """Every observation with a boolean ``inside``: in at least one of the fences."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    joined = _join_cells(obs, _profile_cells(fences, cell, []), cell, "left", salts)
+    few = _few_cells(usable_fences(fences), cell)
+    joined = _join_cells(obs, _profile_cells(fences, cell, []), few, cell, "left", salts)
     hit = F.exists("_fences", lambda f: inside_ring(lat, lon, f["edges"]))
     return joined.withColumn("inside", F.coalesce(hit, F.lit(False))).drop("_fences")
 

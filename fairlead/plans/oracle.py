@@ -660,7 +660,7 @@ f2 AS (
       WHEN k IN (0, 1) THEN 'classification-update' ELSE 'observation' END AS kind FROM f1),
 frm AS (
   SELECT *, kind = 'observation' AS good, kind = 'classification-update' AS stat,
-    strftime(make_timestamp(seen), CASE WHEN seen % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%gZ' END) AS seen_text,
+    CASE WHEN seen % 1000000 = 0 THEN strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%S.%gZ') END AS seen_text,
     {_SHIP.format(c='e % 100')} AS stype, {_SHIP_CLASS.format(c='e % 100')} AS sclass FROM f2)"""
 _SQL["normalize_frames"] = f"""WITH {FRAMES}
 SELECT e AS arrival_seq, kind, reason AS reject_reason, CASE WHEN e % 101 <> 0 THEN mtype END AS message_type,
@@ -734,7 +734,7 @@ air AS (
     CASE WHEN freight THEN 'aircraft' ELSE 'unknown' END AS entity_type FROM a1)"""
 _SQL["aircraft_feed"] = f"""WITH {AIRCRAFT}
 SELECT e AS poll_id, reason AS reject_reason,
-  'adsb-lol:' || hex || ':' || strftime(make_timestamp(seen), CASE WHEN seen % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%gZ' END) AS observation_id,
+  'adsb-lol:' || hex || ':' || CASE WHEN seen % 1000000 = 0 THEN strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%S.%gZ') END AS observation_id,
   'aircraft:' || hex AS entity_id, entity_type, CASE WHEN freight THEN 'inferred' ELSE 'unknown' END AS classification, lat AS latitude, lon AS longitude,
   alt AS altitude_meters, gs AS speed_knots, track AS heading_degrees, seen AS observed_at_us, CASE WHEN mlat THEN 'approximate' ELSE 'exact' END AS position_accuracy FROM air"""
 _SQL["aircraft_polls"] = f"""WITH {AIRCRAFT}

@@ -17,7 +17,9 @@ from fairlead.functions.median import exact_median
 from fairlead.functions.quality import metric_label, metric_rank
 from fairlead.functions.timeline import MICROS
 from fairlead.operators.compare import baseline_comparisons, detect_events
-from fairlead.operators.geo import _join_cells, _profile_cells, primary_fences, profile_membership, usable_fences
+from fairlead.operators.geo import (
+    CELL_DEGREES, _few_cells, _join_cells, _profile_cells, primary_fences, profile_membership, usable_fences,
+)
 from fairlead.operators.metrics import long_metrics
 from fairlead.operators.sequence import CHUNK_SECONDS, with_previous, with_segments
 from fairlead.operators.windows import assign_windows, with_baseline
@@ -108,7 +110,7 @@ def crossings_from_all_rows(obs: DataFrame, fences: DataFrame, wins: DataFrame,
 
     reviewed = usable_fences(fences)
     primary = reviewed.join(primary_fences(reviewed).select("fence_id"), "fence_id", "left_semi")
-    cells = _profile_cells(primary, 0.1, ["profile_id"]).groupBy("_cy", "_cx").agg(
+    cells = _profile_cells(primary, CELL_DEGREES, ["profile_id"]).groupBy("_cy", "_cx").agg(
         F.collect_list(F.struct("profile_id", F.col("_fences")[0]["edges"].alias("edges"))).alias("_p")
     )
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -116,7 +118,7 @@ def crossings_from_all_rows(obs: DataFrame, fences: DataFrame, wins: DataFrame,
     located = _join_cells(
         obs.select("entity_id", "observed_at", "observation_id", "latitude", "longitude",
                    metric_rank(F.col("source_state")).alias("rank")),
-        cells, 0.1, "left", 32,
+        cells, _few_cells(primary, CELL_DEGREES), CELL_DEGREES, "left", 32,
     ).withColumn("inside", F.transform(hit, lambda p: p["profile_id"]))
     moved = with_previous(
         located.select("entity_id", "observed_at", "observation_id", "rank", "inside"),
@@ -261,7 +263,8 @@ def snapshot(
             wide_crossings, [*_KEYS, "entity_id"], "left"
         )
     entities = stage(entities, "entity-windows")
-    wide = wide_metrics(entities, profiles, fences, wins, settings)
+    # Profiles x windows rows: small, and read by every later part.
+    wide = stage(wide_metrics(entities, profiles, fences, wins, settings), "wide-metrics")
     metrics = long_metrics(wide)
     return Snapshot(
         entities=entities,

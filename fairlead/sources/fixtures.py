@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fairlead.functions.once import evaluate_once
 from fairlead.functions.rawjson import Raw, blank, first_reason, quoted
 from fairlead.operators.normalize import normalize_facility, normalize_variant
 
@@ -34,11 +35,14 @@ def manifest_violation() -> Column:
 
 def checked_manifests(manifests: DataFrame, strict: bool = False) -> DataFrame:
     """Parsed manifests with ``violation``; ``strict`` turns a violation into an error."""
-    parsed = manifests.withColumn("_m", F.try_parse_json("document")).withColumn("violation", manifest_violation())
+    parsed = evaluate_once(manifests, manifests.columns, {"_m": F.try_parse_json("document")})
+    checked = evaluate_once(parsed, parsed.columns, {
+        "violation": manifest_violation(), "fixture_id": Raw("_m").text("fixtureId"),
+    })
     if strict:
-        guard = F.when(F.col("violation").isNotNull(), F.raise_error(F.col("violation"))).otherwise(F.lit(None).cast("string"))
-        parsed = parsed.withColumn("violation", guard)
-    return parsed.withColumn("fixture_id", F.expr(Raw("_m").text("fixtureId")))
+        stop = F.when(F.col("violation").isNotNull(), F.raise_error(F.col("violation"))).otherwise(F.col("violation"))
+        checked = checked.withColumn("violation", stop)
+    return checked
 
 
 def manifest_observations(checked: DataFrame) -> DataFrame:
