@@ -108,7 +108,7 @@ def _join_cells(obs: DataFrame, cells: DataFrame, few: bool, cell: float, how: s
     if few:
         return located.join(F.broadcast(cells), ["_cy", "_cx"], how).drop("_cy", "_cx")
     located = located.withColumn("_salt", F.pmod(F.xxhash64("observation_id"), F.lit(salts)))
-    spread = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    spread = cells.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return located.join(spread.hint("shuffle_hash"), ["_cy", "_cx", "_salt"], how).drop("_cy", "_cx", "_salt")
 
 

@@ -12,7 +12,7 @@ from fairlead.operators.normalize import normalize_facility, normalize_variant
 def scan_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.json`` below ``path`` as one row: file name and whole document."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
         .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("document"))
     )
 
