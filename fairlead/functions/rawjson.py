@@ -26,17 +26,25 @@ class Raw:
 
     def number(self, path: str) -> str:
         """The value if it is a finite JSON number, else null."""
-        value = f"try_variant_get({self.doc}, '$.{path}', 'double')"
+        value, kind = f"try_variant_get({self.doc}, '$.{path}', 'double')", self.kind(path)
         return (
-            f"CASE WHEN {self.kind(path)} RLIKE '^(BIGINT|DOUBLE|DECIMAL)' AND abs({value}) < double('Infinity') THEN {value} END"
+            f"CASE WHEN ({kind} IN ('BIGINT', 'DOUBLE') OR {kind} LIKE 'DECIMAL%') "
+            f"AND abs({value}) < double('Infinity') THEN {value} END"
         )
 
     def absent(self, path: str) -> str:
         return f"{self.at(path)} IS NULL"
 
     def is_block(self, path: str | None = None) -> str:
-        """An object or array, as opposed to a scalar, JSON null or nothing."""
-        return f"coalesce({self.kind(path)} RLIKE '^(OBJECT|ARRAY)', false)"
+        """An object or array, as opposed to a scalar, JSON null or nothing.
+
+        Tested by casts: naming the type of a whole object would walk all of it.
+        """
+        where = f"$.{path}" if path else "$"
+        return (
+            f"(try_variant_get({self.doc}, '{where}', 'map<string, variant>') IS NOT NULL "
+            f"OR try_variant_get({self.doc}, '{where}', 'array<variant>') IS NOT NULL)"
+        )
 
     def shown(self, path: str) -> str:
         """Printable value for a rejection reason."""

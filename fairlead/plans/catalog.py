@@ -14,7 +14,7 @@ from fairlead.operators import questions as Q
 from fairlead.operators import sequence, windows
 from fairlead.plans import snapshot as S
 from fairlead.plans import views as V
-from fairlead.session import use_utc
+from fairlead.session import spread, use_utc
 from fairlead.sources import aircraft, border, fixtures, frames, registry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -674,8 +674,8 @@ def facility_claims(spark, d):
 
 @_query
 def language_audit(spark, d):
-    docs = V.table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("text_id"), "text")
-    turns = V.table(spark, d, "conversations").select(F.concat_ws("-", F.lit("cv"), "conv_id", "turn").alias("text_id"), "text")
+    docs = spread(V.table(spark, d, "documents")).select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("text_id"), "text")
+    turns = spread(V.table(spark, d, "conversations")).select(F.concat_ws("-", F.lit("cv"), "conv_id", "turn").alias("text_id"), "text")
     made = V.claims(spark, d).filter("claim_id like 'c-%'").select(F.col("claim_id").alias("text_id"), "text")
     return C.language_audit(docs.unionByName(turns).unionByName(made)).select("text_id", "banned_category", "scope_overreach")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairlead.functions.timeline import plus_micros
-from fairlead.session import use_utc
+from fairlead.session import spread, use_utc
 
 SEC = 1_000_000
 
@@ -80,8 +80,7 @@ def observations_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON documents as a provider would deliver them, with planted faults."""
-    ev = events(spark, sf_dir)
-    obs = observations_from(ev.withColumn("_e", F.col("event_id")))
+    obs = observations_from(spread(events(spark, sf_dir)))
     numbered = obs.withColumn("_e", F.substring("observation_id", 4, 20).cast("bigint"))
     e = F.col("_e")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -227,7 +226,7 @@ def frames_from(ev: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames_from(events(spark, sf_dir))
+    return frames_from(spread(events(spark, sf_dir)))
 
 
 def aircraft_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +251,7 @@ def aircraft_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("lon", F.when(e % 7 != 0, F.lit("-118.4"))),
     )
     doc = F.concat(F.lit('{"ac":['), first, F.lit(","), second, F.lit("]}"))
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         e.alias("poll_id"), F.col("ts").alias("received_at"),
         F.when(e % 103 == 0, F.lit('{"ac":[{}]}')).otherwise(doc).alias("document"),
     )
@@ -284,7 +283,7 @@ def border_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         )),
         ("pedestrian_lanes", F.when(n % 4 == 0, _pairs(("ready_lanes", lane(F.lit("At 7:20 am")))))),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         o.alias("order_key"), n.alias("line_number"), s.alias("supp_key"),
         plus_micros(day, 8 * 3600 * SEC).alias("received_at"),
         F.when(o % 83 == 0, F.lit('{"error":"down"}')).otherwise(F.concat(F.lit("["), crossing, F.lit("]"))).alias("document"),
@@ -320,7 +319,7 @@ def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
                           ("licenseId", F.when(o % 47 != 0, F.lit('"pd"'))))),
         ("quality", F.when(o % 3 == 0, _pairs(("sourceState", F.lit('"fresh"'))))),
     )
-    return table(spark, sf_dir, "lineitem").select(o.alias("order_key"), n.alias("line_number"), s.alias("supp_key"), doc.alias("raw"))
+    return spread(table(spark, sf_dir, "lineitem")).select(o.alias("order_key"), n.alias("line_number"), s.alias("supp_key"), doc.alias("raw"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +383,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         category.alias("category"),
         F.when(e % 13 == 0, F.array().cast("array<struct<kind:string,id:string>>")).otherwise(cited).alias("support"),
     )
-    from_documents = table(spark, sf_dir, "documents").select(
+    from_documents = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("doc-"), F.col("source")).alias("bundle_id"),
         F.concat(F.lit("d-"), F.col("doc_id")).alias("claim_id"),
         F.col("doc_id").alias("claim_order"),
@@ -415,11 +414,11 @@ QUESTIONS = [
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations, and one fixed question per event."""
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    asked = spread(table(spark, sf_dir, "conversations")).filter("role = 'user'").select(
         F.concat_ws("-", F.lit("cv"), "conv_id", "turn").alias("question_id"), "text"
     )
     text = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("event_id") % len(QUESTIONS) + 1).cast("int"))
-    posed = events(spark, sf_dir).select(F.concat(F.lit("ev-"), F.col("event_id")).alias("question_id"), text.alias("text"))
+    posed = spread(events(spark, sf_dir)).select(F.concat(F.lit("ev-"), F.col("event_id")).alias("question_id"), text.alias("text"))
     return asked.unionByName(posed)
 
 
@@ -433,7 +432,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("plain line "), e))
     )
     lines = events(spark, sf_dir).select(F.concat(F.lit("ev-"), e).alias("line_id"), line.alias("text"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("line_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("line_id"), "text")
     return lines.unionByName(docs)
 
 

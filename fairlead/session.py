@@ -63,3 +63,16 @@ def stage(df, label: str):
     path = shared_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Spread the rows of a small input over all cores before expensive per-row work.
+
+    A landing file with one row group is decoded by one task, however many cores
+    there are.  Inputs with at least one split per core are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
