@@ -11,12 +11,11 @@ from fairlead.functions.timeline import MICROS
 
 
 def _nearest_unused(pdf: pd.DataFrame, limit_us: int) -> pd.DataFrame:
-    """Greedy matching of one cluster: labels in order, nearest unused detection, first one on a tie."""
-    detections = pdf[~pdf["is_label"]].sort_values(["at_us", "seq"], kind="stable")
-    labels = pdf[pdf["is_label"]].sort_values("seq", kind="stable")
-    times = detections["at_us"].tolist()
-    seqs = detections["seq"].tolist()
-    ids = detections["item_id"].tolist()
+    """Greedy matching of one or more clusters: labels in order, nearest unused detection, first one on a tie."""
+    items = list(zip(pdf["at_us"].tolist(), pdf["seq"].tolist(), pdf["item_id"].tolist(), pdf["is_label"].tolist()))
+    detections = sorted(item[:3] for item in items if not item[3])
+    labels = sorted((item[1], item[2], item[0]) for item in items if item[3])
+    times, seqs, ids = ([d[k] for d in detections] for k in range(3))
     n = len(times)
     # Next unused detection to the right / left of a position, with path compression.
     right, left = list(range(n + 1)), list(range(n + 1))
@@ -30,7 +29,7 @@ def _nearest_unused(pdf: pd.DataFrame, limit_us: int) -> pd.DataFrame:
         return root
 
     matched = []
-    for label_id, at in zip(labels["item_id"], labels["at_us"]):
+    for _, label_id, at in labels:
         start = bisect.bisect_left(times, at)
         candidates = []
         after = find(right, start)
@@ -75,14 +74,24 @@ def match_labels(labels: DataFrame, detections: DataFrame, match_window_seconds:
         )
     )
     clustered = _clusters(items, keys, limit)
-    # A cluster without labels or without detections has nothing to match.
-    both = clustered.groupBy(*keys, "_cluster").agg(
-        F.bool_or("is_label").alias("_l"), F.bool_or(~F.col("is_label")).alias("_d")
-    ).filter("_l and _d").select(*keys, "_cluster")
-    worth = clustered.join(both, [*keys, "_cluster"], "left_semi")
-    return worth.groupBy(*keys, "_cluster").applyInPandas(
-        lambda pdf: _nearest_unused(pdf, limit), "label_id string, detection_id string, distance_us bigint"
+    cluster = [*keys, "_cluster"]
+    label = F.col("is_label")
+    sizes = clustered.groupBy(*cluster).agg(
+        F.count_if(label).alias("_l"), F.count_if(~label).alias("_d"),
+        F.max(F.when(label, F.col("item_id"))).alias("label_id"),
+        F.max(F.when(~label, F.col("item_id"))).alias("detection_id"),
+        F.abs(F.max(F.when(label, F.col("at_us"))) - F.max(F.when(~label, F.col("at_us")))).alias("distance_us"),
     )
+    # One label and one detection: nothing to choose.  Clusters with only one side have no match.
+    single = sizes.filter("_l = 1 and _d = 1").filter(F.col("distance_us") <= limit)
+    contested = sizes.filter("_l > 0 and _d > 0 and _l + _d > 2").select(*cluster)
+    # Clusters that start on the same day share a call; they cannot reach each other.
+    day = F.floor(F.col("_cluster") / F.lit(86_400 * MICROS))
+    chosen = (
+        clustered.join(contested, cluster, "left_semi").groupBy(*keys, day.alias("_day"))
+        .applyInPandas(lambda pdf: _nearest_unused(pdf, limit), "label_id string, detection_id string, distance_us bigint")
+    )
+    return single.select("label_id", "detection_id", "distance_us").unionByName(chosen)
 
 
 def _clusters(items: DataFrame, keys: list[str], limit_us: int, chunk_us: int = 86_400 * MICROS) -> DataFrame:
