@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fairlead.functions.once import evaluate_once
 from fairlead.functions.polygon import inside_ring, ring_edges, ring_max, ring_min
+from fairlead.session import spread
 
 CELL_DEGREES = 0.1
 BROADCAST_CELLS = 200_000
@@ -102,14 +104,15 @@ def _join_cells(obs: DataFrame, cells: DataFrame, few: bool, cell: float, how: s
     Otherwise: shuffle join on the cell with both sides salted, so that a port
     holding a third of all positions is spread over ``salts`` tasks.
     """
-    located = obs.withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
+    # Polygon tests are the expensive part: use all cores even when the input is one small file.
+    located = spread(obs).withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
         "_cx", _cell(F.col("longitude"), cell)
     )
     if few:
         return located.join(F.broadcast(cells), ["_cy", "_cx"], how).drop("_cy", "_cx")
     located = located.withColumn("_salt", F.pmod(F.xxhash64("observation_id"), F.lit(salts)))
-    spread = cells.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
-    return located.join(spread.hint("shuffle_hash"), ["_cy", "_cx", "_salt"], how).drop("_cy", "_cx", "_salt")
+    copies = cells.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    return located.join(copies.hint("shuffle_hash"), ["_cy", "_cx", "_salt"], how).drop("_cy", "_cx", "_salt")
 
 
 def _in_box() -> Column:
@@ -183,11 +186,12 @@ def profile_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEG
     lat, lon = F.col("latitude"), F.col("longitude")
     few = _few_cells(usable_fences(fences), cell)
     joined = _join_cells(obs, _profile_cells(fences, cell, ["profile_id"]), few, cell, "inner", salts)
-    hits = joined.withColumn("_hits", F.filter("_fences", lambda f: inside_ring(lat, lon, f["edges"])))
+    kept = [c for c in joined.columns if c != "_fences"]
+    hits = evaluate_once(joined, kept, {"_hits": F.filter("_fences", lambda f: inside_ring(lat, lon, f["edges"]))})
     return (
         hits.filter(F.size("_hits") > 0)
         .withColumn("inside_primary", F.exists("_hits", lambda f: f["is_primary"]))
-        .drop("_fences", "_hits")
+        .drop("_hits")
     )
 
 

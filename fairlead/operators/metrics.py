@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fairlead.functions.quality import metric_label, metric_rank
 from fairlead.functions.timeline import iso_text
 from fairlead.operators.geo import flag_inside, profile_membership, usable_fences
-from fairlead.operators.windows import assign_windows
+from fairlead.operators.windows import assign_windows, prune_to_windows
 from fairlead.schema import FREIGHT_TYPES
 
 
@@ -28,7 +28,7 @@ def vessel_count(
 
     Inside counts from any row of the window, the type comes from the latest row.
     """
-    flagged = flag_inside(obs, fences).select(
+    flagged = flag_inside(prune_to_windows(obs, wins), fences).select(
         "entity_id", "observed_at", "observation_id", "inside", "entity_type", "classification", "source_state"
     )
     per_entity = (
@@ -72,6 +72,7 @@ def moving_fraction(
     """
     if threshold_knots < 0:
         raise ValueError("threshold_knots must not be negative")
+    rows = prune_to_windows(rows, wins)
     scoped = rows if allowed is None else rows.join(allowed.select("entity_id").distinct(), "entity_id", "left_semi")
     per_entity = (
         assign_windows(scoped, wins)
@@ -97,7 +98,7 @@ def moving_fraction(
 
 def aircraft_count(obs: DataFrame, fences: DataFrame, wins: DataFrame) -> DataFrame:
     """Rows (not aircraft) inside the fences of each profile; none means unknown, not zero."""
-    inside = profile_membership(obs, fences).select("profile_id", "observed_at", "entity_type")
+    inside = profile_membership(prune_to_windows(obs, wins), fences).select("profile_id", "observed_at", "entity_type")
     counts = assign_windows(inside, wins).groupBy("profile_id", "window_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("entity_type") == "aircraft").alias("freight_rows"),

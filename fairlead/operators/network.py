@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.timeline import MICROS, plus_micros
-from fairlead.operators.geo import flag_inside, profile_membership
-from fairlead.operators.windows import assign_windows
+from fairlead.operators.geo import profile_membership
+from fairlead.operators.windows import prune_to_windows
 from fairlead.schema import FREIGHT_TYPES, WATCH_METRICS
 
 
@@ -95,7 +95,7 @@ def headline_series(
     span = bounds.select(
         F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e")
     )
-    inside = profile_membership(obs, fences).join(F.broadcast(span))
+    inside = profile_membership(prune_to_windows(obs, bounds), fences).join(F.broadcast(span))
     us = F.unix_micros("observed_at")
     bucket = F.floor((us - F.col("_s")) * F.lit(buckets) / (F.col("_e") - F.col("_s")))
     counted = _freight_in_fence(
@@ -127,7 +127,8 @@ def replay_counts(
     reach = lookback_seconds // step_seconds
     span = bounds.select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
     us = F.unix_micros("observed_at")
-    inside = profile_membership(obs, fences).join(F.broadcast(span)).withColumn("_off", us - F.col("_s"))
+    lookback = bounds.select(plus_micros(F.col("start_at"), -lookback_seconds * MICROS).alias("start_at"), "end_at")
+    inside = profile_membership(prune_to_windows(obs, lookback), fences).join(F.broadcast(span)).withColumn("_off", us - F.col("_s"))
     whole = F.floor(F.col("_off") / F.lit(step))
     # Even panes are border instants, odd panes the open intervals between them.
     pane = 2 * whole + F.when(F.col("_off") % step == 0, 0).otherwise(1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.quality import track_label, track_rank
 from fairlead.functions.timeline import MICROS
-from fairlead.operators.windows import assign_windows
+from fairlead.operators.windows import assign_windows, prune_to_windows
 from fairlead.schema import FREIGHT_TYPES
 
 CHUNK_SECONDS = 86_400
@@ -196,7 +196,8 @@ def entry_exit(
     """
     if not max_gap_seconds > 0:
         raise ValueError("max_gap_seconds must be positive")
-    rows = with_previous(flagged, [*keys, "entity_id"], ["observed_at", "inside"], chunk_seconds)
+    bounded = prune_to_windows(flagged, wins)
+    rows = with_previous(bounded, [*keys, "entity_id"], ["observed_at", "inside"], chunk_seconds)
     # Only rows whose flag differs from the predecessor's can cross: filter before the fan-out.
     candidates = rows.filter(F.col("prev").isNotNull() & (F.col("prev.inside") != F.col("inside")))
     marked = crossing_flags(assign_windows(candidates, wins), max_gap_seconds, F.col("start_at"))
@@ -217,7 +218,7 @@ def visits(
     """
     us = F.unix_micros("observed_at")
     group = [*keys, "entity_id"]
-    segmented = with_segments(rows, group, ["observed_at"], max_gap_seconds, chunk_seconds)
+    segmented = with_segments(prune_to_windows(rows, wins), group, ["observed_at"], max_gap_seconds, chunk_seconds)
     inner = (F.col("prev._us") >= F.col("segment_start_us")) & (F.col("prev.observed_at") >= F.col("start_at"))
     return (
         assign_windows(segmented, wins)

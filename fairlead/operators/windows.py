@@ -88,6 +88,19 @@ def replay_cursors(bounds: DataFrame, step_seconds: int, lookback_seconds: int =
     )
 
 
+def prune_to_windows(rows: DataFrame, wins: DataFrame, start: str = "start_at", end: str = "end_at",
+                     at: str = "observed_at") -> DataFrame:
+    """Keep the rows between the first start and the last end of a small windows table.
+
+    The two bounds become literals, so date partitions and row groups outside them
+    are never read.  Rows outside every window cannot change a window's result.
+    """
+    first, last = wins.agg(F.min(F.unix_micros(start)), F.max(F.unix_micros(end))).first()
+    if first is None:
+        return rows.limit(0)
+    return rows.filter(F.col(at).between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
+
+
 def assign_windows(
     rows: DataFrame,
     wins: DataFrame,

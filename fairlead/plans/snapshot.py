@@ -22,7 +22,7 @@ from fairlead.operators.geo import (
 )
 from fairlead.operators.metrics import long_metrics
 from fairlead.operators.sequence import CHUNK_SECONDS, with_previous, with_segments
-from fairlead.operators.windows import assign_windows, with_baseline
+from fairlead.operators.windows import assign_windows, prune_to_windows, with_baseline
 from fairlead.schema import FREIGHT_TYPES
 from fairlead.session import stage
 
@@ -256,6 +256,7 @@ def snapshot(
 ) -> Snapshot:
     """Run the snapshot for all profiles and windows."""
     sea = fences.join(F.broadcast(profiles.filter("mode = 'sea'").select("profile_id")), "profile_id", "left_semi")
+    obs = prune_to_windows(obs, with_baseline(wins), "window_start", "window_end")
     entities = entity_windows(rows_in_fences(obs, sea), wins, settings)
     if settings.crossing_input == "all":
         wide_crossings = crossings_from_all_rows(obs, sea, wins, settings)

@@ -71,6 +71,8 @@ def spread(df):
     A landing file with one row group is decoded by one task, however many cores
     there are.  Inputs with at least one split per core are left as they are.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
