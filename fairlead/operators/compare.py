@@ -104,7 +104,7 @@ def detect_events(metrics: DataFrame, rules: DataFrame | None = None, min_sample
         & (share.isNull() | (share >= F.col("relative_threshold")))
     )
     return (
-        changes.join(F.broadcast(rules), "metric")
+        changes.join(rules, "metric")
         .filter(fired)
         .select(
             F.concat_ws("@", "event_type", "profile_id", F.unix_micros("cur.window_start").cast("string")).alias("event_id"),

@@ -104,7 +104,7 @@ def aircraft_count(obs: DataFrame, fences: DataFrame, wins: DataFrame) -> DataFr
         F.count_if(F.col("entity_type") == "aircraft").alias("freight_rows"),
         F.count_if(F.col("entity_type") == "unknown").alias("unclassified_rows"),
     )
-    grid = usable_fences(fences).select("profile_id").distinct().join(F.broadcast(wins.select("window_id")))
+    grid = usable_fences(fences).select("profile_id").distinct().crossJoin(wins.select("window_id"))
     return grid.join(counts, ["profile_id", "window_id"], "left").select(
         "profile_id",
         "window_id",

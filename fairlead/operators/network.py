@@ -92,9 +92,7 @@ def headline_series(
     allowlist: list[str] = FREIGHT_TYPES,
 ) -> DataFrame:
     """Headline count in equal half-open buckets of one window, in one pass; empty buckets stay."""
-    span = bounds.select(
-        F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e")
-    )
+    span = bounds.limit(1).select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
     inside = profile_membership(prune_to_windows(obs, bounds), fences).join(F.broadcast(span))
     us = F.unix_micros("observed_at")
     bucket = F.floor((us - F.col("_s")) * F.lit(buckets) / (F.col("_e") - F.col("_s")))
@@ -125,7 +123,7 @@ def replay_counts(
         raise ValueError("the look-back must be a multiple of the step")
     step = step_seconds * MICROS
     reach = lookback_seconds // step_seconds
-    span = bounds.select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
+    span = bounds.limit(1).select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
     us = F.unix_micros("observed_at")
     lookback = bounds.select(plus_micros(F.col("start_at"), -lookback_seconds * MICROS).alias("start_at"), "end_at")
     inside = profile_membership(prune_to_windows(obs, lookback), fences).join(F.broadcast(span)).withColumn("_off", us - F.col("_s"))

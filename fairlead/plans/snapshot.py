@@ -192,9 +192,9 @@ def wide_metrics(
     )
     median = exact_median(entities.filter("dwell_us is not null"), _KEYS, "dwell_us", MICROS, "median_us")
 
-    grid = profiles.select("profile_id", "mode").join(F.broadcast(with_baseline(wins)))
+    grid = profiles.select("profile_id", "mode").crossJoin(with_baseline(wins))
     joined = (
-        grid.join(F.broadcast(fence_labels(fences)), "profile_id", "left")
+        grid.join(fence_labels(fences), "profile_id", "left")
         .join(summed, _KEYS, "left")
         .join(median, _KEYS, "left")
     )
@@ -255,7 +255,7 @@ def snapshot(
     rules: DataFrame | None = None,
 ) -> Snapshot:
     """Run the snapshot for all profiles and windows."""
-    sea = fences.join(F.broadcast(profiles.filter("mode = 'sea'").select("profile_id")), "profile_id", "left_semi")
+    sea = fences.join(profiles.filter("mode = 'sea'").select("profile_id"), "profile_id", "left_semi")
     obs = prune_to_windows(obs, with_baseline(wins), "window_start", "window_end")
     entities = entity_windows(rows_in_fences(obs, sea), wins, settings)
     if settings.crossing_input == "all":
@@ -279,7 +279,7 @@ def snapshot(
 def metric_inputs(rows: DataFrame, entities: DataFrame, wins: DataFrame) -> DataFrame:
     """Lineage of vessel_count and moving_fraction as rows: which observation fed which metric."""
     some = entities.groupBy(*_KEYS).agg((F.count_if(F.col("bucket") == "freight") > 0).alias("_some"))
-    member = entities.select(*_KEYS, "entity_id", "bucket").join(F.broadcast(some), _KEYS)
+    member = entities.select(*_KEYS, "entity_id", "bucket").join(some, _KEYS)
     member = member.select(
         *_KEYS, "entity_id",
         F.explode(
