@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm import packing, quality, token_files
+from fairlead.llm import exact_dedup, packing, quality, sentencepiece_codec, token_files, url_rules
 from fairlead.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,24 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     return notices(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+@_query
+def op1_sentencepiece(spark, d):
+    model = _tokenizer("piece_bpe_32k.model")
+    decoded = sentencepiece_codec.decode_notices(sentencepiece_codec.encode_notices(_readings(spark, d), model), model)
+    return decoded.select(
+        F.col("metric_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op3_exact_dedup(spark, d):
+    found = exact_dedup.exact_duplicates(_readings(spark, d))
+    return found.select(
+        F.col("metric_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256", "level", F.col("name").alias("block_name")
+    )
+
+
 @_query
 def op5_token_files(spark, d):
     path = shared_dir(spark, "token-files")
@@ -49,6 +67,17 @@ def op5_token_files(spark, d):
     return read.select(F.col("metric_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+# The rules of the query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@_query
+def op7_url_rules(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("metric_id"), F.col("url").alias("record_ref"))
+    rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as t(host, path, verdict)")
+    return url_rules.reference_verdicts(pages, rules).withColumnRenamed("metric_id", "page_id")
+
+
 @_query
 def op9_compression_bands(spark, d):
     judged = quality.notice_quality(_readings(spark, d))
