@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm import exact_dedup, packing, quality, sentencepiece_codec, token_files, url_rules
+from fairlead.llm import exact_dedup, ngram_join, packing, quality, sentencepiece_codec, token_files, url_rules
 from fairlead.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op5_token_files(spark, d):
     return read.select(F.col("metric_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+@_query
+def op6_ngram_jaccard(spark, d):
+    return ngram_join.similar_notices(_readings(spark, d)).withColumnRenamed("metric_id", "doc_id")
+
+
 # The rules of the query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
