@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, types as T
 
-from fairlead.llm.common import field, key_type, keyed, per_row
+from fairlead.llm.common import column, field, key_type, keyed, map_batches, per_row
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -130,3 +130,22 @@ def notice_quality(
         field("n_chunks", "bigint"), field("n_chunks_outside", "bigint"),
     ])
     return per_row(rows, lambda: _judge(settings), schema).withColumnRenamed("key", key)
+
+
+def kept_notices(readings: DataFrame, text: str = "construction_notice", settings: BandSettings = BandSettings()) -> DataFrame:
+    """The readings that ``notice_quality`` keeps, with all their columns; decided row by row where they are read."""
+    at = readings.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        judge = _judge(settings)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                keep = [next(iter(judge(None, t or "")))[7] for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(readings.withColumn(text, column(text).cast("string")), run, T.StructType([
+        T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in readings.schema
+    ]))

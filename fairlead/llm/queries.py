@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm import exact_dedup, ngram_join, packing, quality, sentencepiece_codec, token_files, url_rules
+from fairlead.llm import exact_dedup, line_dedup, ngram_join, packing, pseudo_likelihood, quality, sentencepiece_codec, token_counts, token_files, url_rules
 from fairlead.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,17 @@ def op1_sentencepiece(spark, d):
     )
 
 
+@_query
+def op2_token_counts(spark, d):
+    import public_tokenizers
+
+    counted = token_counts.token_counts(
+        _readings(spark, d), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        fields=("provider_id", "display_name", "construction_notice"),
+    )
+    return counted.withColumnRenamed("metric_id", "doc_id")
+
+
 @_query
 def op3_exact_dedup(spark, d):
     found = exact_dedup.exact_duplicates(_readings(spark, d))
@@ -59,6 +70,11 @@ def op3_exact_dedup(spark, d):
     )
 
 
+@_query
+def op4_pseudo_likelihood(spark, d):
+    return pseudo_likelihood.notice_scores(_readings(spark, d)).withColumnRenamed("metric_id", "doc_id")
+
+
 @_query
 def op5_token_files(spark, d):
     path = shared_dir(spark, "token-files")
@@ -83,6 +99,12 @@ def op7_url_rules(spark, d):
     return url_rules.reference_verdicts(pages, rules).withColumnRenamed("metric_id", "page_id")
 
 
+@_query
+def op8_line_dedup(spark, d):
+    found = line_dedup.line_groups(_readings(spark, d))
+    return found.select(F.col("metric_id").alias("doc_id"), "line_no", "group_id", "group_size", "kept")
+
+
 @_query
 def op9_compression_bands(spark, d):
     judged = quality.notice_quality(_readings(spark, d))
