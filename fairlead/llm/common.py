@@ -21,6 +21,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(rows: DataFrame, base: str) -> str:
+    """A column name that the table does not have."""
+    taken, name = {c.lower() for c in rows.columns}, f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keyed(rows: DataFrame, key: str, **texts: str) -> DataFrame:
     """``key`` and the named text columns only, texts as strings with null as empty.
 

@@ -27,10 +27,10 @@ class BandSettings:
     """
 
     bands: tuple[tuple[int, float, float], ...] = (
-        (128, 0.35, 1.05), (256, 0.30, 0.95), (512, 0.25, 0.90), (1024, 0.22, 0.85), (4096, 0.18, 0.80), (16384, 0.15, 0.80),
+        (128, 0.35, 1.05), (256, 0.30, 0.95), (512, 0.25, 0.88), (1024, 0.22, 0.80), (4096, 0.18, 0.72), (16384, 0.15, 0.70),
     )
     chunk_bytes: int = 4096
-    chunk_band: tuple[float, float] = (0.18, 0.80)
+    chunk_band: tuple[float, float] = (0.18, 0.75)
     chunk_share: float = 0.25
     level: int = 3
     min_words: int = 20
