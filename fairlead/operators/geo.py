@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.once import evaluate_once
 from fairlead.functions.polygon import inside_ring, ring_edges, ring_max, ring_min
-from fairlead.session import spread
 
 CELL_DEGREES = 0.1
 BROADCAST_CELLS = 200_000
@@ -20,14 +19,13 @@ def fence_violation() -> Column:
     blank = lambda name: F.coalesce(F.length(F.trim(name)), F.lit(0)) == 0
     empty = lambda name: F.coalesce(F.length(name), F.lit(0)) == 0
     return (
-        F.when(F.col("geometry_status").isNull() | (F.col("geometry_status") != "reviewed"),
-               F.lit("geometry is not reviewed"))
-        .when(blank("review_owner"), F.lit("missing review owner"))
-        .when(F.col("effective_date").try_cast("timestamp").isNull(), F.lit("invalid effective date"))
-        .when(empty("inclusion_rule") | empty("rationale"), F.lit("missing inclusion rule or rationale"))
-        .when(F.coalesce(F.size("ring"), F.lit(0)) < 4, F.lit("ring needs at least 4 vertices"))
-        .when(bad_lat, F.lit("invalid latitude in ring"))
-        .when(bad_lon, F.lit("invalid longitude in ring"))
+        F.when(F.col("geometry_status").isNull() | (F.col("geometry_status") != "reviewed"), F.lit("geometry_status.not_reviewed"))
+        .when(blank("review_owner"), F.lit("review_owner.blank"))
+        .when(F.col("effective_date").try_cast("timestamp").isNull(), F.lit("effective_date.not_date"))
+        .when(empty("inclusion_rule") | empty("rationale"), F.lit("rationale.incomplete"))
+        .when(F.coalesce(F.size("ring"), F.lit(0)) < 4, F.lit("ring.too_short"))
+        .when(bad_lat, F.lit("ring.latitude_range"))
+        .when(bad_lon, F.lit("ring.longitude_range"))
     )
 
 
@@ -104,8 +102,7 @@ def _join_cells(obs: DataFrame, cells: DataFrame, few: bool, cell: float, how: s
     Otherwise: shuffle join on the cell with both sides salted, so that a port
     holding a third of all positions is spread over ``salts`` tasks.
     """
-    # Polygon tests are the expensive part: use all cores even when the input is one small file.
-    located = spread(obs).withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
+    located = obs.withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
         "_cx", _cell(F.col("longitude"), cell)
     )
     if few:
@@ -168,8 +165,9 @@ def _profile_cells(fences: DataFrame, cell: float, keys: list[str]) -> DataFrame
     semi join needs no de-duplication afterwards.
     """
     reviewed = usable_fences(fences)
-    primary = primary_fences(reviewed).select("fence_id", F.lit(True).alias("is_primary"))
-    marked = _fence_cells(reviewed, cell).join(primary, "fence_id", "left")
+    # A fence may belong to several profiles and be primary in one of them.
+    primary = primary_fences(reviewed).select("profile_id", "fence_id", F.lit(True).alias("is_primary"))
+    marked = _fence_cells(reviewed, cell).join(primary, ["profile_id", "fence_id"], "left")
     return marked.groupBy(*keys, "_cy", "_cx").agg(
         F.collect_list(
             F.struct("edges", F.coalesce("is_primary", F.lit(False)).alias("is_primary"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.timeline import MICROS, plus_micros
 from fairlead.operators.geo import profile_membership
-from fairlead.operators.windows import prune_to_windows
+from fairlead.operators.windows import assign_windows, prune_to_windows
 from fairlead.schema import FREIGHT_TYPES, WATCH_METRICS
 
 
@@ -70,11 +70,11 @@ def by_region(rows: DataFrame) -> DataFrame:
     return rows.orderBy("region", "name")
 
 
-def network_totals(wide: DataFrame, readings: DataFrame | None = None) -> DataFrame:
-    """Sum of counts per window and mode; a missing count adds nothing."""
+def network_totals(wide: DataFrame) -> DataFrame:
+    """Sum of counts per window and mode; a missing count adds nothing, and without any the sum is unknown."""
     return wide.filter("role = 'current'").groupBy("window_id", "mode").agg(
         F.count("*").alias("profiles"),
-        F.sum(F.when(F.col("mode") == "sea", F.col("freight")).otherwise(0)).alias("vessels"),
+        F.sum(F.when(F.col("mode") == "sea", F.col("freight"))).alias("vessels"),
     )
 
 
@@ -91,20 +91,16 @@ def headline_series(
     obs: DataFrame, fences: DataFrame, profiles: DataFrame, bounds: DataFrame, buckets: int = 12,
     allowlist: list[str] = FREIGHT_TYPES,
 ) -> DataFrame:
-    """Headline count in equal half-open buckets of one window, in one pass; empty buckets stay."""
-    span = bounds.limit(1).select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
-    inside = profile_membership(prune_to_windows(obs, bounds), fences).join(F.broadcast(span))
-    us = F.unix_micros("observed_at")
-    bucket = F.floor((us - F.col("_s")) * F.lit(buckets) / (F.col("_e") - F.col("_s")))
-    counted = _freight_in_fence(
-        inside.filter((us >= F.col("_s")) & (us < F.col("_e"))).withColumn("bucket", bucket),
-        ["profile_id", "bucket"], allowlist,
-    )
-    grid = profiles.filter("mode = 'sea'").select(
-        "profile_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("bucket")
-    )
-    return grid.join(counted, ["profile_id", "bucket"], "left").select(
-        "profile_id", "bucket", F.coalesce("vessels", F.lit(0)).cast("bigint").alias("vessels")
+    """Headline count in equal half-open buckets of every window, in one pass; empty buckets stay."""
+    inside = assign_windows(profile_membership(prune_to_windows(obs, bounds), fences), bounds)
+    us, start, end = F.unix_micros("observed_at"), F.unix_micros("start_at"), F.unix_micros("end_at")
+    bucket = F.floor((us - start) * F.lit(buckets) / (end - start))
+    counted = _freight_in_fence(inside.filter(us < end).withColumn("bucket", bucket), ["window_id", "profile_id", "bucket"], allowlist)
+    # The asked grid: every window, profile and bucket has a row.
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("bucket")
+    grid = bounds.select("window_id").crossJoin(profiles.filter("mode = 'sea'").select("profile_id")).select("window_id", "profile_id", every)
+    return grid.join(counted, ["window_id", "profile_id", "bucket"], "left").select(
+        "window_id", "profile_id", "bucket", F.coalesce("vessels", F.lit(0)).cast("bigint").alias("vessels")
     )
 
 
@@ -112,7 +108,7 @@ def replay_counts(
     obs: DataFrame, fences: DataFrame, bounds: DataFrame, step_seconds: int, lookback_seconds: int,
     allowlist: list[str] = FREIGHT_TYPES,
 ) -> DataFrame:
-    """Counts for every replay cursor, all cursors in one job.
+    """Counts for every replay cursor of every window, all cursors in one job.
 
     Overlapping look-back windows share panes: rows are first reduced to the
     latest row per (profile, entity, pane), and only those are handed to the
@@ -123,15 +119,17 @@ def replay_counts(
         raise ValueError("the look-back must be a multiple of the step")
     step = step_seconds * MICROS
     reach = lookback_seconds // step_seconds
-    span = bounds.limit(1).select(F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"))
     us = F.unix_micros("observed_at")
-    lookback = bounds.select(plus_micros(F.col("start_at"), -lookback_seconds * MICROS).alias("start_at"), "end_at")
-    inside = profile_membership(prune_to_windows(obs, lookback), fences).join(F.broadcast(span)).withColumn("_off", us - F.col("_s"))
+    lookback = bounds.select(
+        "window_id", plus_micros(F.col("start_at"), -lookback_seconds * MICROS).alias("start_at"), "end_at",
+        F.unix_micros("start_at").alias("_s"), F.unix_micros("end_at").alias("_e"),
+    )
+    inside = assign_windows(profile_membership(prune_to_windows(obs, lookback), fences), lookback).withColumn("_off", us - F.col("_s"))
     whole = F.floor(F.col("_off") / F.lit(step))
     # Even panes are border instants, odd panes the open intervals between them.
     pane = 2 * whole + F.when(F.col("_off") % step == 0, 0).otherwise(1)
     latest = F.max(F.struct("observed_at", "observation_id", "entity_type", "classification"))
-    panes = inside.withColumn("_pane", pane).groupBy("profile_id", "_s", "_e", "entity_id", "_pane").agg(
+    panes = inside.withColumn("_pane", pane).groupBy("window_id", "profile_id", "_s", "_e", "entity_id", "_pane").agg(
         latest.alias("_l"), F.count("*").alias("_n")
     )
     # Regular cursors k cover panes 2(k - reach) .. 2k; the last cursor may be off the grid and is added below.
@@ -140,17 +138,17 @@ def replay_counts(
     full = F.floor((F.col("_e") - F.col("_s")) / F.lit(step))
     regular = panes.withColumn("_last", F.least(last, full)).filter(first <= F.col("_last")).select(
         "*", F.explode(F.sequence(first, F.col("_last"))).alias("_k")
-    ).select("profile_id", "entity_id", "_l", "_n", (F.col("_s") + F.col("_k") * step).alias("cursor_us"))
+    ).select("window_id", "profile_id", "entity_id", "_l", "_n", (F.col("_s") + F.col("_k") * step).alias("cursor_us"))
     off_grid = (
         inside.filter(((F.col("_e") - F.col("_s")) % step != 0) & us.between(F.col("_e") - lookback_seconds * MICROS, F.col("_e")))
-        .groupBy("profile_id", "entity_id", "_e").agg(latest.alias("_l"), F.count("*").alias("_n"))
-        .select("profile_id", "entity_id", "_l", "_n", F.col("_e").alias("cursor_us"))
+        .groupBy("window_id", "profile_id", "entity_id", "_e").agg(latest.alias("_l"), F.count("*").alias("_n"))
+        .select("window_id", "profile_id", "entity_id", "_l", "_n", F.col("_e").alias("cursor_us"))
     )
-    per_entity = regular.unionByName(off_grid).groupBy("profile_id", "cursor_us", "entity_id").agg(
+    per_entity = regular.unionByName(off_grid).groupBy("window_id", "profile_id", "cursor_us", "entity_id").agg(
         F.max("_l").alias("_l"), F.sum("_n").alias("_n")
     )
     confirmed = F.col("_l.classification") == "confirmed"
-    return per_entity.groupBy("profile_id", "cursor_us").agg(
+    return per_entity.groupBy("window_id", "profile_id", "cursor_us").agg(
         F.sum("_n").alias("in_fence_rows"),
         F.count("*").alias("entities"),
         F.count_if(confirmed & F.col("_l.entity_type").isin(allowlist)).alias("vessels"),

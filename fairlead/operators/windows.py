@@ -57,12 +57,16 @@ def with_baseline(wins: DataFrame) -> DataFrame:
 def relative_windows(requests: DataFrame, available: DataFrame) -> DataFrame:
     """Resolve "last n hours" against a reference time, clamped to the available data.
 
-    ``requests``: relative, reference_at (plus any key columns).
+    ``requests``: relative, reference_at (plus any key columns).  ``available`` is one
+    window; more than one is an error.
     """
     hours = (
         F.when(F.col("relative") == "last_24_hours", 24).when(F.col("relative") == "last_3_days", 72).otherwise(6)
     )
-    bounds = available.select(F.col("start_at").alias("_from"), F.col("end_at").alias("_to")).limit(1)
+    many = F.raise_error(F.lit("more than one available window")).cast("timestamp")
+    bounds = available.agg(F.min("start_at").alias("_from"), F.max("end_at").alias("_to"), F.count("*").alias("_n")).select(
+        F.when(F.col("_n") > 1, many).otherwise(F.col("_from")).alias("_from"), "_to"
+    )
     end = F.least("reference_at", "_to")
     return (
         requests.join(F.broadcast(bounds))
@@ -98,7 +102,11 @@ def prune_to_windows(rows: DataFrame, wins: DataFrame, start: str = "start_at",
     first, last = wins.agg(F.min(F.unix_micros(start)), F.max(F.unix_micros(end))).first()
     if first is None:
         return rows.limit(0)
-    return rows.filter(F.col(at).between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
+    low, high = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
+    kept = rows.filter(F.col(at).between(low, high))
+    if at == "observed_at" and "observed_date" in rows.columns:  # the partition column of observation tables
+        kept = kept.filter(F.col("observed_date").between(F.to_date(low), F.to_date(high)))
+    return kept
 
 
 def assign_windows(

@@ -369,13 +369,17 @@ def relative_windows(spark, d):
 @_query
 def replay_snapshots(spark, d):
     obs = V.observations(spark, d)
-    bounds = windows.windows(spark, [("r", "2024-01-15T00:00:00Z", "2024-01-18T09:30:00Z")])
+    bounds = windows.windows(spark, [
+        ("r1", "2024-01-15T00:00:00Z", "2024-01-18T09:30:00Z"), ("r2", "2024-01-17T12:00:00Z", "2024-01-19T00:00:00Z"),
+    ])
     return network.replay_counts(obs, registry.fences(spark), bounds, 3600, 6 * 3600)
 
 
 @_query
 def headline_series(spark, d):
-    bounds = windows.windows(spark, [("s", "2024-01-15T00:00:00Z", "2024-01-22T00:00:00Z")])
+    bounds = windows.windows(spark, [
+        ("s1", "2024-01-15T00:00:00Z", "2024-01-22T00:00:00Z"), ("s2", "2024-01-10T00:00:00Z", "2024-01-16T00:00:00Z"),
+    ])
     sea = registry.fences(spark).filter("profile_id not in ('lax-cargo-air', 'el-paso-border-crossings')")
     return network.headline_series(V.observations(spark, d), sea, registry.profiles(spark), bounds)
 
@@ -631,7 +635,7 @@ def source_health(spark, d):
 
 
 def _probes(spark, d):
-    return V.events(spark, d).filter("event_id % 5 = 0").select(
+    return V.events(spark, d).select(
         F.concat(F.lit("src-"), F.col("event_id") % 27).alias("source_id"), plus_micros(F.col("ts"), 90 * V.SEC).alias("probe_at")
     )
 
@@ -731,7 +735,8 @@ def evidence_bundles(spark, d):
 @_query
 def answers(spark, d):
     snap, bundles = _question_run(spark, d)
-    made = C.snapshot_claims(snap.wide, snap.metrics, snap.comparisons)
+    events = compare.detect_events(snap.metrics, _eager_rules(spark))
+    made = C.snapshot_claims(snap.wide, snap.metrics, snap.comparisons).unionByName(C.event_claims(events))
     values = snap.metrics.filter("role = 'current'").select("profile_id", "window_id", "value")
     judged = C.judge_claims(made, values, ["profile_id", "window_id"])
     served = Q.claims_of_bundles(bundles, judged, "question_id")

@@ -244,8 +244,10 @@ SELECT profile_id, window_id, in_fence_rows, freight, unclassified, other, eligi
   crossing_state AS exit_state
 FROM wide WHERE profile_id = 'long-beach-approach' AND role = 'current'"""
 _SQL["all_snapshots"] = _snap() + """
-SELECT profile_id, mode, window_id, role, window_start_us, window_end_us, in_fence_rows, freight, unclassified, other, eligible, moving,
-  missing_speed, dwell_cohort, entries, exits, uncertain FROM wide"""
+SELECT profile_id, mode, window_id, role, window_start_us, window_end_us, """ + ", ".join(
+    f"CASE WHEN mode = 'sea' THEN {c} END AS {c}"
+    for c in "in_fence_rows freight unclassified other eligible moving missing_speed dwell_cohort entries exits uncertain".split()
+) + " FROM wide"
 _SQL["open_water_crossings"] = _snap(all_rows=True) + """
 SELECT profile_id, window_id, role, entries, exits, uncertain FROM wide WHERE mode = 'sea'"""
 _SQL["dwell_metrics"] = _snap() + """
@@ -262,7 +264,7 @@ SELECT profile_id, window_id, metric, current_value, baseline_value, absolute_ch
 _SQL["detected_events"] = _snap() + "," + _compared(3) + "," + EAGER + """
 SELECT event_id, event_type, scope, window_id, metric, current_value, baseline_value, absolute_change, relative_change, direction, state FROM fired"""
 _SQL["network_totals"] = _snap() + """
-SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight ELSE 0 END)::BIGINT AS vessels
+SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight END)::BIGINT AS vessels
 FROM wide WHERE role = 'current' GROUP BY ALL"""
 _SQL["event_topk"] = _snap() + "," + _compared(1) + """,
 r AS (SELECT window_id, metric || '@' || profile_id AS event_id, abs(coalesce(relative_change, 0)) AS p FROM cmp WHERE direction <> 'unknown'),
@@ -322,21 +324,21 @@ c AS (SELECT * FROM cmp WHERE metric = 'vessel_count'),
 n AS (SELECT profile_id, window_id, in_fence_rows FROM wide WHERE role = 'current'),
 cl AS (
   SELECT v.profile_id, v.window_id, 1 AS claim_order, 'claim-vessel-count' AS claim_id,
-    CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 'Not enough evidence to count vessels in the defined geofence; coverage is unknown, not zero.'
-      ELSE CAST(v.value AS BIGINT) || ' classified freight vessels were observed in the defined geofence in the window.' END AS text,
+    CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 'vessel_count: unknown, nothing received in the fence'
+      ELSE 'vessel_count: ' || CAST(v.value AS BIGINT) END AS text,
     CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 'LIMITATION' ELSE 'CALCULATION' END AS category,
     CASE WHEN v.value = 0 AND n.in_fence_rows = 0 THEN 0 WHEN v.state = 'fresh' THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS confidence, 1 AS n_support
   FROM v JOIN n USING (profile_id, window_id)
   UNION ALL
   SELECT c.profile_id, c.window_id, 2, 'claim-vessel-count-baseline',
-    CASE WHEN direction = 'stable' OR abs(relative_change) < 1e-12 THEN 'The observed vessel count stayed at the level of the preceding window.'
-      ELSE 'The observed vessel count went ' || CASE WHEN relative_change > 0 THEN 'up ' ELSE 'down ' END
-        || printf('%.1f', floor(abs(relative_change) * 100 * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE)) || '% against the preceding window.' END,
+    CASE WHEN direction = 'stable' OR abs(relative_change) < 1e-12 THEN 'vessel_count against baseline: unchanged'
+      ELSE 'vessel_count against baseline: ' || CASE WHEN relative_change > 0 THEN '+' ELSE '-' END
+        || printf('%.1f', floor(abs(relative_change) * 100 * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE)) || '%' END,
     'COMPARISON', CASE WHEN state = 'fresh' THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END, 2
   FROM c WHERE mode = 'sea' AND direction <> 'unknown' AND relative_change IS NOT NULL
   UNION ALL
   SELECT profile_id, window_id, 3, 'claim-moving-fraction',
-    'The moving fraction of observed freight vessels was ' || CAST(floor(abs(value) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) || '%; vessels without a speed are left out.',
+    'moving_fraction: ' || CAST(floor(abs(value) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) || '% of the vessels with a speed',
     'CALCULATION', CASE WHEN state = 'fresh' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END, 1
   FROM m WHERE value IS NOT NULL)"""
 _SQL["claims"] = _snap() + "," + _compared(1) + "," + CLAIMS + """
@@ -375,11 +377,11 @@ _SQL["facility_claims"] = f"""WITH {READINGS},
 l AS (SELECT *, CASE WHEN lane = 'commercial_vehicle' THEN wait END AS w FROM fr
   QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY us DESC, received_us, metric_id) = 1)
 SELECT profile_id, 'claim-facility-' || facility_id || CASE WHEN w IS NULL THEN '-unknown' ELSE '-commercial-wait' END AS claim_id,
-  CASE WHEN w IS NULL THEN 'The commercial vehicle wait at ' || display_name || ' is UNKNOWN; missing is not zero.'
-    ELSE 'The commercial vehicle wait at ' || display_name || ' was ' || CAST(w AS BIGINT) || ' minutes as of ' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ') || '.' END AS text,
+  CASE WHEN w IS NULL THEN 'commercial_wait at ' || display_name || ': unknown'
+    ELSE 'commercial_wait at ' || display_name || ': ' || CAST(w AS BIGINT) || ' min, read ' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ') END AS text,
   CASE WHEN w IS NULL THEN 'LIMITATION' ELSE 'OBSERVATION' END AS category, CASE WHEN w IS NULL THEN 0 ELSE CAST(0.95 AS DOUBLE) END AS confidence
 FROM l
-UNION ALL SELECT 'empty-' || r_regionkey, 'claim-facility-none', 'No border wait readings in this window; coverage is UNKNOWN, not zero.', 'LIMITATION', 0 FROM region"""
+UNION ALL SELECT 'empty-' || r_regionkey, 'claim-facility-none', 'commercial_wait: unknown, no reading in the window', 'LIMITATION', 0 FROM region"""
 _SQL["sorted_observations"] = f"WITH {COPIES} SELECT us AS observed_at_us, entity_id, observation_id FROM copies ORDER BY ALL"
 _SQL["dedupe_observations"] = f"""WITH {COPIES}
 SELECT observation_id, duplicate_key, us AS observed_at_us, received_us AS received_at_us FROM keyed
@@ -427,9 +429,9 @@ sv AS (
   UNION ALL SELECT s, 2, la + z, lo + z FROM s0 UNION ALL SELECT s, 3, la + z / 2, lo + z / 2 FROM s0 WHERE s % 29 <> 0
   UNION ALL SELECT s, 4, la, lo + z FROM s0 WHERE s % 29 <> 0),
 sr AS (SELECT s, i, CASE WHEN s % 29 <> 0 AND s % 31 = 0 THEN lat + 100 ELSE lat END AS lat, lon FROM sv),
-sc AS (SELECT s, nation, CASE WHEN s % 13 = 0 THEN 'geometry is not reviewed' WHEN s % 17 = 0 THEN 'missing review owner'
-    WHEN s % 19 = 0 THEN 'invalid effective date' WHEN s % 23 = 0 THEN 'missing inclusion rule or rationale'
-    WHEN s % 29 = 0 THEN 'ring needs at least 4 vertices' WHEN s % 31 = 0 THEN 'invalid latitude in ring' END AS violation FROM s0)"""
+sc AS (SELECT s, nation, CASE WHEN s % 13 = 0 THEN 'geometry_status.not_reviewed' WHEN s % 17 = 0 THEN 'review_owner.blank'
+    WHEN s % 19 = 0 THEN 'effective_date.not_date' WHEN s % 23 = 0 THEN 'rationale.incomplete'
+    WHEN s % 29 = 0 THEN 'ring.too_short' WHEN s % 31 = 0 THEN 'ring.latitude_range' END AS violation FROM s0)"""
 _SQL["fence_validation"] = f"WITH {SUPPLIERS} SELECT 'f-' || s AS fence_id, violation, violation IS NULL AS usable FROM sc"
 _SQL["fence_bboxes"] = f"""WITH {SUPPLIERS}
 SELECT 'f-' || s AS fence_id, min(lat) - CAST(0.05 AS DOUBLE) AS min_lat, min(lon) - CAST(0.05 AS DOUBLE) AS min_lon,
@@ -468,23 +470,22 @@ r AS (SELECT event_id, ['last_6_hours','last_24_hours','last_3_days'][event_id %
   [6, 24, 72][event_id % 3 + 1] AS h FROM events)
 SELECT event_id, relative, ref AS reference_at_us, least(ref, t) AS end_at_us, greatest(f, least(ref, t) - CAST(h AS BIGINT) * 3600000000) AS start_at_us FROM r, b"""
 _SQL["replay_snapshots"] = _geo() + "," + MEMBERS + f""",
-b AS (SELECT {_us('2024-01-15')} AS s, {_us('2024-01-18 09:30:00')} AS e),
-cur AS (SELECT least(s + k * 3600000000, e) AS c FROM b, range(0, 83) t(k)),
-cs AS (SELECT DISTINCT c FROM cur),
-inw AS (SELECT m.*, c FROM members m JOIN cs ON m.us BETWEEN c - 21600000000 AND c),
-l AS (SELECT * FROM inw QUALIFY row_number() OVER (PARTITION BY profile_id, c, entity_id ORDER BY us DESC, observation_id DESC) = 1),
-n AS (SELECT profile_id, c, count(*) AS in_fence_rows FROM inw GROUP BY ALL)
-SELECT profile_id, c AS cursor_us, any_value(in_fence_rows) AS in_fence_rows, count(*) AS entities,
+b(window_id, s, e) AS (VALUES ('r1', {_us('2024-01-15')}, {_us('2024-01-18 09:30:00')}), ('r2', {_us('2024-01-17 12:00:00')}, {_us('2024-01-19')})),
+cs AS (SELECT DISTINCT window_id, least(s + k * 3600000000, e) AS c FROM b, range(0, 83) t(k)),
+inw AS (SELECT m.*, window_id, c FROM members m JOIN cs ON m.us BETWEEN c - 21600000000 AND c),
+l AS (SELECT * FROM inw QUALIFY row_number() OVER (PARTITION BY window_id, profile_id, c, entity_id ORDER BY us DESC, observation_id DESC) = 1),
+n AS (SELECT window_id, profile_id, c, count(*) AS in_fence_rows FROM inw GROUP BY ALL)
+SELECT window_id, profile_id, c AS cursor_us, any_value(in_fence_rows) AS in_fence_rows, count(*) AS entities,
   count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels
-FROM l JOIN n USING (profile_id, c) GROUP BY profile_id, c"""
+FROM l JOIN n USING (window_id, profile_id, c) GROUP BY window_id, profile_id, c"""
 _SQL["headline_series"] = _geo() + "," + MEMBERS + f""",
-b AS (SELECT {_us('2024-01-15')} AS s, {_us('2024-01-22')} AS e),
-k AS (SELECT m.*, ((us - s) * 12) // (e - s) AS bucket FROM members m, b WHERE us >= s AND us < e),
-l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY profile_id, bucket, entity_id ORDER BY us DESC, observation_id DESC) = 1),
-v AS (SELECT profile_id, bucket, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels FROM l GROUP BY ALL)
-SELECT p.profile_id, g.bucket, coalesce(v.vessels, 0) AS vessels
-FROM (VALUES ('long-beach-approach'), ('singapore-malacca-approach'), ('suez-canal-approaches')) p(profile_id)
-CROSS JOIN range(0, 12) g(bucket) LEFT JOIN v ON v.profile_id = p.profile_id AND v.bucket = g.bucket"""
+b(window_id, s, e) AS (VALUES ('s1', {_us('2024-01-15')}, {_us('2024-01-22')}), ('s2', {_us('2024-01-10')}, {_us('2024-01-16')})),
+k AS (SELECT m.*, window_id, ((us - s) * 12) // (e - s) AS bucket FROM members m, b WHERE us >= s AND us < e),
+l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY window_id, profile_id, bucket, entity_id ORDER BY us DESC, observation_id DESC) = 1),
+v AS (SELECT window_id, profile_id, bucket, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels FROM l GROUP BY ALL)
+SELECT b.window_id, p.profile_id, g.bucket, coalesce(v.vessels, 0) AS vessels
+FROM b CROSS JOIN (VALUES ('long-beach-approach'), ('singapore-malacca-approach'), ('suez-canal-approaches')) p(profile_id)
+CROSS JOIN range(0, 12) g(bucket) LEFT JOIN v ON v.window_id = b.window_id AND v.profile_id = p.profile_id AND v.bucket = g.bucket"""
 TRACKS = OBS + f""",
 g AS (SELECT *, lag(us) OVER w AS prev_us FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY us, observation_id)),
 t AS (SELECT *, sum(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY us, observation_id) AS seg FROM g),
@@ -558,7 +559,7 @@ h AS (SELECT *, CASE WHEN status = 'failure' THEN 'UNAVAILABLE' WHEN status = 'p
     WHEN now_us - last <= 3600000000 THEN 'FRESH' ELSE 'STALE' END AS state FROM u)"""
 _SQL["source_health"] = f"WITH {HEALTH} SELECT source_id, seq, status, last AS last_observation_at_us, state FROM h"
 AS_OF = HEALTH + """,
-p AS (SELECT event_id, 'src-' || (event_id % 27) AS source_id, epoch_us(ts) + 90000000 AS pa FROM events WHERE event_id % 5 = 0),
+p AS (SELECT event_id, 'src-' || (event_id % 27) AS source_id, epoch_us(ts) + 90000000 AS pa FROM events),
 j AS (SELECT p.event_id, p.source_id, p.pa, h.state, h.now_us, h.last FROM p LEFT JOIN h ON h.source_id = p.source_id AND h.now_us <= p.pa
   QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY h.now_us DESC NULLS LAST, h.seq DESC) = 1),
 a AS (SELECT source_id, pa, CASE WHEN now_us IS NULL THEN 'NEVER_ANSWERED' WHEN state = 'FRESH' AND pa - last > 3600000000 THEN 'STALE' ELSE state END AS state,
@@ -595,15 +596,15 @@ SELECT tp AS true_positives, nd - tp AS false_positives, nl - tp AS false_negati
 
 # --- normalization --------------------------------------------------------------------------
 
-_OBS_REASON = """CASE WHEN event_id % 257 = 0 THEN 'record must be a JSON object'
-    WHEN event_id % 199 = 0 THEN 'missing or empty observationId' WHEN event_id % 229 = 0 THEN 'invalid mode: submarine'
-    WHEN event_id % 227 = 0 THEN 'invalid entityType: yacht'
-    WHEN event_id % 211 = 0 THEN 'invalid latitude (must be finite and within [-90, 90])'
-    WHEN event_id % 233 = 0 AND user_id % 6 <> 5 THEN 'invalid longitude (must be finite and within [-180, 180])'
-    WHEN event_id % 223 = 0 THEN 'headingDegrees must be within [0, 360)'
-    WHEN event_id % 239 = 0 THEN 'missing or invalid observedAt (ISO 8601 required)'
-    WHEN event_id % 241 = 0 THEN 'missing source.licenseId'
-    WHEN event_id % 251 = 0 THEN 'invalid quality.sourceState: rotten' END"""
+_OBS_REASON = """CASE WHEN event_id % 257 = 0 THEN 'record.not_object'
+    WHEN event_id % 199 = 0 THEN 'observation_id.blank' WHEN event_id % 229 = 0 THEN 'mode.unlisted=submarine'
+    WHEN event_id % 227 = 0 THEN 'entity_type.unlisted=yacht'
+    WHEN event_id % 211 = 0 THEN 'latitude.range'
+    WHEN event_id % 233 = 0 AND user_id % 6 <> 5 THEN 'longitude.range'
+    WHEN event_id % 223 = 0 THEN 'heading_degrees.range'
+    WHEN event_id % 239 = 0 THEN 'observed_at.not_time'
+    WHEN event_id % 241 = 0 THEN 'license_id.blank'
+    WHEN event_id % 251 = 0 THEN 'source_state.unlisted=rotten' END"""
 RAWS = OBS + f""",
 raws AS (
   SELECT *, {_OBS_REASON} AS reject_reason, CASE WHEN event_id % 257 <> 0 AND event_id % 239 <> 0 THEN us END AS seen_us FROM obs)"""
@@ -623,9 +624,9 @@ SELECT event_id % 16 AS batch, count(*) FILTER (reject_reason IS NULL) AS accept
   CASE WHEN count(*) FILTER (reject_reason IS NULL) = 0 THEN 'failure' WHEN count(*) FILTER (reject_reason IS NOT NULL) > 0 THEN 'partial' ELSE 'ok' END AS status
 FROM raws GROUP BY 1"""
 MANIFESTS = RAWS + """,
-mf AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'truthState must be SIMULATED' WHEN event_id % 41 = 0 THEN 'manifest must set simulated to true'
-    WHEN event_id % 31 = 0 THEN 'providerId must start with simulated' WHEN event_id % 29 = 0 THEN 'manifest must include an observations array'
-    WHEN event_id % 43 = 0 THEN 'manifest must include a non-empty fixtureId' END AS violation FROM raws WHERE event_id % 257 <> 0)"""
+mf AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'truth_state.not_simulated' WHEN event_id % 41 = 0 THEN 'simulated.not_true'
+    WHEN event_id % 31 = 0 THEN 'provider_id.not_simulated' WHEN event_id % 29 = 0 THEN 'observations.not_list'
+    WHEN event_id % 43 = 0 THEN 'fixture_id.blank' END AS violation FROM raws WHERE event_id % 257 <> 0)"""
 _FIXTURE_ID = "CASE WHEN event_id % 43 = 0 THEN '' ELSE 'fx-' || event_id END"
 _SQL["manifest_guard"] = f"WITH {MANIFESTS} SELECT 'fx-' || event_id || '.json' AS file, {_FIXTURE_ID} AS fixture_id, violation FROM mf"
 _SQL["scan_manifests"] = f"""WITH {MANIFESTS}
@@ -652,9 +653,9 @@ f0 AS (
   FROM events),
 f1 AS (
   SELECT *, CASE WHEN e % 19 = 0 THEN NULL WHEN e % 17 <> 0 AND e % 23 = 0 THEN (us // 1000) * 1000 - 7200000000 ELSE (us // 1000) * 1000 END AS seen,
-    CASE WHEN e % 101 = 0 THEN 'frame must be a JSON object' WHEN k = 3 THEN 'missing MetaData block'
-      WHEN k IN (0, 1) THEN NULL WHEN k = 2 THEN 'message type BaseStationReport is not used'
-      WHEN lon IS NULL THEN 'missing or non-numeric Longitude' WHEN e % 19 = 0 THEN 'unparseable time_utc: soon' END AS reason FROM f0),
+    CASE WHEN e % 101 = 0 THEN 'frame.not_object' WHEN k = 3 THEN 'metadata.absent'
+      WHEN k IN (0, 1) THEN NULL WHEN k = 2 THEN 'message_type.unused=BaseStationReport'
+      WHEN lon IS NULL THEN 'longitude.not_number' WHEN e % 19 = 0 THEN 'time_utc.not_time=soon' END AS reason FROM f0),
 f2 AS (
   SELECT *, CASE WHEN e % 101 = 0 THEN 'invalid' WHEN k = 2 THEN 'unsupported' WHEN reason IS NOT NULL THEN 'invalid'
       WHEN k IN (0, 1) THEN 'classification-update' ELSE 'observation' END AS kind FROM f1),
@@ -684,10 +685,10 @@ SELECT day AS day_us, kind, frames FROM g, m WHERE day + 86400000000 <= mark"""
 _LANE = "['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber]"
 _SQL["normalize_facility"] = f"""WITH b AS (
   SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_partkey AS p, l_quantity AS q, epoch_us(l_shipdate) AS us, {_LANE} AS lane FROM lineitem),
-r AS (SELECT *, CASE WHEN o % 73 = 0 THEN 'facilityId must be a non-empty string' WHEN o % 79 = 0 THEN 'unsupported facility mode: sea'
-    WHEN o % 53 = 0 THEN 'observedAt cannot be after receivedAt' WHEN o % 59 = 0 THEN 'measurements must be a non-empty array'
-    WHEN o % 61 = 0 THEN 'unsupported laneGroup: all' WHEN p % 9 <> 0 AND o % 67 = 0 THEN 'wait_minutes cannot be negative — never clamped'
-    WHEN o % 71 = 0 THEN 'lanes_open must be an integer' WHEN o % 47 = 0 THEN 'source.providerId/endpointId/licenseId are required strings' END AS reason FROM b)
+r AS (SELECT *, CASE WHEN o % 73 = 0 THEN 'facility_id.blank' WHEN o % 79 = 0 THEN 'mode.unlisted=sea'
+    WHEN o % 53 = 0 THEN 'observed_at.after_received' WHEN o % 59 = 0 THEN 'measurements.empty'
+    WHEN o % 61 = 0 THEN 'lane_group.unlisted=all' WHEN p % 9 <> 0 AND o % 67 = 0 THEN 'wait_minutes.negative'
+    WHEN o % 71 = 0 THEN 'lanes_open.not_whole' WHEN o % 47 = 0 THEN 'source.incomplete' END AS reason FROM b)
 SELECT o AS order_key, n AS line_number, s AS supp_key, reason AS reject_reason, 'fm-' || o || '-' || n AS metric_id,
   CASE WHEN o % 73 <> 0 THEN 'site:' || s END AS facility_id, us AS observed_at_us, us + CASE WHEN o % 53 = 0 THEN -60000000 ELSE 60000000 END AS received_at_us,
   CASE WHEN o % 59 <> 0 THEN CASE WHEN o % 61 = 0 THEN 'all' ELSE lane END END AS first_lane, CASE WHEN o % 59 <> 0 THEN 'minutes' END AS first_unit,
@@ -706,8 +707,8 @@ z AS (SELECT *, list_filter([CASE WHEN per > 0 THEN 'commercial_vehicle:' || rep
     CASE WHEN per > 0 AND n % 2 = 0 THEN 'fast:' || replace(names, '|', '|fast:') END,
     CASE WHEN per > 0 AND n % 4 = 0 THEN 'pedestrian:' || replace(names, '|', '|pedestrian:') END], lambda x: x IS NOT NULL) AS parts FROM t)
 SELECT o AS order_key, n AS line_number, s AS supp_key,
-  CASE WHEN down THEN 'payload is not an array of crossings' WHEN o % 97 = 0 THEN 'crossing missing port_number/port_name/date/time'
-    WHEN o % 89 = 0 THEN 'unparseable date: soon' WHEN per = 0 THEN 'no usable lane readings for ' || fac || ' (all pending/empty)' END AS reject_reason,
+  CASE WHEN down THEN 'payload.not_list' WHEN o % 97 = 0 THEN 'crossing.incomplete'
+    WHEN o % 89 = 0 THEN 'date.not_date=soon' WHEN per = 0 THEN 'measurements.empty=' || fac END AS reject_reason,
   fac AS facility_id, seen AS observed_at_us,
   CASE WHEN down THEN NULL WHEN n % 2 <> 0 THEN 'At 7:00 am' ELSE 'At 7:15 am' END AS provider_update_label,
   CAST(CASE WHEN down THEN 0 ELSE per * lanes END AS BIGINT) AS n_measurements,
@@ -727,8 +728,8 @@ a1 AS (
     CASE WHEN e % 7 <> 0 THEN CAST(-118.4 AS DOUBLE) END, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 <> 0
   UNION ALL SELECT e, u, us, NULL, false, NULL, NULL, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 = 0),
 air AS (
-  SELECT *, CASE WHEN hex IS NULL OR lat IS NULL OR lon IS NULL THEN 'missing hex, lat or lon'
-      WHEN lat > 90 THEN 'invalid latitude (must be finite and within [-90, 90])' WHEN track >= 360 THEN 'headingDegrees must be within [0, 360)' END AS reason,
+  SELECT *, CASE WHEN hex IS NULL OR lat IS NULL OR lon IS NULL THEN 'record.incomplete'
+      WHEN lat > 90 THEN 'latitude.range' WHEN track >= 360 THEN 'heading_degrees.range' END AS reason,
     CASE WHEN seen_pos IS NULL THEN us
       ELSE CAST(floor((us - CAST(floor(seen_pos * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 1000) / CAST(1000000 AS DOUBLE)) AS BIGINT) * 1000000 END AS seen,
     CASE WHEN freight THEN 'aircraft' ELSE 'unknown' END AS entity_type FROM a1)"""
@@ -849,9 +850,9 @@ qs AS (SELECT 'cv-' || conv_id || '-' || turn AS question_id, text FROM conversa
   UNION ALL SELECT 'ev-' || event_id, {_ASKED}[event_id % {len(QUESTIONS)} + 1] FROM events),
 q1 AS (SELECT *, trim(text) AS t, lower(trim(text)) AS lt FROM qs),
 q2 AS (SELECT *, {_rules(_TOOLS, 't', True)} AS tool0, {_rules(_PLACES, 'lt', False)} AS place0 FROM q1),
-q3 AS (SELECT *, CASE WHEN t = '' THEN 'empty question' WHEN tool0 IS NULL THEN 'no supported intent matched'
+q3 AS (SELECT *, CASE WHEN t = '' THEN 'question.blank' WHEN tool0 IS NULL THEN 'intent.none'
     WHEN tool0 NOT IN ('explain_metric','set_time_window','start_replay','stop_replay') AND place0 IS NULL
-      AND NOT regexp_matches(lt, '\b(current|this|here)\b') THEN 'no profile named' END AS abstention FROM q2),
+      AND NOT regexp_matches(lt, '\b(current|this|here)\b') THEN 'profile.none' END AS abstention FROM q2),
 rt AS (SELECT question_id, text, abstention, CASE WHEN abstention IS NULL THEN tool0 END AS tool, CASE WHEN abstention IS NULL THEN place0 END AS profile_id,
   CASE WHEN abstention IS NULL THEN {_rules(_SPANS, 'lt', False)} END AS relative,
   CASE WHEN abstention IS NULL THEN coalesce({_rules(_METRICS, 'lt', False)}, CASE WHEN tool0 = 'compare_with_baseline' THEN 'vessel_count' END) END AS metric FROM q3)"""
@@ -862,28 +863,38 @@ BUNDLES = ROUTED + """,
 ctx AS (SELECT *, CASE WHEN length(question_id) % 2 = 0 THEN 'long-beach-approach' END AS cp FROM rt),
 b0 AS (SELECT question_id, text, tool, CASE WHEN abstention IS NULL THEN coalesce(profile_id, cp) END AS profile_id,
   CASE WHEN abstention IS NULL AND coalesce(profile_id, cp) IS NOT NULL THEN coalesce(relative, 'context') END AS window_id,
-  CASE WHEN abstention IS NOT NULL THEN abstention WHEN coalesce(profile_id, cp) IS NULL THEN 'no profile in context' END AS abstention FROM ctx),
+  CASE WHEN abstention IS NOT NULL THEN abstention WHEN coalesce(profile_id, cp) IS NULL THEN 'profile.no_context' END AS abstention FROM ctx),
 bun AS (SELECT b0.*, coalesce(w.in_fence_rows, 0) AS observations,
   'bundle-' || substr(sha256(text || '|' || coalesce(b0.profile_id, '') || '|' || coalesce(CAST(window_start_us AS VARCHAR), '') || '|' || coalesce(CAST(window_end_us AS VARCHAR), '')), 1, 16) AS bundle_id
   FROM b0 LEFT JOIN wide w ON w.role = 'current' AND w.profile_id = b0.profile_id AND w.window_id = b0.window_id)"""
 _SQL["evidence_bundles"] = _snap(_RUN) + "," + BUNDLES + """
 SELECT question_id, bundle_id, tool, profile_id, window_id, abstention, observations FROM bun"""
-_SQL["answers"] = _snap(_RUN) + "," + _compared(1) + "," + CLAIMS + "," + BUNDLES + r""",
-nums AS (SELECT cl.*, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) AS number FROM cl WHERE category <> 'LIMITATION'),
+_SQL["answers"] = _snap(_RUN) + "," + _compared(1) + "," + CLAIMS + "," + BUNDLES + """,
+cmp3 AS (SELECT * REPLACE (CASE WHEN sample_count < 3 THEN 'unknown' ELSE state END AS state,
+  CASE WHEN sample_count < 3 THEN 'unknown' ELSE direction END AS direction) FROM cmp),
+""" + EAGER.replace("FROM cmp c", "FROM cmp3 c") + r""",
+ce AS (SELECT profile_id, window_id, claim_order, claim_id, text, category, NULL AS event_id FROM cl
+  UNION ALL SELECT scope, window_id, 10, 'event-' || event_id, event_type || ' rule fired: ' || metric || ' ' ||
+    CASE WHEN relative_change IS NULL THEN 'by an unknown change' ELSE CASE WHEN relative_change >= 0 THEN '+' ELSE '-' END ||
+      printf('%.1f', floor(abs(relative_change) * 100 * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE)) || '%' END,
+    'COMPARISON', event_id FROM fired),
+nums AS (SELECT ce.*, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) AS number FROM ce WHERE category <> 'LIMITATION'),
 cid AS (SELECT profile_id, window_id, metric, metric_id FROM metrics_ WHERE role = 'current'),
-sup AS (SELECT n.*, c.metric_id FROM nums n JOIN cid c ON c.profile_id = n.profile_id AND c.window_id = n.window_id
+sup AS (SELECT n.*, coalesce(n.event_id, c.metric_id) AS cited FROM nums n JOIN cid c ON c.profile_id = n.profile_id AND c.window_id = n.window_id
   AND c.metric = CASE WHEN n.claim_id = 'claim-moving-fraction' THEN 'moving_fraction' ELSE 'vessel_count' END),
-bad AS (SELECT DISTINCT profile_id, window_id, claim_id FROM sup s WHERE NOT contains(metric_id, number) AND NOT EXISTS (
+bad AS (SELECT DISTINCT profile_id, window_id, claim_id FROM sup s WHERE NOT contains(cited, number) AND NOT EXISTS (
   SELECT 1 FROM metrics_ v WHERE v.role = 'current' AND v.profile_id = s.profile_id AND v.window_id = s.window_id
     AND (abs(v.value - CAST(s.number AS DOUBLE)) < CAST(1e-9 AS DOUBLE) OR abs(v.value * 100 - CAST(s.number AS DOUBLE)) < CAST(0.15 AS DOUBLE)))),
-jc AS (SELECT cl.*, bad.claim_id IS NOT NULL AS rejected FROM cl LEFT JOIN bad USING (profile_id, window_id, claim_id)),
+jc AS (SELECT ce.*, bad.claim_id IS NOT NULL AS rejected FROM ce LEFT JOIN bad USING (profile_id, window_id, claim_id)),
 sv AS (SELECT b.question_id, j.* FROM bun b JOIN jc j USING (profile_id, window_id) WHERE b.abstention IS NULL AND
-  (b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort') OR (b.tool = 'compare_with_baseline' AND j.category IN ('COMPARISON','CALCULATION')))),
+  ((b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort') AND event_id IS NULL)
+    OR (b.tool = 'compare_with_baseline' AND event_id IS NULL AND j.category IN ('COMPARISON','CALCULATION'))
+    OR (b.tool = 'list_recent_changes' AND event_id IS NOT NULL))),
 ag AS (SELECT question_id, count(*) FILTER (NOT rejected) AS accepted, count(*) FILTER (rejected) AS rejected,
-  string_agg(text, ' ' ORDER BY claim_order) FILTER (NOT rejected) AS texts FROM sv GROUP BY 1)
+  string_agg(text, ' ' ORDER BY claim_order, claim_id) FILTER (NOT rejected) AS texts FROM sv GROUP BY 1)
 SELECT b.question_id, b.tool, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
   CASE WHEN b.abstention IS NOT NULL THEN b.abstention ELSE coalesce(texts,
-    CASE WHEN tool = 'list_recent_changes' THEN 'No events fired in this window; absence is not proof of absence.' END, 'Insufficient evidence to answer.') END AS answer
+    CASE WHEN tool = 'list_recent_changes' THEN 'No rule fired in the window.' END, 'No accepted claim covers this question.') END AS answer
 FROM bun b LEFT JOIN ag USING (question_id)"""
 
 # --- streams --------------------------------------------------------------------------------

@@ -212,7 +212,7 @@ def wide_metrics(
         metric_label(F.coalesce(rank, F.lit(0)))
     )
     quiet = (F.col("entries") == 0) & (F.col("exits") == 0) & (F.col("uncertain") == 0)
-    return chosen.select(
+    wide = chosen.select(
         "profile_id", "mode", "window_id", "role", "window_start", "window_end", "computed_at",
         "fence_label", "primary_label",
         zero("in_fence_rows").alias("in_fence_rows"),
@@ -233,6 +233,13 @@ def wide_metrics(
         F.lit(settings.min_observations).alias("min_observations"),
         F.lit(settings.max_gap_seconds).alias("max_gap_seconds"),
     )
+    # Vessel metrics of other modes are unknown, not zero.
+    sea = F.col("mode") == "sea"
+    counts = ["in_fence_rows", "freight", "unclassified", "other", "eligible", "moving", "missing_speed", "dwell_cohort", "entries", "exits", "uncertain"]
+    states = ["count_state", "moving_state", "dwell_state", "entry_state", "exit_state"]
+    return wide.withColumns({
+        **{c: F.when(sea, F.col(c)) for c in counts}, **{c: F.when(sea, F.col(c)).otherwise("unknown") for c in states},
+    })
 
 
 @dataclass(frozen=True)

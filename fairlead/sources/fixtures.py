@@ -23,13 +23,13 @@ def manifest_violation() -> Column:
     provider = r.text("provenance.providerId")
     simulated = f"{r.kind('simulated')} = 'BOOLEAN' AND try_variant_get(_m, '$.simulated', 'boolean')"
     return F.expr(first_reason([
-        (f"NOT {r.is_block()}", quoted("manifest must be a JSON object")),
-        (f"coalesce({r.text('truthState')}, '') <> 'SIMULATED'", quoted("truthState must be SIMULATED")),
-        (f"NOT coalesce({simulated}, false)", quoted("manifest must set simulated to true")),
-        (f"NOT {r.is_block('provenance')}", quoted("manifest must include a provenance block")),
-        (f"NOT coalesce(startswith({provider}, 'simulated'), false)", quoted("providerId must start with simulated")),
-        (f"NOT coalesce({r.kind('observations')} LIKE 'ARRAY%', false)", quoted("manifest must include an observations array")),
-        (blank(r.text("fixtureId")), quoted("manifest must include a non-empty fixtureId")),
+        (f"NOT {r.is_block()}", quoted("manifest.not_object")),
+        (f"coalesce({r.text('truthState')}, '') <> 'SIMULATED'", quoted("truth_state.not_simulated")),
+        (f"NOT coalesce({simulated}, false)", quoted("simulated.not_true")),
+        (f"NOT {r.is_block('provenance')}", quoted("provenance.absent")),
+        (f"NOT coalesce(startswith({provider}, 'simulated'), false)", quoted("provider_id.not_simulated")),
+        (f"NOT coalesce({r.kind('observations')} LIKE 'ARRAY%', false)", quoted("observations.not_list")),
+        (blank(r.text("fixtureId")), quoted("fixture_id.blank")),
     ]))
 
 

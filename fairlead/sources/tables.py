@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fairlead import schema
 
@@ -22,13 +22,17 @@ def read_observations(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
     modes: list[str] | None = None, entity_types: list[str] | None = None,
 ) -> DataFrame:
-    """Scoped read: date partitions are pruned, the remaining filters reach the scan."""
-    df = spark.read.schema(schema.OBSERVATION.add("observed_date", "date")).parquet(path)
+    """Scoped read: date partitions are pruned, the remaining filters reach the scan.
+
+    ``observed_date``, the partition column, stays: later windows prune by it too.
+    """
+    dated = T.StructType([*schema.OBSERVATION.fields, T.StructField("observed_date", T.DateType())])
+    df = spark.read.schema(dated).parquet(path)
     if start:
         df = df.filter(F.col("observed_date") >= F.to_date(F.lit(start).cast("timestamp")))
     if end:
         df = df.filter(F.col("observed_date") <= F.to_date(F.lit(end).cast("timestamp")))
-    return scoped(df.drop("observed_date"), start, end, modes, entity_types)
+    return scoped(df, start, end, modes, entity_types)
 
 
 def scoped(
