@@ -536,15 +536,8 @@ def match_labels(spark, d):
 
 @_query
 def detector_scores(spark, d):
-    # Labels are detections moved by a known amount, kept only where no other detection is near:
-    # the matching is then unambiguous and plain SQL can compute the scores.
-    _, detections = V.labelled_events(spark, d)
-    keep = F.substring("detection_id", 3, 20).cast("bigint") % 3 != 0
-    labels = detections.filter(keep).select(
-        F.concat(F.lit("l"), F.col("detection_id")).alias("label_id"), "event_type", "scope",
-        plus_micros(F.col("detected_at"), 2 * V.SEC).alias("onset_at"), F.col("detection_seq").alias("label_seq"),
-    )
-    matches = evaluation.match_labels(labels, detections, 3)
+    labels, detections = V.labelled_events(spark, d)
+    matches = evaluation.match_labels(labels, detections, 1800)
     return evaluation.detector_scores(labels, detections, matches, 1000.0)
 
 

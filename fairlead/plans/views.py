@@ -470,14 +470,14 @@ def watches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Detections from large purchases, labels from large errors, scoped by user group."""
+    """Detections from purchases, labels from errors, scoped by user group."""
     ev = events(spark, sf_dir)
     scope = F.concat(F.lit("zone-"), F.col("user_id") % 5)
-    labels = ev.filter("event_type = 'error' and value > 60").select(
+    labels = ev.filter("event_type = 'error'").select(
         F.concat(F.lit("l-"), F.col("event_id")).alias("label_id"), F.lit("stoppage").alias("event_type"),
         scope.alias("scope"), F.col("ts").alias("onset_at"), F.col("event_id").alias("label_seq"),
     )
-    detections = ev.filter("event_type = 'purchase' and value > 60").select(
+    detections = ev.filter("event_type = 'purchase'").select(
         F.concat(F.lit("d-"), F.col("event_id")).alias("detection_id"), F.lit("stoppage").alias("event_type"),
         scope.alias("scope"), F.col("ts").alias("detected_at"), F.col("event_id").alias("detection_seq"),
     )
