@@ -788,7 +788,7 @@ def stream_frames(spark, d):
     from fairlead.streaming import feeds
 
     checked = frames.normalize_frames(V.frames_from(_event_stream(spark, d)))
-    return feeds.run_available(feeds.frame_counts(checked), "frames")
+    return feeds.run_available(feeds.frame_counts(checked), "frames", "complete")
 
 
 @_query
@@ -805,7 +805,7 @@ def stream_dedupe(spark, d):
 def stream_sessions(spark, d):
     from fairlead.streaming import feeds
 
-    return feeds.run_available(feeds.session_stream(V.observations_from(_event_stream(spark, d)), GAP), "sessions")
+    return feeds.run_available(feeds.session_stream(V.observations_from(_event_stream(spark, d)), GAP), "sessions", "complete")
 
 
 @_query
@@ -813,7 +813,7 @@ def stream_rate_5m(spark, d):
     from fairlead.streaming import feeds
 
     rows = V.requests_from(_event_stream(spark, d)).select("at", counters.route_label(F.col("path")).alias("route"))
-    return feeds.run_available(feeds.rate_stream(rows, "at", ["route"]), "rates")
+    return feeds.run_available(feeds.rate_stream(rows, "at", ["route"]), "rates", "complete")
 
 
 def _with_rocksdb(spark, work):

@@ -579,9 +579,9 @@ _SQL["status_classes"] = f"WITH {REQUESTS} SELECT event_id, route, status FROM q
 _SQL["label_counters"] = f"WITH {REQUESTS} SELECT route, status, count(*) AS value, 'http_requests_total' AS counter FROM q GROUP BY ALL"
 _SQL["rate_5m"] = f"""WITH {REQUESTS}
 SELECT (epoch_us(ts) // 300000000) * 300000000 AS window_start_us, route, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second FROM q GROUP BY ALL"""
-_SQL["stream_rate_5m"] = f"""WITH {REQUESTS}, m AS (SELECT (epoch_us(max(ts)) // 1000) * 1000 AS mark FROM events),
+_SQL["stream_rate_5m"] = f"""WITH {REQUESTS},
 w AS (SELECT (epoch_us(ts) // 300000000) * 300000000 AS a, route, count(*) AS n FROM q GROUP BY ALL)
-SELECT a AS window_start_us, route, n AS events, n / CAST(300 AS DOUBLE) AS per_second FROM w, m WHERE a + 300000000 <= mark"""
+SELECT a AS window_start_us, route, n AS events, n / CAST(300 AS DOUBLE) AS per_second FROM w"""
 
 # --- detector -------------------------------------------------------------------------------
 
@@ -696,9 +696,9 @@ l AS (SELECT *, last_value(CASE WHEN stat THEN stype END IGNORE NULLS) OVER w AS
   FROM o WINDOW w AS (PARTITION BY u ORDER BY received_us, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT u AS mmsi, e AS arrival_seq, coalesce(t, 'unknown') AS entity_type, coalesce(c, 'unknown') AS classification FROM l WHERE good"""
 _SQL["stream_asof_classification"] = _SQL["asof_classification"]
-_SQL["stream_frames"] = f"""WITH {FRAMES}, m AS (SELECT (max(received_us) // 1000) * 1000 AS mark FROM frm),
+_SQL["stream_frames"] = f"""WITH {FRAMES},
 g AS (SELECT (received_us // 86400000000) * 86400000000 AS day, kind, count(*) AS frames FROM frm GROUP BY ALL)
-SELECT day AS day_us, kind, frames FROM g, m WHERE day + 86400000000 <= mark"""
+SELECT day AS day_us, kind, frames FROM g"""
 
 _LANE = "['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber]"
 _SQL["normalize_facility"] = f"""WITH b AS (
@@ -918,6 +918,6 @@ FROM bun b LEFT JOIN ag USING (question_id)"""
 # --- streams --------------------------------------------------------------------------------
 
 _SQL["stream_dedupe"] = f"WITH {COPIES} SELECT DISTINCT duplicate_key, entity_id, us AS observed_at_us FROM keyed"
-_SQL["stream_sessions"] = f"""WITH {TRACKS}, m AS (SELECT (max(us) // 1000) * 1000 AS mark FROM obs)
-SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points FROM trk, m WHERE b + {GAP} <= mark"""
+_SQL["stream_sessions"] = f"""WITH {TRACKS}
+SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points FROM trk"""
 _SQL["stream_health"] = f"WITH {HEALTH} SELECT source_id, seq, status, last AS last_observation_us, state FROM h"

@@ -1,8 +1,12 @@
 """Feed operators as Structured Streaming queries.
 
 Each function takes and returns a streaming DataFrame; ``run_available`` drives
-one to the end of the landed files.  State is bounded by watermarks or by one
-small record per key.
+one to the end of the landed files.
+
+Windowed streams take an optional ``horizon``.  Without one no row is ever late: run them
+in ``complete`` mode, which also delivers windows that are still open.  With one the
+state is bounded by a watermark and ``append`` mode delivers closed windows only; rows
+that arrive later than the horizon are left out.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ def land_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     )
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything that has landed and return the written result.
 
-    Results and checkpoints go to the shared folder, so a restarted query resumes.
+    ``folder`` keeps result and checkpoint: a query started again with the same one goes on
+    where it stopped.  Without it both go to new places in the shared folder.
     """
     spark = stream.sparkSession
-    out, checkpoint = shared_dir(spark, f"{label}-out"), shared_dir(spark, f"{label}-state")
+    out = f"{folder}/out" if folder else shared_dir(spark, f"{label}-out")
+    checkpoint = f"{folder}/state" if folder else shared_dir(spark, f"{label}-state")
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", out).start()
@@ -58,10 +64,14 @@ def dedupe_stream(obs: DataFrame, horizon: str = "2 hours") -> DataFrame:
     )
 
 
-def session_stream(obs: DataFrame, max_gap_seconds: int, horizon: str = "0 seconds") -> DataFrame:
-    """Closed tracks: a session window splits on gaps strictly above the limit."""
+def _within(rows: DataFrame, at: str, horizon: str | None) -> DataFrame:
+    return rows.withWatermark(at, horizon) if horizon else rows
+
+
+def session_stream(obs: DataFrame, max_gap_seconds: int, horizon: str | None = None) -> DataFrame:
+    """Tracks: a session window splits on gaps strictly above the limit."""
     return (
-        obs.withWatermark("observed_at", horizon)
+        _within(obs, "observed_at", horizon)
         .groupBy("entity_id", F.session_window("observed_at", f"{max_gap_seconds} seconds").alias("_s"))
         .agg(
             F.min("observed_at").alias("start_at"),
@@ -73,10 +83,10 @@ def session_stream(obs: DataFrame, max_gap_seconds: int, horizon: str = "0 secon
 
 
 def rate_stream(rows: DataFrame, at: str, labels: list[str], window: str = "5 minutes", seconds: int = 300,
-                horizon: str = "0 seconds") -> DataFrame:
-    """Events per second in closed tumbling windows, by labels."""
+                horizon: str | None = None) -> DataFrame:
+    """Events per second in tumbling windows, by labels."""
     return (
-        rows.withWatermark(at, horizon)
+        _within(rows, at, horizon)
         .groupBy(F.window(at, window).alias("_w"), *labels)
         .agg(F.count("*").alias("events"))
         .select(F.col("_w.start").alias("window_start"), *labels, "events",
@@ -84,10 +94,10 @@ def rate_stream(rows: DataFrame, at: str, labels: list[str], window: str = "5 mi
     )
 
 
-def frame_counts(frames: DataFrame, horizon: str = "0 seconds", window: str = "1 day") -> DataFrame:
+def frame_counts(frames: DataFrame, horizon: str | None = None, window: str = "1 day") -> DataFrame:
     """Normalized frames counted by kind and arrival day."""
     return (
-        frames.withWatermark("received_at", horizon)
+        _within(frames, "received_at", horizon)
         .groupBy(F.window("received_at", window).alias("_w"), "kind")
         .agg(F.count("*").alias("frames"))
         .select(F.col("_w.start").alias("day"), "kind", "frames")
@@ -182,18 +192,17 @@ def health_stream(refreshes: DataFrame, fresh_within_seconds: int) -> DataFrame:
     )
 
 
-def snapshot_each_batch(obs_stream: DataFrame, landing: str, compute, label: str):
-    """Append each micro-batch to the observation table, then recompute what depends on it.
+def snapshot_each_batch(obs_stream: DataFrame, landing: str, compute, checkpoint: str):
+    """Add each micro-batch to the observation table, then recompute what depends on it.
 
     ``compute(spark, landing)`` is a batch job such as the snapshot over the windows
-    that are still open.
+    that are still open.  A batch has a folder of its own and replaces it when it is
+    run again, so a restart with the same ``checkpoint`` adds nothing twice.
     """
     from fairlead.sources.tables import write_observations
 
-    checkpoint = shared_dir(obs_stream.sparkSession, f"{label}-state")
-
-    def step(batch: DataFrame, _epoch: int) -> None:
-        write_observations(batch, landing)
+    def step(batch: DataFrame, epoch: int) -> None:
+        write_observations(batch, f"{landing.rstrip('/')}/batch={epoch}", mode="overwrite")
         compute(batch.sparkSession, landing)
 
     return (

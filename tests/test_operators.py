@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fairlead import schema
 from fairlead.operators import claims as C
 from fairlead.operators import compare, evaluation, facility, geo, health, metrics, network, ordering, sequence, windows
 from fairlead.operators import normalize as N
@@ -484,3 +485,45 @@ def test_redaction(spark):
     texts = ["http://x/?key=SECRET123&y=1", "Bearer abc123def456", "token sk-abcdefghijklmnop"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(redact(F.col("t"))).collect()]
     assert got == ["http://x/?key=<redacted>&y=1", "<redacted>", "token <redacted>"]
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def test_a_restarted_stream_goes_on_where_it_stopped(spark, observe, tmp_path):
+    from fairlead.streaming import feeds
+
+    def land(rows, name):
+        observe(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def tracks():
+        stream = feeds.land_stream(spark, str(tmp_path / "in"), "*.parquet", schema.OBSERVATION)
+        return sorted((r["entity_id"], r["observed_points"]) for r in feeds.run_available(
+            feeds.session_stream(stream, 3600), "tracks", "complete", str(tmp_path / "run")).collect())
+
+    land([("1", "a", 0, *IN), ("2", "a", 30, *IN)], "first")
+    assert tracks() == [("a", 2)]
+    assert tracks() == [("a", 2)]
+    land([("3", "a", 10, *IN), ("4", "a", 300, *IN), ("5", "b", 0, *IN)], "late rows count too")
+    assert tracks() == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, observe, tmp_path):
+    from fairlead.streaming import feeds
+
+    observe([("1", "a", 0, *IN), ("2", "b", 5, *IN)]).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def count(session, landing):
+        seen.append(tables.read_observations(session, landing).count())
+        if len(seen) == 1:
+            raise ValueError("stopped after the write")
+
+    for _ in range(2):
+        stream = feeds.land_stream(spark, str(tmp_path / "in"), "*.parquet", schema.OBSERVATION)
+        query = feeds.snapshot_each_batch(stream, str(tmp_path / "landing"), count, str(tmp_path / "state"))
+        try:
+            query.awaitTermination()
+        except Exception as stopped:
+            assert "stopped after the write" in str(stopped)
+    assert seen == [2, 2]
