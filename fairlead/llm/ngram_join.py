@@ -30,7 +30,7 @@ RANKED = 1 << 17
 # Frequencies are counted over runs of this many n-grams; a run reports those it has this often.
 RUN_GRAMS, RUN_LEAST = 2_000_000, 4
 CENTRES = 4
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 # Distinct classes a task remembers so as not to send a copy again.
 SEEN = 200_000
 # Bytes hashed at a time; a longer text goes piece by piece, cut between words.
