@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.once import evaluate_once
 from fairlead.functions.polygon import inside_ring, ring_edges, ring_max, ring_min
 
 CELL_DEGREES = 0.1
-BROADCAST_CELLS = 200_000
+# Fence cells up to this size are broadcast; the scan filter has at most so many boxes.
+BROADCAST_BYTES, FILTER_BOXES = 32 << 20, 32
 KM_PER_DEGREE = 111.32
 
 
@@ -85,27 +88,46 @@ def _fence_cells(fences: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     )
 
 
-def _few_cells(fences: DataFrame, cell: float, pad: float = 0.0) -> bool:
-    """Whether the fences' bounding boxes touch at most ``BROADCAST_CELLS`` cells in all."""
-    extent = lambda axis: (
-        f"(floor((array_max(transform(ring, v -> v.{axis})) + {pad}D) / {cell}D)"
-        f" - floor((array_min(transform(ring, v -> v.{axis})) - {pad}D) / {cell}D) + 1)"
+@dataclass(frozen=True)
+class Reach:
+    """What a fence table covers: whether its cells are small enough to broadcast, and boxes around all fences."""
+
+    broadcast: bool
+    boxes: list[tuple[float, float, float, float]]
+
+
+def _reach(fences: DataFrame, cell: float, pad: float = 0.0) -> Reach:
+    """Measured on the fence table; at most one row per ten-degree tile of the globe is collected.
+
+    The size counts every cell with the edges of its fence, about 40 bytes each.
+    """
+    low = lambda axis: ring_min(F.col("ring"), axis) - pad
+    high = lambda axis: ring_max(F.col("ring"), axis) + pad
+    cells = lambda axis: F.floor(high(axis) / cell) - F.floor(low(axis) / cell) + 1
+    tiles = (
+        fences.select(
+            F.floor(low("lat") / 10).alias("_ty"), F.floor(low("lon") / 10).alias("_tx"), low("lat").alias("a"), low("lon").alias("b"),
+            high("lat").alias("c"), high("lon").alias("d"), (cells("lat") * cells("lon") * (F.size("ring") * 40 + 100)).alias("size"),
+        )
+        .groupBy("_ty", "_tx").agg(F.min("a"), F.min("b"), F.max("c"), F.max("d"), F.sum("size")).collect()
     )
-    total = fences.selectExpr(f"sum({extent('lat')} * {extent('lon')}) AS cells").first()["cells"]
-    return (total or 0) <= BROADCAST_CELLS
+    boxes = [tuple(t)[2:6] for t in tiles]
+    if len(boxes) > FILTER_BOXES:
+        boxes = [(min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))]
+    return Reach(sum(t[6] for t in tiles) <= BROADCAST_BYTES, boxes)
 
 
-def _join_cells(obs: DataFrame, cells: DataFrame, few: bool, cell: float, how: str, salts: int) -> DataFrame:
+def _join_cells(obs: DataFrame, cells: DataFrame, reach: Reach, cell: float, how: str, salts: int) -> DataFrame:
     """Equi-join observations to fence cells.
 
-    ``few`` says the number of cells was measured and is small: broadcast.
-    Otherwise: shuffle join on the cell with both sides salted, so that a port
-    holding a third of all positions is spread over ``salts`` tasks.
+    An inner join reads only positions near some fence: the boxes reach the scan.  Cells
+    measured to be small are broadcast; otherwise: shuffle join on the cell with both
+    sides salted, so that a port holding a third of all positions is spread over
+    ``salts`` tasks.
     """
-    located = obs.withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn(
-        "_cx", _cell(F.col("longitude"), cell)
-    )
-    if few:
+    near = obs.filter(bbox_filter(reach.boxes)) if how == "inner" and reach.boxes else obs
+    located = near.withColumn("_cy", _cell(F.col("latitude"), cell)).withColumn("_cx", _cell(F.col("longitude"), cell))
+    if reach.broadcast:
         return located.join(F.broadcast(cells), ["_cy", "_cx"], how).drop("_cy", "_cx")
     located = located.withColumn("_salt", F.pmod(F.xxhash64("observation_id"), F.lit(salts)))
     copies = cells.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
@@ -121,7 +143,7 @@ def _in_box() -> Column:
 def fence_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEGREES, salts: int = 32) -> DataFrame:
     """One row per (observation, fence) the position lies in."""
     reviewed = usable_fences(fences)
-    joined = _join_cells(obs, _fence_cells(reviewed, cell), _few_cells(reviewed, cell), cell, "inner", salts)
+    joined = _join_cells(obs, _fence_cells(reviewed, cell), _reach(reviewed, cell), cell, "inner", salts)
     inside = inside_ring(F.col("latitude"), F.col("longitude"), F.col("edges"))
     return joined.filter(_in_box() & inside).drop("edges", "min_lat", "max_lat", "min_lon", "max_lon")
 
@@ -130,8 +152,8 @@ def bbox_candidates(obs: DataFrame, fences: DataFrame, padding: float = 0.05, ce
                     salts: int = 32) -> DataFrame:
     """Number of positions inside each fence's padded bounding box; fences without any count zero."""
     reviewed = usable_fences(fences)
-    few = _few_cells(reviewed, cell, padding)
-    joined = _join_cells(obs, _fence_cells(reviewed, cell, padding), few, cell, "inner", salts)
+    reach = _reach(reviewed, cell, padding)
+    joined = _join_cells(obs, _fence_cells(reviewed, cell, padding), reach, cell, "inner", salts)
     counts = joined.filter(_in_box()).groupBy("fence_id").agg(F.count("*").alias("candidates"))
     return (
         reviewed.select("fence_id")
@@ -182,8 +204,8 @@ def profile_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEG
     profile's crossings are measured against.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
-    few = _few_cells(usable_fences(fences), cell)
-    joined = _join_cells(obs, _profile_cells(fences, cell, ["profile_id"]), few, cell, "inner", salts)
+    reach = _reach(usable_fences(fences), cell)
+    joined = _join_cells(obs, _profile_cells(fences, cell, ["profile_id"]), reach, cell, "inner", salts)
     kept = [c for c in joined.columns if c != "_fences"]
     hits = evaluate_once(joined, kept, {"_hits": F.filter("_fences", lambda f: inside_ring(lat, lon, f["edges"]))})
     return (
@@ -196,8 +218,8 @@ def profile_membership(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEG
 def flag_inside(obs: DataFrame, fences: DataFrame, cell: float = CELL_DEGREES, salts: int = 32) -> DataFrame:
     """Every observation with a boolean ``inside``: in at least one of the fences."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    few = _few_cells(usable_fences(fences), cell)
-    joined = _join_cells(obs, _profile_cells(fences, cell, []), few, cell, "left", salts)
+    reach = _reach(usable_fences(fences), cell)
+    joined = _join_cells(obs, _profile_cells(fences, cell, []), reach, cell, "left", salts)
     hit = F.exists("_fences", lambda f: inside_ring(lat, lon, f["edges"]))
     return joined.withColumn("inside", F.coalesce(hit, F.lit(False))).drop("_fences")
 

@@ -281,11 +281,8 @@ def network_topk(spark, d):
 
 @_query
 def event_topk(spark, d):
-    snap = _snapshot(spark, d)
-    ranked = snap.comparisons.filter("direction <> 'unknown'").select(
-        "window_id", "relative_change", F.concat_ws("@", "metric", "profile_id").alias("event_id")
-    )
-    return compare.event_topk(ranked, ["window_id"], ordering.EVENT_BUDGET).select(
+    events = compare.detect_events(_snapshot(spark, d).metrics, _eager_rules(spark))
+    return compare.event_topk(events, ["window_id"], ordering.EVENT_BUDGET).select(
         "window_id", "event_id", "rank", "considered", "dropped"
     )
 

@@ -266,8 +266,8 @@ SELECT event_id, event_type, scope, window_id, metric, current_value, baseline_v
 _SQL["network_totals"] = _snap() + """
 SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight END)::BIGINT AS vessels
 FROM wide WHERE role = 'current' GROUP BY ALL"""
-_SQL["event_topk"] = _snap() + "," + _compared(1) + """,
-r AS (SELECT window_id, metric || '@' || profile_id AS event_id, abs(coalesce(relative_change, 0)) AS p FROM cmp WHERE direction <> 'unknown'),
+_SQL["event_topk"] = _snap() + "," + _compared(3) + "," + EAGER + """,
+r AS (SELECT window_id, event_id, abs(coalesce(relative_change, 0)) AS p FROM fired),
 k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY p DESC, event_id) AS rank,
   count(*) OVER (PARTITION BY window_id) AS considered FROM r)
 SELECT window_id, event_id, rank, considered, greatest(0, considered - 6) AS dropped FROM k WHERE rank <= 6"""

@@ -18,7 +18,7 @@ from fairlead.functions.quality import metric_label, metric_rank
 from fairlead.functions.timeline import MICROS
 from fairlead.operators.compare import baseline_comparisons, detect_events
 from fairlead.operators.geo import (
-    CELL_DEGREES, _few_cells, _join_cells, _profile_cells, primary_fences, profile_membership, usable_fences,
+    CELL_DEGREES, _join_cells, _profile_cells, _reach, primary_fences, profile_membership, usable_fences,
 )
 from fairlead.operators.metrics import long_metrics
 from fairlead.operators.sequence import CHUNK_SECONDS, with_previous, with_segments
@@ -109,7 +109,7 @@ def crossings_from_all_rows(obs: DataFrame, fences: DataFrame, wins: DataFrame,
     from fairlead.functions.polygon import inside_ring
 
     reviewed = usable_fences(fences)
-    primary = reviewed.join(primary_fences(reviewed).select("fence_id"), "fence_id", "left_semi")
+    primary = reviewed.join(primary_fences(reviewed).select("profile_id", "fence_id"), ["profile_id", "fence_id"], "left_semi")
     cells = _profile_cells(primary, CELL_DEGREES, ["profile_id"]).groupBy("_cy", "_cx").agg(
         F.collect_list(F.struct("profile_id", F.col("_fences")[0]["edges"].alias("edges"))).alias("_p")
     )
@@ -118,7 +118,7 @@ def crossings_from_all_rows(obs: DataFrame, fences: DataFrame, wins: DataFrame,
     located = _join_cells(
         obs.select("entity_id", "observed_at", "observation_id", "latitude", "longitude",
                    metric_rank(F.col("source_state")).alias("rank")),
-        cells, _few_cells(primary, CELL_DEGREES), CELL_DEGREES, "left", 32,
+        cells, _reach(primary, CELL_DEGREES), CELL_DEGREES, "left", 32,
     ).withColumn("inside", F.transform(hit, lambda p: p["profile_id"]))
     moved = with_previous(
         located.select("entity_id", "observed_at", "observation_id", "rank", "inside"),

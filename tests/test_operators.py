@@ -124,7 +124,7 @@ CONCAVE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 4.0)]
 
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_concave_ring_by_broadcast_and_by_salted_shuffle(spark, observe, monkeypatch, limit):
-    monkeypatch.setattr(geo, "BROADCAST_CELLS", limit)
+    monkeypatch.setattr(geo, "BROADCAST_BYTES", limit)
     obs = observe([("in", "a", 0, 1.0, 1.0), ("notch", "a", 1, 2.0, 3.5), ("arm", "a", 2, 3.5, 3.0), ("far", "a", 3, 9.0, 9.0)])
     fence = _fence(spark, CONCAVE)
     assert rows(geo.flag_inside(obs, fence).select("observation_id", "inside"), "observation_id") == [
@@ -133,6 +133,17 @@ def test_concave_ring_by_broadcast_and_by_salted_shuffle(spark, observe, monkeyp
     assert geo.profile_membership(obs, fence).count() == 2
 
 
+def test_fence_boxes_reach_the_scan(spark, observe, tmp_path):
+    tables.write_observations(observe([("1", "a", 0, 1.0, 1.0), ("2", "a", 1, 50.0, 50.0)]), str(tmp_path / "t"))
+    inside = geo.fence_membership(tables.read_observations(spark, str(tmp_path / "t")), _fence(spark, CONCAVE))
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        inside.explain("formatted")
+    pushed = text.getvalue().split("PushedFilters")[1].split("\n")[0]
+    assert "LessThanOrEqual(latitude,4.0)" in pushed and "GreaterThanOrEqual(longitude,0.0)" in pushed
+    assert [r["observation_id"] for r in inside.collect()] == ["1"]
+
+
 @pytest.mark.parametrize("over,reason", [
     ({"geometry_status": "placeholder"}, "geometry_status.not_reviewed"), ({"review_owner": "  "}, "review_owner.blank"),
     ({"effective_date": "soon"}, "effective_date.not_date"), ({"inclusion_rule": None}, "rationale.incomplete"),
