@@ -66,7 +66,7 @@ def op2_token_counts(spark, d):
 def op3_exact_dedup(spark, d):
     found = exact_dedup.exact_duplicates(_readings(spark, d))
     return found.select(
-        F.col("metric_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256", "level", F.col("name").alias("block_name")
+        F.col("metric_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
     )
 
 
@@ -121,6 +121,35 @@ def op10_pack_sequences(spark, d):
     )
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_EXACT = f"""WITH d AS (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+_SIMILAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r.y), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id, n.n"""
+
+_RULED = rf"""WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, q, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+m AS (SELECT page_id, h || q AS rule, v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC, length(h) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that SQL can express on whole tables."""
-    return {}
+    """SQL of the queries that SQL can express on whole tables.
+
+    The others need a tokenizer, a compressor, a trained model or SimHash and are tested
+    against brute force.
+    """
+    return {"op3_exact_dedup": _EXACT, "op6_ngram_jaccard": _SIMILAR, "op7_url_rules": _RULED}
