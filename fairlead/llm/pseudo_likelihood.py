@@ -88,9 +88,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if total > KNOWN:
             break
         least = step
-    table = counts.filter(F.floor(F.log2("times") * 8) >= (least if least is not None else 1 << 20)).toPandas()
-    table = table.sort_values(["times", "value"], ascending=[False, True])
-    values, times = table["value"].to_numpy(np.int64), table["times"].to_numpy(np.int64)
+    table = counts.filter(F.floor(F.log2("times") * 8) >= (least if least is not None else 1 << 20)).select("value", "times").toArrow()
+    values, times = table["value"].to_numpy(), table["times"].to_numpy()
+    order = np.lexsort((values, -times))
+    values, times = values[order], times[order]
     frequent = np.arange(len(values)) < FREQUENT
     classes = np.where(frequent, 1 + np.arange(len(values)), FREQUENT + 1 + np.mod(values, SHARED))
     totals = np.ones(CLASSES)
@@ -121,11 +122,11 @@ def train(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     shapes = {"l": (CLASSES, HIDDEN), "r": (CLASSES, HIDDEN), "w": (HIDDEN, CLASSES), "b": (CLASSES,)}
     net = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes.items()}
-    totals = counts.sum(axis=(0, 1)) + 1.0
+    totals = counts.sum(axis=(0, 1), dtype=np.float64) + 1.0
     net["b"] = np.log(totals / totals.sum()).astype(np.float32)
     mean = {k: np.zeros(s, np.float32) for k, s in shapes.items()}
     square = {k: np.zeros(s, np.float32) for k, s in shapes.items()}
-    target = counts.reshape(-1, CLASSES).astype(np.float32)
+    target = counts.reshape(-1, CLASSES).astype(np.float32, copy=False)
     weight = target.sum(axis=1, keepdims=True)
     scale = np.float32(1.0 / max(1.0, float(weight.sum(dtype=np.float64))))
 
@@ -167,9 +168,10 @@ def notice_scores(readings: DataFrame, key: str = "metric_id", text: str = "cons
     spark = rows.sparkSession
     words = vocabulary(_counted(rows, lambda t: _words(t).view(np.int64), "word-counts"))
     shared = spark.sparkContext.broadcast(words)  # at most KNOWN entries
-    windows = _counted(rows, lambda t: _windows(shared.value.look_up(_words(t).view(np.int64))[0]), "window-counts").toPandas()
-    counts = np.zeros(CLASSES**3)
-    counts[windows["value"].to_numpy(np.int64)] = windows["times"].to_numpy(np.int64)
+    windows = _counted(rows, lambda t: _windows(shared.value.look_up(_words(t).view(np.int64))[0]), "window-counts")
+    found = windows.select("value", "times").toArrow()  # at most CLASSES**3 rows
+    counts = np.zeros(CLASSES**3, np.float32)
+    counts[found["value"].to_numpy()] = found["times"].to_numpy()
     table = spark.sparkContext.broadcast(train(counts.reshape(CLASSES, CLASSES, CLASSES)).ravel())  # CLASSES**3 numbers
     schema = T.StructType([
         T.StructField("key", key_type(rows)), field("n_words", "bigint"), field("log_likelihood", "double"), field("mean_log_likelihood", "double"),
