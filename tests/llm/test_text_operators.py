@@ -427,6 +427,32 @@ def test_similar_lines_are_found_by_edit_similarity_alone(spark):
     assert len(pairs) > 70 and missed <= 0.01 * len(pairs) and len(set(group)) >= len(pairs)
 
 
+def test_lines_of_few_words_and_of_scripts_without_spaces_are_repeats(spark):
+    han = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(80))
+    lines = ["Reply", "reply", "Read more", "READ MORE!", "international-arrangements", "international arrangement", "unlike",
+             han, han[:40] + "一" + han[41:], "日本語", "日本語", "long" * 30, "long" * 15 + "x" + "long" * 15]
+    group, kept = grouped_lines(spark, lines)
+    assert group[0] == group[1] and group[2] == group[3] and group[4] == group[5] and group[7] == group[8]
+    assert group[9] == group[10] and group[11] == group[12] and len(set(group)) == 7
+    assert kept == [True, False, True, False, True, False, True, True, False, True, False, True, False]
+
+
+def test_all_similar_short_lines_are_found(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=n))
+    pairs = []
+    for n in [*range(10, 50)] * 3:  # as many single edits as the length allows
+        a = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=n))
+        b = list(a)
+        for _ in range(n // 10):
+            at, kind = int(rng.integers(len(b))), int(rng.integers(3))
+            b[at:at + 1] = [[], [word(1)], [b[at], word(1)]][kind]
+        pairs.append((a, "".join(b)))
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) < line_dedup.SEGMENT_CHARS and similar(a, b)]
+    group, _ = grouped_lines(spark, [x for p in pairs for x in p])
+    assert len(pairs) > 70 and group[::2] == group[1::2] and len(set(group)) == len(pairs)
+
+
 # --- 9: quality ------------------------------------------------------------------------------
 
 
