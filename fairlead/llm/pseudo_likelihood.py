@@ -21,7 +21,7 @@ from fairlead.session import stage
 # CLASSES - FREQUENT - 1 classes that share out all other words by their value.
 CLASSES, FREQUENT = 128, 96
 SHARED = CLASSES - FREQUENT - 1
-# Words with a count of their own within a shared class; of the others each counts as once.
+# Words whose counts are sent to the workers; the counts of all others are joined.
 KNOWN = 1 << 17
 RUN_WORDS = 2_000_000
 HIDDEN, STEPS, RATE, SEED = 32, 100, 0.05, 20_240_115
@@ -62,21 +62,22 @@ def _counted(rows: DataFrame, values, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Known words by value, with their class and log-probability within it; for the rest the class totals."""
+    """Known words by value, with their class and log-probability within it; for the rest that of a count of one."""
 
     values: np.ndarray
     classes: np.ndarray
     within: np.ndarray
     unknown: np.ndarray
 
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, log-probabilities within them and which words are known."""
         shared = (FREQUENT + 1 + np.mod(words, SHARED)).astype(np.int64)
         if not len(self.values):
-            return shared, self.unknown[shared]
+            return shared, self.unknown[shared], np.zeros(len(words), bool)
         at = np.minimum(np.searchsorted(self.values, words), len(self.values) - 1)
         known = self.values[at] == words
         classes = np.where(known, self.classes[at], shared)
-        return classes, np.where(known, self.within[at], self.unknown[classes])
+        return classes, np.where(known, self.within[at], self.unknown[classes]), known
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -157,7 +158,7 @@ def notice_scores(readings: DataFrame, key: str = "metric_id", text: str = "cons
     One row per reading: ``<key>``, n_words, log_likelihood (sum over its words of the log
     probability given both neighbours), mean_log_likelihood (per word).  The probability of
     a word is that of its class from the network times that of the word within the class
-    from corpus counts; words are cut at white space and A-Z lower-cased.
+    from corpus counts, of every word; words are cut at white space and A-Z lower-cased.
 
     A notice without words, or null, has 0 words, likelihood 0 and a null mean.  Repeated
     rows count and are scored each; an empty table gives an empty result; other columns are
@@ -166,7 +167,8 @@ def notice_scores(readings: DataFrame, key: str = "metric_id", text: str = "cons
     """
     rows = keyed(readings, key, text=text)
     spark = rows.sparkSession
-    words = vocabulary(_counted(rows, lambda t: _words(t).view(np.int64), "word-counts"))
+    word_counts = _counted(rows, lambda t: _words(t).view(np.int64), "word-counts")
+    words = vocabulary(word_counts)
     shared = spark.sparkContext.broadcast(words)  # at most KNOWN entries
     windows = _counted(rows, lambda t: _windows(shared.value.look_up(_words(t).view(np.int64))[0]), "window-counts")
     found = windows.select("value", "times").toArrow()  # at most CLASSES**3 rows
@@ -174,18 +176,30 @@ def notice_scores(readings: DataFrame, key: str = "metric_id", text: str = "cons
     counts[found["value"].to_numpy()] = found["times"].to_numpy()
     table = spark.sparkContext.broadcast(train(counts.reshape(CLASSES, CLASSES, CLASSES)).ravel())  # CLASSES**3 numbers
     schema = T.StructType([
-        T.StructField("key", key_type(rows)), field("n_words", "bigint"), field("log_likelihood", "double"), field("mean_log_likelihood", "double"),
+        T.StructField("key", key_type(rows)), field("n_words", "bigint"), field("log_likelihood", "double"),
+        field("others", "array<bigint>"), field("often", "array<bigint>"),
     ])
 
     def begin():
         lookup, logp = shared.value, table.value
 
         def score(k, t):
-            classes, within = lookup.look_up(_words(t).view(np.int64))
-            n = len(classes)
-            total = float(logp[_windows(classes)].sum(dtype=np.float64) + within.sum()) if n else 0.0
-            yield k, n, total, total / n if n else None
+            found = _words(t).view(np.int64)
+            classes, within, known = lookup.look_up(found)
+            total = float(logp[_windows(classes)].sum(dtype=np.float64) + within.sum()) if len(found) else 0.0
+            others, often = np.unique(found[~known], return_counts=True)
+            yield k, len(found), total, others.tolist(), often.tolist()
 
         return score
 
-    return per_row(rows, begin, schema).withColumnRenamed("key", key)
+    # Other words are scored there as if they occurred once; the logarithms of their counts are added per row.
+    scored = stage(per_row(rows, begin, schema, size=lambda r: 16 * len(r[3])).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    others = scored.select("row", F.inline(F.arrays_zip(F.col("others").alias("value"), F.col("often").alias("often"))))
+    more = others.toDF("row", "value", "often").join(word_counts.filter("times > 1"), "value").groupBy("row").agg(
+        F.sum((F.col("often") * F.log("times")).cast("decimal(28,12)")).cast("double").alias("more")  # the same in any order
+    )
+    whole = scored.join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return whole.select(
+        F.col("key").alias(key), "n_words", "log_likelihood",
+        F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"),
+    )

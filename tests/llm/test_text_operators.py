@@ -164,6 +164,17 @@ def test_scores_prefer_the_order_of_the_corpus(spark):
     assert len({r.log_likelihood for r in got if r.metric_id == 0}) == 1
 
 
+def test_counts_of_words_that_are_not_sent_out_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 3000)) for i in range(120)] + [(200, ""), (None, "w1 w2999 w2999")]
+    df = spark.createDataFrame(rows, "metric_id bigint, construction_notice string")
+    want = by_key(pseudo_likelihood.notice_scores(df))
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 150)
+    got = by_key(pseudo_likelihood.notice_scores(df))
+    assert [(r.metric_id, r.n_words) for r in got] == [(r.metric_id, r.n_words) for r in want]
+    assert np.allclose([r.log_likelihood for r in got], [r.log_likelihood for r in want], rtol=1e-9, atol=1e-7)
+
+
 def test_scores_of_nothing(nothing):
     assert pseudo_likelihood.notice_scores(nothing).count() == 0
 
