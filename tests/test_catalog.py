@@ -48,6 +48,18 @@ def test_plans_have_no_cartesian_product_and_no_row_python(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_manifests_with_broken_bodies_reach_the_guard(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").collect()
+    # The list is left out of one manifest in 29, and with it the body.
+    broken = {f"fx-{r.event_id}.json" for r in events if r.event_id % 257 == 0 and r.event_id % 29}
+    guarded = {r.file: r for r in entry.queries()["manifest_guard"](spark, SMALL).collect()}
+    assert broken and len(guarded) == len(events)
+    assert {f for f, r in guarded.items() if r.violation == "manifest.not_object"} == broken
+    assert all(guarded[f].fixture_id is None for f in broken)
+    counted = entry.queries()["dataset_manifest"](spark, SMALL).filter("truth_state is null").collect()
+    assert {(r.file, r.fixture_id, r.observations) for r in counted} == {(f, None, 0) for f in broken}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
