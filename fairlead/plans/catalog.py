@@ -266,11 +266,11 @@ def bounded_topk(spark, d):
 
 @_query
 def cohort_stability(spark, d):
-    ev = V.events(spark, d).select("event_type", F.col("user_id").alias("id"), "ts", "value")
+    ev = V.events(spark, d).select("event_type", F.col("user_id").alias("id"), "ts")
     half = lambda cond: ev.filter(cond).select("event_type", "id").distinct()
-    strong = half((F.col("ts") < F.lit("2024-01-16").cast("timestamp")) & (F.col("value") > 20))
-    late = half((F.col("ts") >= F.lit("2024-01-16").cast("timestamp")) & (F.col("value") > 20))
-    return ordering.cohort_stability(strong, late, ["event_type"])
+    early = half(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    late = half(F.col("ts") >= F.lit("2024-01-16").cast("timestamp"))
+    return ordering.cohort_stability(early, late, ["event_type"])
 
 
 @_query
@@ -733,15 +733,38 @@ def answers(spark, d):
     return Q.answers(bundles, served, "question_id").select("question_id", "tool", "accepted", "rejected", "answer")
 
 
+# Words that label a document claim, apart from the patterns that judge it.
+_LABELS = [
+    ("THREAT", ["suspicious", "threat", "hostile", "illegal", "smuggler", "smuggling"]),
+    ("CAUSE", ["because", "caused by", "cause of", "due to", "resulting from", "disruption"]),
+    ("PREDICTION", ["will rise", "will fall", "will increase", "will decrease", "will grow", "forecast", "predict", "predicted",
+                    "predictive", "prediction"]),
+    ("IDENTITY", ["beneficial owner", "owner is", "operator is", "flagged by"]),
+    ("INTENT", ["intend to", "intends to", "planning to", "evade"]),
+    ("SCOPE", [f"all vessels {at} {the}{place}" for at in ("at", "in", "near") for the in ("", "the ")
+               for place in ("port", "harbor", "harbour", "area")]),
+]
+
+
+def _document_label():
+    said = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^\\p{L}0-9_]+", " "), F.lit(" "))
+    label = None
+    for name, phrases in _LABELS:
+        found = F.greatest(*[said.contains(f" {p} ") for p in phrases])
+        label = F.when(found, name) if label is None else label.when(found, name)
+    return label.when((F.col("category") != "LIMITATION") & F.col("text").rlike("[0-9]"), "NUMERIC").otherwise("accepted")
+
+
 @_query
 def groundedness(spark, d):
-    judged = _judged(spark, d).filter("claim_id like 'c-%'")
+    judged = _judged(spark, d)
     e = F.col("claim_order")
     expected = (
         F.when(e % 12 == 0, "THREAT").when(e % 12 == 1, "CAUSE").when(e % 12 == 2, "PREDICTION").when(e % 12 == 3, "IDENTITY")
         .when(e % 12 == 4, "INTENT").when(e % 12 == 5, "SCOPE").when(e % 13 == 0, "PROVENANCE")
         .when((e % 12 == 6) & (F.col("category") != "LIMITATION"), "NUMERIC").otherwise("accepted")
     )
+    expected = F.when(F.col("claim_id").startswith("c-"), expected).otherwise(_document_label())
     cases = judged.select("category", expected.alias("expected"), F.coalesce("rejection", F.lit("accepted")).alias("actual"))
     return Q.groundedness(cases)
 

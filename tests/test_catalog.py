@@ -60,6 +60,19 @@ def test_manifests_with_broken_bodies_reach_the_guard(spark):
     assert {(r.file, r.fixture_id, r.observations) for r in counted} == {(f, None, 0) for f in broken}
 
 
+def test_all_claims_and_all_events_are_judged(spark, con):
+    got = {r.category: r for r in entry.queries()["groundedness"](spark, SMALL).collect()}
+    events, documents = (con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("events", "documents"))
+    assert sum(r.cases for r in got.values()) == events + documents
+    assert all(r.passed == r.cases for r in got.values())
+    ids = {True: set(), False: set()}
+    for kind, user, early in con.execute("SELECT event_type, user_id, ts < TIMESTAMP '2024-01-16' FROM events").fetchall():
+        ids[early].add((kind, user))
+    differing = {k: sum(x[0] == k for x in ids[True] ^ ids[False]) for k in {x[0] for x in ids[True] | ids[False]}}
+    assert {r.event_type: r.differing_ids for r in entry.queries()["cohort_stability"](spark, SMALL).collect()} == differing
+    assert all(r.stable == (r.differing_ids == 0) for r in entry.queries()["cohort_stability"](spark, SMALL).collect())
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
