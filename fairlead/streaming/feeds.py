@@ -55,13 +55,16 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", folder: s
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def dedupe_stream(obs: DataFrame, horizon: str = "2 hours") -> DataFrame:
-    """First arrival per duplicate key; a key is forgotten once the watermark has passed it."""
-    return (
-        obs.withColumn("duplicate_key", duplicate_key())
-        .withWatermark("observed_at", horizon)
-        .dropDuplicatesWithinWatermark(["duplicate_key"])
-    )
+def dedupe_stream(obs: DataFrame, horizon: str | None = None) -> DataFrame:
+    """First arrival per duplicate key.
+
+    Every key is remembered, whenever its rows arrive.  With a ``horizon`` a key is forgotten
+    once the watermark has passed it, and rows that arrive later are left out.
+    """
+    keyed = obs.withColumn("duplicate_key", duplicate_key())
+    if horizon is None:
+        return keyed.dropDuplicates(["duplicate_key"])
+    return keyed.withWatermark("observed_at", horizon).dropDuplicatesWithinWatermark(["duplicate_key"])
 
 
 def _within(rows: DataFrame, at: str, horizon: str | None) -> DataFrame:

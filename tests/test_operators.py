@@ -538,3 +538,20 @@ def test_a_batch_that_runs_again_adds_nothing(spark, observe, tmp_path):
         except Exception as stopped:
             assert "stopped after the write" in str(stopped)
     assert seen == [2, 2]
+
+
+def test_stream_dedupe_keeps_late_rows_and_far_duplicates_out(spark, observe, tmp_path):
+    import time
+
+    from fairlead.streaming import feeds
+
+    same = {"record_ref": "r"}
+    for part in [
+        [("a", "v1", 0, 1.0, 1.0), ("d", "v3", 0, 1.0, 1.0, same)], [("b", "v1", 1200, 1.0, 1.0)], [("c", "v2", 5, 1.0, 1.0), ("a", "v1", 0, 1.0, 1.0)], [("e", "v3", 2400, 1.0, 1.0, same)],
+    ]:
+        observe(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        time.sleep(1.1)  # files are taken by their time
+    schema = spark.read.parquet(str(tmp_path / "feed")).schema
+    feed = feeds.land_stream(spark, str(tmp_path / "feed"), "*.parquet", schema, files_per_batch=1)
+    found = feeds.run_available(feeds.dedupe_stream(feed), "late-dedupe")
+    assert sorted(r.observation_id for r in found.collect()) == ["a", "b", "c", "d"]
