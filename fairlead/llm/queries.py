@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fairlead.llm import exact_dedup, line_dedup, ngram_join, packing, pseudo_likelihood, quality, sentencepiece_codec, token_counts, token_files, url_rules
+from fairlead.llm import archive, exact_dedup, line_dedup, manifest_tree, ngram_join, packing, pseudo_likelihood, quality
+from fairlead.llm import sentencepiece_codec, token_counts, token_files, url_rules, whitening
 from fairlead.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,39 @@ def op10_pack_sequences(spark, d):
     )
 
 
+@_query
+def op11_warc_archive(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(
+        F.col("page_id").alias("metric_id"), F.col("url").alias("record_ref"), F.col("html").alias("construction_notice")
+    )
+    path = shared_dir(spark, "archive")
+    archive.write_archive(pages, path, media_type="text/html; charset=utf-8")
+    return archive.read_archive(spark, path).select(
+        F.col("metric_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@_query
+def op12_merkle_manifest(spark, d):
+    documents = spark.read.parquet(f"{d}/documents.parquet")
+    readings = documents.select(
+        F.col("doc_id").alias("metric_id"), F.col("source").alias("provider_id"), F.col("lang").alias("display_name"),
+        F.col("n_chars").alias("notice_chars"), F.col("text").alias("construction_notice"),
+    )
+    tampered = F.crc32(F.col("metric_id").cast("string").cast("binary")) % 7 == 0
+    chars = F.col("notice_chars").cast("decimal(20,0)")
+    found = manifest_tree.merkle_manifest(
+        readings, part="display_name", fields=("metric_id", "provider_id", "display_name", "notice_chars", "construction_notice"),
+        claimed={"notice_chars": F.when(tampered, chars + 1).otherwise(chars)},
+    )
+    return found.select(F.col("metric_id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@_query
+def op13_whitening(spark, d):
+    return whitening.whitened_vectors(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _EXACT = f"""WITH d AS (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents),
@@ -146,10 +180,54 @@ m AS (SELECT page_id, h || q AS rule, v FROM p JOIN r ON (host = h OR ends_with(
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
 
 
+# The response of each payload of 1000 bytes or more is its largest page.
+_ARCHIVED = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM keep THEN NULL ELSE keep END AS refers_to FROM g"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR)))::VARCHAR || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ["doc_id", "source", "lang", chars, "text"])) + ")"
+
+
+# crc32 of the decimal doc_id, bit by bit; the divisor is the fixed polynomial of the checksum.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda ch: list_transform(range(8), lambda k: (ord(ch) >> k) & 1)))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+_TREE = f"""WITH RECURSIVE hashed AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+  {_leaf_sql(f"CASE WHEN {_CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS claimed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+node(lang, n, l, i, h) AS (SELECT lang, n, 0, r, leaf FROM leaves
+  UNION ALL SELECT lang, n, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE ((n - 1) >> l) > 0 GROUP BY lang, n, l, i // 2),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM node WHERE ((n - 1) >> l) = 0),
+top(n, l, i, h) AS (SELECT n, 0, r, h FROM sub
+  UNION ALL SELECT n, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE ((n - 1) >> l) > 0 GROUP BY n, l, i // 2),
+walk(doc_id, lang, leaf, n, i, l, proof, found) AS (SELECT doc_id, lang, leaf, n, r, 0, '', claimed FROM leaves
+  UNION ALL SELECT w.doc_id, w.lang, w.leaf, w.n, w.i // 2, w.l + 1, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN s.h IS NULL THEN found WHEN w.i % 2 = 1 THEN s.h || found ELSE found || s.h END)
+  FROM walk w LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM w.lang AND s.l = w.l AND s.i = xor(w.i, 1) WHERE ((w.n - 1) >> w.l) > 0),
+climb(doc_id, leaf, subroot, n, i, l, proof, found) AS (SELECT doc_id, leaf, sub.h, sub.n, sub.r, 0, proof, found
+    FROM walk w JOIN sub ON sub.lang IS NOT DISTINCT FROM w.lang WHERE ((w.n - 1) >> w.l) = 0
+  UNION ALL SELECT c.doc_id, c.leaf, c.subroot, c.n, c.i // 2, c.l + 1, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN s.h IS NULL THEN found WHEN c.i % 2 = 1 THEN s.h || found ELSE found || s.h END)
+  FROM climb c LEFT JOIN top s ON s.l = c.l AND s.i = xor(c.i, 1) WHERE ((c.n - 1) >> c.l) > 0)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, found AS folded_root, found = t.h AS verified
+FROM climb c, (SELECT h FROM top WHERE ((n - 1) >> l) = 0) t WHERE ((c.n - 1) >> c.l) = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express on whole tables.
 
     The others need a tokenizer, a compressor, a trained model or SimHash and are tested
     against brute force.
     """
-    return {"op3_exact_dedup": _EXACT, "op6_ngram_jaccard": _SIMILAR, "op7_url_rules": _RULED}
+    return {
+        "op3_exact_dedup": _EXACT, "op6_ngram_jaccard": _SIMILAR, "op7_url_rules": _RULED, "op11_warc_archive": _ARCHIVED,
+        "op12_merkle_manifest": _TREE,
+    }
