@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -27,9 +29,9 @@ def sort_facility(readings: DataFrame) -> DataFrame:
     return readings.orderBy("observed_at", "metric_id")
 
 
-def latest_per_facility(readings: DataFrame) -> DataFrame:
-    """Newest reading per facility; on a tie the one received first."""
-    newest = Window.partitionBy("facility_id").orderBy(
+def latest_per_facility(readings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Newest reading per facility (and keys); on a tie the one received first."""
+    newest = Window.partitionBy(*keys, "facility_id").orderBy(
         F.col("observed_at").desc(), F.col("received_at").asc(), F.col("metric_id").asc()
     )
     return readings.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
@@ -63,3 +65,40 @@ def prefer_live(readings: DataFrame, start: str, end: str, id_prefix: str) -> Da
         .filter(F.when(F.col("_has_live"), F.col("is_live")).otherwise(simulated))
         .drop("_has_live")
     )
+
+
+def readings_in_scope(
+    readings: DataFrame, scopes: DataFrame, keys: tuple[str, ...], fan: Callable[[DataFrame], DataFrame], id_prefix: str = "cbp:"
+) -> tuple[DataFrame, DataFrame]:
+    """The newest reading of each facility as of each scope, and the number of readings per (profile, scope).
+
+    ``readings``: profile_id, is_live and the facility columns, without duplicates.
+    ``scopes`` lists the scope keys, ``fan`` hands rows to the scopes that contain them.
+    Live readings of a profile stand for every scope, the newest of each facility alone;
+    a profile without any has its simulated ones (by ``id_prefix``) inside the scope.
+    Rows are limited per map task before they are shuffled, the live profiles are found
+    among those few, and no profile is gathered.
+    """
+    slim = readings.select(
+        "profile_id", "facility_id", "display_name", "metric_id", "observed_at", "received_at", "is_live",
+        commercial_wait().alias("commercial_wait_minutes"),
+    )
+    names = ["profile_id", *keys, "facility_id", "display_name", "metric_id", "observed_at", "is_live", "commercial_wait_minutes"]
+    live = latest_per_facility(slim.filter("is_live"), ("profile_id",))
+    has_live = live.select("profile_id").distinct()
+    every_live = live.crossJoin(scopes.select(*keys)).select(*names)  # the asked grid of facilities and scopes
+    simulated = fan(slim.filter(~F.col("is_live") & F.col("facility_id").startswith(id_prefix)))
+    newest = latest_per_facility(simulated, ("profile_id", *keys)).select(*names).join(has_live, "profile_id", "left_anti")
+    counts = simulated.groupBy("profile_id", *keys).agg(F.count("*").alias("readings")).join(has_live, "profile_id", "left_anti")
+    counts = counts.unionByName(every_live.groupBy("profile_id", *keys).agg(F.count("*").alias("readings")))
+    return every_live.unionByName(newest), counts
+
+
+def land_summary(newest: DataFrame, counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per (profile, scope): facilities, readings and the headline wait, that of the first facility by (observed_at, metric_id)."""
+    first = Window.partitionBy("profile_id", *keys).orderBy("observed_at", "metric_id")
+    headline = newest.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(
+        "profile_id", *keys, F.col("commercial_wait_minutes").alias("wait_minutes")
+    )
+    facilities = newest.groupBy("profile_id", *keys).agg(F.count("*").alias("facilities"))
+    return facilities.join(headline, ["profile_id", *keys]).join(counts, ["profile_id", *keys])

@@ -139,6 +139,8 @@ def long_metrics(wide: DataFrame) -> DataFrame:
     own = F.when(F.col("role") == "baseline", F.lit("membership-predicate")).otherwise(scope)
     none = F.lit(None).cast("double")
     no_data = F.col("mode") != "sea"
+    # An air profile whose aircraft were read has a count of rows; none at all stays unknown.
+    flown = (F.col("mode") == "air") & F.col("in_fence_rows").isNotNull()
 
     dwell_note = F.format_string(
         "first-to-last in-scope observation; at least %d observations; gap at most %ds; an estimate",
@@ -150,18 +152,23 @@ def long_metrics(wide: DataFrame) -> DataFrame:
     )
 
     def row(name, kind, value, unit, sample, state, where, version, note):
+        counted = flown if name == "vessel_count" else F.lit(False)
         return F.struct(
             F.lit(name).alias("metric"),
             F.when(no_data, F.lit(name)).otherwise(F.lit(kind)).alias("metric_type"),
             F.when(no_data, F.concat_ws(".", scope, F.lit(name)))
             .otherwise(metric_id(F.lit(name), where, F.col("computed_at"))).alias("metric_id"),
             F.when(no_data, scope).otherwise(where).alias("scope"),
-            F.when(no_data, none).otherwise(value.cast("double")).alias("value"),
+            F.when(counted, F.nullif("in_fence_rows", F.lit(0).cast("bigint")).cast("double")).when(no_data, none)
+            .otherwise(value.cast("double")).alias("value"),
             F.when(no_data & (F.lit(name) != "moving_fraction"), F.lit("count")).otherwise(F.lit(unit)).alias("unit"),
-            F.when(no_data, F.lit(0).cast("bigint")).otherwise(sample.cast("bigint")).alias("sample_count"),
-            F.when(no_data, F.lit("unknown")).otherwise(F.col(state)).alias("state"),
-            F.when(no_data, F.lit("not-applicable-no-data")).otherwise(F.lit(version)).alias("formula_version"),
-            F.when(no_data, F.lit("entity metrics do not apply")).otherwise(note).alias("coverage_note"),
+            F.when(counted, F.col("in_fence_rows")).when(no_data, F.lit(0).cast("bigint")).otherwise(sample.cast("bigint"))
+            .alias("sample_count"),
+            F.when(no_data & ~counted, F.lit("unknown")).otherwise(F.col(state)).alias("state"),
+            F.when(counted, F.lit("aircraft-count-v1-adsb")).when(no_data, F.lit("not-applicable-no-data"))
+            .otherwise(F.lit(version)).alias("formula_version"),
+            F.when(counted, F.lit("aircraft rows in the reviewed fence")).when(no_data, F.lit("entity metrics do not apply"))
+            .otherwise(note).alias("coverage_note"),
         )
 
     count_note = F.format_string(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead.functions.timeline import MICROS, plus_micros
+from fairlead.operators.facility import land_summary, readings_in_scope
 from fairlead.operators.geo import profile_membership
 from fairlead.operators.windows import assign_windows, prune_to_windows
 from fairlead.schema import FREIGHT_TYPES, WATCH_METRICS
@@ -25,12 +26,17 @@ def coverage_states(profiles: DataFrame, fences: DataFrame) -> DataFrame:
     )
 
 
-def compare_rows(wide: DataFrame, comparisons: DataFrame, events: DataFrame, coverage: DataFrame,
-                 facility_headline: DataFrame | None = None) -> DataFrame:
-    """One row per (profile, window): headline, events, coverage and anomaly priority.
+def headline() -> Column:
+    """The number a profile shows: freight vessels at sea, aircraft rows in the air, the commercial wait on land."""
+    return (
+        F.when(F.col("mode") == "sea", F.col("freight").cast("double"))
+        .when(F.col("mode") == "air", F.nullif("in_fence_rows", F.lit(0).cast("bigint")).cast("double"))
+        .when(F.col("mode") == "land", F.col("wait_minutes"))
+    )
 
-    ``facility_headline`` (profile_id, window_id, wait) gives land profiles their headline.
-    """
+
+def compare_rows(wide: DataFrame, comparisons: DataFrame, events: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row per (profile, window): headline, events, coverage and anomaly priority."""
     per_event = events.groupBy(F.col("scope").alias("profile_id"), "window_id").agg(
         F.count("*").alias("event_count"), F.max(F.abs("relative_change")).alias("_event_change")
     )
@@ -40,17 +46,13 @@ def compare_rows(wide: DataFrame, comparisons: DataFrame, events: DataFrame, cov
     )
     sea = F.col("mode") == "sea"
     base = wide.filter("role = 'current'").select(
-        "profile_id", "window_id", F.when(sea, F.col("freight").cast("double")).alias("headline")
+        "profile_id", "window_id", headline().alias("headline")
     )
     rows = (
         base.join(per_event, ["profile_id", "window_id"], "left")
         .join(per_change, ["profile_id", "window_id"], "left")
         .join(coverage, "profile_id")
     )
-    if facility_headline is not None:
-        rows = rows.join(facility_headline, ["profile_id", "window_id"], "left").withColumn(
-            "headline", F.when(F.col("mode") == "land", F.col("wait")).otherwise(F.col("headline"))
-        ).drop("wait")
     zero = F.lit(0.0)
     # Land and air rows have no comparison of entity metrics.
     change = F.when(sea, F.coalesce("_change", zero)).otherwise(zero)
@@ -66,15 +68,13 @@ def by_anomaly(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("anomaly_priority").desc(), F.col("profile_id").asc())
 
 
-def by_region(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("region", "name")
-
-
 def network_totals(wide: DataFrame) -> DataFrame:
     """Sum of counts per window and mode; a missing count adds nothing, and without any the sum is unknown."""
     return wide.filter("role = 'current'").groupBy("window_id", "mode").agg(
         F.count("*").alias("profiles"),
         F.sum(F.when(F.col("mode") == "sea", F.col("freight"))).alias("vessels"),
+        F.sum(F.when(F.col("mode") == "air", F.col("in_fence_rows"))).alias("aircraft_rows"),
+        F.sum(F.when(F.col("mode") == "land", F.coalesce("readings", F.lit(0)))).alias("facility_readings"),
     )
 
 
@@ -89,18 +89,43 @@ def _freight_in_fence(members: DataFrame, keys: list[str], allowlist: list[str])
 
 def headline_series(
     obs: DataFrame, fences: DataFrame, profiles: DataFrame, bounds: DataFrame, buckets: int = 12,
-    allowlist: list[str] = FREIGHT_TYPES,
+    allowlist: list[str] = FREIGHT_TYPES, aircraft: DataFrame | None = None, readings: DataFrame | None = None,
+    facility_prefix: str = "cbp:",
 ) -> DataFrame:
-    """Headline count in equal half-open buckets of every window, in one pass; empty buckets stay."""
-    inside = assign_windows(profile_membership(prune_to_windows(obs, bounds), fences), bounds)
+    """Headline in equal half-open buckets of every window, in one pass per mode; empty buckets stay.
+
+    ``value``: freight vessels of a sea profile (0 in an empty bucket), aircraft rows of an
+    air profile and the headline wait of a land profile (both unknown in an empty bucket).
+    ``vessels`` is the count of the sea profiles.
+    """
     us, start, end = F.unix_micros("observed_at"), F.unix_micros("start_at"), F.unix_micros("end_at")
     bucket = F.floor((us - start) * F.lit(buckets) / (end - start))
-    counted = _freight_in_fence(inside.filter(us < end).withColumn("bucket", bucket), ["window_id", "profile_id", "bucket"], allowlist)
-    # The asked grid: every window, profile and bucket has a row.
+    keys = ["window_id", "profile_id", "bucket"]
+
+    def fan(rows: DataFrame) -> DataFrame:
+        return assign_windows(prune_to_windows(rows, bounds), bounds).filter(us < end).withColumn("bucket", bucket)
+
+    of = lambda mode: profiles.filter(F.col("mode") == mode).select("profile_id")
+    fences_of = lambda mode: fences.join(of(mode), "profile_id", "left_semi")
+    sea = fan(profile_membership(prune_to_windows(obs, bounds), fences_of("sea")))
+    values = _freight_in_fence(sea, keys, allowlist).select(*keys, F.col("vessels").cast("double").alias("found"))
+    if aircraft is not None:
+        air = fan(profile_membership(prune_to_windows(aircraft, bounds), fences_of("air")))
+        values = values.unionByName(air.groupBy(*keys).agg(F.count("*").cast("double").alias("found")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("bucket")
-    grid = bounds.select("window_id").crossJoin(profiles.filter("mode = 'sea'").select("profile_id")).select("window_id", "profile_id", every)
-    return grid.join(counted, ["window_id", "profile_id", "bucket"], "left").select(
-        "window_id", "profile_id", "bucket", F.coalesce("vessels", F.lit(0)).cast("bigint").alias("vessels")
+    if readings is not None:
+        scopes = bounds.select("window_id", every)
+        own = readings.join(of("land"), "profile_id", "left_semi")
+        newest, counts = readings_in_scope(own, scopes, ("window_id", "bucket"), fan, facility_prefix)
+        waits = land_summary(newest, counts, ("window_id", "bucket"))
+        values = values.unionByName(waits.select(*keys, F.col("wait_minutes").alias("found")))
+    # The asked grid: every window, profile and bucket has a row.
+    grid = bounds.select("window_id").crossJoin(profiles.select("profile_id", "mode")).select("window_id", "profile_id", "mode", every)
+    at_sea = F.col("mode") == "sea"
+    return grid.join(values, keys, "left").select(
+        "window_id", "profile_id", "mode", "bucket",
+        F.when(at_sea, F.coalesce("found", F.lit(0.0))).otherwise(F.col("found")).alias("value"),
+        F.when(at_sea, F.coalesce("found", F.lit(0.0)).cast("bigint")).alias("vessels"),
     )
 
 

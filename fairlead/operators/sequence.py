@@ -1,10 +1,12 @@
 """Operators over consecutive observations of an entity.
 
 An entity's rows are never sorted in one piece.  Time is cut into chunks of
-fixed length; neighbours are found inside (entity, chunk), and what crosses a
-chunk border comes from a small per-chunk summary.  A feed that sends a third of
-all rows is thereby spread over as many tasks as it has chunks, and the cut is a
-pure function of the row, so a lost task recomputes the same result.
+fixed length and neighbours are found inside (entity, chunk).  That one windowed
+pass is written down; what crosses a chunk border is read back from the last row
+of each chunk, and only the first rows of chunks are joined with it.  So the
+input is read once and its rows are shuffled once.  A feed that sends a third of
+all rows is spread over as many tasks as it has chunks, and the cut is a pure
+function of the row, so a lost task recomputes the same result.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from fairlead.functions.quality import track_label, track_rank
 from fairlead.functions.timeline import MICROS
 from fairlead.operators.windows import assign_windows, prune_to_windows
 from fairlead.schema import FREIGHT_TYPES
+from fairlead.session import stage
 
 CHUNK_SECONDS = 86_400
 _ORDER = ["observed_at", "observation_id"]
 
 
-def _chunk(seconds: int) -> Column:
-    return F.floor(F.unix_micros("observed_at") / F.lit(seconds * MICROS))
+def _chunk(seconds: int, at: str = "observed_at") -> Column:
+    return F.floor(F.unix_micros(at) / F.lit(seconds * MICROS))
 
 
 def _within(keys: list[str]):
@@ -32,98 +35,107 @@ def _across(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_chunk")
 
 
+def _filled(rows: DataFrame, handed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows whose ``name`` is null take it from ``handed`` (keys, _chunk, name); the others are not joined at all."""
+    missing = F.col(name).isNull()
+    return rows.filter(~missing).unionByName(
+        rows.filter(missing).drop(name).join(handed.select(*keys, "_chunk", name), [*keys, "_chunk"], "left")
+    )
+
+
 def with_previous(df: DataFrame, keys: list[str], carry: list[str], chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Add ``prev``: a struct of the ``carry`` columns of the preceding row of the same keys."""
-    chunked = df.withColumn("_chunk", _chunk(chunk_seconds))
-    local = chunked.withColumn("prev", F.lag(F.struct(*carry)).over(_within(keys)))
-    last_row = F.max_by(F.struct(*carry), F.struct(*_ORDER)).alias("_last")
-    handed_on = (
-        chunked.groupBy(*keys, "_chunk").agg(last_row)
-        .withColumn("_handed", F.lag("_last").over(_across(keys)))
-        .filter(F.col("_handed").isNotNull())
-        .drop("_last")
+    """Add ``prev``: a struct of the ``carry`` columns of the preceding row of the same keys.
+
+    All columns of ``df`` are written down once: select the needed ones before.
+    """
+    within, carried = _within(keys), F.struct(*carry)
+    rows = stage(
+        df.withColumn("_chunk", _chunk(chunk_seconds)).select(
+            "*", F.lag(carried).over(within).alias("prev"), F.lead(F.lit(True)).over(within).isNull().alias("_tail")
+        ),
+        "neighbours",
     )
-    return (
-        local.join(handed_on, [*keys, "_chunk"], "left")
-        .withColumn("prev", F.coalesce("prev", "_handed"))
-        .drop("_handed", "_chunk")
+    handed = rows.filter("_tail").select(*keys, "_chunk", F.lag(carried).over(_across(keys)).alias("prev"))
+    return _filled(rows, handed, keys, "prev").drop("_tail", "_chunk")
+
+
+def segment_rows(
+    df: DataFrame, keys: list[str], carry: list[str], max_gap_seconds: float, chunk_seconds: int = CHUNK_SECONDS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``prev``, ``_us``, ``_chunk``, ``_pos`` and ``_own_start``, and the start that each chunk inherits.
+
+    A gap strictly above the limit starts a segment.  ``_own_start`` is the time of the
+    segment's first row where that lies in the row's own chunk behind another row; where it
+    is null the segment starts at the chunk's ``_start`` (second table: keys, _chunk,
+    _start).  Aggregates over segments group by both first and look up the start of the
+    few pieces afterwards; see ``of_segments``.  ``_pos`` numbers the rows of the keys in
+    their order.  ``carry`` must have observed_at.
+    """
+    if not max_gap_seconds > 0:
+        raise ValueError("max_gap_seconds must be positive")
+    gap = F.lit(int(max_gap_seconds * MICROS))
+    within, across = _within(keys), _across(keys)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.struct(*carry, "_us")
+    linked = df.withColumn("_us", F.unix_micros("observed_at")).withColumn("_chunk", _chunk(chunk_seconds)).select(
+        "*", F.lag(carried).over(within).alias("prev"), F.lead(F.lit(True)).over(within).isNull().alias("_tail"),
+        F.first("_us").over(upto).alias("_first_us"),
+        F.shiftleft(F.col("_chunk"), 32).bitwiseOR(F.row_number().over(within).cast("bigint")).alias("_pos"),
     )
+    starts = F.when(F.col("_us") - F.col("prev._us") > gap, F.col("_us"))
+    rows = stage(linked.withColumn("_own_start", F.last(starts, ignorenulls=True).over(upto)), "segment-rows")
+    tails = rows.filter("_tail").select(
+        *keys, "_chunk", "_first_us", "_own_start", F.lag(carried).over(across).alias("prev"),
+    ).withColumn("_opens", F.col("prev").isNull() | (F.col("_first_us") - F.col("prev._us") > gap))
+    last_start = F.coalesce("_own_start", F.when(F.col("_opens"), F.col("_first_us")))
+    inherited = F.last(last_start, ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    borders = tails.select(*keys, "_chunk", "prev", F.when(F.col("_opens"), F.col("_first_us")).otherwise(inherited).alias("_start"))
+    return _filled(rows, borders, keys, "prev").drop("_tail", "_first_us"), borders.drop("prev")
+
+
+def of_segments(pieces: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces (keys, _chunk, _own_start, ...) with ``segment_start_us``."""
+    return pieces.join(borders, [*keys, "_chunk"], "left").withColumn(
+        "segment_start_us", F.coalesce("_own_start", "_start")
+    ).drop("_chunk", "_own_start", "_start")
 
 
 def with_segments(
     df: DataFrame, keys: list[str], carry: list[str], max_gap_seconds: float, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
-    """Add ``prev`` and ``segment_start_us``; a gap strictly above the limit starts a segment.
+    """Add ``prev`` and ``segment_start_us`` to every row.
 
     ``segment_start_us`` (time of the segment's first row) identifies a segment of
     the keys: two segments are always more than the gap apart.
     """
-    if not max_gap_seconds > 0:
-        raise ValueError("max_gap_seconds must be positive")
-    gap = F.lit(int(max_gap_seconds * MICROS))
-    us = F.unix_micros("observed_at")
-    chunked = df.withColumn("_chunk", _chunk(chunk_seconds))
-
-    last_row = F.max_by(F.struct(*carry), F.struct(*_ORDER)).alias("_last")
-    before = F.lag("_us").over(_within(keys))
-    borders = (
-        chunked.withColumn("_us", us)
-        .withColumn("_break", F.when(F.col("_us") - before > gap, F.col("_us")))
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
-            F.max("_break").alias("_last_break"), last_row,
-        )
-    )
-    across = _across(keys)
-    opens = F.lag("_last_us").over(across).isNull() | (F.col("_first_us") - F.lag("_last_us").over(across) > gap)
-    borders = (
-        borders.withColumn("_handed", F.lag("_last").over(across))
-        .withColumn("_last_start", F.coalesce("_last_break", F.when(opens, F.col("_first_us"))))
-        .withColumn(
-            "_handed_start",
-            F.last("_last_start", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select(*keys, "_chunk", "_handed", "_handed_start")
-    )
-    joined = (
-        chunked.withColumn("prev", F.lag(F.struct(*carry, us.alias("_us"))).over(_within(keys)))
-        .join(borders.withColumn("_handed", _with_us("_handed", carry)), [*keys, "_chunk"], "left")
-        .withColumn("prev", F.coalesce("prev", "_handed"))
-    )
-    starts = F.when(F.col("prev").isNull() | (us - F.col("prev._us") > gap), us)
-    return (
-        joined.withColumn("_start", starts)
-        .withColumn(
-            "segment_start_us",
-            F.coalesce(F.last("_start", ignorenulls=True).over(_within(keys)), F.col("_handed_start")),
-        )
-        .drop("_start", "_handed", "_handed_start", "_chunk")
-    )
+    rows, borders = segment_rows(df, keys, carry, max_gap_seconds, chunk_seconds)
+    return of_segments(rows, borders, keys).drop("_us", "_pos")
 
 
-def _with_us(struct: str, carry: list[str]) -> Column:
-    fields = [F.col(f"{struct}.{name}").alias(name) for name in carry]
-    return F.when(
-        F.col(struct).isNotNull(), F.struct(*fields, F.unix_micros(f"{struct}.observed_at").alias("_us"))
-    )
+def longest_first(count: Column, start_us: Column) -> Column:
+    """Orders segments by their rows, the earlier one higher on a tie; of fixed width, so that maxima hash-aggregate."""
+    return count.cast("decimal(20,0)") * F.lit(10 ** 17).cast("decimal(18,0)") - start_us.cast("decimal(20,0)")
 
 
 def track_segments(obs: DataFrame, max_gap_seconds: float, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Tracks: runs of an entity's observations without a gap above the limit."""
-    us = F.unix_micros("observed_at")
-    rows = with_segments(
+    rows, borders = segment_rows(
         obs.select("entity_id", *_ORDER, "source_state"), ["entity_id"], ["observed_at"], max_gap_seconds, chunk_seconds
     )
-    inner_gap = F.when(F.col("prev._us") >= F.col("segment_start_us"), us - F.col("prev._us")).otherwise(0)
+    step = F.col("_us") - F.col("prev._us")
+    pieces = rows.groupBy("entity_id", "_chunk", "_own_start").agg(
+        F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count("*").alias("n"),
+        F.max(F.when(step <= int(max_gap_seconds * MICROS), step).otherwise(0)).alias("gap"),
+        F.max(track_rank(F.col("source_state"))).alias("rank"),
+    )
     return (
-        rows.groupBy("entity_id", "segment_start_us")
+        of_segments(pieces, borders, ["entity_id"]).groupBy("entity_id", "segment_start_us")
         .agg(
-            F.min("observed_at").alias("start_at"),
-            F.max("observed_at").alias("end_at"),
-            F.count("*").alias("observed_points"),
-            (F.max(inner_gap) / F.lit(float(MICROS))).alias("largest_gap_seconds"),
-            track_label(F.max(track_rank(F.col("source_state")))).alias("source_state"),
+            F.min("start_at").alias("start_at"),
+            F.max("end_at").alias("end_at"),
+            F.sum("n").alias("observed_points"),
+            (F.max("gap") / F.lit(float(MICROS))).alias("largest_gap_seconds"),
+            track_label(F.max("rank")).alias("source_state"),
         )
         .withColumn("interpolated_points", F.lit(0))
         .withColumn("track_id", F.concat("entity_id", F.lit("@"), F.col("segment_start_us").cast("string")))
@@ -133,7 +145,7 @@ def track_segments(obs: DataFrame, max_gap_seconds: float, chunk_seconds: int =
 
 def track_points(obs: DataFrame, max_gap_seconds: float, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Lineage of the tracks as rows: which observation belongs to which track."""
-    rows = with_segments(obs, ["entity_id"], ["observed_at"], max_gap_seconds, chunk_seconds)
+    rows = with_segments(obs.select("entity_id", *_ORDER), ["entity_id"], ["observed_at"], max_gap_seconds, chunk_seconds)
     return rows.select(
         F.concat("entity_id", F.lit("@"), F.col("segment_start_us").cast("string")).alias("track_id"),
         "entity_id", *_ORDER,
@@ -142,20 +154,33 @@ def track_points(obs: DataFrame, max_gap_seconds: float, chunk_seconds: int = CH
 
 def entity_classifications(obs: DataFrame, keys: list[str] | None = None,
                            chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """The last row decides an entity's type; type changes along the way are counted."""
+    """The last row decides an entity's type; type changes along the way are counted.
+
+    Both come from one row per (entity, chunk): its last type, its first type and the
+    number of changes inside it.
+    """
     group = [*(keys or []), "entity_id"]
-    rows = with_previous(obs, group, ["entity_type"], chunk_seconds)
-    changed = F.col("prev").isNotNull() & (F.col("prev.entity_type") != F.col("entity_type"))
-    last = F.max_by(F.struct("entity_type", "classification", "observation_id"), F.struct(*_ORDER))
-    return (
-        rows.groupBy(*group).agg(last.alias("_last"), F.count_if(changed).alias("classification_changes"))
-        .select(
-            *group,
-            F.col("_last.entity_type").alias("entity_type"),
-            (F.col("_last.classification") == "confirmed").alias("reliable"),
-            F.col("_last.observation_id").alias("decided_by"),
-            "classification_changes",
-        )
+    within, across = _within(group), _across(group)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fields = ["entity_type", "classification", "observation_id"]
+    chunked = obs.select(*group, *_ORDER, "entity_type", "classification").withColumn("_chunk", _chunk(chunk_seconds))
+    changed = (F.lag("entity_type").over(within) != F.col("entity_type")).cast("int")
+    marked = chunked.select(
+        *group, "_chunk", *_ORDER, "entity_type", "classification", changed.alias("_changed"),
+        F.first("entity_type").over(upto).alias("_first_type"), F.lead(F.lit(True)).over(within).isNull().alias("_tail"),
+    )
+    tails = marked.withColumn("_changes", F.sum("_changed").over(upto)).filter("_tail").select(
+        *group, "_chunk", *fields, "_first_type", F.coalesce("_changes", F.lit(0)).alias("_changes")
+    )
+    linked = tails.select(
+        "*", (F.lag("entity_type").over(across) != F.col("_first_type")).cast("int").alias("_crossed"),
+        F.lead(F.lit(True)).over(across).isNull().alias("_last"),
+    )
+    counts = Window.partitionBy(*group)
+    total = F.sum(F.col("_changes") + F.coalesce("_crossed", F.lit(0))).over(counts)
+    return linked.withColumn("classification_changes", total).filter("_last").select(
+        *group, "entity_type", (F.col("classification") == "confirmed").alias("reliable"),
+        F.col("observation_id").alias("decided_by"), "classification_changes",
     )
 
 
@@ -196,7 +221,7 @@ def entry_exit(
     """
     if not max_gap_seconds > 0:
         raise ValueError("max_gap_seconds must be positive")
-    bounded = prune_to_windows(flagged, wins)
+    bounded = prune_to_windows(flagged, wins).select(*keys, "entity_id", *_ORDER, "inside")
     rows = with_previous(bounded, [*keys, "entity_id"], ["observed_at", "inside"], chunk_seconds)
     # Only rows whose flag differs from the predecessor's can cross: filter before the fan-out.
     candidates = rows.filter(F.col("prev").isNotNull() & (F.col("prev.inside") != F.col("inside")))
@@ -216,19 +241,20 @@ def visits(
     Rows are segmented once over all time; a window is an interval, so clipping a
     segment to it gives the window's visit.
     """
-    us = F.unix_micros("observed_at")
     group = [*keys, "entity_id"]
-    segmented = with_segments(prune_to_windows(rows, wins), group, ["observed_at"], max_gap_seconds, chunk_seconds)
-    inner = (F.col("prev._us") >= F.col("segment_start_us")) & (F.col("prev.observed_at") >= F.col("start_at"))
-    return (
-        assign_windows(segmented, wins)
-        .groupBy(*keys, "window_id", "entity_id", "segment_start_us")
-        .agg(
-            F.count("*").alias("observation_count"),
-            F.min("observed_at").alias("first_inside_at"),
-            F.max("observed_at").alias("last_inside_at"),
-            F.max(F.when(inner, us - F.col("prev._us")).otherwise(0)).alias("largest_gap_us"),
-        )
+    inside = prune_to_windows(rows, wins).select(*group, *_ORDER)
+    linked, borders = segment_rows(inside, group, ["observed_at"], max_gap_seconds, chunk_seconds)
+    step = F.col("_us") - F.col("prev._us")
+    inner = (step <= int(max_gap_seconds * MICROS)) & (F.col("prev.observed_at") >= F.col("start_at"))
+    pieces = assign_windows(linked, wins).groupBy(*group, "window_id", "_chunk", "_own_start").agg(
+        F.count("*").alias("n"), F.min("observed_at").alias("first"), F.max("observed_at").alias("last"),
+        F.max(F.when(inner, step).otherwise(0)).alias("gap"),
+    )
+    return of_segments(pieces, borders, group).groupBy(*keys, "window_id", "entity_id", "segment_start_us").agg(
+        F.sum("n").alias("observation_count"),
+        F.min("first").alias("first_inside_at"),
+        F.max("last").alias("last_inside_at"),
+        F.max("gap").alias("largest_gap_us"),
     )
 
 
@@ -250,19 +276,18 @@ def dwell_per_entity(
         raise ValueError("min_observations must be at least 1")
     in_scope = rows if membership is None else rows.filter(membership)
     per_visit = visits(in_scope, wins, keys, max_gap_seconds, chunk_seconds)
-    fields = F.struct("first_inside_at", "last_inside_at", "observation_count", "largest_gap_us")
-    # The last part of the order is negative time, so the earliest of equally long visits wins.
-    longest = F.max_by(fields, F.struct("observation_count", (-F.col("segment_start_us")).alias("early")))
-    best = per_visit.groupBy(*keys, "window_id", "entity_id").agg(longest.alias("_v"))
+    order = longest_first(F.col("observation_count"), F.col("segment_start_us"))
+    names = ["first_inside_at", "last_inside_at", "observation_count", "largest_gap_us"]
+    best = per_visit.withColumn("_order", order).groupBy(*keys, "window_id", "entity_id").agg(
+        *[F.max_by(name, "_order").alias(name) for name in names]
+    )
     return (
-        best.filter(F.col("_v.observation_count") >= min_observations)
+        best.filter(F.col("observation_count") >= min_observations)
         .select(
-            *keys, "window_id", "entity_id",
-            F.col("_v.first_inside_at").alias("first_inside_at"),
-            F.col("_v.last_inside_at").alias("last_inside_at"),
-            (F.unix_micros("_v.last_inside_at") - F.unix_micros("_v.first_inside_at")).alias("dwell_us"),
-            F.col("_v.observation_count").alias("observation_count"),
-            (F.col("_v.largest_gap_us") / F.lit(float(MICROS))).alias("largest_gap_seconds"),
+            *keys, "window_id", "entity_id", "first_inside_at", "last_inside_at",
+            (F.unix_micros("last_inside_at") - F.unix_micros("first_inside_at")).alias("dwell_us"),
+            "observation_count",
+            (F.col("largest_gap_us") / F.lit(float(MICROS))).alias("largest_gap_seconds"),
         )
         .withColumn("dwell_seconds", F.col("dwell_us") / F.lit(float(MICROS)))
     )
@@ -274,27 +299,21 @@ def asof_classification(frames: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -
     ``frames``: mmsi, arrival_seq, received_at, kind ("static" or "position"),
     entity_type, classification (static rows).  A later unknown static overwrites.
     """
-    keyed = frames.withColumn("_chunk", F.floor(F.unix_micros("received_at") / F.lit(chunk_seconds * MICROS)))
-    static = F.when(F.col("kind") == "static", F.struct("entity_type", "classification"))
     order = ["received_at", "arrival_seq"]
-    upto = Window.partitionBy("mmsi", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last_static = F.max_by(static, F.when(static.isNotNull(), F.struct(*order)))
-    handed_on = (
-        keyed.groupBy("mmsi", "_chunk").agg(last_static.alias("_last"))
-        .withColumn(
-            "_handed",
-            F.last("_last", ignorenulls=True).over(
-                Window.partitionBy("mmsi").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select("mmsi", "_chunk", "_handed")
+    within = Window.partitionBy("mmsi", "_chunk").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    static = F.when(F.col("kind") == "static", F.struct("entity_type", "classification"))
+    rows = stage(
+        frames.withColumn("_chunk", _chunk(chunk_seconds, "received_at")).select(
+            "*", F.last(static, ignorenulls=True).over(upto).alias("_known"), F.lead(F.lit(True)).over(within).isNull().alias("_tail")
+        ),
+        "typed-frames",
     )
-    known = F.coalesce("_known", "_handed")
+    earlier = _across(["mmsi"]).rowsBetween(Window.unboundedPreceding, -1)
+    handed = rows.filter("_tail").select("mmsi", "_chunk", F.last("_known", ignorenulls=True).over(earlier).alias("_known"))
     return (
-        keyed.withColumn("_known", F.last(static, ignorenulls=True).over(upto))
-        .join(handed_on, ["mmsi", "_chunk"], "left")
-        .filter(F.col("kind") == "position")
-        .withColumn("entity_type", F.coalesce(known["entity_type"], F.lit("unknown")))
-        .withColumn("classification", F.coalesce(known["classification"], F.lit("unknown")))
-        .drop("_known", "_handed", "_chunk", "kind")
+        _filled(rows.filter(F.col("kind") == "position"), handed, ["mmsi"], "_known")
+        .withColumn("entity_type", F.coalesce(F.col("_known.entity_type"), F.lit("unknown")))
+        .withColumn("classification", F.coalesce(F.col("_known.classification"), F.lit("unknown")))
+        .drop("_known", "_tail", "_chunk", "kind")
     )

@@ -14,7 +14,7 @@ from fairlead.operators import questions as Q
 from fairlead.operators import sequence, windows
 from fairlead.plans import snapshot as S
 from fairlead.plans import views as V
-from fairlead.session import spread, use_utc
+from fairlead.session import spread, stage, use_utc
 from fairlead.sources import aircraft, border, fixtures, frames, registry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,22 @@ def _windows(spark: SparkSession) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, settings: S.SnapshotSettings = SETTINGS) -> S.Snapshot:
+    return S.snapshot(
+        V.observations(spark, sf_dir), registry.profiles(spark), registry.fences(spark), _windows(spark), settings,
+        **_other_modes(spark, sf_dir),
+    )
+
+
+def _other_modes(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables of the air and the land profiles."""
+    return {
+        "aircraft": V.aircraft(spark, sf_dir), "readings": facility.dedupe_facility(V.land_readings(spark, sf_dir)),
+        "facility_prefix": V.SITE_PREFIX,
+    }
+
+
+def _sea_snapshot(spark: SparkSession, sf_dir: str, settings: S.SnapshotSettings = SETTINGS) -> S.Snapshot:
+    """For queries of the sea profiles alone."""
     return S.snapshot(
         V.observations(spark, sf_dir), registry.profiles(spark), registry.fences(spark), _windows(spark), settings
     )
@@ -281,7 +297,7 @@ def network_topk(spark, d):
 
 @_query
 def event_topk(spark, d):
-    events = compare.detect_events(_snapshot(spark, d).metrics, _eager_rules(spark))
+    events = compare.detect_events(_sea_snapshot(spark, d).metrics, _eager_rules(spark))
     return compare.event_topk(events, ["window_id"], ordering.EVENT_BUDGET).select(
         "window_id", "event_id", "rank", "considered", "dropped"
     )
@@ -377,8 +393,7 @@ def headline_series(spark, d):
     bounds = windows.windows(spark, [
         ("s1", "2024-01-15T00:00:00Z", "2024-01-22T00:00:00Z"), ("s2", "2024-01-10T00:00:00Z", "2024-01-16T00:00:00Z"),
     ])
-    sea = registry.fences(spark).filter("profile_id not in ('lax-cargo-air', 'el-paso-border-crossings')")
-    return network.headline_series(V.observations(spark, d), sea, registry.profiles(spark), bounds)
+    return network.headline_series(V.observations(spark, d), registry.fences(spark), registry.profiles(spark), bounds, **_other_modes(spark, d))
 
 
 @_query
@@ -427,7 +442,7 @@ def dwell_per_entity(spark, d):
 
 @_query
 def dwell_metrics(spark, d):
-    wide = _snapshot(spark, d).wide
+    wide = _sea_snapshot(spark, d).wide
     return wide.filter("mode = 'sea'").select(
         "profile_id", "window_id", "role", "dwell_cohort", "median_dwell_seconds", "dwell_state"
     )
@@ -456,14 +471,13 @@ def cohorts(spark, d):
 
 @_query
 def aircraft_count(spark, d):
-    rows = aircraft.transform_aircraft(aircraft.aircraft_rows(V.aircraft_polls(spark, d)))
     fences = registry.fences(spark).filter("profile_id in ('lax-cargo-air', 'suez-canal-approaches')")
-    return metrics.aircraft_count(N.accepted(rows), fences, _windows(spark))
+    return metrics.aircraft_count(V.aircraft(spark, d), fences, _windows(spark))
 
 
 @_query
 def metrics_long(spark, d):
-    return _snapshot(spark, d).metrics.filter("mode = 'sea'").select(
+    return _sea_snapshot(spark, d).metrics.filter("mode = 'sea'").select(
         "profile_id", "window_id", "role", "metric", "metric_type", "metric_id", "scope", "value", "unit",
         "sample_count", "state", "formula_version",
     )
@@ -486,7 +500,13 @@ def metric_inputs(spark, d):
     sea = registry.fences(spark).filter("profile_id not in ('lax-cargo-air', 'el-paso-border-crossings')")
     rows = S.rows_in_fences(V.observations(spark, d), sea)
     entities = S.entity_windows(rows, _windows(spark), SETTINGS)
-    return S.metric_inputs(rows, entities, _windows(spark))
+    return S.metric_inputs(rows, entities, _windows(spark)).drop("observed_at")
+
+
+@_query
+def metric_provenance(spark, d):
+    sea = registry.fences(spark).filter("profile_id not in ('lax-cargo-air', 'el-paso-border-crossings')")
+    return S.metric_provenance(V.observations(spark, d), sea, _windows(spark), SETTINGS)
 
 
 @_query
@@ -518,7 +538,7 @@ def _eager_rules(spark):
 
 @_query
 def detected_events(spark, d):
-    snap = _snapshot(spark, d)
+    snap = _sea_snapshot(spark, d)
     return compare.detect_events(snap.metrics, _eager_rules(spark)).select(
         "event_id", "event_type", "scope", "window_id", "metric", "current_value", "baseline_value", "absolute_change",
         "relative_change", "direction", "state",
@@ -556,7 +576,7 @@ def evaluation_report(spark, d):
 
 @_query
 def snapshot(spark, d):
-    return _snapshot(spark, d).wide.filter("profile_id = 'long-beach-approach' and role = 'current'").select(
+    return _sea_snapshot(spark, d).wide.filter("profile_id = 'long-beach-approach' and role = 'current'").select(
         "profile_id", "window_id", "in_fence_rows", "freight", "unclassified", "other", "eligible", "moving",
         "moving_fraction", "dwell_cohort", "median_dwell_seconds", "entries", "exits", "uncertain",
         "count_state", "moving_state", "dwell_state", "entry_state", "exit_state",
@@ -568,13 +588,21 @@ def all_snapshots(spark, d):
     return _snapshot(spark, d).wide.select(
         "profile_id", "mode", "window_id", "role", "window_start", "window_end", "in_fence_rows", "freight",
         "unclassified", "other", "eligible", "moving", "missing_speed", "dwell_cohort", "entries", "exits", "uncertain",
+        "count_state", "facilities", "readings", "wait_minutes",
     )
 
 
+@_query
+def facility_windows(spark, d):
+    """The newest reading of each facility as of each window."""
+    newest = _snapshot(spark, d).facilities
+    return newest.select("profile_id", "window_id", "facility_id", "metric_id", "observed_at", "commercial_wait_minutes")
+
+
 @_query
 def open_water_crossings(spark, d):
     settings = S.SnapshotSettings(5.0, 2, 43_200, crossing_input="all")
-    return _snapshot(spark, d, settings).wide.filter("mode = 'sea'").select(
+    return _sea_snapshot(spark, d, settings).wide.filter("mode = 'sea'").select(
         "profile_id", "window_id", "role", "entries", "exits", "uncertain"
     )
 
@@ -600,7 +628,8 @@ def compare_rows(spark, d):
 @_query
 def watch_evaluation(spark, d):
     snap = _snapshot(spark, d)
-    stored = network.upsert_watches(V.watches(spark, d).filter("seq < 0"), V.watches(spark, d))
+    given = V.watches(spark, d)
+    stored = network.upsert_watches(given.filter("seq % 2 = 0"), given.filter("seq % 2 = 1"))
     return network.evaluate_watches(stored, snap.metrics, snap.comparisons)
 
 
@@ -639,8 +668,11 @@ def health_as_of(spark, d):
 @_query
 def readiness_rollup(spark, d):
     states = health.source_health(V.refreshes(spark, d), 3600)
-    probes = health.health_as_of(states, _probes(spark, d), 3600).withColumn("day", F.date_trunc("day", "probe_at"))
-    return health.readiness_rollup(probes, ["day"])
+    quarter = F.timestamp_micros(F.floor(F.unix_micros("probe_at") / F.lit(21_600 * V.SEC)) * (21_600 * V.SEC))
+    probes = health.health_as_of(states, _probes(spark, d), 3600).withColumn("quarter", quarter)
+    # Every source that ever refreshed has to be heard from in every quarter of a day that was probed.
+    expected = V.refreshes(spark, d).select("source_id").distinct().crossJoin(probes.select("quarter").distinct())
+    return health.readiness_rollup(probes, expected, ["quarter"])
 
 
 # --- claims ------------------------------------------------------------------------------
@@ -648,7 +680,7 @@ def readiness_rollup(spark, d):
 
 @_query
 def claims(spark, d):
-    snap = _snapshot(spark, d)
+    snap = _sea_snapshot(spark, d)
     return C.snapshot_claims(snap.wide, snap.metrics, snap.comparisons).select(
         "profile_id", "window_id", "claim_order", "claim_id", "text", "category", "confidence",
         F.size("support").cast("bigint").alias("n_support"),
@@ -708,64 +740,67 @@ def _question_run(spark, d):
         ("context", "2024-01-15T00:00:00Z", ends), ("last_24_hours", "2024-01-21T00:00:00Z", ends),
         ("last_3_days", "2024-01-19T00:00:00Z", ends), ("last_6_hours", "2024-01-21T18:00:00Z", ends),
     ])
-    snap = S.snapshot(V.observations(spark, d), registry.profiles(spark), registry.fences(spark), wins, SETTINGS)
+    snap = S.snapshot(
+        V.observations(spark, d), registry.profiles(spark), registry.fences(spark), wins, SETTINGS, **_other_modes(spark, d)
+    )
     routed = Q.route_questions(V.questions(spark, d)).withColumn(
         "context_profile", F.when(F.length("question_id") % 2 == 0, "long-beach-approach")
     )
-    return snap, Q.evidence_bundles(routed, snap.wide)
+    # Which source serves which mode: by its number.
+    refreshed = V.refreshes(spark, d)
+    number = F.substring("source_id", 5, 9).cast("int")
+    mode = F.when(number % 5 == 0, "land").when(number % 5 == 1, "air").otherwise("sea")
+    sources = refreshed.select("source_id").distinct().withColumn("mode", mode)
+    instants = wins.select("window_id", F.col("end_at").alias("probe_at"))
+    at_end = health.health_by_mode(health.source_health(refreshed, 3600), sources, instants, 3600)
+    return snap, Q.evidence_bundles(routed, snap.wide, health=at_end)
 
 
 @_query
 def evidence_bundles(spark, d):
     return _question_run(spark, d)[1].select(
-        "question_id", "bundle_id", "tool", "profile_id", "window_id", "abstention", "observations"
+        "question_id", "bundle_id", "tool", "profile_id", "window_id", "abstention", "observations", "facility_readings",
+        "source_health",
+    )
+
+
+def _question_claims(spark, d, snap):
+    """All claims of the run's scopes, judged against the metric values and waits they may cite; written down once."""
+    events = compare.detect_events(snap.metrics, _eager_rules(spark))
+    land = snap.wide.filter("role = 'current' and mode = 'land'").select("profile_id", "window_id")
+    made = (
+        C.snapshot_claims(snap.wide, snap.metrics, snap.comparisons).unionByName(C.event_claims(events))
+        .unionByName(C.facility_claims(snap.facilities, land, ["profile_id", "window_id"]))
     )
+    values = snap.metrics.filter("role = 'current'").select("profile_id", "window_id", "value").unionByName(
+        snap.facilities.select("profile_id", "window_id", F.col("commercial_wait_minutes").alias("value"))
+    )
+    return stage(C.judge_claims(made, values, ["profile_id", "window_id"]), "judged-claims")
 
 
 @_query
 def answers(spark, d):
     snap, bundles = _question_run(spark, d)
-    events = compare.detect_events(snap.metrics, _eager_rules(spark))
-    made = C.snapshot_claims(snap.wide, snap.metrics, snap.comparisons).unionByName(C.event_claims(events))
-    values = snap.metrics.filter("role = 'current'").select("profile_id", "window_id", "value")
-    judged = C.judge_claims(made, values, ["profile_id", "window_id"])
-    served = Q.claims_of_bundles(bundles, judged, "question_id")
-    return Q.answers(bundles, served, "question_id").select("question_id", "tool", "accepted", "rejected", "answer")
-
-
-# Words that label a document claim, apart from the patterns that judge it.
-_LABELS = [
-    ("THREAT", ["suspicious", "threat", "hostile", "illegal", "smuggler", "smuggling"]),
-    ("CAUSE", ["because", "caused by", "cause of", "due to", "resulting from", "disruption"]),
-    ("PREDICTION", ["will rise", "will fall", "will increase", "will decrease", "will grow", "forecast", "predict", "predicted",
-                    "predictive", "prediction"]),
-    ("IDENTITY", ["beneficial owner", "owner is", "operator is", "flagged by"]),
-    ("INTENT", ["intend to", "intends to", "planning to", "evade"]),
-    ("SCOPE", [f"all vessels {at} {the}{place}" for at in ("at", "in", "near") for the in ("", "the ")
-               for place in ("port", "harbor", "harbour", "area")]),
-]
+    return Q.answers(bundles, _question_claims(spark, d, snap), "question_id").select(
+        "question_id", "tool", "accepted", "rejected", "answer", "verdict", "caveats"
+    )
 
 
-def _document_label():
-    said = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^\\p{L}0-9_]+", " "), F.lit(" "))
-    label = None
-    for name, phrases in _LABELS:
-        found = F.greatest(*[said.contains(f" {p} ") for p in phrases])
-        label = F.when(found, name) if label is None else label.when(found, name)
-    return label.when((F.col("category") != "LIMITATION") & F.col("text").rlike("[0-9]"), "NUMERIC").otherwise("accepted")
+@_query
+def evidence_references(spark, d):
+    snap, bundles = _question_run(spark, d)
+    wins = snap.wide.filter("role = 'current'").select("window_id", F.col("window_start").alias("start_at"), F.col("window_end").alias("end_at")).distinct()
+    sea = registry.fences(spark).filter("profile_id not in ('lax-cargo-air', 'el-paso-border-crossings')")
+    members = geo.profile_membership(windows.prune_to_windows(V.observations(spark, d), wins), sea)
+    inputs = windows.assign_windows(members.select("profile_id", "observed_at", "observation_id"), wins)
+    return Q.evidence_references(bundles, inputs, _question_claims(spark, d, snap))
 
 
 @_query
 def groundedness(spark, d):
-    judged = _judged(spark, d)
-    e = F.col("claim_order")
-    expected = (
-        F.when(e % 12 == 0, "THREAT").when(e % 12 == 1, "CAUSE").when(e % 12 == 2, "PREDICTION").when(e % 12 == 3, "IDENTITY")
-        .when(e % 12 == 4, "INTENT").when(e % 12 == 5, "SCOPE").when(e % 13 == 0, "PROVENANCE")
-        .when((e % 12 == 6) & (F.col("category") != "LIMITATION"), "NUMERIC").otherwise("accepted")
-    )
-    expected = F.when(F.col("claim_id").startswith("c-"), expected).otherwise(_document_label())
-    cases = judged.select("category", expected.alias("expected"), F.coalesce("rejection", F.lit("accepted")).alias("actual"))
+    planted = V.planted_claims(spark, d)
+    judged = C.judge_claims(planted, V.claim_values(spark, d), ["bundle_id"])
+    cases = judged.select("category", V.planted_label().alias("expected"), F.coalesce("rejection", F.lit("accepted")).alias("actual"))
     return Q.groundedness(cases)
 
 

@@ -6,7 +6,10 @@ they share no logic with the Spark operators.
 
 from __future__ import annotations
 
-from fairlead.plans.views import QUESTIONS
+from fairlead.operators.claims import BANNED, SCOPE_OVERREACH
+from fairlead.operators.questions import METRIC_PATTERNS, TOOL_PATTERNS, WINDOW_PATTERNS
+from fairlead.plans.views import PLANTED_PHRASES, QUESTIONS
+from fairlead.schema import WATCH_METRICS
 from fairlead.sources.registry import FENCES, PROFILES
 
 _SQL: dict[str, str] = {}
@@ -112,6 +115,47 @@ W3 = [("w1", "2024-01-15", "2024-01-22"), ("w2", "2024-01-20", "2024-01-22"), ("
 GAP = 43_200_000_000
 
 
+READINGS = """
+fr AS (
+  SELECT 'fm-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS metric_id,
+    'site:' || l_suppkey AS facility_id, 'Site ' || l_suppkey AS display_name, CASE WHEN l_suppkey % 5 = 0 THEN 'rail' ELSE 'land' END AS mode, epoch_us(l_shipdate) AS us,
+    epoch_us(l_shipdate) + (l_orderkey % 7) * 1000000 AS received_us,
+    ['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber] AS lane,
+    CASE WHEN l_partkey % 9 <> 0 THEN l_quantity END AS wait, l_suppkey % 4 = 0 AS is_live, 'profile-' || (l_suppkey % 10) AS profile_id, l_orderkey AS order_key
+  FROM lineitem)"""
+AIRCRAFT = """
+a0 AS (SELECT event_id AS e, user_id AS u, epoch_us(ts) AS us FROM events),
+a1 AS (
+  SELECT e, u, us, 'a' || u AS hex, ['FDX','UPS','DLH','GTI','AF' || (u % 10),'BAW','BOX'][e % 7 + 1] IN ('FDX','UPS','GTI','BOX') AS freight,
+    CAST(33.6 AS DOUBLE) + ((e*37 + u*11) % 400) / CAST(1000 AS DOUBLE) AS lat, CAST(-118.7 AS DOUBLE) + ((e*53 + u*29) % 500) / CAST(1000 AS DOUBLE) AS lon,
+    CASE WHEN e % 6 <> 0 THEN floor((e % 40000) * CAST(0.3048 AS DOUBLE) + CAST(0.5 AS DOUBLE)) END AS alt,
+    CASE WHEN e % 4 <> 0 THEN (e % 5000) / CAST(10 AS DOUBLE) END AS gs, (e % 3600) / CAST(10 AS DOUBLE) AS track, e % 9 = 0 AS mlat,
+    CASE WHEN e % 3 <> 0 THEN (e % 90) / CAST(8 AS DOUBLE) END AS seen_pos FROM a0 WHERE e % 103 <> 0
+  UNION ALL SELECT e, u, us, CASE WHEN e % 2 = 0 THEN 'b' || u END, false, CASE WHEN e % 5 = 0 THEN CAST(95.5 AS DOUBLE) ELSE CAST(33.8 AS DOUBLE) END,
+    CASE WHEN e % 7 <> 0 THEN CAST(-118.4 AS DOUBLE) END, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 <> 0
+  UNION ALL SELECT e, u, us, NULL, false, NULL, NULL, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 = 0),
+air AS (
+  SELECT *, CASE WHEN hex IS NULL OR lat IS NULL OR lon IS NULL THEN 'record.incomplete'
+      WHEN lat > 90 THEN 'latitude.range' WHEN track >= 360 THEN 'heading_degrees.range' END AS reason,
+    CASE WHEN seen_pos IS NULL THEN us
+      ELSE CAST(floor((us - CAST(floor(seen_pos * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 1000) / CAST(1000000 AS DOUBLE)) AS BIGINT) * 1000000 END AS seen,
+    CASE WHEN freight THEN 'aircraft' ELSE 'unknown' END AS entity_type FROM a1)"""
+# Aircraft rows and facility readings as of the current windows, for the profiles of these modes.
+_FLOWN = "reason IS NULL AND lat < 33.95 AND lat >= 33.7 AND lon >= -118.65 AND lon < -118.25"
+LAND = READINGS + """,
+lm AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + (((us - epoch_us(TIMESTAMP '1992-01-01')) // 86400000000) % 30 * 86400 + order_key % 86400) * 1000000 AS at_us FROM fr),
+ld AS (SELECT 'el-paso-border-crossings' AS profile_id, metric_id, facility_id, display_name, at_us AS us, at_us + received_us - us AS received_us,
+    CASE WHEN lane = 'commercial_vehicle' THEN wait END AS w FROM lm
+  QUALIFY row_number() OVER (PARTITION BY facility_id, at_us, lane ORDER BY received_us - us DESC, metric_id DESC) = 1)"""
+OTHERS = AIRCRAFT + "," + LAND + f""",
+airc AS (SELECT p.window_id, count(*) AS n, count(*) FILTER (entity_type = 'aircraft') AS fr, count(*) FILTER (entity_type = 'unknown') AS un
+  FROM air a JOIN pairs p ON p.role = 'current' AND a.seen BETWEEN p.s AND p.e WHERE {_FLOWN} GROUP BY 1),
+lw AS (SELECT d.*, p.window_id FROM ld d JOIN pairs p ON p.role = 'current' AND d.us BETWEEN p.s AND p.e),
+ll AS (SELECT * FROM lw QUALIFY row_number() OVER (PARTITION BY window_id, facility_id ORDER BY us DESC, received_us, metric_id) = 1),
+landc AS (SELECT window_id, readings, facilities, w AS wait_minutes FROM (SELECT window_id, count(*) AS readings, count(DISTINCT facility_id) AS facilities FROM lw GROUP BY 1)
+  JOIN (SELECT window_id, w FROM ll QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY us, metric_id) = 1) USING (window_id))"""
+
+
 def _snap(bounds=W3, all_rows: bool = False) -> str:
     crossing_rows = """
 cross_in AS (SELECT profile_id, entity_id, us, observation_id, inside, rank FROM members)"""
@@ -120,7 +164,7 @@ cross_in AS (SELECT profile_id, entity_id, us, observation_id, inside, rank FROM
 cross_in AS (
   SELECT p.profile_id, o.entity_id, o.us, o.observation_id, h.fence_id IS NOT NULL AS inside, o.rank
   FROM obs o CROSS JOIN prim p LEFT JOIN hits h ON h.observation_id = o.observation_id AND h.fence_id = p.fence_id)"""
-    return f"""WITH {OBS}, {_registry()}, {_profiles()}, {EDGES}, {HITS}, {MEMBERS}, {_windows(bounds)}, {crossing_rows},
+    return f"""WITH {OBS}, {_registry()}, {_profiles()}, {EDGES}, {HITS}, {MEMBERS}, {_windows(bounds)}, {OTHERS}, {crossing_rows},
 fan AS (
   SELECT m.*, p.window_id, p.role,
     lag(us) OVER w AS prev_us
@@ -185,24 +229,31 @@ wide AS (
     CASE WHEN coalesce(eligible, 0) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][moving_rank + 1] END AS moving_state,
     CASE WHEN coalesce(dwell_cohort, 0) = 0 THEN 'unknown' ELSE ['fresh','stale','degraded'][dwell_rank + 1] END AS dwell_state,
     CASE WHEN coalesce(entries, 0) + coalesce(exits, 0) + coalesce(uncertain, 0) = 0 THEN 'unknown'
-         ELSE ['fresh','stale','degraded'][coalesce(crossing_rank, 0) + 1] END AS crossing_state
+         ELSE ['fresh','stale','degraded'][coalesce(crossing_rank, 0) + 1] END AS crossing_state,
+    CASE WHEN f.mode = 'air' AND p.role = 'current' THEN coalesce(ac.n, 0) END AS air_rows,
+    CASE WHEN f.mode = 'air' AND p.role = 'current' THEN coalesce(ac.fr, 0) END AS air_freight,
+    CASE WHEN f.mode = 'air' AND p.role = 'current' THEN coalesce(ac.un, 0) END AS air_unclassified,
+    lc.facilities, lc.readings, lc.wait_minutes
   FROM prof f CROSS JOIN pairs p LEFT JOIN agg a ON a.profile_id = f.profile_id AND a.window_id = p.window_id AND a.role = p.role
-    LEFT JOIN labels_ l ON l.profile_id = f.profile_id LEFT JOIN prim m ON m.profile_id = f.profile_id),
+    LEFT JOIN labels_ l ON l.profile_id = f.profile_id LEFT JOIN prim m ON m.profile_id = f.profile_id
+    LEFT JOIN airc ac ON f.mode = 'air' AND p.role = 'current' AND ac.window_id = p.window_id
+    LEFT JOIN landc lc ON f.mode = 'land' AND p.role = 'current' AND lc.window_id = p.window_id),
 stamp AS (SELECT *, strftime(make_timestamp(computed_us), '%Y-%m-%dT%H:%M:%SZ') AS at_text FROM wide),
 met AS (
   SELECT profile_id, mode, window_id, role, 'vessel_count' AS metric, 'vessel_count' AS metric_type, 'geofence:' || fence_label AS scope,
-    CAST(freight AS DOUBLE) AS value, 'entities' AS unit, freight AS sample_count, count_state AS state, 'vessel-count-v1' AS formula_version, at_text, window_start_us FROM stamp
-  UNION ALL SELECT profile_id, mode, window_id, role, 'moving_fraction', 'moving_fraction', profile_id, moving_fraction, 'fraction', eligible, moving_state, 'moving-fraction-v1', at_text, window_start_us FROM stamp
-  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_cohort_size', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, CAST(dwell_cohort AS DOUBLE), 'entities', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us FROM stamp
-  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_median_seconds', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, median_dwell_seconds, 'seconds', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us FROM stamp
-  UNION ALL SELECT profile_id, mode, window_id, role, 'entry_count', 'entry_count', 'geofence:' || primary_label, CAST(entries AS DOUBLE), 'crossings', entries, crossing_state, 'entry-exit-v1', at_text, window_start_us FROM stamp
-  UNION ALL SELECT profile_id, mode, window_id, role, 'exit_count', 'exit_count', 'geofence:' || primary_label, CAST(exits AS DOUBLE), 'crossings', exits, crossing_state, 'entry-exit-v1', at_text, window_start_us FROM stamp),
+    CAST(freight AS DOUBLE) AS value, 'entities' AS unit, freight AS sample_count, count_state AS state, 'vessel-count-v1' AS formula_version, at_text, window_start_us, air_rows FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'moving_fraction', 'moving_fraction', profile_id, moving_fraction, 'fraction', eligible, moving_state, 'moving-fraction-v1', at_text, window_start_us, NULL FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_cohort_size', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, CAST(dwell_cohort AS DOUBLE), 'entities', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us, NULL FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'dwell_median_seconds', 'dwell_estimate', CASE WHEN role = 'baseline' THEN 'membership-predicate' ELSE profile_id END, median_dwell_seconds, 'seconds', dwell_cohort, dwell_state, 'dwell-estimate-v1', at_text, window_start_us, NULL FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'entry_count', 'entry_count', 'geofence:' || primary_label, CAST(entries AS DOUBLE), 'crossings', entries, crossing_state, 'entry-exit-v1', at_text, window_start_us, NULL FROM stamp
+  UNION ALL SELECT profile_id, mode, window_id, role, 'exit_count', 'exit_count', 'geofence:' || primary_label, CAST(exits AS DOUBLE), 'crossings', exits, crossing_state, 'entry-exit-v1', at_text, window_start_us, NULL FROM stamp),
 metrics_ AS (
   SELECT profile_id, mode, window_id, role, metric, CASE WHEN mode = 'sea' THEN metric_type ELSE metric END AS metric_type,
-    CASE WHEN mode = 'sea' THEN scope ELSE profile_id END AS scope, CASE WHEN mode = 'sea' THEN value END AS value,
+    CASE WHEN mode = 'sea' THEN scope ELSE profile_id END AS scope, CASE WHEN mode = 'sea' THEN value ELSE CAST(nullif(air_rows, 0) AS DOUBLE) END AS value,
     CASE WHEN mode = 'sea' OR metric = 'moving_fraction' THEN unit ELSE 'count' END AS unit,
-    CASE WHEN mode = 'sea' THEN sample_count ELSE 0 END AS sample_count, CASE WHEN mode = 'sea' THEN state ELSE 'unknown' END AS state,
-    CASE WHEN mode = 'sea' THEN formula_version ELSE 'not-applicable-no-data' END AS formula_version,
+    CASE WHEN mode = 'sea' THEN sample_count ELSE coalesce(air_rows, 0) END AS sample_count,
+    CASE WHEN mode = 'sea' THEN state WHEN air_rows > 0 THEN 'fresh' ELSE 'unknown' END AS state,
+    CASE WHEN mode = 'sea' THEN formula_version WHEN air_rows IS NOT NULL THEN 'aircraft-count-v1-adsb' ELSE 'not-applicable-no-data' END AS formula_version,
     CASE WHEN mode = 'sea' THEN metric || '@' || scope || '@' || at_text ELSE profile_id || '.' || metric END AS metric_id, window_start_us
   FROM met),
 cmp0 AS (
@@ -243,11 +294,17 @@ SELECT profile_id, window_id, in_fence_rows, freight, unclassified, other, eligi
   median_dwell_seconds, entries, exits, uncertain, count_state, moving_state, dwell_state, crossing_state AS entry_state,
   crossing_state AS exit_state
 FROM wide WHERE profile_id = 'long-beach-approach' AND role = 'current'"""
+_AIR = {
+    "in_fence_rows": "ELSE air_rows", "freight": "ELSE air_freight", "unclassified": "ELSE air_unclassified",
+    "other": "WHEN air_rows IS NOT NULL THEN 0",
+}
 _SQL["all_snapshots"] = _snap() + """
 SELECT profile_id, mode, window_id, role, window_start_us, window_end_us, """ + ", ".join(
-    f"CASE WHEN mode = 'sea' THEN {c} END AS {c}"
+    f"CASE WHEN mode = 'sea' THEN {c} {_AIR.get(c, '')} END AS {c}"
     for c in "in_fence_rows freight unclassified other eligible moving missing_speed dwell_cohort entries exits uncertain".split()
-) + " FROM wide"
+) + """, CASE WHEN mode = 'sea' THEN count_state WHEN air_rows > 0 THEN 'fresh' ELSE 'unknown' END AS count_state, facilities, readings, wait_minutes FROM wide"""
+_SQL["facility_windows"] = _snap() + """
+SELECT profile_id, window_id, facility_id, metric_id, us AS observed_at_us, w AS commercial_wait_minutes FROM ll"""
 _SQL["open_water_crossings"] = _snap(all_rows=True) + """
 SELECT profile_id, window_id, role, entries, exits, uncertain FROM wide WHERE mode = 'sea'"""
 _SQL["dwell_metrics"] = _snap() + """
@@ -264,7 +321,8 @@ SELECT profile_id, window_id, metric, current_value, baseline_value, absolute_ch
 _SQL["detected_events"] = _snap() + "," + _compared(3) + "," + EAGER + """
 SELECT event_id, event_type, scope, window_id, metric, current_value, baseline_value, absolute_change, relative_change, direction, state FROM fired"""
 _SQL["network_totals"] = _snap() + """
-SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight END)::BIGINT AS vessels
+SELECT window_id, mode, count(*) AS profiles, sum(CASE WHEN mode = 'sea' THEN freight END)::BIGINT AS vessels,
+  sum(air_rows)::BIGINT AS aircraft_rows, sum(CASE WHEN mode = 'land' THEN coalesce(readings, 0) END)::BIGINT AS facility_readings
 FROM wide WHERE role = 'current' GROUP BY ALL"""
 _SQL["event_topk"] = _snap() + "," + _compared(3) + "," + EAGER + """,
 r AS (SELECT window_id, event_id, abs(coalesce(relative_change, 0)) AS p FROM fired),
@@ -278,11 +336,16 @@ cmp3 AS (SELECT * REPLACE (CASE WHEN sample_count < 3 THEN 'unknown' ELSE state
 ev AS (SELECT scope AS profile_id, window_id, count(*) AS n, max(abs(relative_change)) AS ch FROM fired GROUP BY ALL),
 ch AS (SELECT profile_id, window_id, max(abs(relative_change)) AS ch FROM cmp WHERE metric IN ('vessel_count','moving_fraction') GROUP BY ALL),
 cov AS (SELECT profile_id, count(*) AS n, count(*) FILTER (hint = 'covered') AS c FROM (SELECT DISTINCT profile_id, fence_id, hint FROM verts) GROUP BY 1)
-SELECT w.profile_id, w.window_id, w.name, w.region, w.mode, CASE WHEN mode = 'sea' THEN CAST(freight AS DOUBLE) END AS headline,
+SELECT w.profile_id, w.window_id, w.name, w.region, w.mode, CASE mode WHEN 'sea' THEN CAST(freight AS DOUBLE) WHEN 'air' THEN CAST(nullif(air_rows, 0) AS DOUBLE) ELSE wait_minutes END AS headline,
   coalesce(ev.n, 0) AS event_count, CASE WHEN cov.c = cov.n THEN 'covered' WHEN cov.c = 0 THEN 'unknown' ELSE 'partial' END AS coverage_state,
   greatest(CAST(0 AS DOUBLE), coalesce(ev.ch, 0), CASE WHEN mode = 'sea' THEN coalesce(ch.ch, 0) ELSE 0 END) AS anomaly_priority
 FROM wide w LEFT JOIN ev USING (profile_id, window_id) LEFT JOIN ch USING (profile_id, window_id) JOIN cov USING (profile_id)
 WHERE role = 'current'"""
+_SQL["metric_provenance"] = _snap() + """,
+i AS (SELECT f.*, 'vessel_count' AS metric FROM fan f
+  UNION ALL SELECT f.*, 'moving_fraction' FROM fan f JOIN flagged g USING (profile_id, window_id, role, entity_id) WHERE g.chosen)
+SELECT profile_id, window_id, role, metric, provider_id, endpoint_id, max(received_us) AS retrieved_at_us, min(us) AS interval_start_us,
+  max(us) AS interval_end_us, count(*) AS observations, 'open' AS license_id, CAST(NULL AS VARCHAR) AS violation FROM i GROUP BY ALL"""
 _SQL["metric_inputs"] = _snap() + """
 SELECT f.profile_id, f.window_id, f.role, 'vessel_count' AS metric, f.observation_id FROM fan f
 UNION ALL
@@ -303,7 +366,7 @@ _SQL["watch_upsert"] = "WITH " + WATCHES + """,
 u AS (SELECT * FROM wv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq % 2 DESC, seq DESC) = 1)
 SELECT id, profile_id, metric, watch_direction, pct_threshold, seq FROM u WHERE id NOT IN (SELECT id FROM w0 WHERE seq % 101 = 0)"""
 _SQL["watch_evaluation"] = _snap() + "," + _compared(1) + "," + WATCHES + """,
-st AS (SELECT * FROM wv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+st AS (SELECT * FROM wv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq % 2 DESC, seq DESC) = 1),
 j AS (
   SELECT st.*, m.window_id, m.value AS observed_value, c.relative_change, c.direction, c.state AS cstate, c.direction IS NOT NULL AS has_cmp,
     c.direction = 'unknown' OR c.relative_change IS NULL OR NOT (st.freshness_policy = 'allow-stale' OR c.state = 'fresh') AS unusable
@@ -349,14 +412,6 @@ SELECT profile_id, window_id, claim_order, claim_id, text, category, confidence,
 _SQL["scoped_read"] = f"""WITH {OBS}
 SELECT observation_id, entity_id, entity_type, latitude, longitude, us AS observed_at_us FROM obs
 WHERE us BETWEEN {_us('2024-01-15')} AND {_us('2024-01-22')} AND entity_type IN ('cargo_vessel','tanker')"""
-READINGS = """
-fr AS (
-  SELECT 'fm-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS metric_id,
-    'site:' || l_suppkey AS facility_id, 'Site ' || l_suppkey AS display_name, CASE WHEN l_suppkey % 5 = 0 THEN 'rail' ELSE 'land' END AS mode, epoch_us(l_shipdate) AS us,
-    epoch_us(l_shipdate) + (l_orderkey % 7) * 1000000 AS received_us,
-    ['commercial_vehicle','passenger_vehicle','pedestrian','fast','nexus_sentri','ready','commercial_vehicle'][l_linenumber] AS lane,
-    CASE WHEN l_partkey % 9 <> 0 THEN l_quantity END AS wait, l_suppkey % 4 = 0 AS is_live, 'profile-' || (l_suppkey % 10) AS profile_id
-  FROM lineitem)"""
 _SQL["scoped_facility_read"] = f"""WITH {READINGS}
 SELECT metric_id, facility_id, mode, us AS observed_at_us FROM fr
 WHERE mode = 'land' AND us BETWEEN {_us('1996-01-01')} AND {_us('1998-12-31')}"""
@@ -398,8 +453,8 @@ _SQL["bounded_topk"] = """WITH k AS (SELECT event_type, CAST(event_id AS VARCHAR
   row_number() OVER (PARTITION BY event_type ORDER BY value DESC, CAST(event_id AS VARCHAR)) AS rank,
   count(*) OVER (PARTITION BY event_type) AS considered FROM events)
 SELECT event_type, id, priority, rank, considered, greatest(0, considered - 25) AS dropped FROM k WHERE rank <= 25"""
-_SQL["cohort_stability"] = """WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND value > 20),
-b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value > 20),
+_SQL["cohort_stability"] = """WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'),
 j AS (SELECT coalesce(a.event_type, b.event_type) AS event_type, a.user_id IS NULL OR b.user_id IS NULL AS differs
   FROM a FULL JOIN b ON a.event_type = b.event_type AND a.user_id = b.user_id)
 SELECT event_type, count(*) FILTER (differs) AS differing_ids, count(*) FILTER (differs) = 0 AS stable FROM j GROUP BY 1"""
@@ -478,14 +533,22 @@ n AS (SELECT window_id, profile_id, c, count(*) AS in_fence_rows FROM inw GROUP
 SELECT window_id, profile_id, c AS cursor_us, any_value(in_fence_rows) AS in_fence_rows, count(*) AS entities,
   count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels
 FROM l JOIN n USING (window_id, profile_id, c) GROUP BY window_id, profile_id, c"""
-_SQL["headline_series"] = _geo() + "," + MEMBERS + f""",
+_SQL["headline_series"] = _geo() + "," + MEMBERS + "," + AIRCRAFT + "," + LAND + f""",
 b(window_id, s, e) AS (VALUES ('s1', {_us('2024-01-15')}, {_us('2024-01-22')}), ('s2', {_us('2024-01-10')}, {_us('2024-01-16')})),
 k AS (SELECT m.*, window_id, ((us - s) * 12) // (e - s) AS bucket FROM members m, b WHERE us >= s AND us < e),
 l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY window_id, profile_id, bucket, entity_id ORDER BY us DESC, observation_id DESC) = 1),
-v AS (SELECT window_id, profile_id, bucket, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels FROM l GROUP BY ALL)
-SELECT b.window_id, p.profile_id, g.bucket, coalesce(v.vessels, 0) AS vessels
-FROM b CROSS JOIN (VALUES ('long-beach-approach'), ('singapore-malacca-approach'), ('suez-canal-approaches')) p(profile_id)
-CROSS JOIN range(0, 12) g(bucket) LEFT JOIN v ON v.window_id = b.window_id AND v.profile_id = p.profile_id AND v.bucket = g.bucket"""
+v AS (SELECT window_id, profile_id, bucket, count(*) FILTER (classification = 'confirmed' AND entity_type IN ('cargo_vessel','tanker','bulk_carrier')) AS vessels FROM l GROUP BY ALL),
+fl AS (SELECT 'lax-cargo-air' AS profile_id, window_id, ((seen - s) * 12) // (b.e - s) AS bucket, count(*) AS n FROM air, b WHERE {_FLOWN} AND seen >= s AND seen < b.e GROUP BY ALL),
+lk AS (SELECT d.*, window_id, ((us - s) * 12) // (e - s) AS bucket FROM ld d, b WHERE us >= s AND us < e),
+lf AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY window_id, bucket, facility_id ORDER BY us DESC, received_us, metric_id) = 1),
+lh AS (SELECT * FROM lf QUALIFY row_number() OVER (PARTITION BY window_id, bucket ORDER BY us, metric_id) = 1)
+SELECT b.window_id, p.profile_id, p.mode, g.bucket, CASE WHEN mode = 'sea' THEN coalesce(v.vessels, 0) END AS vessels,
+  CASE mode WHEN 'sea' THEN CAST(coalesce(v.vessels, 0) AS DOUBLE) WHEN 'air' THEN CAST(fl.n AS DOUBLE) ELSE lh.w END AS value
+FROM b CROSS JOIN (VALUES ('long-beach-approach', 'sea'), ('singapore-malacca-approach', 'sea'), ('suez-canal-approaches', 'sea'), ('lax-cargo-air', 'air'),
+  ('el-paso-border-crossings', 'land')) p(profile_id, mode)
+CROSS JOIN range(0, 12) g(bucket) LEFT JOIN v ON v.window_id = b.window_id AND v.profile_id = p.profile_id AND v.bucket = g.bucket
+LEFT JOIN fl ON fl.window_id = b.window_id AND fl.profile_id = p.profile_id AND fl.bucket = g.bucket
+LEFT JOIN lh ON lh.window_id = b.window_id AND lh.profile_id = p.profile_id AND lh.bucket = g.bucket"""
 TRACKS = OBS + f""",
 g AS (SELECT *, lag(us) OVER w AS prev_us FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY us, observation_id)),
 t AS (SELECT *, sum(CASE WHEN prev_us IS NULL OR us - prev_us > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY us, observation_id) AS seg FROM g),
@@ -565,9 +628,13 @@ j AS (SELECT p.event_id, p.source_id, p.pa, h.state, h.now_us, h.last FROM p LEF
 a AS (SELECT source_id, pa, CASE WHEN now_us IS NULL THEN 'NEVER_ANSWERED' WHEN state = 'FRESH' AND pa - last > 3600000000 THEN 'STALE' ELSE state END AS state,
   now_us, last, CAST(floor((pa - last) / CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS age FROM j)"""
 _SQL["health_as_of"] = f"WITH {AS_OF} SELECT source_id, pa AS probe_at_us, state, now_us AS last_refresh_at_us, last AS last_observation_at_us, age AS age_seconds FROM a"
-_SQL["readiness_rollup"] = f"""WITH {AS_OF}
-SELECT epoch_us(date_trunc('day', make_timestamp(pa))) AS day_us, count(*) AS sources, count(*) FILTER (state <> 'FRESH') AS not_fresh,
-  true AS ready, CASE WHEN count(*) FILTER (state <> 'FRESH') > 0 THEN 'degraded' ELSE 'ok' END AS status FROM a GROUP BY 1"""
+_SQL["readiness_rollup"] = f"""WITH {AS_OF},
+q AS (SELECT *, pa // 21600000000 * 21600000000 AS quarter FROM a),
+x AS (SELECT quarter, count(DISTINCT source_id) AS sources, count(*) AS reports, count(*) FILTER (state <> 'FRESH') AS not_fresh FROM q GROUP BY 1),
+y AS (SELECT g.quarter, count(*) AS expected, count(*) FILTER (s.source_id NOT IN (SELECT source_id FROM q WHERE q.quarter = g.quarter)) AS missing
+  FROM (SELECT DISTINCT quarter FROM q) g CROSS JOIN (SELECT DISTINCT source_id FROM r) s GROUP BY 1)
+SELECT quarter AS quarter_us, expected, sources, reports, missing, not_fresh, missing = 0 AS ready,
+  CASE WHEN missing > 0 THEN 'error' WHEN not_fresh > 0 THEN 'degraded' ELSE 'ok' END AS status FROM y LEFT JOIN x USING (quarter)"""
 
 # --- counters -------------------------------------------------------------------------------
 
@@ -642,17 +709,17 @@ SELECT event_id % 16 AS batch, count(*) FILTER (reject_reason IS NULL) AS accept
   CASE WHEN count(*) FILTER (reject_reason IS NULL) = 0 THEN 'failure' WHEN count(*) FILTER (reject_reason IS NOT NULL) > 0 THEN 'partial' ELSE 'ok' END AS status
 FROM raws GROUP BY 1"""
 MANIFESTS = RAWS + """,
-mf AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'truth_state.not_simulated' WHEN event_id % 41 = 0 THEN 'simulated.not_true'
+mf AS (SELECT *, CASE WHEN event_id % 257 = 0 AND event_id % 29 <> 0 THEN 'manifest.not_object' WHEN event_id % 37 = 0 THEN 'truth_state.not_simulated' WHEN event_id % 41 = 0 THEN 'simulated.not_true'
     WHEN event_id % 31 = 0 THEN 'provider_id.not_simulated' WHEN event_id % 29 = 0 THEN 'observations.not_list'
-    WHEN event_id % 43 = 0 THEN 'fixture_id.blank' END AS violation FROM raws WHERE event_id % 257 <> 0)"""
-_FIXTURE_ID = "CASE WHEN event_id % 43 = 0 THEN '' ELSE 'fx-' || event_id END"
+    WHEN event_id % 43 = 0 THEN 'fixture_id.blank' END AS violation FROM raws)"""
+_FIXTURE_ID = "CASE WHEN event_id % 257 = 0 AND event_id % 29 <> 0 THEN NULL WHEN event_id % 43 = 0 THEN '' ELSE 'fx-' || event_id END"
 _SQL["manifest_guard"] = f"WITH {MANIFESTS} SELECT 'fx-' || event_id || '.json' AS file, {_FIXTURE_ID} AS fixture_id, violation FROM mf"
 _SQL["scan_manifests"] = f"""WITH {MANIFESTS}
 SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS rows, max(seen_us) AS newest_us FROM mf WHERE violation IS NULL GROUP BY 1"""
 _SQL["dataset_manifest"] = f"""WITH {MANIFESTS}
 SELECT 'fx-' || event_id || '.json' AS file, {_FIXTURE_ID} AS fixture_id,
-  CASE WHEN event_id % 37 = 0 THEN 'OBSERVED' ELSE 'SIMULATED' END AS truth_state,
-  CAST(CASE WHEN event_id % 29 = 0 THEN 0 ELSE 1 END AS BIGINT) AS observations FROM mf"""
+  CASE WHEN event_id % 257 = 0 AND event_id % 29 <> 0 THEN NULL WHEN event_id % 37 = 0 THEN 'OBSERVED' ELSE 'SIMULATED' END AS truth_state,
+  CAST(CASE WHEN event_id % 257 = 0 OR event_id % 29 = 0 THEN 0 ELSE 1 END AS BIGINT) AS observations FROM mf"""
 _SQL["entity_keys"] = """SELECT 'prov-' || (event_id % 3) || ':mmsi-' || user_id AS entity_key, count(*) AS rows,
   count(*) FILTER (33 + (event_id % 120) - 30 <= 90) AS valid_latitudes FROM events GROUP BY 1"""
 _SHIP = """CASE WHEN {c} BETWEEN 70 AND 79 THEN 'cargo_vessel' WHEN {c} BETWEEN 80 AND 89 THEN 'tanker' ELSE 'unknown' END"""
@@ -734,23 +801,6 @@ SELECT o AS order_key, n AS line_number, s AS supp_key,
   CASE WHEN NOT down AND usable AND w THEN CAST(q AS DOUBLE) END AS first_wait,
   CASE WHEN len(parts) = 0 THEN '' ELSE array_to_string(parts, '|') END AS readings FROM z"""
 
-AIRCRAFT = """
-a0 AS (SELECT event_id AS e, user_id AS u, epoch_us(ts) AS us FROM events),
-a1 AS (
-  SELECT e, u, us, 'a' || u AS hex, ['FDX','UPS','DLH','GTI','AF' || (u % 10),'BAW','BOX'][e % 7 + 1] IN ('FDX','UPS','GTI','BOX') AS freight,
-    CAST(33.6 AS DOUBLE) + ((e*37 + u*11) % 400) / CAST(1000 AS DOUBLE) AS lat, CAST(-118.7 AS DOUBLE) + ((e*53 + u*29) % 500) / CAST(1000 AS DOUBLE) AS lon,
-    CASE WHEN e % 6 <> 0 THEN floor((e % 40000) * CAST(0.3048 AS DOUBLE) + CAST(0.5 AS DOUBLE)) END AS alt,
-    CASE WHEN e % 4 <> 0 THEN (e % 5000) / CAST(10 AS DOUBLE) END AS gs, (e % 3600) / CAST(10 AS DOUBLE) AS track, e % 9 = 0 AS mlat,
-    CASE WHEN e % 3 <> 0 THEN (e % 90) / CAST(8 AS DOUBLE) END AS seen_pos FROM a0 WHERE e % 103 <> 0
-  UNION ALL SELECT e, u, us, CASE WHEN e % 2 = 0 THEN 'b' || u END, false, CASE WHEN e % 5 = 0 THEN CAST(95.5 AS DOUBLE) ELSE CAST(33.8 AS DOUBLE) END,
-    CASE WHEN e % 7 <> 0 THEN CAST(-118.4 AS DOUBLE) END, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 <> 0
-  UNION ALL SELECT e, u, us, NULL, false, NULL, NULL, NULL, NULL, NULL, false, NULL FROM a0 WHERE e % 103 = 0),
-air AS (
-  SELECT *, CASE WHEN hex IS NULL OR lat IS NULL OR lon IS NULL THEN 'record.incomplete'
-      WHEN lat > 90 THEN 'latitude.range' WHEN track >= 360 THEN 'heading_degrees.range' END AS reason,
-    CASE WHEN seen_pos IS NULL THEN us
-      ELSE CAST(floor((us - CAST(floor(seen_pos * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) * 1000) / CAST(1000000 AS DOUBLE)) AS BIGINT) * 1000000 END AS seen,
-    CASE WHEN freight THEN 'aircraft' ELSE 'unknown' END AS entity_type FROM a1)"""
 _SQL["aircraft_feed"] = f"""WITH {AIRCRAFT}
 SELECT e AS poll_id, reason AS reject_reason,
   'adsb-lol:' || hex || ':' || CASE WHEN seen % 1000000 = 0 THEN strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(seen), '%Y-%m-%dT%H:%M:%S.%gZ') END AS observation_id,
@@ -760,7 +810,7 @@ _SQL["aircraft_polls"] = f"""WITH {AIRCRAFT}
 SELECT e AS poll_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected,
   max(seen) FILTER (reason IS NULL) AS last_observation_at_us, CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'failure' ELSE 'ok' END AS status FROM air GROUP BY 1"""
 _SQL["aircraft_count"] = f"""WITH {AIRCRAFT}, {_windows(W3)},
-f AS (SELECT * FROM air WHERE reason IS NULL AND lat < 33.95 AND lat >= 33.7 AND lon >= -118.65 AND lon < -118.25),
+f AS (SELECT * FROM air WHERE {_FLOWN}),
 g AS (SELECT p.profile_id, w.window_id, w.s, w.e FROM win w, (VALUES ('lax-cargo-air'), ('suez-canal-approaches')) p(profile_id))
 SELECT g.profile_id, g.window_id, nullif(count(f.e), 0) AS value, count(f.e) AS sample_count, count(*) FILTER (f.entity_type = 'aircraft') AS freight_rows,
   count(*) FILTER (f.entity_type = 'unknown') AS unclassified_rows, CASE WHEN count(f.e) = 0 THEN 'unknown' ELSE 'fresh' END AS state
@@ -794,17 +844,20 @@ ce AS (
 cd AS (SELECT 'doc-' || source AS bundle_id, 'd-' || doc_id AS claim_id, doc_id AS e, text, CASE WHEN doc_id % 2 = 0 THEN 'LIMITATION' ELSE 'OBSERVATION' END AS category,
   'doc-' || doc_id AS support FROM documents),
 ca AS (SELECT bundle_id, claim_id, e, text, category, support FROM ce UNION ALL SELECT bundle_id, claim_id, e, text, category, support FROM cd)"""
-_BANNED = r"""CASE WHEN regexp_matches(text, '(?i)\b(suspicious|threat|hostile|illegal|smuggl(ing|er))\b') THEN 'THREAT'
-  WHEN regexp_matches(text, '(?i)\b(because|caused by|cause of|due to|resulting from|disruption)\b') THEN 'CAUSE'
-  WHEN regexp_matches(text, '(?i)\b(will (rise|fall|increase|decrease|grow)|forecast|predict(ed|ive|ion)?)\b') THEN 'PREDICTION'
-  WHEN regexp_matches(text, '(?i)\b(beneficial owner|owner is|operator is|flagged by)\b') THEN 'IDENTITY'
-  WHEN regexp_matches(text, '(?i)\b(intends? to|planning to|evade)\b') THEN 'INTENT' END"""
-_SCOPE = r"regexp_matches(text, '(?i)\ball vessels (at|in|near) (the )?(port|harbor|harbour|area)\b')"
+def _rules(pairs, text: str, ignore_case: bool) -> str:
+    flag = "(?i)" if ignore_case else ""
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches({text}, '{flag}{pattern}') THEN '{name}'" for name, pattern in pairs
+    ) + " END"
+
+
+_BANNED = _rules([(category, pattern) for category, pattern, _ in BANNED], "text", True)
+_SCOPE = f"regexp_matches(text, '(?i){SCOPE_OVERREACH}')"
 _SQL["language_audit"] = f"""WITH {CLAIM_ROWS},
 t AS (SELECT 'doc-' || doc_id AS text_id, text FROM documents UNION ALL SELECT 'cv-' || conv_id || '-' || turn, text FROM conversations
   UNION ALL SELECT claim_id, text FROM ce)
 SELECT text_id, {_BANNED} AS banned_category, {_SCOPE} AS scope_overreach FROM t"""
-JUDGED = CLAIM_ROWS + rf""",
+_AUDIT = rf""",
 nm AS (SELECT bundle_id, claim_id, support, unnest(list_zip(ns, range(len(ns)))) AS p FROM (
   SELECT *, regexp_extract_all(regexp_replace(regexp_replace(text, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?Z', ' ', 'g'), '\b\d{{1,2}}:\d{{2}}\b', ' ', 'g'), '\d+(?:\.\d+)?') AS ns
   FROM ca WHERE category NOT IN ('LIMITATION','QUALITY'))),
@@ -815,6 +868,7 @@ bad AS (SELECT o.bundle_id, o.claim_id, arg_min(o.number, o.pos) AS unsupported_
   GROUP BY ALL),
 judged AS (SELECT ca.*, unsupported_number, coalesce({_BANNED}, CASE WHEN {_SCOPE} THEN 'SCOPE' END, CASE WHEN support IS NULL THEN 'PROVENANCE' END,
   CASE WHEN unsupported_number IS NOT NULL THEN 'NUMERIC' END) AS rejection FROM ca LEFT JOIN bad USING (bundle_id, claim_id))"""
+JUDGED = CLAIM_ROWS + _AUDIT
 _SQL["numeric_grounding"] = f"WITH {JUDGED} SELECT bundle_id, claim_id, unsupported_number FROM bad"
 _SQL["rejection_counts"] = f"WITH {JUDGED} SELECT rejection AS category, count(*) AS rejected FROM judged WHERE rejection IS NOT NULL GROUP BY 1"
 _SQL["claim_verdicts"] = f"""WITH {JUDGED},
@@ -822,33 +876,20 @@ b AS (SELECT bundle_id, CASE WHEN length(bundle_id) % 2 = 0 THEN 'fresh' ELSE 'S
   count(*) FILTER (rejection IS NOT NULL) AS rejected, bool_or(category = 'COMPARISON') AS caveat_baseline, bool_or(category = 'CALCULATION') AS caveat_coverage FROM judged GROUP BY 1)
 SELECT *, source_health <> 'fresh' AS caveat_source, false AS caveat_empty,
   CASE WHEN accepted = 0 THEN 'rejected' WHEN rejected > 0 OR source_health <> 'fresh' OR caveat_baseline OR caveat_coverage THEN 'accepted_with_caveats' ELSE 'accepted' END AS verdict FROM b"""
-_SQL["groundedness"] = f"""WITH {JUDGED},
-x AS (SELECT category, coalesce(rejection, 'accepted') AS actual, CASE e % 12 WHEN 0 THEN 'THREAT' WHEN 1 THEN 'CAUSE' WHEN 2 THEN 'PREDICTION' WHEN 3 THEN 'IDENTITY'
-    WHEN 4 THEN 'INTENT' WHEN 5 THEN 'SCOPE' ELSE CASE WHEN e % 13 = 0 THEN 'PROVENANCE' WHEN e % 12 = 6 AND category <> 'LIMITATION' THEN 'NUMERIC' ELSE 'accepted' END END AS expected
-  FROM judged WHERE claim_id LIKE 'c-%')
+# Document claims with a phrase planted by doc_id, or without support: the plant is the label.
+_PHRASE = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{said} '" for i, (_, said) in enumerate(PLANTED_PHRASES)) + " ELSE '' END"
+_PLANTED = CLAIM_ROWS.replace("doc_id AS e, text,", f"doc_id AS e, {_PHRASE} || coalesce(text, '') AS text,").replace(
+    "'doc-' || doc_id AS support", "CASE WHEN doc_id % 7 <> 6 THEN 'doc-' || doc_id END AS support"
+)
+_PLANT = "CASE e % 7 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(PLANTED_PHRASES)) + " ELSE 'PROVENANCE' END"
+_SQL["groundedness"] = f"""WITH {_PLANTED + _AUDIT},
+x AS (SELECT category, coalesce(rejection, 'accepted') AS actual, CASE WHEN claim_id LIKE 'd-%' THEN {_PLANT} ELSE
+    CASE e % 12 WHEN 0 THEN 'THREAT' WHEN 1 THEN 'CAUSE' WHEN 2 THEN 'PREDICTION' WHEN 3 THEN 'IDENTITY'
+    WHEN 4 THEN 'INTENT' WHEN 5 THEN 'SCOPE' ELSE CASE WHEN e % 13 = 0 THEN 'PROVENANCE' WHEN e % 12 = 6 AND category <> 'LIMITATION' THEN 'NUMERIC' ELSE 'accepted' END END END AS expected
+  FROM judged)
 SELECT category, count(*) AS cases, count(*) FILTER (expected = actual) AS passed, count(*) FILTER (expected = actual) / CAST(count(*) AS DOUBLE) AS pass_rate FROM x GROUP BY 1"""
 
-
-def _rules(pairs, text: str, ignore_case: bool) -> str:
-    flag = "(?i)" if ignore_case else ""
-    return "CASE " + " ".join(
-        f"WHEN regexp_matches({text}, '{flag}{pattern}') THEN '{name}'" for name, pattern in pairs
-    ) + " END"
-
-
-# Patterns of the routing rules, as one list of (name, pattern).
-_TOOLS = [
-    ("start_replay", r"\b(start|play|resume|run) (the )?(replay|playback)\b"),
-    ("stop_replay", r"\b(stop|pause|halt) (the )?(replay|playback)\b"),
-    ("set_time_window", r"\b(set|change|narrow|widen) (the )?(time )?window\b|\b(show|display) (me )?the last (6|24|72) ?h(ours)?\b"),
-    ("compare_with_baseline", r"\bcompared? (to|with|against)\b|\bvs\.? (the )?baseline\b|\bchange (from|vs) baseline\b"),
-    ("count_vessels", r"\bhow many (vessels|ships|boats)\b|\bvessel count\b|\b(how (long|much of a wait)|what.s the wait|wait time)\b|\b(cargo )?(flights|aircraft|planes)\b"),
-    ("list_recent_changes", r"\bwhat (has )?changed\b|\brecent (changes|events)\b|\bany events\b"),
-    ("summarize_profile", r"\bsummar(y|ize|ise)\b|\boverview\b|\bwhat.s (the )?situation\b"),
-    ("show_vessel_cohort", r"\b(show|list|which) (me )?(the )?(vessels|ships|cohort)\b|\bwaiting cohort\b|\banchored vessels\b"),
-    ("explain_metric", r"\bhow is .*calculated\b|\bwhat does .*mean\b|\bexplain\b"),
-    ("focus_profile", r"\b(focus|goto|go to|take me to|show me|open|view)\b"),
-]
+_TOOLS = [(tool, pattern) for tool, patterns in TOOL_PATTERNS for pattern in patterns]
 _PLACES = [
     ("long-beach-approach", r"long-beach-approach|\blos angeles long beach\b|\bangeles\b|\bbeach\b"),
     ("singapore-malacca-approach", r"singapore-malacca-approach|\bsingapore\b|\bmalacca\b|\bapproach\b"),
@@ -856,12 +897,7 @@ _PLACES = [
     ("lax-cargo-air", r"lax-cargo-air|\bcargo\b"),
     ("el-paso-border-crossings", r"el-paso-border-crossings|\bpaso\b|\bborder\b|\bcrossings\b"),
 ]
-_SPANS = [("last_24_hours", r"\b24 ?h|24 hours|last day\b"), ("last_3_days", r"\b3 days|72 ?h\b"), ("last_6_hours", r"\b6 ?h|6 hours\b")]
-_METRICS = [
-    ("vessel_count", "vessel count"), ("moving_fraction", "moving fraction"), ("dwell_cohort_size", "dwell cohort size"),
-    ("dwell_median_seconds", "dwell median seconds"), ("entry_count", "entry count"), ("exit_count", "exit count"),
-    ("moving_fraction", r"\bmoving\b"), ("dwell_median_seconds", r"\bdwell\b"), ("entry_count", r"\bentr(y|ies)\b"), ("exit_count", r"\bexit(s|ing)?\b"),
-]
+_METRICS = [(m, m.replace("_", " ")) for m in WATCH_METRICS] + METRIC_PATTERNS
 _ASKED = "[" + ",".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + "]"
 ROUTED = rf"""
 qs AS (SELECT 'cv-' || conv_id || '-' || turn AS question_id, text FROM conversations WHERE role = 'user'
@@ -872,7 +908,7 @@ q3 AS (SELECT *, CASE WHEN t = '' THEN 'question.blank' WHEN tool0 IS NULL THEN
     WHEN tool0 NOT IN ('explain_metric','set_time_window','start_replay','stop_replay') AND place0 IS NULL
       AND NOT regexp_matches(lt, '\b(current|this|here)\b') THEN 'profile.none' END AS abstention FROM q2),
 rt AS (SELECT question_id, text, abstention, CASE WHEN abstention IS NULL THEN tool0 END AS tool, CASE WHEN abstention IS NULL THEN place0 END AS profile_id,
-  CASE WHEN abstention IS NULL THEN {_rules(_SPANS, 'lt', False)} END AS relative,
+  CASE WHEN abstention IS NULL THEN {_rules(WINDOW_PATTERNS, 'lt', False)} END AS relative,
   CASE WHEN abstention IS NULL THEN coalesce({_rules(_METRICS, 'lt', False)}, CASE WHEN tool0 = 'compare_with_baseline' THEN 'vessel_count' END) END AS metric FROM q3)"""
 _SQL["route_questions"] = f"WITH {ROUTED} SELECT question_id, abstention, tool, profile_id, relative, metric FROM rt"
 _RUN = [("context", "2024-01-15", "2024-01-22"), ("last_24_hours", "2024-01-21", "2024-01-22"), ("last_3_days", "2024-01-19", "2024-01-22"),
@@ -882,38 +918,65 @@ ctx AS (SELECT *, CASE WHEN length(question_id) % 2 = 0 THEN 'long-beach-approac
 b0 AS (SELECT question_id, text, tool, CASE WHEN abstention IS NULL THEN coalesce(profile_id, cp) END AS profile_id,
   CASE WHEN abstention IS NULL AND coalesce(profile_id, cp) IS NOT NULL THEN coalesce(relative, 'context') END AS window_id,
   CASE WHEN abstention IS NOT NULL THEN abstention WHEN coalesce(profile_id, cp) IS NULL THEN 'profile.no_context' END AS abstention FROM ctx),
-bun AS (SELECT b0.*, coalesce(w.in_fence_rows, 0) AS observations,
+{HEALTH}
+hs AS (SELECT DISTINCT source_id, CASE CAST(substr(source_id, 5) AS INT) % 5 WHEN 0 THEN 'land' WHEN 1 THEN 'air' ELSE 'sea' END AS mode FROM r),
+hj AS (SELECT hs.mode, win.window_id, win.e, h.now_us, h.last, h.state FROM hs CROSS JOIN win LEFT JOIN h ON h.source_id = hs.source_id AND h.now_us <= win.e
+  QUALIFY row_number() OVER (PARTITION BY hs.source_id, win.window_id ORDER BY h.now_us DESC NULLS LAST, h.seq DESC) = 1),
+hw AS (SELECT mode, window_id, ['FRESH','STALE','DEGRADED','UNAVAILABLE','NEVER_ANSWERED'][max(list_position(['FRESH','STALE','DEGRADED','UNAVAILABLE','NEVER_ANSWERED'],
+  CASE WHEN now_us IS NULL THEN 'NEVER_ANSWERED' WHEN state = 'FRESH' AND e - last > 3600000000 THEN 'STALE' ELSE state END))] AS source_health FROM hj GROUP BY ALL),
+bun AS (SELECT b0.* EXCLUDE (abstention), coalesce(b0.abstention, CASE WHEN w.mode = 'air' THEN CASE WHEN w.air_rows > 0 THEN 'air.counts_only' ELSE 'air.no_rows' END END) AS abstention,
+  w.mode, coalesce(CASE w.mode WHEN 'sea' THEN w.in_fence_rows WHEN 'air' THEN w.air_rows END, 0) AS observations,
+  coalesce(w.readings, 0) AS facility_readings, hw.source_health,
   'bundle-' || substr(sha256(text || '|' || coalesce(b0.profile_id, '') || '|' || coalesce(CAST(window_start_us AS VARCHAR), '') || '|' || coalesce(CAST(window_end_us AS VARCHAR), '')), 1, 16) AS bundle_id
-  FROM b0 LEFT JOIN wide w ON w.role = 'current' AND w.profile_id = b0.profile_id AND w.window_id = b0.window_id)"""
+  FROM b0 LEFT JOIN wide w ON w.role = 'current' AND w.profile_id = b0.profile_id AND w.window_id = b0.window_id
+    LEFT JOIN hw ON hw.mode = w.mode AND hw.window_id = w.window_id)""".replace("{HEALTH}", HEALTH.strip() + ",")
 _SQL["evidence_bundles"] = _snap(_RUN) + "," + BUNDLES + """
-SELECT question_id, bundle_id, tool, profile_id, window_id, abstention, observations FROM bun"""
-_SQL["answers"] = _snap(_RUN) + "," + _compared(1) + "," + CLAIMS + "," + BUNDLES + """,
+SELECT question_id, bundle_id, tool, profile_id, window_id, abstention, observations, facility_readings, source_health FROM bun"""
+_QUESTIONED = _snap(_RUN) + "," + _compared(1) + "," + CLAIMS + "," + BUNDLES + """,
 cmp3 AS (SELECT * REPLACE (CASE WHEN sample_count < 3 THEN 'unknown' ELSE state END AS state,
   CASE WHEN sample_count < 3 THEN 'unknown' ELSE direction END AS direction) FROM cmp),
 """ + EAGER.replace("FROM cmp c", "FROM cmp3 c") + r""",
-ce AS (SELECT profile_id, window_id, claim_order, claim_id, text, category, NULL AS event_id FROM cl
+cid AS (SELECT profile_id, window_id, metric, metric_id FROM metrics_ WHERE role = 'current'),
+ce AS (SELECT cl.profile_id, cl.window_id, claim_order, claim_id, text, category, NULL AS event_id, metric_id AS cited FROM cl
+    JOIN cid ON cid.profile_id = cl.profile_id AND cid.window_id = cl.window_id
+      AND cid.metric = CASE WHEN claim_id = 'claim-moving-fraction' THEN 'moving_fraction' ELSE 'vessel_count' END
   UNION ALL SELECT scope, window_id, 10, 'event-' || event_id, event_type || ' rule fired: ' || metric || ' ' ||
     CASE WHEN relative_change IS NULL THEN 'by an unknown change' ELSE CASE WHEN relative_change >= 0 THEN '+' ELSE '-' END ||
       printf('%.1f', floor(abs(relative_change) * 100 * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE)) || '%' END,
-    'COMPARISON', event_id FROM fired),
-nums AS (SELECT ce.*, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) AS number FROM ce WHERE category <> 'LIMITATION'),
-cid AS (SELECT profile_id, window_id, metric, metric_id FROM metrics_ WHERE role = 'current'),
-sup AS (SELECT n.*, coalesce(n.event_id, c.metric_id) AS cited FROM nums n JOIN cid c ON c.profile_id = n.profile_id AND c.window_id = n.window_id
-  AND c.metric = CASE WHEN n.claim_id = 'claim-moving-fraction' THEN 'moving_fraction' ELSE 'vessel_count' END),
-bad AS (SELECT DISTINCT profile_id, window_id, claim_id FROM sup s WHERE NOT contains(cited, number) AND NOT EXISTS (
-  SELECT 1 FROM metrics_ v WHERE v.role = 'current' AND v.profile_id = s.profile_id AND v.window_id = s.window_id
+    'COMPARISON', event_id, event_id FROM fired
+  UNION ALL SELECT profile_id, window_id, 1, 'claim-facility-' || facility_id || CASE WHEN w IS NULL THEN '-unknown' ELSE '-commercial-wait' END,
+    CASE WHEN w IS NULL THEN 'commercial_wait at ' || display_name || ': unknown'
+      ELSE 'commercial_wait at ' || display_name || ': ' || CAST(w AS BIGINT) || ' min, read ' || strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ') END,
+    CASE WHEN w IS NULL THEN 'LIMITATION' ELSE 'OBSERVATION' END, NULL, metric_id FROM ll
+  UNION ALL SELECT profile_id, window_id, 1, 'claim-facility-none', 'commercial_wait: unknown, no reading in the window', 'LIMITATION', NULL, profile_id || '.facility'
+    FROM wide WHERE mode = 'land' AND role = 'current' AND facilities IS NULL)"""
+_SQL["evidence_references"] = _QUESTIONED + """,
+asked AS (SELECT DISTINCT profile_id, window_id FROM bun WHERE abstention IS NULL),
+refs AS (SELECT profile_id, window_id, 'observation' AS kind, observation_id AS id FROM fan WHERE role = 'current'
+  UNION ALL SELECT DISTINCT profile_id, window_id, CASE WHEN event_id IS NULL THEN 'metric' ELSE 'event' END, cited FROM ce
+  UNION ALL SELECT DISTINCT profile_id, window_id, 'comparison', 'comparison:' || cited FROM ce WHERE claim_id = 'claim-vessel-count-baseline')
+SELECT profile_id, window_id, kind, id FROM refs JOIN asked USING (profile_id, window_id)"""
+_SQL["answers"] = _QUESTIONED + r""",
+nums AS (SELECT ce.*, unnest(regexp_extract_all(regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z', ' ', 'g'), '\d+(?:\.\d+)?')) AS number
+  FROM ce WHERE category <> 'LIMITATION'),
+vals AS (SELECT profile_id, window_id, value FROM metrics_ WHERE role = 'current' UNION ALL SELECT profile_id, window_id, w FROM ll),
+bad AS (SELECT DISTINCT profile_id, window_id, claim_id FROM nums s WHERE NOT contains(cited, number) AND NOT EXISTS (
+  SELECT 1 FROM vals v WHERE v.profile_id = s.profile_id AND v.window_id = s.window_id
     AND (abs(v.value - CAST(s.number AS DOUBLE)) < CAST(1e-9 AS DOUBLE) OR abs(v.value * 100 - CAST(s.number AS DOUBLE)) < CAST(0.15 AS DOUBLE)))),
 jc AS (SELECT ce.*, bad.claim_id IS NOT NULL AS rejected FROM ce LEFT JOIN bad USING (profile_id, window_id, claim_id)),
 sv AS (SELECT b.question_id, j.* FROM bun b JOIN jc j USING (profile_id, window_id) WHERE b.abstention IS NULL AND
-  ((b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort') AND event_id IS NULL)
-    OR (b.tool = 'compare_with_baseline' AND event_id IS NULL AND j.category IN ('COMPARISON','CALCULATION'))
-    OR (b.tool = 'list_recent_changes' AND event_id IS NOT NULL))),
-ag AS (SELECT question_id, count(*) FILTER (NOT rejected) AS accepted, count(*) FILTER (rejected) AS rejected,
-  string_agg(text, ' ' ORDER BY claim_order, claim_id) FILTER (NOT rejected) AS texts FROM sv GROUP BY 1)
-SELECT b.question_id, b.tool, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
+  (CASE WHEN claim_id LIKE 'claim-facility-%' THEN b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort','compare_with_baseline','list_recent_changes')
+    WHEN event_id IS NOT NULL THEN b.tool = 'list_recent_changes'
+    ELSE b.tool IN ('count_vessels','summarize_profile','show_vessel_cohort') OR (b.tool = 'compare_with_baseline' AND j.category IN ('COMPARISON','CALCULATION')) END)),
+ag AS (SELECT question_id, count(*) FILTER (NOT rejected) AS accepted, count(*) FILTER (rejected) AS rejected, bool_or(category = 'COMPARISON') AS cb,
+  bool_or(category = 'CALCULATION') AS cc, string_agg(text, ' ' ORDER BY claim_order, claim_id) FILTER (NOT rejected) AS texts FROM sv GROUP BY 1),
+an AS (SELECT b.question_id, b.tool, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
   CASE WHEN b.abstention IS NOT NULL THEN b.abstention ELSE coalesce(texts,
-    CASE WHEN tool = 'list_recent_changes' THEN 'No rule fired in the window.' END, 'No accepted claim covers this question.') END AS answer
-FROM bun b LEFT JOIN ag USING (question_id)"""
+    CASE WHEN tool = 'list_recent_changes' AND coalesce(accepted + rejected, 0) = 0 THEN 'No rule fired in the window.' END, 'No accepted claim covers this question.') END AS answer,
+  array_to_string(list_filter([CASE WHEN b.abstention IS NULL AND source_health <> 'fresh' THEN 'source' END, CASE WHEN cb THEN 'baseline' END,
+    CASE WHEN cc THEN 'coverage' END, CASE WHEN coalesce(accepted + rejected, 0) = 0 THEN 'empty' END], lambda x: x IS NOT NULL), ',') AS caveats
+  FROM bun b LEFT JOIN ag USING (question_id))
+SELECT *, CASE WHEN accepted = 0 THEN 'rejected' WHEN rejected > 0 OR caveats <> '' THEN 'accepted_with_caveats' ELSE 'accepted' END AS verdict FROM an"""
 
 # --- streams --------------------------------------------------------------------------------
 

@@ -17,11 +17,13 @@ from fairlead.functions.median import exact_median
 from fairlead.functions.quality import metric_label, metric_rank
 from fairlead.functions.timeline import MICROS
 from fairlead.operators.compare import baseline_comparisons, detect_events
+from fairlead.operators.health import provenance
 from fairlead.operators.geo import (
     CELL_DEGREES, _join_cells, _profile_cells, _reach, primary_fences, profile_membership, usable_fences,
 )
-from fairlead.operators.metrics import long_metrics
-from fairlead.operators.sequence import CHUNK_SECONDS, with_previous, with_segments
+from fairlead.operators.facility import land_summary, readings_in_scope
+from fairlead.operators.metrics import aircraft_count, long_metrics
+from fairlead.operators.sequence import CHUNK_SECONDS, longest_first, of_segments, segment_rows, with_previous
 from fairlead.operators.windows import assign_windows, prune_to_windows, with_baseline
 from fairlead.schema import FREIGHT_TYPES
 from fairlead.session import stage
@@ -41,8 +43,9 @@ class SnapshotSettings:
     chunk_seconds: int = CHUNK_SECONDS
 
 
-def rows_in_fences(obs: DataFrame, fences: DataFrame) -> DataFrame:
+def rows_in_fences(obs: DataFrame, fences: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return profile_membership(obs, fences).select(
+        *carry,
         "profile_id", "entity_id", "observed_at", "observation_id",
         F.col("inside_primary").alias("inside"),
         "speed_knots", "entity_type", "classification",
@@ -52,50 +55,54 @@ def rows_in_fences(obs: DataFrame, fences: DataFrame) -> DataFrame:
 
 def entity_windows(rows: DataFrame, wins: DataFrame, settings: SnapshotSettings) -> DataFrame:
     """One row per (profile, window, role, entity) with everything the metrics need."""
-    us = F.unix_micros("observed_at")
+    us = F.col("_us")
     gap_limit = settings.max_gap_seconds * MICROS
-    segmented = with_segments(
-        rows, ["profile_id", "entity_id"], ["observed_at", "inside", "rank"],
-        settings.max_gap_seconds, settings.chunk_seconds,
+    entity = ["profile_id", "entity_id"]
+    # The bucket of a row as a number: what is kept of the latest row has a fixed width, so every aggregate hashes.
+    bucket = F.when(F.col("classification").isNull() | (F.col("classification") != "confirmed"), 0).when(
+        F.col("entity_type").isin(list(settings.allowlist)), 1
+    ).otherwise(2)
+    slim = rows.select(*entity, "observed_at", "observation_id", "inside", "rank", "speed_knots", bucket.alias("bucket"))
+    linked, borders = segment_rows(
+        slim, entity, ["observed_at", "inside", "rank"], settings.max_gap_seconds, settings.chunk_seconds
     )
     in_win = F.col("prev.observed_at") >= F.col("window_start")
     gap = us - F.col("prev._us")
     flips = in_win & (F.col("prev.inside") != F.col("inside"))
     counted = flips & (gap <= gap_limit)
-    fanned = assign_windows(segmented, with_baseline(wins), "window_start", "window_end")
-    per_visit = fanned.groupBy(*_KEYS, "entity_id", "segment_start_us").agg(
+    fanned = assign_windows(linked, with_baseline(wins), "window_start", "window_end")
+    latest = [F.max_by("bucket", "_pos").alias("bucket"), F.max_by("speed_knots", "_pos").alias("speed_knots"), F.max("_pos").alias("_pos")]
+    pieces = fanned.groupBy(*_KEYS, "entity_id", "_chunk", "_own_start").agg(
         F.count("*").alias("n"),
         F.min(us).alias("first_us"),
         F.max(us).alias("last_us"),
-        F.max(F.when(in_win & (gap <= gap_limit), gap).otherwise(0)).alias("gap_us"),
         F.max("rank").alias("rank"),
-        F.max(F.struct("observed_at", "observation_id", "entity_type", "classification", "speed_knots")).alias("latest"),
+        *latest,
         F.count_if(counted & F.col("inside")).alias("entries"),
         F.count_if(counted & ~F.col("inside")).alias("exits"),
         F.count_if(flips & (gap > gap_limit)).alias("uncertain"),
         F.max(F.when(counted, F.greatest("rank", "prev.rank"))).alias("crossing_rank"),
     )
-    visit = F.struct("first_us", "last_us", "n", "gap_us", "rank")
-    longest = F.max_by(visit, F.struct("n", (-F.col("segment_start_us")).alias("early")))
-    per_entity = per_visit.groupBy(*_KEYS, "entity_id").agg(
-        F.sum("n").alias("row_count"),
-        F.max("rank").alias("rank"),
-        F.max("latest").alias("latest"),
-        longest.alias("visit"),
-        F.sum("entries").alias("entries"),
-        F.sum("exits").alias("exits"),
-        F.sum("uncertain").alias("uncertain"),
+    crossed = [
+        F.sum("entries").alias("entries"), F.sum("exits").alias("exits"), F.sum("uncertain").alias("uncertain"),
         F.max("crossing_rank").alias("crossing_rank"),
+    ]
+    per_visit = of_segments(pieces, borders, entity).groupBy(*_KEYS, "entity_id", "segment_start_us").agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("rank").alias("rank"),
+        *latest, *crossed,
+    ).withColumn("_order", longest_first(F.col("n"), F.col("segment_start_us")))
+    per_entity = per_visit.groupBy(*_KEYS, "entity_id").agg(
+        F.sum("n").alias("row_count"), F.max("rank").alias("rank"), *latest[:2], *crossed,
+        F.max("n").alias("visit_n"), F.max_by(F.col("last_us") - F.col("first_us"), F.col("_order")).alias("visit_us"),
+        F.max_by("rank", "_order").alias("visit_rank"),
     )
-    confirmed = F.col("latest.classification") == "confirmed"
-    dwells = F.col("visit.n") >= settings.min_observations
+    dwells = F.col("visit_n") >= settings.min_observations
     return per_entity.select(
         *_KEYS, "entity_id", "row_count", "rank",
-        F.when(~confirmed, "unclassified")
-        .when(F.col("latest.entity_type").isin(list(settings.allowlist)), "freight").otherwise("other").alias("bucket"),
-        F.col("latest.speed_knots").alias("speed_knots"),
-        F.when(dwells, F.col("visit.last_us") - F.col("visit.first_us")).alias("dwell_us"),
-        F.when(dwells, F.col("visit.rank")).alias("dwell_rank"),
+        F.when(F.col("bucket") == 0, "unclassified").when(F.col("bucket") == 1, "freight").otherwise("other").alias("bucket"),
+        "speed_knots",
+        F.when(dwells, F.col("visit_us")).alias("dwell_us"),
+        F.when(dwells, F.col("visit_rank")).alias("dwell_rank"),
         "entries", "exits", "uncertain", "crossing_rank",
     )
 
@@ -158,10 +165,36 @@ def fence_labels(fences: DataFrame) -> DataFrame:
     return every.join(first, "profile_id")
 
 
+_AIR = ["air_rows", "air_freight", "air_unclassified"]
+_LAND = ["facilities", "readings", "wait_minutes"]
+
+
+def air_rows(aircraft: DataFrame, profiles: DataFrame, fences: DataFrame, wins: DataFrame) -> DataFrame:
+    """Aircraft rows in the fences of each air profile and window."""
+    own = fences.join(profiles.filter("mode = 'air'").select("profile_id"), "profile_id", "left_semi")
+    return aircraft_count(aircraft, own, wins).select(
+        "profile_id", "window_id", F.col("sample_count").alias("air_rows"), F.col("freight_rows").alias("air_freight"),
+        F.col("unclassified_rows").alias("air_unclassified"),
+    )
+
+
+def land_readings(readings: DataFrame, profiles: DataFrame, wins: DataFrame, id_prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Newest reading of each facility of the land profiles as of each window, and their summary."""
+    own = readings.join(profiles.filter("mode = 'land'").select("profile_id"), "profile_id", "left_semi")
+    newest, counts = readings_in_scope(own, wins, ("window_id",), lambda rows: assign_windows(rows, wins), id_prefix)
+    newest = stage(newest, "facility-windows")
+    return newest, land_summary(newest, counts, ("window_id",))
+
+
 def wide_metrics(
-    entities: DataFrame, profiles: DataFrame, fences: DataFrame, wins: DataFrame, settings: SnapshotSettings
+    entities: DataFrame, profiles: DataFrame, fences: DataFrame, wins: DataFrame, settings: SnapshotSettings,
+    air: DataFrame | None = None, land: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (profile, window, role), profiles and windows without data included."""
+    """One row per (profile, window, role), profiles and windows without data included.
+
+    ``air`` and ``land`` are the current windows of the other modes; their preceding window
+    is not compared, so its row stays unknown.
+    """
     freight = F.col("bucket") == "freight"
     speed = F.col("speed_knots")
     moves = speed > settings.speed_threshold_knots
@@ -198,6 +231,11 @@ def wide_metrics(
         .join(summed, _KEYS, "left")
         .join(median, _KEYS, "left")
     )
+    for part, names in ((air, _AIR), (land, _LAND)):
+        if part is None:
+            joined = joined.select("*", *[F.lit(None).cast("double" if n == "wait_minutes" else "bigint").alias(n) for n in names])
+        else:
+            joined = joined.join(part.withColumn("role", F.lit("current")), _KEYS, "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint")
     # The freight cohort restricts moving and crossings only when it has members.
     pick = lambda name: F.when(some, F.col(f"{name}_freight")).otherwise(F.col(f"{name}_all"))
@@ -232,14 +270,21 @@ def wide_metrics(
         state(quiet, F.col("crossing_rank")).alias("exit_state"),
         F.lit(settings.min_observations).alias("min_observations"),
         F.lit(settings.max_gap_seconds).alias("max_gap_seconds"),
+        *_AIR, *_LAND,
     )
-    # Vessel metrics of other modes are unknown, not zero.
-    sea = F.col("mode") == "sea"
+    # Vessel metrics of other modes are unknown, not zero; aircraft are rows, not entities.
+    sea, flown = F.col("mode") == "sea", F.col("air_rows")
     counts = ["in_fence_rows", "freight", "unclassified", "other", "eligible", "moving", "missing_speed", "dwell_cohort", "entries", "exits", "uncertain"]
     states = ["count_state", "moving_state", "dwell_state", "entry_state", "exit_state"]
+    of_air = {
+        "in_fence_rows": flown, "freight": F.col("air_freight"), "unclassified": F.col("air_unclassified"),
+        "other": F.when(flown.isNotNull(), F.lit(0).cast("bigint")),
+    }
     return wide.withColumns({
-        **{c: F.when(sea, F.col(c)) for c in counts}, **{c: F.when(sea, F.col(c)).otherwise("unknown") for c in states},
-    })
+        **{c: F.when(sea, F.col(c)).otherwise(of_air.get(c, F.lit(None))) for c in counts},
+        **{c: F.when(sea, F.col(c)).otherwise("unknown") for c in states},
+        "count_state": F.when(sea, F.col("count_state")).when(flown > 0, "fresh").otherwise("unknown"),
+    }).drop(*_AIR)
 
 
 @dataclass(frozen=True)
@@ -251,6 +296,7 @@ class Snapshot:
     metrics: DataFrame
     comparisons: DataFrame
     events: DataFrame
+    facilities: DataFrame | None = None  # newest reading per facility of the land profiles
 
 
 def snapshot(
@@ -260,8 +306,16 @@ def snapshot(
     wins: DataFrame,
     settings: SnapshotSettings = SnapshotSettings(),
     rules: DataFrame | None = None,
+    aircraft: DataFrame | None = None,
+    readings: DataFrame | None = None,
+    facility_prefix: str = "cbp:",
 ) -> Snapshot:
-    """Run the snapshot for all profiles and windows."""
+    """Run the snapshot for all profiles and windows.
+
+    ``obs`` serve the sea profiles, ``aircraft`` (observations) the air profiles and
+    ``readings`` (facility readings with profile_id and is_live) the land profiles; a mode
+    whose table is absent has unknown metrics.
+    """
     sea = fences.join(profiles.filter("mode = 'sea'").select("profile_id"), "profile_id", "left_semi")
     obs = prune_to_windows(obs, with_baseline(wins), "window_start", "window_end")
     entities = entity_windows(rows_in_fences(obs, sea), wins, settings)
@@ -272,7 +326,9 @@ def snapshot(
         )
     entities = stage(entities, "entity-windows")
     # Profiles x windows rows: small, and read by every later part.
-    wide = stage(wide_metrics(entities, profiles, fences, wins, settings), "wide-metrics")
+    air = None if aircraft is None else air_rows(aircraft, profiles, fences, wins)
+    facilities, land = (None, None) if readings is None else land_readings(readings, profiles, wins, facility_prefix)
+    wide = stage(wide_metrics(entities, profiles, fences, wins, settings, air, land), "wide-metrics")
     metrics = long_metrics(wide)
     return Snapshot(
         entities=entities,
@@ -280,11 +336,15 @@ def snapshot(
         metrics=metrics,
         comparisons=baseline_comparisons(metrics),
         events=detect_events(metrics, rules),
+        facilities=facilities,
     )
 
 
-def metric_inputs(rows: DataFrame, entities: DataFrame, wins: DataFrame) -> DataFrame:
-    """Lineage of vessel_count and moving_fraction as rows: which observation fed which metric."""
+def metric_inputs(rows: DataFrame, entities: DataFrame, wins: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Lineage of vessel_count and moving_fraction as rows: which observation fed which metric.
+
+    ``carry``: further columns of the rows to hand on, so that nothing has to be looked up again.
+    """
     some = entities.groupBy(*_KEYS).agg((F.count_if(F.col("bucket") == "freight") > 0).alias("_some"))
     member = entities.select(*_KEYS, "entity_id", "bucket").join(some, _KEYS)
     member = member.select(
@@ -295,7 +355,18 @@ def metric_inputs(rows: DataFrame, entities: DataFrame, wins: DataFrame) -> Data
         ).alias("metric"),
     )
     fanned = assign_windows(
-        rows.select("profile_id", "entity_id", "observed_at", "observation_id"),
+        rows.select("profile_id", "entity_id", "observed_at", "observation_id", *carry),
         with_baseline(wins), "window_start", "window_end",
     )
-    return fanned.join(member, [*_KEYS, "entity_id"]).select(*_KEYS, "metric", "observation_id")
+    return fanned.join(member, [*_KEYS, "entity_id"]).select(*_KEYS, "metric", "observation_id", "observed_at", *carry)
+
+
+def metric_provenance(obs: DataFrame, fences: DataFrame, wins: DataFrame, settings: SnapshotSettings = SnapshotSettings()) -> DataFrame:
+    """Provenance of the inputs of each metric: one record per provider and endpoint, conflicts apart.
+
+    The source columns travel with the rows, so the lineage is grouped as it is made.
+    """
+    carry = ("provider_id", "endpoint_id", "license_id", "received_at")
+    rows = rows_in_fences(prune_to_windows(obs, with_baseline(wins), "window_start", "window_end"), fences, carry)
+    entities = stage(entity_windows(rows, wins, settings), "entity-windows")
+    return provenance(metric_inputs(rows, entities, wins, carry), [*_KEYS, "metric"])

@@ -161,6 +161,31 @@ def facility_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Facility ids of the views begin with this.
+SITE_PREFIX = "site:"
+
+
+def land_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facility readings as those of the land profile, moved into the month of the other tables; all simulated."""
+    day = F.datediff("observed_at", F.lit("1992-01-01").cast("date")) % 30
+    second = F.element_at(F.split("metric_id", "-"), 2).cast("bigint") % 86_400
+    at = F.lit("2024-01-01").cast("timestamp")
+    moved = plus_micros(at, (day.cast("bigint") * 86_400 + second) * SEC)
+    late = F.unix_micros("received_at") - F.unix_micros("observed_at")
+    return facility_readings(spark, sf_dir).withColumns({
+        "received_at": plus_micros(moved, late), "observed_at": moved, "profile_id": F.lit("el-paso-border-crossings"),
+        "is_live": F.lit(False),
+    })
+
+
+def aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted aircraft rows of all polls."""
+    from fairlead.operators.normalize import accepted
+    from fairlead.sources.aircraft import aircraft_rows, transform_aircraft
+
+    return accepted(transform_aircraft(aircraft_rows(aircraft_polls(spark, sf_dir))))
+
+
 def _json_number(value: Column) -> Column:
     return value.cast("double").cast("string")
 
@@ -394,6 +419,41 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events.unionByName(from_documents)
 
 
+# Sentences planted into document claims in turn, by doc_id; every seventh one loses its support instead.
+PLANTED_PHRASES = [
+    ("THREAT", "A hostile act was reported."), ("CAUSE", "The delay is due to fog."), ("PREDICTION", "Queues will grow tomorrow."),
+    ("IDENTITY", "Its operator is unknown."), ("INTENT", "The master is planning to leave."), ("SCOPE", "All vessels in the harbor wait."),
+]
+
+
+def planted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims, each with a known fault planted: event claims carry theirs, document claims get one by doc_id."""
+    turn = F.col("claim_order") % (len(PLANTED_PHRASES) + 1)
+    said = F.lit("")
+    for i, (_, phrase) in enumerate(PLANTED_PHRASES):
+        said = F.when(turn == i, phrase + " ").otherwise(said)
+    document = F.col("claim_id").startswith("d-")
+    bare = document & (turn == len(PLANTED_PHRASES))
+    return claims(spark, sf_dir).withColumns({
+        "text": F.when(document, F.concat(said, F.coalesce("text", F.lit("")))).otherwise(F.col("text")),
+        "support": F.when(bare, F.array().cast("array<struct<kind:string,id:string>>")).otherwise(F.col("support")),
+    })
+
+
+def planted_label():
+    """What a planted claim has to be judged."""
+    e = F.col("claim_order")
+    event = (
+        F.when(e % 12 == 0, "THREAT").when(e % 12 == 1, "CAUSE").when(e % 12 == 2, "PREDICTION").when(e % 12 == 3, "IDENTITY")
+        .when(e % 12 == 4, "INTENT").when(e % 12 == 5, "SCOPE").when(e % 13 == 0, "PROVENANCE")
+        .when((e % 12 == 6) & (F.col("category") != "LIMITATION"), "NUMERIC").otherwise("accepted")
+    )
+    document = F.lit("PROVENANCE")
+    for i, (name, _) in enumerate(PLANTED_PHRASES):
+        document = F.when(e % (len(PLANTED_PHRASES) + 1) == i, name).otherwise(document)
+    return F.when(F.col("claim_id").startswith("d-"), document).otherwise(event)
+
+
 def claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric values the claims of a bundle may cite."""
     return events(spark, sf_dir).select(

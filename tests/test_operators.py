@@ -436,6 +436,127 @@ def test_series_and_replay_answer_every_window(spark, observe):
         windows.relative_windows(asked, wins).collect()
 
 
+# --- the other modes -------------------------------------------------------------------------
+
+
+def readings_of(spark, data):
+    """data: id, facility, minute, wait, live."""
+    import datetime as dt
+
+    noon = dt.datetime(2026, 9, 9, 12, tzinfo=dt.timezone.utc)
+    full = []
+    for mid, site, minute, wait, live in data:
+        at = noon + dt.timedelta(minutes=minute)
+        lanes = [{"lane_group": "passenger_vehicle", "metric": "wait_minutes", "value": 99.0, "unit": "minutes", "status_label": ""}]
+        if wait != "none":
+            lanes.append({"lane_group": "commercial_vehicle", "metric": "wait_minutes", "value": wait, "unit": "minutes", "status_label": ""})
+        full.append((mid, site, site, at, at, lanes, live, "el-paso-border-crossings"))
+    names = "metric_id string, facility_id string, display_name string, observed_at timestamp, received_at timestamp"
+    from fairlead.schema import MEASUREMENT
+
+    shape = f"{names}, measurements array<{MEASUREMENT.simpleString()}>, is_live boolean, profile_id string"
+    return spark.createDataFrame(full, shape)
+
+
+TWO = [("early", "2026-09-09T12:00:00Z", "2026-09-09T13:00:00Z"), ("late", "2026-09-09T14:00:00Z", "2026-09-09T15:00:00Z")]
+AIR_IN, AIR_OUT = (33.8, -118.4), (34.5, -118.4)
+
+
+def snap_of(spark, observe, aircraft_rows=None, readings=None):
+    from fairlead.plans import snapshot as S
+
+    return S.snapshot(
+        observe([("s1", "ship", 5, *IN)]), registry.profiles(spark), registry.fences(spark), windows.windows(spark, TWO),
+        aircraft=None if aircraft_rows is None else observe(aircraft_rows), readings=readings,
+    )
+
+
+def test_land_readings_are_simulated_in_the_window_or_live_whatever_the_window(spark, observe):
+    simulated = [("m1", "cbp:1", 10, 3.0, False), ("m2", "cbp:1", 20, 5.0, False), ("m3", "cbp:2", 15, None, False), ("m4", "other:1", 5, 1.0, False)]
+    snap = snap_of(spark, observe, readings=readings_of(spark, simulated))
+    land = snap.wide.filter("mode = 'land' and role = 'current'").orderBy("window_id").collect()
+    # The first facility by time is cbp:2, whose wait is missing: unknown, not zero.
+    assert [(r.window_id, r.facilities, r.readings, r.wait_minutes) for r in land] == [("early", 2, 3, None), ("late", None, None, None)]
+    assert sorted((r.window_id, r.metric_id) for r in snap.facilities.collect()) == [("early", "m2"), ("early", "m3")]
+    assert all(r.in_fence_rows is None and r.count_state == "unknown" for r in land)
+    live = [("l1", "cbp:1", -600, 7.0, True), ("l2", "cbp:1", -500, 8.0, True), ("l3", "cbp:2", -550, "none", True)]
+    snap = snap_of(spark, observe, readings=readings_of(spark, simulated + live))
+    land = snap.wide.filter("mode = 'land' and role = 'current'").orderBy("window_id").collect()
+    assert [(r.window_id, r.facilities, r.readings, r.wait_minutes) for r in land] == [("early", 2, 2, None), ("late", 2, 2, None)]
+    assert sorted((r.window_id, r.metric_id, r.commercial_wait_minutes) for r in snap.facilities.collect()) == [
+        ("early", "l2", 8.0), ("early", "l3", None), ("late", "l2", 8.0), ("late", "l3", None)]
+    # Readings never reach the other profiles, and ships never the land profile.
+    assert snap.wide.filter("mode <> 'land' and readings is not null").count() == 0
+    assert snap.wide.filter("profile_id = 'long-beach-approach' and window_id = 'early' and role = 'current'").first()["in_fence_rows"] == 1
+
+
+def test_aircraft_are_counted_by_rows_and_none_is_unknown(spark, observe):
+    rows_in = [("a1", "plane", 5, *AIR_IN, {"mode": "air", "entity_type": "aircraft"}), ("a2", "plane", 6, *AIR_IN, {"mode": "air", "entity_type": "aircraft"}),
+               ("a3", "other", 7, *AIR_IN, {"mode": "air", "entity_type": "unknown"}), ("a4", "away", 8, *AIR_OUT, {"mode": "air"})]
+    snap = snap_of(spark, observe, rows_in)
+    air = {(r.window_id, r.role): r for r in snap.wide.filter("mode = 'air'").collect()}
+    early, late = air["early", "current"], air["late", "current"]
+    assert (early.in_fence_rows, early.freight, early.unclassified, early.other, early.count_state) == (3, 2, 1, 0, "fresh")
+    assert (late.in_fence_rows, late.count_state) == (0, "unknown") and air["early", "baseline"].in_fence_rows is None
+    values = {(r.window_id, r.metric): r for r in snap.metrics.filter("mode = 'air' and role = 'current'").collect()}
+    assert values["early", "vessel_count"].value == 3 and values["early", "vessel_count"].state == "fresh"
+    assert values["late", "vessel_count"].value is None and values["early", "moving_fraction"].value is None
+    assert {r.direction for r in snap.comparisons.filter("profile_id = 'lax-cargo-air'").collect()} == {"unknown"}
+    without = snap_of(spark, observe).wide.filter("mode = 'air'").collect()
+    assert all(r.in_fence_rows is None and r.count_state == "unknown" for r in without)
+    totals = {(r.window_id, r["mode"]): r for r in network.network_totals(snap.wide).collect()}
+    assert totals["early", "air"].aircraft_rows == 3 and totals["early", "sea"].aircraft_rows is None
+    heads = {(r.profile_id, r.window_id): r.headline for r in network.compare_rows(
+        snap.wide, snap.comparisons, snap.events, network.coverage_states(registry.profiles(spark), registry.fences(spark))).collect()}
+    assert heads["lax-cargo-air", "early"] == 3 and heads["lax-cargo-air", "late"] is None
+    assert heads["long-beach-approach", "early"] == 1 and heads["el-paso-border-crossings", "early"] is None
+
+
+def test_series_of_the_other_modes(spark, observe):
+    land = readings_of(spark, [("m1", "cbp:1", 10, 3.0, False), ("m2", "cbp:1", 50, 5.0, False)])
+    planes = observe([("a1", "p", 5, *AIR_IN, {"mode": "air", "entity_type": "aircraft"})])
+    wins = windows.windows(spark, TWO[:1])
+    got = network.headline_series(observe([("s", "x", 5, *IN)]), registry.fences(spark), registry.profiles(spark), wins, 2, aircraft=planes, readings=land)
+    values = {(r.profile_id, r.bucket): r.value for r in got.collect()}
+    assert values["el-paso-border-crossings", 0] == 3.0 and values["el-paso-border-crossings", 1] == 5.0
+    assert values["lax-cargo-air", 0] == 1.0 and values["lax-cargo-air", 1] is None
+    assert values["long-beach-approach", 0] == 1.0 and values["long-beach-approach", 1] == 0.0
+
+
+def test_land_questions_are_answered_and_air_questions_are_not(spark, observe):
+    from fairlead.plans import snapshot as S  # noqa: F401
+
+    land = readings_of(spark, [("m1", "cbp:1", 10, 3.0, False), ("m2", "cbp:2", 20, None, False)])
+    snap = snap_of(spark, observe, [("a1", "p", 5, *AIR_IN, {"mode": "air", "entity_type": "aircraft"})], land)
+    asked = spark.createDataFrame([("q1", "how long is the wait at el paso?"), ("q2", "vessel count at cargo air"), ("q3", "tell me a joke"), ("q4", "any events at el paso")],
+                                  "question_id string, text string")
+    health_now = spark.createDataFrame([("land", "early", "STALE"), ("air", "early", "FRESH")], "mode string, window_id string, source_health string")
+    routed = Q.route_questions(asked).withColumn("context_profile", F.lit(None).cast("string"))
+    bundles = Q.evidence_bundles(routed, snap.wide, context="early", health=health_now)
+    held = {r.question_id: r for r in bundles.collect()}
+    assert (held["q1"].facility_readings, held["q1"].source_health, held["q2"].observations) == (2, "STALE", 1)
+    wanted = snap.wide.filter("role = 'current' and mode = 'land'").select("profile_id", "window_id")
+    made = C.facility_claims(snap.facilities, wanted, ["profile_id", "window_id"])
+    values = snap.facilities.select("profile_id", "window_id", F.col("commercial_wait_minutes").alias("value"))
+    judged = C.judge_claims(made, values, ["profile_id", "window_id"])
+    got = {r.question_id: r for r in Q.answers(bundles, judged, "question_id").collect()}
+    assert got["q1"].accepted == 2 and "3 min" in got["q1"].answer and "unknown" in got["q1"].answer
+    assert (got["q1"].verdict, got["q1"].caveats) == ("accepted_with_caveats", "source") and got["q4"].accepted == 2
+    assert (got["q2"].answer, got["q2"].verdict, got["q2"].accepted) == ("air.counts_only", "rejected", 0)
+    assert (got["q3"].answer, got["q3"].verdict, got["q3"].caveats) == ("intent.none", "rejected", "empty")
+    refs = Q.evidence_references(bundles, spark.createDataFrame([], "profile_id string, window_id string, observation_id string"), made)
+    assert sorted((r.kind, r.id) for r in refs.collect()) == [("metric", "m1"), ("metric", "m2")]
+
+
+def test_readiness_needs_every_expected_source(spark):
+    states = spark.createDataFrame([("a", "s1", "FRESH"), ("a", "s2", "FRESH"), ("b", "s1", "FRESH"), ("b", "s1", "STALE"), ("c", "s1", "STALE"), ("c", "s2", "FRESH")],
+                                   "k string, source_id string, state string")
+    expected = spark.createDataFrame([(k, s) for k in "abcd" for s in ("s1", "s2")], "k string, source_id string")
+    got = {r.k: (r.expected, r.sources, r.reports, r.missing, r.not_fresh, r.ready, r.status) for r in health.readiness_rollup(states, expected, ["k"]).collect()}
+    assert got == {"a": (2, 2, 2, 0, 0, True, "ok"), "b": (2, 1, 2, 1, 1, False, "error"), "c": (2, 2, 2, 0, 1, True, "degraded"),
+                   "d": (2, 0, 0, 2, 0, False, "error")}
+
+
 # --- health and claims -----------------------------------------------------------------------
 
 
