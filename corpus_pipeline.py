@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead.llm import line_dedup, ngram_join, packing, quality
-from fairlead.session import shared_dir
+from fairlead.llm.common import free_name
+from fairlead.session import shared_dir, stage
 
 CAPACITY = 2048
 
@@ -35,10 +36,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
-    found = ngram_join.similar_notices(docs, key="doc_id", text="text")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each group of similar documents one stays: the smallest doc_id (null last), the first of its rows.
+
+    Rows are told apart by a number of their own, written down with them, so null or
+    repeated doc_ids cannot stand for each other.  A document without words is a group of its own.
+    """
+    own = free_name(docs, "row")
+    numbered = stage(docs.withColumn(own, F.monotonically_increasing_id()), "numbered-documents")
+    found = ngram_join.similar_notices(numbered, key=own, text="text").select(F.col(own).alias("row"), F.col("component_id").alias("group"))
+    ids = numbered.select(F.col(own).alias("row"), "doc_id").join(found, "row")
+    # A group of any size is reduced map-side: its smallest doc_id, then the first row that has it.
+    least = ids.groupBy("group").agg(F.min("doc_id").alias("least"))
+    first = ids.join(least, "group").filter(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("group").agg(F.min("row").alias("kept"))
+    return numbered.join(first.select(F.col("kept").alias(own)), own, "left_semi").drop(own)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

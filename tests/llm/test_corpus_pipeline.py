@@ -9,7 +9,7 @@ from conftest import SMALL
 from fairlead.llm import quality
 from test_text_operators import components_by_force, word_tokens
 
-WANTED = {1, 2, 3, 4, 5, 6, 7, 8, 9, 10}
+WANTED = set(range(1, 14))
 
 
 def test_one_query_per_operator():
@@ -59,3 +59,15 @@ def test_pipeline_stages(spark):
     for r in packed:
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
     assert lengths == {k: len(word_tokens(t)) + 1 for k, t in third.items()}
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    from test_text_operators import prose
+
+    a, b = prose(80), prose(80)
+    rows = [(None, a), (None, a + " late"), (None, b), (None, b), (5, b + " x"), (5, b + " x"), (7, a), (8, None), (8, ""), (9, prose(40))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicates(spark, docs.repartition(3), SMALL)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(7, a), (5, b + " x"), (8, ""), (8, ""), (9, rows[-1][1])])
+    assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), SMALL).count() == 0

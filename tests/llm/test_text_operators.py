@@ -325,11 +325,6 @@ def test_url_verdicts_equal_brute_force(spark):
 
 def lines_by_force(rows):
     """Occurrences (key, text, line_no) with group and verdict, by the definitions."""
-    import xxhash
-
-    def spark_hash(word):
-        return xxhash.xxh64_intdigest(word.encode(), seed=42)
-
     found = {}
     for k, t in rows:
         for i, line in enumerate((t or "").split("\n")):
@@ -337,19 +332,6 @@ def lines_by_force(rows):
             if words:
                 found[(k, t or "", i)] = words
     distinct = {tuple(w) for w in found.values()}
-    simhash = {}
-    for w in distinct:
-        counts = [sum(spark_hash(x) >> b & 1 for x in w) for b in range(line_dedup.BITS)]
-        simhash[w] = sum(1 << b for b, c in enumerate(counts) if 2 * c > len(w))
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     parent = {w: w for w in distinct}
 
     def root(w):
@@ -357,13 +339,11 @@ def lines_by_force(rows):
             w = parent[w]
         return w
 
-    fuzzy = sorted(w for w in distinct if len(w) >= line_dedup.FUZZY_WORDS)
-    for i, a in enumerate(fuzzy):
-        for b in fuzzy[:i]:
-            if (simhash[a] ^ simhash[b]).bit_count() <= line_dedup.MAX_BITS:
-                x, y = " ".join(a), " ".join(b)
-                if edits(x, y) <= (100 - line_dedup.EDIT_SIMILARITY_PERCENT) * max(len(x), len(y)) // 100:
-                    parent[root(a)] = root(b)
+    ordered = sorted(distinct)
+    for i, a in enumerate(ordered):
+        for b in ordered[:i]:
+            if similar(" ".join(a), " ".join(b)):
+                parent[root(a)] = root(b)
     groups = defaultdict(list)
     for place, w in found.items():
         groups[root(tuple(w))].append(place)
@@ -384,12 +364,10 @@ def test_line_groups_equal_brute_force(spark):
     by_group = defaultdict(set)
     for r in got:
         by_group[r.group_id].add((r.metric_id, hashes[r.text_hash], r.line_no))
-    long_enough = {w: p for w, p in groups.items() if len(w) >= line_dedup.MIN_WORDS}
-    assert {frozenset(p) for p in by_group.values() if any(len(found[x]) >= line_dedup.MIN_WORDS for x in p)} == {frozenset(p) for p in long_enough.values()}
+    assert {frozenset(p) for p in by_group.values()} == {frozenset(p) for p in groups.values()}
     assert max(map(len, groups.values())) > 8
     kept = {(r.metric_id, hashes[r.text_hash], r.line_no) for r in got if r.kept}
-    assert all(x in kept for x, w in found.items() if len(w) < line_dedup.MIN_WORDS)
-    for w, places in long_enough.items():
+    for places in groups.values():
         inside = [x for x in places if x in kept]
         assert len(inside) == 1 and inside[0][0] == min(x[0] for x in places)
 
