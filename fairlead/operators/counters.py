@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fairlead.functions.timeline import MICROS
+
 # Counter name and its labels.
 COUNTERS = {
     "http_requests_total": ["route", "status"],
@@ -45,3 +47,21 @@ def rates(rows: DataFrame, at: str, labels: list[str], window: str = "5 minutes"
         .agg(F.count("*").alias("events"))
         .select(F.col("_w.start").alias("window_start"), *labels, "events", (F.col("events") / F.lit(float(seconds))).alias("per_second"))
     )
+
+
+def sliding_rates(panes: DataFrame, labels: list[str], slide_seconds: int, window_seconds: int) -> DataFrame:
+    """Rates of overlapping windows from tumbling panes: (window_start, labels, events, per_second).
+
+    ``panes``: window_start, labels, events of panes as long as the slide.  A row was counted
+    in one pane; only panes are handed to the windows that cover them.  Windows start at
+    multiples of the slide; those without an event have no row.
+    """
+    if window_seconds % slide_seconds:
+        raise ValueError("the window must be a multiple of the slide")
+    slide = slide_seconds * MICROS
+    back = F.sequence(F.lit(0), F.lit(window_seconds // slide_seconds - 1))
+    covering = panes.select(*labels, "events", F.unix_micros("window_start").alias("_us"), F.explode(back).alias("_k"))
+    start = F.timestamp_micros(F.col("_us") - F.col("_k") * F.lit(slide))
+    return covering.groupBy(start.alias("window_start"), *labels).agg(F.sum("events").alias("events")).withColumn(
+        "per_second", F.col("events") / F.lit(float(window_seconds))
+    )

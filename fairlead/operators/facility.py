@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fairlead.session import stage
+
 
 def facility_duplicate_key() -> Column:
     lanes = F.array_sort(F.transform("measurements", lambda m: F.concat_ws(":", m["lane_group"], m["metric"])))
@@ -68,26 +70,26 @@ def prefer_live(readings: DataFrame, start: str, end: str, id_prefix: str) -> Da
 
 
 def readings_in_scope(
-    readings: DataFrame, scopes: DataFrame, keys: tuple[str, ...], fan: Callable[[DataFrame], DataFrame], id_prefix: str = "cbp:"
+    readings: DataFrame, scopes: DataFrame, keys: tuple[str, ...], prune: Callable[[DataFrame], DataFrame],
+    fan: Callable[[DataFrame], DataFrame], id_prefix: str = "cbp:",
 ) -> tuple[DataFrame, DataFrame]:
     """The newest reading of each facility as of each scope, and the number of readings per (profile, scope).
 
-    ``readings``: profile_id, is_live and the facility columns, without duplicates.
-    ``scopes`` lists the scope keys, ``fan`` hands rows to the scopes that contain them.
-    Live readings of a profile stand for every scope, the newest of each facility alone;
-    a profile without any has its simulated ones (by ``id_prefix``) inside the scope.
-    Rows are limited per map task before they are shuffled, the live profiles are found
-    among those few, and no profile is gathered.
+    ``readings``: profile_id, is_live and the facility columns.  ``scopes`` lists the scope
+    keys, ``prune`` leaves out rows that no scope contains, ``fan`` hands rows to the scopes
+    that contain them.  Live readings of a profile stand for every scope, the newest of each
+    facility alone; a profile without any has its simulated ones (by ``id_prefix``) inside
+    the scope, duplicates removed.  Live and simulated rows are each read once; rows are
+    limited per map task before they are shuffled and no profile is gathered.
     """
-    slim = readings.select(
-        "profile_id", "facility_id", "display_name", "metric_id", "observed_at", "received_at", "is_live",
-        commercial_wait().alias("commercial_wait_minutes"),
-    )
+    slim = ["profile_id", "facility_id", "display_name", "metric_id", "observed_at", "received_at", "is_live", "commercial_wait_minutes"]
     names = ["profile_id", *keys, "facility_id", "display_name", "metric_id", "observed_at", "is_live", "commercial_wait_minutes"]
-    live = latest_per_facility(slim.filter("is_live"), ("profile_id",))
+    waiting = readings.withColumn("commercial_wait_minutes", commercial_wait())
+    live = stage(latest_per_facility(waiting.filter("is_live").select(*slim), ("profile_id",)), "live-readings")
     has_live = live.select("profile_id").distinct()
     every_live = live.crossJoin(scopes.select(*keys)).select(*names)  # the asked grid of facilities and scopes
-    simulated = fan(slim.filter(~F.col("is_live") & F.col("facility_id").startswith(id_prefix)))
+    own = prune(waiting.filter(~F.col("is_live") & F.col("facility_id").startswith(id_prefix)))
+    simulated = fan(stage(dedupe_facility(own).select(*slim), "simulated-readings"))
     newest = latest_per_facility(simulated, ("profile_id", *keys)).select(*names).join(has_live, "profile_id", "left_anti")
     counts = simulated.groupBy("profile_id", *keys).agg(F.count("*").alias("readings")).join(has_live, "profile_id", "left_anti")
     counts = counts.unionByName(every_live.groupBy("profile_id", *keys).agg(F.count("*").alias("readings")))

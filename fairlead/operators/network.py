@@ -103,7 +103,7 @@ def headline_series(
     keys = ["window_id", "profile_id", "bucket"]
 
     def fan(rows: DataFrame) -> DataFrame:
-        return assign_windows(prune_to_windows(rows, bounds), bounds).filter(us < end).withColumn("bucket", bucket)
+        return assign_windows(rows, bounds).filter(us < end).withColumn("bucket", bucket)
 
     of = lambda mode: profiles.filter(F.col("mode") == mode).select("profile_id")
     fences_of = lambda mode: fences.join(of(mode), "profile_id", "left_semi")
@@ -116,7 +116,9 @@ def headline_series(
     if readings is not None:
         scopes = bounds.select("window_id", every)
         own = readings.join(of("land"), "profile_id", "left_semi")
-        newest, counts = readings_in_scope(own, scopes, ("window_id", "bucket"), fan, facility_prefix)
+        newest, counts = readings_in_scope(
+            own, scopes, ("window_id", "bucket"), lambda rows: prune_to_windows(rows, bounds), fan, facility_prefix
+        )
         waits = land_summary(newest, counts, ("window_id", "bucket"))
         values = values.unionByName(waits.select(*keys, F.col("wait_minutes").alias("found")))
     # The asked grid: every window, profile and bucket has a row.

@@ -14,7 +14,7 @@ from fairlead.operators import questions as Q
 from fairlead.operators import sequence, windows
 from fairlead.plans import snapshot as S
 from fairlead.plans import views as V
-from fairlead.session import spread, stage, use_utc
+from fairlead.session import shared_dir, spread, stage, use_utc
 from fairlead.sources import aircraft, border, fixtures, frames, registry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,7 @@ def _snapshot(spark: SparkSession, sf_dir: str, settings: S.SnapshotSettings = S
 def _other_modes(spark: SparkSession, sf_dir: str) -> dict:
     """The tables of the air and the land profiles."""
     return {
-        "aircraft": V.aircraft(spark, sf_dir), "readings": facility.dedupe_facility(V.land_readings(spark, sf_dir)),
+        "aircraft": V.aircraft(spark, sf_dir), "readings": V.land_readings(spark, sf_dir),
         "facility_prefix": V.SITE_PREFIX,
     }
 
@@ -558,19 +558,42 @@ def detector_scores(spark, d):
     return evaluation.detector_scores(labels, detections, matches, 1000.0)
 
 
+def _written_report(spark, d):
+    """Labels, detections, matches, scores and the dataset manifest, written as one report and read back."""
+    labels, detections = V.labelled_events(spark, d)
+    matches = stage(evaluation.match_labels(labels, detections, 1800), "label-matches")
+    made = {
+        "labels": labels, "events": detections, "matches": matches,
+        "scores": evaluation.detector_scores(labels, detections, matches, 1000.0),
+        "manifest": fixtures.dataset_manifest(fixtures.checked_manifests(V.manifests(spark, d))),
+    }
+    path = shared_dir(spark, "report")
+    tables.write_report(made, path, "evaluation", "parquet")
+    return tables.read_report(spark, path, "evaluation", {name: df.schema for name, df in made.items()}, "parquet")
+
+
 @_query
 def evaluation_report(spark, d):
-    labels, detections = V.labelled_events(spark, d)
+    report = _written_report(spark, d)
     per = lambda df, name: df.groupBy("event_type", "scope").agg(F.count("*").alias(name))
-    matches = evaluation.match_labels(labels, detections, 1800).join(labels, "label_id")
-    matched = matches.groupBy("event_type", "scope").agg(
+    matched = report["matches"].join(report["labels"], "label_id").groupBy("event_type", "scope").agg(
         F.count("*").alias("true_positives"), F.sum("distance_us").alias("distance_us")
     )
-    return per(labels, "labels").join(per(detections, "detections"), ["event_type", "scope"], "full").join(
+    return per(report["labels"], "labels").join(per(report["events"], "detections"), ["event_type", "scope"], "full").join(
         matched, ["event_type", "scope"], "left"
     )
 
 
+@_query
+def report_tables(spark, d):
+    """What came back from the sink: rows of every table, the newest event and the scores."""
+    report = _written_report(spark, d)
+    rows = lambda name: report[name].select(F.lit(name).alias("table_name"))
+    counted = rows("labels").unionByName(rows("events")).unionByName(rows("matches")).unionByName(rows("manifest")).unionByName(rows("scores"))
+    score = report["scores"].select(F.lit("scores").alias("table_name"), "precision", "recall", "f1")
+    return counted.groupBy("table_name").agg(F.count("*").alias("rows")).join(score, "table_name", "left")
+
+
 # --- snapshot and network ----------------------------------------------------------------
 
 
@@ -871,6 +894,27 @@ def stream_rate_5m(spark, d):
     return feeds.run_available(feeds.rate_stream(rows, "at", ["route"]), "rates", "complete")
 
 
+@_query
+def stream_rate_sliding(spark, d):
+    """Five-minute rates every minute, from panes of a minute."""
+    from fairlead.streaming import feeds
+
+    rows = V.requests_from(_event_stream(spark, d)).select("at", counters.route_label(F.col("path")).alias("route"))
+    panes = feeds.run_available(feeds.rate_stream(rows, "at", ["route"], "1 minute", 60), "panes", "complete")
+    return counters.sliding_rates(panes, ["route"], 60, 300)
+
+
+@_query
+def stream_retention(spark, d):
+    """The newest arrivals per provider and what of them is younger than the time to live."""
+    from fairlead.streaming import feeds
+
+    obs = V.observations_from(_event_stream(spark, d))
+    buffers = _with_rocksdb(spark, lambda: feeds.run_available(feeds.retention_stream(obs, 5000), "retention"))
+    now = F.lit("2024-01-30T00:00:00Z").cast("timestamp")
+    return feeds.retained(buffers, now, 72 * 3600).select("provider_id", "observation_id", "received_at")
+
+
 def _with_rocksdb(spark, work):
     from fairlead.streaming import feeds
 

@@ -672,6 +672,12 @@ pl AS (SELECT zone, count(*) AS labels FROM l GROUP BY 1), pd AS (SELECT zone, c
 pm AS (SELECT zone, count(*) AS true_positives, sum(dist)::BIGINT AS distance_us FROM m GROUP BY 1)
 SELECT 'stoppage' AS event_type, 'zone-' || zone AS scope, labels, detections, true_positives, distance_us
 FROM pl FULL JOIN pd USING (zone) LEFT JOIN pm USING (zone)"""
+_SQL["report_tables"] = f"""WITH {MATCHED},
+z AS (SELECT (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM m) AS tp),
+p AS (SELECT tp / CAST(nd AS DOUBLE) AS p, tp / CAST(nl AS DOUBLE) AS r, * FROM z)
+SELECT 'labels' AS table_name, nl AS rows, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, NULL::DOUBLE AS f1 FROM p UNION ALL SELECT 'events', nd, NULL, NULL, NULL FROM p
+UNION ALL SELECT 'matches', tp, NULL, NULL, NULL FROM p UNION ALL SELECT 'manifest', (SELECT count(*) FROM events), NULL, NULL, NULL
+UNION ALL SELECT 'scores', 1, p, r, 2 * p * r / (p + r) FROM p"""
 _SQL["detector_scores"] = f"""WITH {MATCHED},
 z AS (SELECT (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM m) AS tp, (SELECT sum(dist) FROM m) AS s)
 SELECT tp AS true_positives, nd - tp AS false_positives, nl - tp AS false_negatives, CAST(0 AS BIGINT) AS true_negatives,
@@ -983,4 +989,10 @@ SELECT *, CASE WHEN accepted = 0 THEN 'rejected' WHEN rejected > 0 OR caveats <>
 _SQL["stream_dedupe"] = f"WITH {COPIES} SELECT DISTINCT duplicate_key, entity_id, us AS observed_at_us FROM keyed"
 _SQL["stream_sessions"] = f"""WITH {TRACKS}
 SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points FROM trk"""
+_SQL["stream_rate_sliding"] = f"""WITH {REQUESTS},
+w AS (SELECT route, (epoch_us(ts) // 60000000 - k) * 60000000 AS window_start_us FROM q, range(0, 5) t(k))
+SELECT window_start_us, route, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second FROM w GROUP BY ALL"""
+_SQL["stream_retention"] = f"""WITH {OBS},
+a AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY received_us DESC, observation_id DESC) <= 5000)
+SELECT provider_id, observation_id, received_us AS received_at_us FROM a WHERE received_us >= {_us('2024-01-30')} - 259200000000"""
 _SQL["stream_health"] = f"WITH {HEALTH} SELECT source_id, seq, status, last AS last_observation_us, state FROM h"

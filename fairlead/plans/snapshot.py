@@ -181,7 +181,9 @@ def air_rows(aircraft: DataFrame, profiles: DataFrame, fences: DataFrame, wins:
 def land_readings(readings: DataFrame, profiles: DataFrame, wins: DataFrame, id_prefix: str) -> tuple[DataFrame, DataFrame]:
     """Newest reading of each facility of the land profiles as of each window, and their summary."""
     own = readings.join(profiles.filter("mode = 'land'").select("profile_id"), "profile_id", "left_semi")
-    newest, counts = readings_in_scope(own, wins, ("window_id",), lambda rows: assign_windows(rows, wins), id_prefix)
+    newest, counts = readings_in_scope(
+        own, wins, ("window_id",), lambda rows: prune_to_windows(rows, wins), lambda rows: assign_windows(rows, wins), id_prefix
+    )
     newest = stage(newest, "facility-windows")
     return newest, land_summary(newest, counts, ("window_id",))
 

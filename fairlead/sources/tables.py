@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fairlead import schema
@@ -51,7 +52,36 @@ def scoped(
     return obs
 
 
-def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> None:
-    """Write each report table below ``path`` in the given format."""
+def _committed(spark: SparkSession, root: str, run_id: str, fmt: str) -> bool:
+    marks = f"{root}/commits"
+    try:
+        found = spark.read.schema("run_id string, tables array<string>").format(fmt).load(marks)
+        return not found.filter(F.col("run_id") == run_id).isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":  # no report was written here yet
+            return False
+        raise
+
+
+def write_report(tables: dict[str, DataFrame], path: str, run_id: str, fmt: str = "json") -> None:
+    """Write the tables of one report as a unit below ``path``.
+
+    The tables go to a folder of the run, and a commit row is written last: a reader sees
+    all tables of a run or none.  A run that was committed is not written again; one that
+    stopped half way is replaced when it is started anew.
+    """
+    root, spark = path.rstrip("/"), next(iter(tables.values())).sparkSession
+    if _committed(spark, root, run_id, fmt):
+        return
     for name, df in tables.items():
-        df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+        df.write.mode("overwrite").format(fmt).save(f"{root}/runs/{run_id}/{name}")
+    names = F.array(*[F.lit(name) for name in sorted(tables)])
+    spark.range(1).select(F.lit(run_id).alias("run_id"), names.alias("tables")).write.mode("append").format(fmt).save(f"{root}/commits")
+
+
+def read_report(spark: SparkSession, path: str, run_id: str, schemas: dict[str, T.StructType], fmt: str = "json") -> dict[str, DataFrame]:
+    """The tables of a committed report; an uncommitted one is an error."""
+    root = path.rstrip("/")
+    if not _committed(spark, root, run_id, fmt):
+        raise ValueError(f"report {run_id} was not committed")
+    return {name: spark.read.schema(shape).format(fmt).load(f"{root}/runs/{run_id}/{name}") for name, shape in schemas.items()}

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.functions.timeline import MICROS
@@ -47,11 +48,16 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", folder: s
         query.awaitTermination()
     else:
 
-        def replace(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        marks = f"{out}-complete"
+
+        def replace(batch: DataFrame, epoch: int) -> None:
+            # Each epoch has a folder of its own, so a reader never sees a result being replaced.
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            batch.sparkSession.range(1).select(F.lit(epoch).alias("epoch")).write.mode("append").parquet(marks)
 
         query = writer.outputMode(mode).foreachBatch(replace).start()
         query.awaitTermination()
+        out = f"{out}/epoch={spark.read.parquet(marks).agg(F.max('epoch')).first()[0]}"
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -116,16 +122,13 @@ class _LastStatic(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self._last.get() if self._last.exists() else ("unknown", "unknown")
         batch = pd.concat(list(rows)).sort_values(["received_us", "arrival_seq"])
-        stamped = []
-        for seq, kind, entity_type, classification in zip(
-            batch["arrival_seq"], batch["kind"], batch["entity_type"], batch["classification"]
-        ):
-            if kind == "static":
-                known = (entity_type, classification)
-            else:
-                stamped.append((key[0], seq, known[0], known[1]))
-        self._last.update(tuple(known))
-        yield pd.DataFrame(stamped, columns=["mmsi", "arrival_seq", "entity_type", "classification"])
+        static = (batch["kind"] == "static").to_numpy()
+        # Place of the last static report up to each row; before the first one the state holds.
+        last = np.maximum.accumulate(np.where(static, np.arange(1, len(batch) + 1), 0))
+        types = np.array([known[0], *batch["entity_type"]], object)[last]
+        classes = np.array([known[1], *batch["classification"]], object)[last]
+        self._last.update((types[-1], classes[-1]))
+        yield pd.DataFrame({"mmsi": key[0], "arrival_seq": batch["arrival_seq"].to_numpy(), "entity_type": types, "classification": classes})[~static]
 
     def close(self) -> None:
         pass
@@ -155,26 +158,21 @@ class _RunningHealth(StatefulProcessor):
         self._newest = handle.getValueState("newest", "at_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self._newest.get()[0] if self._newest.exists() else None
+        known = self._newest.get()[0] if self._newest.exists() else None
         batch = pd.concat(list(rows)).sort_values(["now_us", "seq"])
-        judged = []
-        for seq, now, status, seen in zip(batch["seq"], batch["now_us"], batch["status"], batch["seen_us"]):
-            if status != "failure" and seen == seen and seen is not None:
-                newest = int(seen) if newest is None else max(newest, int(seen))
-            if status == "failure":
-                state = "UNAVAILABLE"
-            elif status == "partial":
-                state = "DEGRADED"
-            elif newest is None:
-                state = "UNAVAILABLE"
-            else:
-                state = "FRESH" if now - newest <= self._limit else "STALE"
-            judged.append((key[0], seq, status, newest, state))
-        if newest is not None:
-            self._newest.update((newest,))
-        yield pd.DataFrame(judged, columns=["source_id", "seq", "status", "last_observation_us", "state"]).astype(
-            {"last_observation_us": "Int64"}
+        status = batch["status"].to_numpy()
+        seen = np.where(status == "failure", np.nan, batch["seen_us"].to_numpy(float))  # microseconds are exact in doubles
+        newest = np.fmax.accumulate(np.concatenate([[np.nan if known is None else known], seen]))[1:]
+        fresh = batch["now_us"].to_numpy(float) - newest <= self._limit
+        state = np.select(
+            [status == "failure", status == "partial", np.isnan(newest), fresh], ["UNAVAILABLE", "DEGRADED", "UNAVAILABLE", "FRESH"], "STALE"
         )
+        if not np.isnan(newest[-1]):
+            self._newest.update((int(newest[-1]),))
+        yield pd.DataFrame({
+            "source_id": key[0], "seq": batch["seq"].to_numpy(), "status": status,
+            "last_observation_us": pd.array([None if np.isnan(v) else int(v) for v in newest], "Int64"), "state": state,
+        })
 
     def close(self) -> None:
         pass
@@ -195,6 +193,58 @@ def health_stream(refreshes: DataFrame, fresh_within_seconds: int) -> DataFrame:
     )
 
 
+class _Buffer(StatefulProcessor):
+    """Keeps the newest arrivals of one provider, never more than the bound, and shows them after every batch."""
+
+    def __init__(self, most: int):
+        self._most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._rows = handle.getValueState("rows", "received_us array<bigint>, ids array<string>, version bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, version = pd.DataFrame({"received_us": [], "observation_id": []}), 0
+        if self._rows.exists():
+            times, ids, version = self._rows.get()
+            held = pd.DataFrame({"received_us": times, "observation_id": ids})
+        for part in rows:  # part by part, so that a batch of any size is reduced as it comes
+            both = pd.concat([held, part[["received_us", "observation_id"]]]) if len(held) else part[["received_us", "observation_id"]]
+            held = both.sort_values(["received_us", "observation_id"], ascending=False).head(self._most)
+        version += 1
+        self._rows.update(([int(v) for v in held["received_us"]], list(held["observation_id"]), version))
+        yield pd.DataFrame({
+            "provider_id": key[0], "version": version, "received_us": held["received_us"].astype("int64").to_numpy(),
+            "observation_id": held["observation_id"].to_numpy(),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def retention_stream(obs: DataFrame, max_records: int) -> DataFrame:
+    """Bounded buffer per provider: its last ``max_records`` arrivals, whatever order the batches come in.
+
+    Each batch appends the buffers it touched under a new version; ``retained`` reads the
+    newest one of each provider.
+    """
+    slim = obs.select("provider_id", "observation_id", F.unix_micros("received_at").alias("received_us"))
+    return slim.groupBy("provider_id").transformWithStateInPandas(
+        statefulProcessor=_Buffer(max_records),
+        outputStructType="provider_id string, version bigint, received_us bigint, observation_id string",
+        outputMode="append",
+        timeMode="none",
+    )
+
+
+def retained(buffers: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The newest buffer of each provider without what is older than the time to live at ``now``."""
+    newest = buffers.groupBy("provider_id").agg(F.max("version").alias("version"))
+    at = F.timestamp_micros("received_us")
+    return buffers.join(newest, ["provider_id", "version"]).withColumn("received_at", at).filter(
+        F.unix_micros("received_at") >= F.unix_micros(now) - F.lit(ttl_seconds * MICROS)
+    ).drop("version", "received_us")
+
+
 def snapshot_each_batch(obs_stream: DataFrame, landing: str, compute, checkpoint: str):
     """Add each micro-batch to the observation table, then recompute what depends on it.
 

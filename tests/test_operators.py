@@ -676,3 +676,59 @@ def test_stream_dedupe_keeps_late_rows_and_far_duplicates_out(spark, observe, tm
     feed = feeds.land_stream(spark, str(tmp_path / "feed"), "*.parquet", schema, files_per_batch=1)
     found = feeds.run_available(feeds.dedupe_stream(feed), "late-dedupe")
     assert sorted(r.observation_id for r in found.collect()) == ["a", "b", "c", "d"]
+
+
+def test_stream_retention_equals_the_batch_operator(spark, observe, tmp_path):
+    import time
+
+    from fairlead.streaming import feeds
+
+    rng = random.Random(5)
+    data = [(f"o{i:03d}", "v", rng.randrange(6000), 1.0, 1.0, {"provider_id": f"p{i % 2}"}) for i in range(60)]
+    for i in range(0, 60, 15):  # batches out of time order
+        observe(data[i:i + 15]).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        time.sleep(1.1)
+    feed = feeds.land_stream(spark, str(tmp_path / "feed"), "*.parquet", spark.read.parquet(str(tmp_path / "feed")).schema, files_per_batch=1)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, feeds.ROCKSDB)
+    try:
+        buffers = feeds.run_available(feeds.retention_stream(feed, 10), "retention")
+    finally:
+        spark.conf.unset(key)
+    now = F.lit("2026-09-13T12:00:00Z").cast("timestamp")
+    want = rows(ordering.retain_by_arrival(observe(data), now, 10, 3600 * 24).select("provider_id", "observation_id"), "provider_id", "observation_id")
+    assert rows(feeds.retained(buffers, now, 3600 * 24).select("provider_id", "observation_id"), "provider_id", "observation_id") == want
+    assert 0 < len(want) < 20 and buffers.select("version").distinct().count() == 4
+
+
+def test_sliding_rates_count_every_covering_window(spark):
+    from fairlead.operators import counters
+
+    panes = spark.createDataFrame([("a", 0, 2), ("a", 60, 1), ("a", 240, 5), ("b", 60, 3)], "route string, s bigint, events bigint").select(
+        "route", "events", F.timestamp_seconds("s").alias("window_start"))
+    got = {(r.route, r.s): r.events for r in counters.sliding_rates(panes, ["route"], 60, 180).select(
+        "route", F.unix_seconds("window_start").alias("s"), "events").collect()}
+    want = {}
+    for route, at, n in [("a", 0, 2), ("a", 60, 1), ("a", 240, 5), ("b", 60, 3)]:
+        for k in range(3):
+            want[route, at - 60 * k] = want.get((route, at - 60 * k), 0) + n
+    assert got == want
+    with pytest.raises(ValueError):
+        counters.sliding_rates(panes, ["route"], 70, 180)
+
+
+def test_a_report_is_written_as_a_unit(spark, tmp_path):
+    one = spark.range(3).withColumnRenamed("id", "n")
+    shapes = {"a": one.schema, "b": one.schema}
+    path = str(tmp_path / "report")
+    broken = one.withColumn("n", F.raise_error(F.lit("stopped half way")).cast("bigint"))
+    with pytest.raises(Exception, match="stopped half way"):
+        tables.write_report({"a": one, "b": broken}, path, "r1")
+    with pytest.raises(ValueError, match="not committed"):
+        tables.read_report(spark, path, "r1", shapes)
+    tables.write_report({"a": one, "b": one.filter("n > 0")}, path, "r1")
+    tables.write_report({"a": one.filter("false"), "b": one}, path, "r1")  # already committed: nothing changes
+    got = tables.read_report(spark, path, "r1", shapes)
+    assert (got["a"].count(), got["b"].count()) == (3, 2)
+    tables.write_report({"a": one.filter("n = 1"), "b": one}, path, "r2")
+    assert tables.read_report(spark, path, "r2", shapes)["a"].count() == 1 and tables.read_report(spark, path, "r1", shapes)["a"].count() == 3
