@@ -915,6 +915,22 @@ def stream_retention(spark, d):
     return feeds.retained(buffers, now, 72 * 3600).select("provider_id", "observation_id", "received_at")
 
 
+@_query
+def stream_snapshot(spark, d):
+    """The snapshot of the sea profiles, kept up to date batch by batch."""
+    from fairlead.streaming import feeds
+
+    folder = shared_dir(spark, "stream-snapshot")
+    profiles, fences = registry.profiles(spark).filter("mode = 'sea'"), registry.fences(spark)
+    names = ["profile_id", "window_id", "role", "in_fence_rows", "freight", "moving", "eligible", "dwell_cohort", "entries", "exits", "uncertain"]
+
+    def compute(obs, wins):
+        return S.snapshot(obs, profiles, fences, wins, SETTINGS).wide.select(*names)
+
+    feeds.snapshot_stream(V.observations_from(_event_stream(spark, d)), _windows(spark), compute, folder).awaitTermination()
+    return feeds.snapshot_results(spark, folder)
+
+
 def _with_rocksdb(spark, work):
     from fairlead.streaming import feeds
 

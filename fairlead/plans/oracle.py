@@ -989,6 +989,8 @@ SELECT *, CASE WHEN accepted = 0 THEN 'rejected' WHEN rejected > 0 OR caveats <>
 _SQL["stream_dedupe"] = f"WITH {COPIES} SELECT DISTINCT duplicate_key, entity_id, us AS observed_at_us FROM keyed"
 _SQL["stream_sessions"] = f"""WITH {TRACKS}
 SELECT entity_id, a AS start_at_us, b AS end_at_us, n AS observed_points FROM trk"""
+_SQL["stream_snapshot"] = _snap() + """
+SELECT profile_id, window_id, role, in_fence_rows, freight, moving, eligible, dwell_cohort, entries, exits, uncertain FROM wide WHERE mode = 'sea'"""
 _SQL["stream_rate_sliding"] = f"""WITH {REQUESTS},
 w AS (SELECT route, (epoch_us(ts) // 60000000 - k) * 60000000 AS window_start_us FROM q, range(0, 5) t(k))
 SELECT window_start_us, route, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second FROM w GROUP BY ALL"""

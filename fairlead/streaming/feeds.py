@@ -262,3 +262,42 @@ def snapshot_each_batch(obs_stream: DataFrame, landing: str, compute, checkpoint
         obs_stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
         .foreachBatch(step).start()
     )
+
+
+def snapshot_stream(obs_stream: DataFrame, wins: DataFrame, compute, folder: str):
+    """Keep the results of windows up to date, batch by batch, recomputing only what a batch touches.
+
+    A batch goes to a folder of its own in the observation table.  The windows that its rows
+    fall into, themselves or their preceding windows, are found by a range join with the
+    windows table; ``compute(observations, windows)`` is run for those alone, and since it
+    prunes to the windows it is given, other date partitions are not read.  Results are
+    written per epoch and merged by window when they are read (``snapshot_results``): the
+    newest epoch of a window stands.  A batch that runs again replaces its own folders.
+    """
+    from fairlead.operators.windows import assign_windows, with_baseline
+    from fairlead.sources.tables import read_observations, write_observations
+
+    landing, out = f"{folder.rstrip('/')}/observations", f"{folder.rstrip('/')}/results"
+    spans = with_baseline(wins)
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        write_observations(batch, f"{landing}/batch={epoch}", mode="overwrite")
+        own = read_observations(spark, f"{landing}/batch={epoch}").select("observed_at")
+        touched = assign_windows(own, spans, "window_start", "window_end").select("window_id").distinct()
+        names = [r["window_id"] for r in touched.collect()]  # at most the windows asked for
+        if names:
+            result = compute(read_observations(spark, landing), wins.filter(F.col("window_id").isin(names)))
+            result.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return (
+        obs_stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder.rstrip('/')}/state")
+        .foreachBatch(step).start()
+    )
+
+
+def snapshot_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest result of each window of a ``snapshot_stream``."""
+    results = spark.read.parquet(f"{folder.rstrip('/')}/results")
+    newest = results.groupBy("window_id").agg(F.max("epoch").alias("epoch"))
+    return results.join(newest, ["window_id", "epoch"]).drop("epoch")

@@ -732,3 +732,33 @@ def test_a_report_is_written_as_a_unit(spark, tmp_path):
     assert (got["a"].count(), got["b"].count()) == (3, 2)
     tables.write_report({"a": one.filter("n = 1"), "b": one}, path, "r2")
     assert tables.read_report(spark, path, "r2", shapes)["a"].count() == 1 and tables.read_report(spark, path, "r1", shapes)["a"].count() == 3
+
+
+def test_stream_snapshot_recomputes_only_touched_windows(spark, observe, tmp_path):
+    from fairlead.plans import snapshot as S
+    from fairlead.streaming import feeds
+
+    wins = windows.windows(spark, [("a", "2026-09-09T12:00:00Z", "2026-09-09T13:00:00Z"), ("b", "2026-09-10T12:00:00Z", "2026-09-10T13:00:00Z")])
+    profiles, fences = registry.profiles(spark).filter("profile_id = 'long-beach-approach'"), registry.fences(spark)
+    names = ["profile_id", "window_id", "role", "in_fence_rows", "freight", "entries", "exits", "dwell_cohort"]
+    asked, landed = [], []
+
+    def compute(obs, own):
+        asked.append(sorted(r.window_id for r in own.collect()))
+        return S.snapshot(obs, profiles, fences, own).wide.select(*names)
+
+    day = 24 * 60
+    for part, touched in [
+        ([("1", "x", 5, *IN), ("2", "x", 20, *OUT)], [["a"]]), ([("3", "y", day + 10, *IN)], [["b"]]), ([("4", "z", 9 * day, *IN)], []),
+        ([("5", "x", -30, *IN), ("6", "y", day - 20, *IN)], [["a", "b"]]),
+    ]:
+        landed += part
+        observe(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        asked.clear()
+        feed = feeds.land_stream(spark, str(tmp_path / "in"), "*.parquet", schema.OBSERVATION)
+        feeds.snapshot_stream(feed, wins, compute, str(tmp_path / "run")).awaitTermination()
+        assert asked == touched
+        got = feeds.snapshot_results(spark, str(tmp_path / "run")).select(*names)
+        known = {r.window_id for r in got.collect()}
+        want = S.snapshot(observe(landed), profiles, fences, wins).wide.select(*names).filter(F.col("window_id").isin(list(known)))
+        assert rows(got, "window_id", "role") == rows(want, "window_id", "role")
