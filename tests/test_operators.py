@@ -235,25 +235,45 @@ def test_detector_scenarios_and_scores(spark):
     assert got["false_positives_per_entity_hour"] is None and got["mean_latency_seconds"] == 1200.0
 
 
-def test_label_matching_equals_the_sequential_rule(spark):
+def _matched_in_order(labels, dets, limit):
+    want, free = set(), list(dets)
+    for lid, _, scope, at, _ in sorted(labels, key=lambda x: (x[4], x[0])):
+        options = [(abs(d[3] - at), d[4], d[0], d) for d in free if d[2] == scope and abs(d[3] - at) <= limit]
+        if options:
+            distance, *_, best = min(options)
+            want.add((lid, best[0], distance * 1_000_000))
+            free.remove(best)
+    return want
+
+
+def _items(spark, data, name, at, seq):
+    made = spark.createDataFrame(data, f"{name} string, event_type string, scope string, at bigint, {seq} int")
+    return made.withColumn(at, F.timestamp_seconds("at"))
+
+
+@pytest.mark.parametrize("chunk", [86_400, 1_000, 1])
+def test_label_matching_equals_the_sequential_rule(spark, chunk):
     rng = random.Random(3)
-    labels = [(f"l{i}", "t", f"s{rng.randrange(3)}", rng.randrange(40_000), i) for i in range(120)]
-    dets = [(f"d{i}", "t", f"s{rng.randrange(3)}", rng.randrange(40_000), i) for i in range(120)]
-    limit, want, free = 200, set(), list(dets)
-    for lid, _, scope, at, _ in labels:
-        best = None
-        for d in free:
-            dist = abs(d[3] - at)
-            if d[2] == scope and dist <= limit and (best is None or dist < best[0]):
-                best = (dist, d)
-        if best:
-            want.add((lid, best[1][0], best[0] * 1_000_000))
-            free.remove(best[1])
-    make = lambda data, a, b, c: spark.createDataFrame(data, f"{a} string, event_type string, scope string, at bigint, {c} int").withColumn(
-        b, F.timestamp_seconds("at"))
-    got = evaluation.match_labels(make(labels, "label_id", "onset_at", "label_seq"),
-                                  make(dets, "detection_id", "detected_at", "detection_seq"), limit)
-    assert {tuple(r) for r in got.collect()} == want
+    order = rng.sample(range(240), 240)
+    labels = [(f"l{i}", "t", f"s{rng.randrange(3)}", rng.randrange(40_000), order[i]) for i in range(120)]
+    dets = [(f"d{i}", "t", f"s{rng.randrange(3)}", rng.randrange(40_000), order[-1 - i]) for i in range(120)]
+    # A run without a gap, more labels than detections, and a crowd at one instant beside few detections.
+    labels += [(f"m{i}", "t", "run", rng.randrange(0, 6_000, 20), i) for i in range(240)]
+    dets += [(f"e{i}", "t", "run", rng.randrange(0, 6_000, 20), rng.randrange(1 << 30)) for i in range(200)]
+    labels += [(f"n{i}", "t", "crowd", 5_000, 40 - i) for i in range(40)]
+    dets += [(f"f{i}", "t", "crowd", 4_985 + i, i) for i in range(30)]
+    got = evaluation.match_labels(_items(spark, labels, "label_id", "onset_at", "label_seq"),
+                                  _items(spark, dets, "detection_id", "detected_at", "detection_seq"), 200, chunk)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(_matched_in_order(labels, dets, 200))
+
+
+def test_label_matching_without_ids_numbers_or_rows(spark):
+    labels = [("l1", "t", "s", 100, None), ("l2", "t", "s", 100, 7), (None, "t", "s", 100, 1), ("l3", None, "s", 100, 2), ("l4", "t", "s", None, 3)]
+    dets = [("d1", "t", "s", 110, None), ("d2", "t", "s", 90, 4), (None, "t", "s", 100, 1)]
+    make = lambda a, b: evaluation.match_labels(_items(spark, a, "label_id", "onset_at", "label_seq"),
+                                                _items(spark, b, "detection_id", "detected_at", "detection_seq"), 60)
+    assert sorted(tuple(r) for r in make(labels, dets).collect()) == [("l1", "d1", 10_000_000), ("l2", "d2", 10_000_000)]
+    assert make(labels, []).count() == make([], dets).count() == 0
 
 
 def test_watches(spark):
