@@ -38,6 +38,9 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares for checkpoints.
 
@@ -58,11 +61,17 @@ def stage(df, label: str):
     """Write an intermediate result once to the shared folder and read it back.
 
     Used where several branches need the same expensive rows: the table survives
-    lost executors, cuts the lineage and is read column by column.
+    lost executors, cuts the lineage and is read column by column.  Shuffle files of the
+    write go when it has ended: nothing reads them again.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
